@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, sharding, simhash, tokens
+from . import embeddings, exact_dedup, mixing, packing, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_exact_dedup": exact_dedup.query,
     "op5_quality": quality.query,
     "op6_token_counts": tokens.query,
+    "op7_embeddings": embeddings.query,
     "op8_packing": packing.query,
     "op9_sharding": sharding.query,
     "op10_mixing": mixing.query,

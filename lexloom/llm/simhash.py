@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     return rows.join(classes, "print", "left").select("doc_id", hexed, "component_id")
 
 
-def keep_representatives(docs: DataFrame, words_in_shingle: int = 5) -> DataFrame:
+def keep_representatives(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     """``docs`` with one document of each component, in their own columns."""
     found = near_duplicates(docs, words_in_shingle)
     scratch = Scratch(docs.sparkSession, "near")
