@@ -15,7 +15,7 @@ import struct
 
 import numpy as np
 
-_HEAD = struct.Struct("<BBI")
+_HEAD = "<BBI"
 
 
 def quotient_bits(distinct: int) -> int:
@@ -47,7 +47,7 @@ def build(prints: np.ndarray, counts: np.ndarray, shard_bits: int) -> bytes:
     large = counts >= 255
     return b"".join(
         [
-            _HEAD.pack(q, width, size),
+            struct.pack(_HEAD, q, width, size),
             *(np.packbits(bits).tobytes() for bits in (occupied, ends, used)),
             struct.pack("<II", n, int(large.sum())),
             body.tobytes(),
@@ -59,8 +59,8 @@ def build(prints: np.ndarray, counts: np.ndarray, shard_bits: int) -> bytes:
 
 def read(data: bytes, shard: int, shard_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted fingerprints and counts that ``build`` was given."""
-    q, width, size = _HEAD.unpack_from(data)
-    at, packed = _HEAD.size, -(-size // 8)
+    q, width, size = struct.unpack_from(_HEAD, data)
+    at, packed = struct.calcsize(_HEAD), -(-size // 8)
     bits = []
     for _ in range(3):
         bits.append(np.unpackbits(np.frombuffer(data, np.uint8, packed, at), count=size).astype(bool))
