@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import quotient
 from .arrow import arrow_map
-from .scratch import Scratch, shuffle_partitions, small, table
+from .scratch import Scratch, shuffle_partitions, small, table, without
 
 #: The bytes that normalisation deletes.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -169,16 +169,13 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``dedup_exact`` drops, in their own columns."""
     decided = dedup_exact(docs)
-    dropped = decided.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
     scratch = Scratch(docs.sparkSession, "dropped")
-    dropped = scratch.write(dropped, "rows")
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_raw"))
-    out = marked.join(small(dropped), same, "left_anti")
+    dropped = scratch.write(decided.filter(~F.col("kept")).select("doc_id", "raw").distinct(), "rows")
+    out = without(docs, dropped, doc_id=F.col("doc_id").cast("long"), raw=F.xxhash64("text"))
     again = decided.filter("kept and group_size > 1").groupBy("doc_id", "raw").count().filter("count > 1")
-    if not again.isEmpty():  # whole rows repeat: one of each stays
-        out = out.dropDuplicates(["doc_id", "_text"])
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    if not again.isEmpty():  # rows that repeat doc_id and text: one of each stays
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

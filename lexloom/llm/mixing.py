@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ranking import bucket_count
-from .scratch import Scratch, shuffle_partitions, small, table
+from .scratch import Scratch, packed, shuffle_partitions, small, table
 from .sharding import source_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -32,24 +32,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 LEAST_QUALITY, MOST_QUALITY = 1.0, 4.0
 
 
-def quality_weight(text: Column, words: Column) -> Column:
+def quality_weight(n_chars: Column, words: Column) -> Column:
     """A weight from the mean word length: near five letters weighs most."""
-    mean = F.length(text) / F.greatest(words, F.lit(1)) - 1
+    mean = n_chars / F.greatest(words, F.lit(1)) - 1
     return F.lit(LEAST_QUALITY) + (MOST_QUALITY - LEAST_QUALITY) / (1 + F.abs(mean - 5))
 
 
 def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """Add src, size (words), draw (a hash of the row) and key (smaller: taken earlier)."""
+    """doc_id, src, size (words), draw (a hash of the row), key (smaller: taken earlier) and the whole row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_count(text, F.lit(WORD)).cast("long")
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text.cast("binary")))
-    uniform = (F.shiftrightunsigned(F.col("_draw"), 11) + 0.5) * 2.0**-53
-    return (
-        docs.withColumn("_src", source_key("source"))
-        .withColumn("_size", words)
-        .withColumn("_draw", draw)
-        .withColumn("_key", -F.log(uniform) / quality_weight(text, F.col("_size")))
-    )
+    light = packed(docs, doc_id=F.col("doc_id"), src=source_key("source"), size=words, draw=draw, n_chars=F.length(text))
+    uniform = (F.shiftrightunsigned("draw", 11) + 0.5) * 2.0**-53
+    key = -F.log(uniform) / quality_weight(F.col("n_chars"), F.col("size"))
+    return light.select("doc_id", "src", "size", "draw", key.alias("key"), "row")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -88,10 +85,7 @@ def mixture(docs: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    rows = keyed(docs.select("doc_id", "text", "source"), seed).select(
-        "doc_id", *(F.col(f"_{c}").alias(c) for c in ("src", "size", "draw", "key"))
-    )
-    rows = scratch.write(rows, "rows")
+    rows = scratch.write(keyed(docs.select("doc_id", "text", "source"), seed).drop("row"), "rows")
     buckets = bucket_count(rows.count(), 4 * shuffle_partitions(spark))
     rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
     sums = scratch.write(rows.groupBy("src", "bucket").agg(F.sum("size").alias("size")), "sums")
@@ -128,7 +122,7 @@ def mixture(docs: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     # One later document whose size comes nearest to what is still missing.
     nearness = F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "key", "draw")
     filler = (
-        with_plan(rows, cuts, "src")
+        with_plan(rows, cuts)
         .filter((F.struct("bucket", "key", "draw") > F.col("cut")) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
         .groupBy("src")
         .agg(F.min(nearness).alias("filler"))
@@ -147,9 +141,9 @@ def times(key: str, draw: str) -> Column:
     return F.least(F.col("epochs") + (early | filling).cast("long"), F.lit(MOST))
 
 
-def with_plan(rows: DataFrame, plan: DataFrame, on: str) -> DataFrame:
+def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows beside their source's plan; sources are few, which is checked."""
-    return rows.join(small(plan.withColumnRenamed("src", on)), on)
+    return rows.join(small(plan), "src")
 
 
 def mix_documents(docs: DataFrame, seed: int = 5) -> DataFrame:
@@ -158,13 +152,13 @@ def mix_documents(docs: DataFrame, seed: int = 5) -> DataFrame:
     Whole rows never shuffle: each meets only its source's plan.
     """
     _, plan = mixture(docs, seed)
-    chosen = with_plan(keyed(docs, seed), plan, "_src").withColumn("_times", times("_key", "_draw"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))
-    return chosen.filter("_times > 0").select(*(F.col(f"`{c}`") for c in docs.columns), copies.alias("_copy")).drop("_copy")
+    chosen = with_plan(keyed(docs, seed), plan).select("row", times("key", "draw").cast("int").alias("times"))
+    copies = chosen.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: what the mix takes of every document."""
     rows, plan = mixture(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * times("key", "draw")).alias("taken")
-    return with_plan(rows, plan, "src").select("doc_id", "size", "source_size", "target", taken)
+    return with_plan(rows, plan).select("doc_id", "size", "source_size", "target", taken)

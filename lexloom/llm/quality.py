@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import arrow_map
-from .scratch import Scratch, table
+from .scratch import Scratch, table, without
 
 #: Labelled rows that are learned from at most, by a hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -187,13 +187,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that score below GOOD, in their own columns."""
-    from .scratch import small
-
     scratch = Scratch(docs.sparkSession, "rejected")
     bad = score_quality(docs, labels).filter(F.col("score") < GOOD)
-    bad = scratch.write(bad.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct(), "rows")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_raw"))
-    return docs.join(small(bad), same, "left_anti")
+    bad = scratch.write(bad.select("doc_id", "raw").distinct(), "rows")
+    return without(docs, bad, doc_id=F.col("doc_id").cast("long"), raw=F.xxhash64("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, mixing, packing, quality, sharding, simhash, tokens
+from . import embeddings, exact_dedup, licenses, mixing, packing, quality, sharding, simhash, substring, tokens
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_substring": substring.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op4_licenses": licenses.query,
     "op5_quality": quality.query,
     "op6_token_counts": tokens.query,
     "op7_embeddings": embeddings.query,

@@ -11,7 +11,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that may be broadcast; callers keep them to about a hundred bytes each.
@@ -68,6 +68,18 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """Whole rows as one column ``row`` beside ``more``, so that no names clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in more.items()))
+
+
+def without(docs: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` are in ``gone``; nulls equal each other."""
+    rows, gone = packed(docs, **keys), small(gone)
+    same = [rows[k].eqNullSafe(gone[k]) for k in keys]
+    return rows.join(gone, same, "left_anti").select("row.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .arrow import arrow_map
 from .components import Union, components
-from .scratch import Scratch, small, table
+from .scratch import Scratch, table, without
 
 SEED = 42
 #: Bits in which linked fingerprints differ at most.
@@ -225,8 +225,8 @@ def keep_representatives(docs: DataFrame, words_in_shingle: int = 3) -> DataFram
     """``docs`` with one document of each component, in their own columns."""
     found = near_duplicates(docs, words_in_shingle)
     scratch = Scratch(docs.sparkSession, "near")
-    gone = scratch.write(found.filter("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = scratch.write(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    return without(docs, gone, doc_id=F.col("doc_id").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
