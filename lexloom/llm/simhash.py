@@ -1,17 +1,21 @@
 """SimHash near-dedup with vantage-point trees over Hamming distance.
 
-Fingerprints within 3 of 64 bits differ by 1 at most in their lower or upper
-half.  Each half has a vantage-point tree with query radius 1: a node holds a
-vantage point and a radius, points within it go inside, others outside.  By the
-triangle inequality a pair across the boundary has its outer point exactly one
-bit beyond the radius; such boundary points visit the inside as well, and every
-other branch is pruned.  (With the whole 64 bits and radius 3, three in five
-points would visit both sides at every level.)
+Fingerprints within ``near`` of 64 bits differ by near // parts bits at most in
+one of ``parts`` equal parts: by one bit at most in one half for a distance of
+3.  Each part has a vantage-point tree whose query radius is that number: a
+node holds a vantage point and a radius, points within it go inside, others
+outside.  By the triangle inequality a pair across the boundary has its outer
+point within the query radius of it; such boundary points visit the inside as
+well, and every other branch is pruned.  (With the whole 64 bits and radius 3,
+three in five points would visit both sides at every level.)
 
 The tree's upper part is grown on a bounded sample and broadcast; its leaves
 are the shards.  A shard splits further by trees of its own and compares what
-is left exactly, on all 64 bits.  It returns links to the smallest member of
-each of its components, so a dense group gives one link per member.
+is left exactly, on all 64 bits.  It returns a spanning forest of its links, so
+a dense group gives one link per member.
+
+``near_duplicates`` links fingerprints.  ``similar_documents`` uses wider
+distances to find candidates, and links those whose word shingles agree.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .arrow import arrow_map
 from .components import Union, components
-from .scratch import Scratch, table, without
+from .scratch import Scratch, small, table, without
 
 SEED = 42
 #: Bits in which linked fingerprints differ at most.
@@ -41,17 +45,21 @@ MAX_SHARDS = 4096
 LEAF = 384
 
 
-def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
-    """64 majority bits over the hashes of lower-cased word shingles; 0 without words."""
+def shingle_hashes(text: bytes, words_in_shingle: int) -> np.ndarray:
+    """XXH64 of each lower-cased word shingle, repeats included; a shorter text is one shingle."""
     words = _WORD.findall(text.lower())
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(words_in_shingle, len(words))
     starts = [0, *(ends[: len(words) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())), "<u8", len(starts))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())), "<u8", len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes; 0 without any."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):  # the bits of very long texts in parts
         part = hashes[at : at + 65_536]
@@ -59,45 +67,63 @@ def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _signer(words_in_shingle: int):
+def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, words_in_shingle))
+
+
+def remixed(hashes: np.ndarray, signature: int) -> np.ndarray:
+    """Hashes for a further, independent fingerprint of the same shingles."""
+    if not signature:
+        return hashes
+    out = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * signature)
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _signer(words_in_shingle: int, signatures: int):
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            prints = [fingerprint(t or b"", words_in_shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            return pa.record_batch([batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "print"])
+            prints = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(text or b"", words_in_shingle)
+                prints += [majority(remixed(hashes, s)) for s in range(signatures)]
+            n = batch.num_rows
+            row = np.repeat(np.arange(n), signatures)
+            arrays = [batch.column("doc_id").take(pa.array(row)), pa.array(np.tile(np.arange(signatures), n)), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            return pa.record_batch(arrays, names=["doc_id", "signature", "print"])
 
         return each
 
     return make
 
 
-def sign(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
-    """doc_id and print, the fingerprint as a signed long, for every row."""
+def sign(docs: DataFrame, words_in_shingle: int = 3, signatures: int = 1) -> DataFrame:
+    """doc_id, signature and print, the fingerprint as a signed long; ``signatures`` per row."""
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_map(light, _signer(words_in_shingle), "doc_id long, print long", "text")
+    return arrow_map(light, _signer(words_in_shingle, signatures), "doc_id long, signature long, print long", "text")
 
 
-def halves(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    wide = prints.view(np.uint64)
-    return (wide & np.uint64(0xFFFFFFFF)).astype(np.uint32), (wide >> np.uint64(32)).astype(np.uint32)
+def part_of(prints: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """One of ``parts`` equal parts of the bits."""
+    width = 64 // parts
+    return (prints.view(np.uint64) >> np.uint64(part * width) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-def split(values: np.ndarray) -> tuple[np.uint32, int] | None:
+def split(values: np.ndarray, reach: int) -> tuple[np.uint32, int] | None:
     """A vantage point and radius that halve ``values``; None if none would."""
     spread = [values[0], values[len(values) // 2], values[-1], ~values[0]]
     best = None
     for vantage in spread:
         distance = np.bitwise_count(values ^ vantage)
-        counts = np.bincount(distance, minlength=34)
-        inside = np.cumsum(counts)
+        inside = np.cumsum(np.bincount(distance, minlength=33 + reach))
         # The larger side, its visitors included, for every radius.
-        cost = np.maximum(inside[:32] + counts[1:33], len(values) - inside[:32])
+        cost = np.maximum(inside[reach : 32 + reach], len(values) - inside[:32])
         radius = int(cost.argmin())
         if best is None or cost[radius] < best[0]:
             best = (cost[radius], vantage, radius)
     return best[1:] if best[0] < 0.95 * len(values) else None
 
 
-def grow(values: np.ndarray, leaves: int) -> list[tuple[int, int, int, int]]:
+def grow(values: np.ndarray, leaves: int, reach: int = 1) -> list[tuple[int, int, int, int]]:
     """A shard tree with about ``leaves`` leaves: nodes (vantage, radius, inside, outside).
 
     Children are node numbers, or -1 - shard.  The sample's largest leaf is split first.
@@ -109,7 +135,7 @@ def grow(values: np.ndarray, leaves: int) -> list[tuple[int, int, int, int]]:
     done, serial = [], 1
     while heap:
         _, _, own, where = heapq.heappop(heap)
-        found = split(own) if len(heap) + len(done) + 1 < leaves and len(own) >= 8 else None
+        found = split(own, reach) if len(heap) + len(done) + 1 < leaves and len(own) >= 8 else None
         if found is None:
             done.append(where)
             continue
@@ -117,7 +143,7 @@ def grow(values: np.ndarray, leaves: int) -> list[tuple[int, int, int, int]]:
         distance = np.bitwise_count(own ^ vantage)
         if where:
             nodes[where[0]][where[1]] = len(nodes)
-        for side, part in ((2, own[distance <= radius + 1]), (3, own[distance > radius])):
+        for side, part in ((2, own[distance <= radius + reach]), (3, own[distance > radius])):
             heapq.heappush(heap, (-len(part), serial, part, (len(nodes), side)))
             serial += 1
         nodes.append([int(vantage), radius, 0, 0])
@@ -127,7 +153,7 @@ def grow(values: np.ndarray, leaves: int) -> list[tuple[int, int, int, int]]:
     return [tuple(n) for n in nodes]
 
 
-def route(values: np.ndarray, tree: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def route(values: np.ndarray, tree: list[tuple[int, int, int, int]], reach: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(row, shard) pairs: each value's own shard, and those its boundary visits reach."""
     if not tree:
         return np.arange(len(values)), np.zeros(len(values), np.int64)
@@ -142,31 +168,101 @@ def route(values: np.ndarray, tree: list[tuple[int, int, int, int]]) -> tuple[np
             continue
         vantage, radius, inside, outside = tree[node]
         distance = np.bitwise_count(values[own] ^ np.uint32(vantage))
-        todo += [(inside, own[distance <= radius + 1]), (outside, own[distance > radius])]
+        todo += [(inside, own[distance <= radius + reach]), (outside, own[distance > radius])]
     return (np.concatenate(rows), np.concatenate(shards)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
-def shard_links(prints: np.ndarray, half: int) -> np.ndarray:
-    """For sorted distinct rows of one shard, the root of each: equal roots are linked."""
-    values = halves(prints)[half]
-    wide = prints.view(np.uint64)
-    sets = Union(len(prints))
-    todo = [np.arange(len(prints))]
+def spanning(u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which links (u < v) form a spanning forest of least distances."""
+    nodes, named = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = named[: len(u)], named[len(u) :]
+    sets, chosen = Union(len(nodes)), []
+    for step in np.unique(distance):
+        left = np.flatnonzero(distance == step)
+        while len(left):
+            a, b = sets.find(u[left]), sets.find(v[left])
+            apart = a != b
+            left, low, high = left[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            # Each component takes one link to a component with a smaller root: no cycles.
+            _, first = np.unique(high, return_index=True)
+            chosen.append(left[first])
+            sets.unite(low[first], high[first])
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def shard_links(prints: np.ndarray, part: int, parts: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, by least distances, of the links among one shard's prints."""
+    values, wide, reach = part_of(prints, part, parts), prints.view(np.uint64), near // parts
+    n, held, size = len(prints), [np.zeros((3, 0), np.int64)], 0
+    todo = [np.arange(n)]
     while todo:
         own = todo.pop()
-        found = split(values[own]) if len(own) > LEAF else None
+        found = split(values[own], reach) if len(own) > LEAF else None
         if found:
             distance = np.bitwise_count(values[own] ^ found[0])
-            todo += [own[distance <= found[1] + 1], own[distance > found[1]]]
+            todo += [own[distance <= found[1] + reach], own[distance > found[1]]]
             continue
         for at in range(0, len(own), LEAF):  # the rows of a leaf in blocks, against the later ones
             block = own[at : at + LEAF]
             for to in range(at, len(own), 4096):
                 later = own[to : to + 4096]
-                u, v = np.nonzero(np.bitwise_count(wide[block][:, None] ^ wide[later][None, :]) <= NEAR)
-                other = block[u] != later[v]
-                sets.unite(block[u][other], later[v][other])
-    return sets.roots()
+                distance = np.bitwise_count(wide[block][:, None] ^ wide[later][None, :])
+                a, b = np.nonzero(distance <= near)
+                links = np.stack([block[a], later[b], distance[a, b]]).astype(np.int64)
+                links = links[:, links[0] != links[1]]
+                links[:2].sort(axis=0)
+                if links.shape[1]:
+                    held.append(links[:, spanning(*links)] if links.shape[1] > LEAF else links)
+                    size += held[-1].shape[1]
+                if size > 4 * n + 10_000:
+                    held = [np.concatenate(held, 1)]
+                    held = [held[0][:, spanning(*held[0])]]
+                    size = held[0].shape[1]
+    links = np.concatenate(held, 1)
+    u, v, _ = links[:, spanning(*links)]
+    return u, v
+
+
+def print_links(distinct: DataFrame, near: int, parts: int, scratch: Scratch) -> DataFrame:
+    """(u, v): links among the distinct prints (signature, print, rep), by their reps.
+
+    Prints of one signature within ``near`` bits are connected by these links,
+    along paths of the least distances.
+    """
+    spark = distinct.sparkSession
+    reach = near // parts
+    n = distinct.filter("signature = 0").count()
+    shards = int(min(MAX_SHARDS, max(1, n // SHARD_ROWS)))
+    # A bounded sample of fingerprints grows the shard trees; all rows are routed by them.
+    sampled = np.zeros(0, np.int64)
+    if shards > 1:
+        sample = distinct.filter("signature = 0").select("print").orderBy(F.xxhash64("print")).limit(min(SAMPLE, 64 * shards))
+        sampled = np.array([r[0] for r in sample.collect()], np.int64)
+    trees = [grow(part_of(sampled, p, parts), shards, reach) if shards > 1 else [] for p in range(parts)]
+    trees = spark.sparkContext.broadcast(trees)
+
+    def router():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for part in range(parts):
+                row, shard = route(part_of(batch.column("print").to_numpy(), part, parts), trees.value[part], reach)
+                own = batch.take(pa.array(row))
+                named = (shard * parts + part) * 16 + own.column("signature").to_numpy()
+                out.append(pa.record_batch([pa.array(named), own.column("print"), own.column("rep")], names=["shard", "print", "rep"]))
+            return pa.concat_batches(out)
+
+        return each
+
+    def linked(shard: pa.Table) -> pa.Table:
+        part = shard.column("shard")[0].as_py() // 16 % parts
+        reps = shard.column("rep").to_numpy()
+        order = np.argsort(reps, kind="stable")
+        u, v = shard_links(shard.column("print").to_numpy()[order], part, parts, near)
+        return pa.table({"u": reps[order][v], "v": reps[order][u]})
+
+    routed = arrow_map(distinct, router, "shard long, print long, rep long")
+    links = routed.groupBy("shard").applyInArrow(linked, "u long, v long").filter("u != v")
+    return scratch.write(links, "links")
 
 
 def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
@@ -182,50 +278,87 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     rows = scratch.write(sign(docs, words_in_shingle), "rows")
-    distinct = rows.groupBy("print").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
+    distinct = rows.groupBy("signature", "print").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
     distinct = scratch.write(distinct, "distinct")
-    n = distinct.count()
-    shards = int(min(MAX_SHARDS, max(1, n // SHARD_ROWS)))
-    # A bounded sample of fingerprints grows the shard trees; all rows are routed by them.
-    sample = distinct.select("print").orderBy(F.xxhash64("print")).limit(min(SAMPLE, 64 * shards)) if shards > 1 else None
-    sampled = np.array([r[0] for r in sample.collect()], np.int64) if sample is not None else np.zeros(0, np.int64)
-    trees = spark.sparkContext.broadcast([grow(h, shards) if len(h) else [] for h in halves(sampled)])
+    found = components(print_links(distinct, NEAR, 2, scratch), scratch).withColumnRenamed("node", "rep")
+    classes = distinct.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+    classes = scratch.write(classes, "classes")
+    hexed = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
+    return rows.join(classes, "print", "left").select("doc_id", hexed, "component_id")
 
-    def router():
+
+#: Bits, parts and signatures of the candidate search for similar documents.
+#: Three signatures within 7 bits hold most pairs with similarity 0.8 and nearly all from 0.85.
+WIDE, WIDE_PARTS, SIGNATURES = 7, 4, 3
+#: Documents with candidates that are named in a broadcast; more are joined by a shuffle.
+SENT_IDS = 500_000
+
+
+def _shingler(words_in_shingle: int):
+    def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = []
-            for half, values in enumerate(halves(batch.column("print").to_numpy())):
-                row, shard = route(values, trees.value[half])
-                own = batch.take(pa.array(row))
-                parts.append(pa.record_batch([pa.array(2 * shard + half), *own.columns], names=["shard", "print", "rep"]))
-            return pa.concat_batches(parts)
+            sets = [np.unique(shingle_hashes(t or b"", words_in_shingle)).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
+            return pa.record_batch([batch.column("doc_id"), lists], names=["doc_id", "shingles"])
 
         return each
 
-    def linked(shard: pa.Table) -> pa.Table:
-        half = shard.column("shard")[0].as_py() % 2
-        reps = shard.column("rep").to_numpy()
-        order = np.argsort(reps, kind="stable")  # the smallest index is then the smallest doc_id
-        reps = reps[order]
-        roots = shard_links(shard.column("print").to_numpy()[order], half)
-        moved = np.flatnonzero(roots != np.arange(len(roots)))
-        return pa.table({"u": reps[moved], "v": reps[roots[moved]]})
+    return make
 
-    routed = arrow_map(distinct, router, "shard long, print long, rep long")
-    links = routed.groupBy("shard").applyInArrow(linked, "u long, v long")
-    links = scratch.write(links.filter("u != v"), "links")
-    found = components(links, scratch).withColumnRenamed("node", "rep")
-    classes = distinct.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    classes = scratch.write(classes, "classes")
-    hexed = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
-    return rows.join(classes, "print", "left").select("doc_id", hexed, "component_id")
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones it is 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return both / either if either else 1.0
+
+
+def _verifier(least: float):
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a, b = batch.column("a"), batch.column("b")
+            kept = [similarity(a[i].values.to_numpy(), b[i].values.to_numpy()) >= least for i in range(batch.num_rows)]
+            return batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+        return each
 
-def keep_representatives(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each component, in their own columns."""
-    found = near_duplicates(docs, words_in_shingle)
+    return make
+
+
+def similar_documents(docs: DataFrame, words_in_shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of documents whose shingle sets are similar.
+
+    Candidates are the spanning links of fingerprints over three words within
+    WIDE bits, for SIGNATURES fingerprints each, and documents with equal
+    prints.  Every one is verified: links have a Jaccard similarity of
+    ``words_in_shingle``-word shingles of at least ``least``.  Documents without
+    links are not returned.  Null texts count as empty, texts without words are
+    similar to each other; rows with a null doc_id link with nothing; rows that
+    repeat a doc_id are one document, of which one text is compared; empty
+    tables give no rows; further columns are ignored.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    rows = scratch.write(sign(light, 3, SIGNATURES), "rows")
+    distinct = scratch.write(rows.groupBy("signature", "print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
+    wide = print_links(distinct.drop("n"), WIDE, WIDE_PARTS, scratch)
+    equal = rows.join(distinct.filter("n > 1"), ["signature", "print"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    candidates = scratch.write(wide.unionAll(equal).filter("u != v").distinct(), "candidates")
+    named = scratch.write(candidates.select("u").unionAll(candidates.select("v")).distinct().withColumnRenamed("u", "doc_id"), "named")
+    sets = arrow_map(light.join(small(named, limit=SENT_IDS), "doc_id", "left_semi"), _shingler(words_in_shingle), "doc_id long, shingles array<long>", "text")
+    sets = scratch.write(sets.dropDuplicates(["doc_id"]), "sets")
+    first = candidates.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
+    both = first.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
+    links = scratch.write(arrow_map(both, _verifier(least), "u long, v long"), "verified")
+    return components(links, scratch).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")
+
+
+def keep_representatives(docs: DataFrame, words_in_shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document, the smallest doc_id, of each similar group, in their own columns."""
+    found = similar_documents(docs, words_in_shingle, least)
     scratch = Scratch(docs.sparkSession, "near")
-    gone = scratch.write(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    gone = scratch.write(found.filter("doc_id != component_id").select("doc_id"), "gone")
     return without(docs, gone, doc_id=F.col("doc_id").cast("long"))
 
 

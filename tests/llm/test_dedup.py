@@ -146,8 +146,47 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     got = {r["doc_id"]: r for r in simhash.near_duplicates(frame(spark, rows)).collect()}
     assert [int(got[i]["fingerprint"], 16) for i in range(len(rows))] == prints
     assert [got[i]["component_id"] for i in range(len(rows))] == root
-    kept = sorted(r["doc_id"] for r in simhash.keep_representatives(frame(spark, rows)).collect())
-    assert kept == sorted(set(root))
+
+
+def test_spanning_forest_has_least_distances():
+    rng = random.Random(3)
+    for _ in range(50):
+        links = [(u, v, rng.randrange(8)) for u in range(12) for v in range(u + 1, 12) if rng.random() < 0.3]
+        u, v, d = (np.array(x, np.int64) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 3
+        chosen = simhash.spanning(u, v, d)
+        for bound in range(8):  # the forest connects what the links up to any distance connect
+            want = brute_components(12, [(a, b) for a, b, c in links if c <= bound])
+            assert brute_components(12, [(int(u[i]), int(v[i])) for i in chosen if d[i] <= bound]) == want
+        assert len(chosen) == 12 - len(set(brute_components(12, [(a, b) for a, b, _ in links])))
+
+
+def test_similar_documents(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 30)
+    monkeypatch.setattr(simhash, "LEAF", 8)
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        base = text(rng, rng.choice([60, 200, 400]))
+        rows.append((len(rows), base))
+        for edits in ([], [1], [3], [1, 2, 20])[i % 4]:
+            words = base.split()
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows), None), (len(rows) + 1, " "), (len(rows) + 2, "one"), (len(rows) + 3, "ONE"), (None, rows[0][1])]
+    sets = []
+    for _, t in rows[:-1]:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: (len(a & b) / len(a | b) if a | b else 1) >= 0.8
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]
+    root = brute_components(len(sets), linked)
+    got = dict(simhash.similar_documents(frame(spark, rows)).collect())
+    found = sum(got.get(i, i) == root[i] for i in range(len(sets)) if root[i] != i)
+    assert found >= 0.9 * sum(root[i] != i for i in range(len(sets)))
+    assert all(root[i] == root[c] for i, c in got.items())
+    kept = [r["doc_id"] for r in simhash.keep_representatives(frame(spark, rows)).collect()]
+    assert set(range(len(sets))) - set(kept) == {i for i, c in got.items() if i != c} and None in kept
 
 
 def test_shard_tree_loses_no_pair():
