@@ -7,8 +7,7 @@ only) and from Python (with offsets, depths and links).
 
 from __future__ import annotations
 
-import re
-
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +15,8 @@ from ..schema import TEXT_CAP
 from .lexemes import Lexeme
 
 #: Comments, strings, numbers, words, and any other single visible character.
-PATTERN = r'<!--[\s\S]*?-->|"[^"]*"|[0-9]+(?:\.[0-9]+)?|[\p{L}_][\p{L}\p{N}_]*|[^\s\p{L}\p{N}_]|[\p{N}]'
-_PYTHON = re.compile(r'<!--[\s\S]*?-->|"[^"]*"|[0-9]+(?:\.[0-9]+)?|[^\W\d]\w*|[^\s\w]|\w')
+PATTERN = r'<!--[\s\S]*?-->|"[^"]*"|[0-9]+(?:\.[0-9]+)?|[\p{L}_][\p{L}\p{N}_]*|[^ \t-\r\p{L}\p{N}_]|[\p{N}]'
+_PYTHON = regex.compile(PATTERN)
 _BOOLS = ("true", "false")
 
 

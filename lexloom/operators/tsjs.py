@@ -140,7 +140,7 @@ class _Scanner:
     """Second pass: roles of brackets, names, functions and depths."""
 
     def __init__(self, text: str, language: str):
-        self.pieces = _split(text)
+        self.source, self.pieces = text, _split(text)
         self.typed = language == "typescript"
         #: Indexes of pieces that are no comments, and back.
         self.real = [i for i, p in enumerate(self.pieces) if p[2] not in ("comment", "hashbang")]
@@ -163,7 +163,7 @@ class _Scanner:
         before = self.word(k - 1)
         if k and self.kinds[k - 1] != "punct":
             return before in ("export", "default", "declare", "async", "else", "do") or before not in _EXPRESSION_WORDS
-        return before not in _BEFORE_EXPRESSION or before == ":" and False
+        return before not in _BEFORE_EXPRESSION
 
     def generic_end(self, k: int) -> int:
         """Behind the type parameters at ``k``, or ``k`` itself."""
@@ -179,14 +179,13 @@ class _Scanner:
         return k
 
     def scan(self) -> list[Lexeme]:
-        frames: list[dict] = [{"role": "block", "curly": 0, "round": 0, "bracket": 0, "function": "", "type": False, "decl": False, "mark": 0}]
+        frames: list[dict] = [{"role": "block", "curly": 0, "round": 0, "bracket": 0, "function": "", "type": False, "decl": False}]
         #: (role of the next "{", its function name) that a head has announced.
         pending: dict[int, tuple[str, str]] = {}
         functions: list[tuple[int, int, str]] = self._named_functions(pending)
         spans = iter(functions)
         active: list[tuple[int, str]] = []
         following = next(spans, None)
-        at = 0
         names: dict[int, str] = {}
         for k in range(len(self.words)):
             while active and active[-1][0] <= k:
@@ -349,21 +348,19 @@ class _Scanner:
     def _has_newline(self, a: int, b: int) -> bool:
         return "\n" in self.source[a:b]
 
-    source = ""
-
     # -- brackets -------------------------------------------------------
 
     def _open(self, k: int, frame: dict, pending) -> dict:
         w, before = self.words[k], self.word(k - 1)
         before_kind = self.kinds[k - 1] if k else ""
         value_ended = before_kind in ("word", "private", "string", "template", "number") and before not in KEYWORDS - {"async"} or before_kind == "punct" and before in (")", "]")
-        new = {**frame, "at": k, "type": False, "decl": False, "member": True, "mark": k, "ternary": 0}
+        new = {**frame, "at": k, "type": False, "decl": False, "ternary": 0, "angles": 0}
         role = pending.get(k, ("", ""))[0]
         if w == "(":
             if not role:
                 if before in ("for", "catch") or before == "await" and self.word(k - 2) == "for":
                     role = "head"
-                elif self._arrow_params(k):
+                elif self._arrow_params(k) or frame["role"] == "interface" and not frame["type"]:
                     role = "params"
                 elif before in ("import", "super") or value_ended or before == ">":
                     role = "arguments"
@@ -434,6 +431,11 @@ class _Scanner:
         """Keep track of declarations, conditionals and type positions."""
         if opened or lexical not in ("punct", "word"):
             return
+        if frame["type"] and w in ("<", ">", ">>", ">>>"):
+            frame["angles"] = max(0, frame.get("angles", 0) + (1 if w == "<" else -len(w)))
+            return
+        if frame["type"] and frame.get("angles") and w in (",", "=", "?", ":"):
+            return
         if w in ("const", "let", "var"):
             frame["decl"], frame["type"] = True, False
         elif w == "?" and self.word(k + 1) not in (":", ".", ")", ",", ";") and not frame["type"]:
@@ -448,7 +450,7 @@ class _Scanner:
         elif self.typed and w in ("as", "satisfies", "implements", "is", "keyof") and lexical == "word" and self.kinds[k - 1] != "punct":
             frame["type"] = True
         elif self.typed and w == "type" and self.is_name(k + 1) and self.word(k + 2) in ("=", "<"):
-            frame["mark"], frame["alias"] = k, True
+            frame["alias"] = True
         elif w == "=":
             frame["type"] = bool(frame.pop("alias", False))
             frame["decl"] = False
@@ -465,6 +467,10 @@ class _Scanner:
 
     def _declares(self, open_paren: int) -> bool:
         j = open_paren - 1
+        if self.word(j) == ">":  # type parameters
+            while j > 0 and self.word(j) != "<":
+                j -= 1
+            j -= 1
         return self.word(j) == "function" or self.word(j - 1) in ("function", "*") or self.kinds[j : j + 1] == ["word"]
 
     def _classify(self, k: int, lexical: str, w: str, frame: dict) -> tuple[str, str, bool]:
@@ -563,13 +569,9 @@ class _Scanner:
             return (self.is_name(k + 1) or w == "declare" or w == "type" and after == "{" and before in ("import", "export")) and self.word(k + 1) not in ("in", "of", "instanceof")
         if w == "implements":
             return self.is_name(k + 1)
-        return w in ("get", "set", "static") and False
+        return False
 
 
 def scan(text: str, language: str) -> list[Lexeme]:
     """Lexemes of a source text; an empty text is one empty leaf, its root."""
-    scanner = _Scanner.__new__(_Scanner)
-    scanner.source = text
-    scanner.__init__(text, language)
-    out = scanner.scan()
-    return out or [Lexeme(0, 0, "", "program", "other", True)]
+    return _Scanner(text, language).scan() or [Lexeme(0, 0, "", "program", "other", True)]

@@ -14,7 +14,7 @@ rule NO_CONSOLE (warning) {
   lang typescript, javascript
   desc "Console calls bypass the project's logger."
   message "Call the logger instead."
-  sequence { "console" "." any "(" any * }
+  sequence { "console" "." any ["("] any * }
 }
 
 rule NO_LOOSE_EQUALITY {
@@ -57,7 +57,7 @@ rules:
         - attrs: {text: console}
         - attrs: {text: "."}
         - attrs: {}
-        - attrs: {text: "("}
+        - alt: [[{attrs: {text: "("}}]]
         - attrs: {}
           quant: zero_or_more
   - id: NO_LOOSE_EQUALITY
