@@ -12,7 +12,7 @@ from .operators import text_lexer
 from .operators.aggregate import summary
 from .operators.lexing import language_column
 from .plans.engine import Context, check_tokens, primary_findings
-from .rules.compile import load_dsl
+from .rules.compile import load_dsl, load_yaml
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,8 +87,12 @@ for _name in _CORPORA:
     )
 _register(
     "tok_cap",
-    lambda s, d: _light("pages")(s, d).filter("text_len > 100").select("file", "pos", "text", F.length("text").alias("n_chars")),
-    _tokens_sql("pages") + "SELECT file, pos, text, CAST(length(text) AS INTEGER) AS n_chars FROM t WHERE strlen(raw) > 100",
+    # Each text as one string literal, whose token is cut after 120 characters.
+    lambda s, d: text_lexer.light_tokens(
+        corpora.docs(s, d).select("file", F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit("_")), F.lit('"')).alias("text"))
+    ).select("file", "pos", "class", "text", "text_len"),
+    f"""SELECT file, CAST(0 AS INTEGER) AS pos, 'str' AS class, CASE WHEN length(q) > 120 THEN substr(q, 1, 120) || '…' ELSE q END AS text,
+CAST(strlen(q) AS BIGINT) AS text_len FROM (SELECT file, '"' || replace(text, '"', '_') || '"' AS q FROM ({_FILES["docs"]}))""",
 )
 _register(
     "tok_language",
@@ -135,9 +139,9 @@ _TOKENS: dict[str, Query] = {
 RULES: dict[str, tuple[str, str]] = {}
 
 
-def _findings(corpus: str, text: str, context: Context | None = None) -> Query:
+def _findings(corpus: str, text: str, context: Context | None = None, load=load_dsl) -> Query:
     """Findings with their positions, of one rule or more."""
-    rules, _ = load_dsl(text)
+    rules, _ = load(text)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = primary_findings(_TOKENS[corpus](spark, sf_dir), rules, context or Context())
@@ -208,6 +212,31 @@ _rule("q_backref", "code", "sequence in scope { x:@num any * :x any * }", "", _B
 _rule("q_self_call", "code", 'sequence in scope { f:@ident "(" any ")" ";" :f any * }', "", _BLOCKS + _AROUND + ", n AS (SELECT *, lead(text) OVER w AS n1, lead(text, 3) OVER w AS n3, lead(text, 4) OVER w AS n4, lead(text, 5) OVER w AS n5 FROM i WINDOW w AS (PARTITION BY file, open ORDER BY pos)) SELECT DISTINCT 'R' AS rule_id, file, pos, text FROM n WHERE text IN ('acquire', 'release') AND n1 = '(' AND n3 = ')' AND n4 = ';' AND n5 = text")
 _rule("q_balanced", "code", 'sequence in scope { debugger ";" "{" any * "}" any * }', "", _BLOCKS + _AROUND + ", n AS (SELECT *, lead(text) OVER w AS n1, lead(text, 2) OVER w AS n2 FROM i WINDOW w AS (PARTITION BY file, open ORDER BY pos)) SELECT DISTINCT 'R' AS rule_id, file, pos, text FROM n WHERE text = 'debugger' AND n1 = ';' AND n2 = '{'")
 
+_DIFFERS = """
+rules:
+  - id: R
+    severity: error
+    match_sequence:
+      anchor: {within: ScopeStart..ScopeEnd}
+      steps:
+        - {attrs: {class: ident}, bind: {f: text, k: node_kind}}
+        - {alt: [[{attrs: {text: "("}}]]}
+        - {attrs: {class: num}}
+        - {attrs: {class: symbol}, quant: one_or_more}
+        - {attrs: {text.ne_ref: f, node_kind.eq_ref: k}}
+        - {attrs: {}, quant: zero_or_more}
+"""
+_register(
+    "q_differs",
+    _findings("code", _DIFFERS, load=load_yaml),
+    _CODE
+    + _BLOCKS
+    + _AROUND
+    + ", n AS (SELECT *, lead(text) OVER w AS n1, lead(text, 3) OVER w AS n3, lead(text, 4) OVER w AS n4, lead(text, 5) OVER w AS n5, lead(text, 6) OVER w AS n6, lead(text, 7) OVER w AS n7 FROM i WINDOW w AS (PARTITION BY file, open ORDER BY pos)) "
+    "SELECT DISTINCT 'R' AS rule_id, file, pos, text FROM n WHERE text IN ('acquire', 'release') AND n1 = '(' "
+    "AND CASE WHEN n5 IN ('acquire', 'release') THEN n5 WHEN n5 IN ('{', '}') AND n6 IN ('acquire', 'release') THEN n6 WHEN n5 = '}' AND n6 = '{' AND n7 IN ('acquire', 'release') THEN n7 END <> text",
+)
+
 # -- rules over findings ----------------------------------------------------
 
 

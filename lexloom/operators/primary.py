@@ -40,28 +40,36 @@ def plain_matches(tokens: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame
 def scoped_matches(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     """A ``match`` whose clauses look at the innermost enclosing block.
 
-    Clause tokens are counted per enclosing block, at every depth; a target
-    looks up its own block and leaves itself out.  Braces belong to the block
+    Clause tokens are dealt to every block around them, targets to their
+    innermost one, in one pass and one exchange; windows over a block count its
+    clause tokens, and a target leaves itself out.  Braces belong to the block
     around them, and a file is its own outermost block.
     """
     clauses = [(kind, conjunction(preds)) for kind, preds in rule.where]
-    inside = tokens.filter(applies(rule) & reduce(or_, (c for _, c in clauses)))
-    inside = inside.select("file", "pos", F.explode("block_path").alias("open"), *(c.alias(f"c{i}") for i, (_, c) in enumerate(clauses)))
-    sums = [
-        agg
-        for i in range(len(clauses))
-        for agg in (F.count_if(F.col(f"c{i}")).alias(f"n{i}"), F.max(F.when(F.col(f"c{i}"), F.col("pos"))).alias(f"last{i}"))
-    ]
-    blocks = inside.groupBy("file", "open").agg(*sums)
-    own = [c.alias(f"self{i}") for i, (_, c) in enumerate(clauses)]
-    targets = tokens.filter(applies(rule) & conjunction(rule.match)).select(*PAYLOAD, F.element_at("block_path", -1).alias("open"), *own)
-    joined = targets.join(blocks, ["file", "open"], "left")
+    some, target = reduce(or_, (c for _, c in clauses)), conjunction(rule.match)
+    own = [c.alias(f"c{i}") for i, (_, c) in enumerate(clauses)]
+    df = tokens.filter(applies(rule) & (some | target)).select(*PAYLOAD, "block_path", some.alias("_some"), target.alias("_target"), *own)
+    entry = lambda open_, is_target: F.struct(open_.alias("open"), F.lit(is_target).alias("target"))
+    around = F.transform("block_path", lambda b: entry(b, False))
+    inner = F.array(entry(F.element_at("block_path", -1), True))
+    none = F.slice(around, 1, 0)
+    entries = F.concat(F.when(F.col("_some"), around).otherwise(none), F.when(F.col("_target"), inner).otherwise(none))
+    flags = [f"c{i}" for i in range(len(clauses))]
+    rows = df.select(*PAYLOAD, *flags, F.explode(entries).alias("_at"))
+    is_target = F.col("_at.target")
+    # Only targets need more than their place.
+    carried = [F.when(is_target, F.col(c)).alias(c) for c in PAYLOAD if c not in ("file", "pos")]
+    rows = rows.select("file", "pos", F.col("_at.open").alias("open"), is_target.alias("target"), *flags, *carried)
+    block = Window.partitionBy("file", "open")
+    for i in range(len(clauses)):
+        inside = F.when(F.col(f"c{i}") & ~F.col("target"), F.col("pos"))
+        rows = rows.withColumn(f"n{i}", F.count(inside).over(block)).withColumn(f"last{i}", F.max(inside).over(block))
     tests = []
     for i, (kind, _) in enumerate(clauses):
-        others = F.coalesce(F.col(f"n{i}"), F.lit(0)) - F.col(f"self{i}").cast("int") > 0
+        others = F.col(f"n{i}") - F.col(f"c{i}").cast("int") > 0
         after = F.coalesce(F.col(f"last{i}") > F.col("pos"), F.lit(False))
         tests.append({"contains": others, "not_contains": ~others, "followed_by": after}[kind])
-    return _finding(joined.filter(reduce(lambda a, b: a & b, tests)), index)
+    return _finding(rows.filter(F.col("target") & reduce(lambda a, b: a & b, tests)), index)
 
 
 def regions(tokens: DataFrame, rule: Rule, columns: list) -> DataFrame:
@@ -114,7 +122,8 @@ def _useful_blocks(df: DataFrame, steps) -> DataFrame:
     needed = [i for i, s in enumerate(steps) if s.quant == "one" and not s.negate and any(s.alternatives)]
     if not needed:
         return df
-    block = Window.partitionBy("file", "open")
+    # The sequence's own order, so that its sort serves both.
+    block = Window.partitionBy("file", "open").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for i in needed:
         df = df.withColumn(f"some{i}", F.max(f"a{i}").over(block))
     return df.filter(reduce(lambda a, b: a & b, (F.col(f"some{i}") for i in needed))).drop(*(f"some{i}" for i in needed))

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.predicates import conjunction, token_field
 from ..rules.ast import Rule, Step
-from .primary import PAYLOAD, _finding, first_region, regions
+from .primary import PAYLOAD, _finding, first_region, regions, window_sequences
 
 
 class Matcher:
@@ -112,35 +113,21 @@ def searched_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     known = [f for f in fields if token_field(f) is not None]
     columns = [*PAYLOAD, "jmp", mask.alias("_mask"), *(token_field(f).cast("string").alias(f"_v_{f}") for f in known)]
     df = regions(tokens, rule, columns)
-    schema = "open int, file string, pos int"
 
     def search(region: pa.Table) -> pa.Table:
         region = region.sort_by("pos")
-        pos = region.column("pos").to_pylist()
-        index_of = {p: i for i, p in enumerate(pos)}
+        index_of = {p: i for i, p in enumerate(region.column("pos").to_pylist())}
         partners = [index_of.get(j) if j is not None else None for j in region.column("jmp").to_pylist()]
-        values = {f: region.column(f"_v_{f}").to_pylist() if f in known else [None] * len(pos) for f in fields}
+        values = {f: region.column(f"_v_{f}").to_pylist() if f in known else [None] * len(index_of) for f in fields}
         found = matcher.starts(region.column("_mask").to_pylist(), values, partners)
-        n = len(found)
-        return pa.table(
-            {
-                "open": pa.array([region.column("open")[0].as_py()] * n, pa.int32()),
-                "file": pa.array([region.column("file")[0].as_py()] * n, pa.string()),
-                "pos": pa.array([pos[i] for i in found], pa.int32()),
-            }
-        )
-
-    needed = df.select("open", "file", "pos", "jmp", "_mask", *(f"_v_{f}" for f in known))
-    anchors = needed.groupBy("file", "open").applyInArrow(search, schema)
-    if rule.in_scope:
-        anchors = anchors.groupBy("file", "pos").agg(F.min("open").alias("open"))
-    return _finding(tokens.join(anchors, ["file", "pos"]), index, F.col("open"))
+        return region.select(["open", *PAYLOAD]).take(pa.array(found, pa.int64()))
+
+    found = df.groupBy("file", "open").applyInArrow(search, df.select("open", *PAYLOAD).schema)
+    return _finding(first_region(found, rule), index, F.col("open"))
 
 
 def sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     """The cheapest plan that a sequence rule allows."""
-    from .primary import window_sequences
-
     repeat = repeated_later(rule)
     if repeat is not None:
         return _repeats(tokens, index, rule, repeat)
@@ -169,7 +156,6 @@ def repeated_later(rule: Rule):
 def _repeats(tokens: DataFrame, index: int, rule: Rule, preds) -> DataFrame:
     """A bound text that occurs again: the last position of each text in its region."""
     df = regions(tokens, rule, [*PAYLOAD, conjunction(preds).alias("_first")])
-    last = df.groupBy("file", "open", "text").agg(F.max("pos").alias("_last"), F.max("_first").alias("_some"))
-    last = last.filter("_some").drop("_some")
-    found = df.filter("_first").join(last, ["file", "open", "text"]).filter(F.col("_last") > F.col("pos"))
+    last = F.max("pos").over(Window.partitionBy("file", "open", "text"))
+    found = df.withColumn("_last", last).filter(F.col("_first") & (F.col("_last") > F.col("pos")))
     return _finding(first_region(found, rule), index, F.col("open"))
