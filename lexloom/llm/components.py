@@ -81,16 +81,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     split, so a hub costs no more than its links.
     """
     now = scratch.write(contract(links), "links-0")
+    size = 2 * now.count()
     mark = None
     for turn in range(1, 60):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.write(large.distinct(), f"large-{turn}")
+        large = scratch.write(large.distinct(), f"large-{turn}", size)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = scratch.write(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), f"links-{turn}")
+        now = scratch.write(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), f"links-{turn}", size)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"large-{turn}")
         scratch.drop(f"links-{turn - 1}")
@@ -100,4 +101,4 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     # A fixed point is a star around every smallest node.
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     hubs = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return scratch.write(found.unionAll(hubs), "components")
+    return found.unionAll(hubs)

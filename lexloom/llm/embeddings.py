@@ -174,8 +174,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 29) ->
     window = WIDTH * math.sqrt(2 - 2 * cosine)
     cutting, counting = lines(dimension, seed)
     shards = min(MAX_SHARDS, max(1, total // SHARD_ROWS))
-    sample = classes.select("e").orderBy(F.xxhash64("h", F.lit(seed))).limit(min(SAMPLE, 64 * shards)).collect() if shards > 1 else []
-    values = unit(np.array([r[0] for r in sample], np.float64)) @ cutting.T if sample else np.zeros((0, LEVELS))
+    sample = classes.select("e").orderBy(F.xxhash64("h", F.lit(seed))).limit(min(SAMPLE, 64 * shards)) if shards > 1 else None
+    values = np.zeros((0, LEVELS))
+    if sample is not None:  # bounded: SAMPLE vectors at most
+        drawn = sample.toArrow().column(0).combine_chunks().flatten().to_numpy()
+        values = unit(drawn.reshape(-1, dimension)) @ cutting.T
     tree = spark.sparkContext.broadcast(grow(values, shards, window))
     # Shards whose home is crowded, as the sample has it, are compared in several tasks.
     home = route(values, tree.value, window) if len(values) else (None, np.zeros(0, np.int64), np.zeros(0, bool))
@@ -223,7 +226,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 29) ->
         .join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
         .select("h", "g", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
-    joined = rows.select("vec_id", "h", "g").join(scratch.write(known, "known"), ["h", "g"], "left")
+    joined = rows.select("vec_id", "h", "g").join(scratch.write(known, "known", total), ["h", "g"], "left")
     component = F.coalesce("component", "vec_id")
     return joined.select(
         "vec_id",
@@ -236,3 +239,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 29) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: all rows of ``embeddings``, whatever their labels."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs and their closure: for small tables only.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS u, vec_id AS c FROM embeddings UNION SELECT l.u, r.c FROM l JOIN r ON l.w = r.u),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT r.u AS vec_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_links, min(r.c) AS component_id, r.u = min(r.c) AS kept
+FROM r LEFT JOIN n ON n.u = r.u GROUP BY r.u
+"""

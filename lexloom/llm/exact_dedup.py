@@ -148,15 +148,21 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
     doc_id is kept only where nothing else can be.  Empty tables give no rows;
     further columns are ignored.
     """
+    return _decided(docs)[0]
+
+
+def _decided(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The result of ``dedup_exact``, and the number of rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     rows = scratch.write(digests(docs), "digests")
-    bits = shard_bits(rows.count(), shuffle_partitions(spark))
-    often = scratch.write(repeated_prints(rows.select("print"), bits), "often")
-    groups = scratch.write(verified_groups(docs, often), "groups")
+    n = rows.count()
+    bits = shard_bits(n, shuffle_partitions(spark))
+    often = scratch.write(repeated_prints(rows.select("print"), bits), "often", n)
+    groups = scratch.write(verified_groups(docs, often), "groups", n)
     joined = rows.join(small(groups), ["print", "sha"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select(
+    decided = joined.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -164,13 +170,14 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
         F.lower(F.hex("sha")).alias("text_sha256"),
         "raw",
     )
+    return decided, n
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``dedup_exact`` drops, in their own columns."""
-    decided = dedup_exact(docs)
+    decided, n = _decided(docs)
     scratch = Scratch(docs.sparkSession, "dropped")
-    dropped = scratch.write(decided.filter(~F.col("kept")).select("doc_id", "raw").distinct(), "rows")
+    dropped = scratch.write(decided.filter(~F.col("kept")).select("doc_id", "raw").distinct(), "rows", n)
     out = without(docs, dropped, doc_id=F.col("doc_id").cast("long"), raw=F.xxhash64("text"))
     again = decided.filter("kept and group_size > 1").groupBy("doc_id", "raw").count().filter("count > 1")
     if not again.isEmpty():  # rows that repeat doc_id and text: one of each stays

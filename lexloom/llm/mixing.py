@@ -86,9 +86,10 @@ def mixture(docs: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     rows = scratch.write(keyed(docs.select("doc_id", "text", "source"), seed).drop("row"), "rows")
-    buckets = bucket_count(rows.count(), 4 * shuffle_partitions(spark))
+    n = rows.count()
+    buckets = bucket_count(n, 4 * shuffle_partitions(spark))
     rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
-    sums = scratch.write(rows.groupBy("src", "bucket").agg(F.sum("size").alias("size")), "sums")
+    sums = scratch.write(rows.groupBy("src", "bucket").agg(F.sum("size").alias("size")), "sums", n)
     plan = targets(sums.groupBy("src").agg(F.sum("size").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST)))
     plan = plan.withColumn("epochs", F.coalesce(epochs, F.lit(0)).cast("long"))

@@ -201,7 +201,7 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = Non
     scratch = Scratch(spark, "pack")
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = scratch.write(arrow_map(light, _cutter(json_path, ranks_path, window), PIECES, "text"), "pieces")
-    counts = scratch.write(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = scratch.write(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "counts", pieces.count())
     # At most ``window`` rows reach the driver.
     histogram = dict(counts.groupBy("length").agg(F.sum("n")).collect())
     histogram.pop(window, None)

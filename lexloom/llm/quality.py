@@ -164,8 +164,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     lowest counts; rows that repeat are scored alike; empty tables give no rows;
     further columns are ignored.
     """
-    spark = docs.sparkSession
-    described = Scratch(spark, "quality").write(describe(docs), "described")
+    return _scored(docs, labels, train_rows)[0]
+
+
+def _scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, int]:
+    """The result of ``score_quality``, and the number of rows."""
+    described = Scratch(docs.sparkSession, "quality").write(describe(docs), "described")
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.filter(~held_out())
     # Bounded by train_rows: a top-n by hash, of which the driver gets some 200 bytes a row.
@@ -182,14 +186,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
         return each
 
     marked = described.select("doc_id", "raw", held_out().alias("held_out"), "x")
-    return arrow_map(marked, scorer, "doc_id long, raw long, held_out boolean, score double")
+    return arrow_map(marked, scorer, "doc_id long, raw long, held_out boolean, score double"), described.count()
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that score below GOOD, in their own columns."""
     scratch = Scratch(docs.sparkSession, "rejected")
-    bad = score_quality(docs, labels).filter(F.col("score") < GOOD)
-    bad = scratch.write(bad.select("doc_id", "raw").distinct(), "rows")
+    scored, n = _scored(docs, labels)
+    bad = scored.filter(F.col("score") < GOOD)
+    bad = scratch.write(bad.select("doc_id", "raw").distinct(), "rows", n)
     return without(docs, bad, doc_id=F.col("doc_id").cast("long"), raw=F.xxhash64("text"))
 
 

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixing": mixing.query,
 }
 
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op7_embeddings": embeddings.ORACLE}

@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a file, and files of a table, that are worth a task, where the number of rows is bounded.
+FILE_ROWS, LEAST_FILES = 50_000, 12
 #: Rows that may be broadcast; callers keep them to about a hundred bytes each.
 BROADCAST_ROWS = 200_000
 
@@ -47,8 +49,11 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, df: DataFrame, table: str) -> DataFrame:
+    def write(self, df: DataFrame, table: str, rows: int | None = None) -> DataFrame:
+        """Write and reread ``df``; where a bound on its rows is known, not in more files than they fill."""
         path = self.path(table)
+        if rows is not None:
+            df = df.coalesce(max(LEAST_FILES, rows // FILE_ROWS))
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

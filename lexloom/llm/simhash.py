@@ -37,10 +37,10 @@ SEED = 42
 NEAR = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Fingerprints, of one half, that the shard trees are grown on at most.
-SAMPLE = 100_000
+SAMPLE = 500_000
 #: Fingerprints of a shard, while there are no more than MAX_SHARDS of them.
 SHARD_ROWS = 4096
-MAX_SHARDS = 4096
+MAX_SHARDS = 32_768
 #: Fingerprints that are compared without further splits.
 LEAF = 384
 
@@ -204,8 +204,8 @@ def shard_links(prints: np.ndarray, part: int, parts: int, near: int) -> tuple[n
             continue
         for at in range(0, len(own), LEAF):  # the rows of a leaf in blocks, against the later ones
             block = own[at : at + LEAF]
-            for to in range(at, len(own), 4096):
-                later = own[to : to + 4096]
+            for to in range(at, len(own), 1024):
+                later = own[to : to + 1024]
                 distance = np.bitwise_count(wide[block][:, None] ^ wide[later][None, :])
                 a, b = np.nonzero(distance <= near)
                 links = np.stack([block[a], later[b], distance[a, b]]).astype(np.int64)
@@ -237,7 +237,7 @@ def print_links(distinct: DataFrame, near: int, parts: int, scratch: Scratch) ->
     sampled = np.zeros(0, np.int64)
     if shards > 1:
         sample = distinct.filter("signature = 0").select("print").orderBy(F.xxhash64("print")).limit(min(SAMPLE, 64 * shards))
-        sampled = np.array([r[0] for r in sample.collect()], np.int64)
+        sampled = sample.toArrow().column(0).to_numpy()
     trees = [grow(part_of(sampled, p, parts), shards, reach) if shards > 1 else [] for p in range(parts)]
     trees = spark.sparkContext.broadcast(trees)
 
@@ -262,7 +262,7 @@ def print_links(distinct: DataFrame, near: int, parts: int, scratch: Scratch) ->
 
     routed = arrow_map(distinct, router, "shard long, print long, rep long")
     links = routed.groupBy("shard").applyInArrow(linked, "u long, v long").filter("u != v")
-    return scratch.write(links, "links")
+    return scratch.write(links, "links", 8 * distinct.count())
 
 
 def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
@@ -279,10 +279,10 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     scratch = Scratch(spark, "simhash")
     rows = scratch.write(sign(docs, words_in_shingle), "rows")
     distinct = rows.groupBy("signature", "print").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    distinct = scratch.write(distinct, "distinct")
+    distinct = scratch.write(distinct, "distinct", rows.count())
     found = components(print_links(distinct, NEAR, 2, scratch), scratch).withColumnRenamed("node", "rep")
     classes = distinct.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    classes = scratch.write(classes, "classes")
+    classes = scratch.write(classes, "classes", rows.count())
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
     return rows.join(classes, "print", "left").select("doc_id", hexed, "component_id")
 
@@ -337,28 +337,34 @@ def similar_documents(docs: DataFrame, words_in_shingle: int = 5, least: float =
     repeat a doc_id are one document, of which one text is compared; empty
     tables give no rows; further columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "similar")
+    return _similar(docs, words_in_shingle, least)[0]
+
+
+def _similar(docs: DataFrame, words_in_shingle: int, least: float) -> tuple[DataFrame, int]:
+    """The result of ``similar_documents``, and a bound on its rows."""
+    scratch = Scratch(docs.sparkSession, "similar")
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     rows = scratch.write(sign(light, 3, SIGNATURES), "rows")
-    distinct = scratch.write(rows.groupBy("signature", "print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
+    n = rows.count()
+    distinct = rows.groupBy("signature", "print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    distinct = scratch.write(distinct, "distinct", n)
     wide = print_links(distinct.drop("n"), WIDE, WIDE_PARTS, scratch)
     equal = rows.join(distinct.filter("n > 1"), ["signature", "print"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    candidates = scratch.write(wide.unionAll(equal).filter("u != v").distinct(), "candidates")
-    named = scratch.write(candidates.select("u").unionAll(candidates.select("v")).distinct().withColumnRenamed("u", "doc_id"), "named")
+    candidates = scratch.write(wide.unionAll(equal).filter("u != v").distinct(), "candidates", n)
+    named = scratch.write(candidates.select("u").unionAll(candidates.select("v")).distinct().withColumnRenamed("u", "doc_id"), "named", n)
     sets = arrow_map(light.join(small(named, limit=SENT_IDS), "doc_id", "left_semi"), _shingler(words_in_shingle), "doc_id long, shingles array<long>", "text")
-    sets = scratch.write(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = scratch.write(sets.dropDuplicates(["doc_id"]), "sets", 20 * n)  # rows hold whole texts' shingles
     first = candidates.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
     both = first.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
-    links = scratch.write(arrow_map(both, _verifier(least), "u long, v long"), "verified")
-    return components(links, scratch).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")
+    links = scratch.write(arrow_map(both, _verifier(least), "u long, v long"), "verified", 8 * n)
+    return components(links, scratch).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id"), n
 
 
 def keep_representatives(docs: DataFrame, words_in_shingle: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one document, the smallest doc_id, of each similar group, in their own columns."""
-    found = similar_documents(docs, words_in_shingle, least)
+    found, n = _similar(docs, words_in_shingle, least)
     scratch = Scratch(docs.sparkSession, "near")
-    gone = scratch.write(found.filter("doc_id != component_id").select("doc_id"), "gone")
+    gone = scratch.write(found.filter("doc_id != component_id").select("doc_id"), "gone", n)
     return without(docs, gone, doc_id=F.col("doc_id").cast("long"))
 
 

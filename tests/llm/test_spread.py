@@ -176,3 +176,37 @@ def test_pipeline(spark, tables):
         before = docs.count()
     out = corpus_pipeline.run(spark, tables)
     assert out.count() >= out.select("doc_id").distinct().count() > 0
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (None, "a b c"), (1, None), (1, None), (2, ""), (2, "x y z"), (2, "x y z"), (3, "x  y z"), (4, "long " * 30_000), (5, "long " * 30_000 + "er")]])
+def test_stages_on_odd_rows(spark, tables, rows):
+    import corpus_pipeline
+
+    extra = ", row string, raw long, src string, key double, shingles string, print long, u long, component_id long, times int, x string"
+    docs = frame(spark, rows, SCHEMA + extra)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, tables)
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        assert out.count() <= 3 * len(rows) + 400, name
+    if rows:
+        exact = corpus_pipeline.STAGES[1][1](spark, docs, tables).collect()
+        assert len({(r["text"] or "").replace(" ", "") for r in exact}) == len(exact) == 5
+        near = corpus_pipeline.STAGES[2][1](spark, docs, tables)
+        assert near.filter("doc_id = 4").count() == 1
+
+
+def test_pipeline_stages_take_effect(spark):
+    """Every stage's decisions on the small tables, against brute force where there is one."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    good = {r["doc_id"] for r in corpus_pipeline.good(spark, docs, sf).collect()}
+    wrong = [d for d, q in labels.items() if (d in good) != (q == 1)]
+    assert len(wrong) <= 0.02 * len(labels)
+    distinct = corpus_pipeline.distinct(spark, docs, sf).collect()
+    bare = lambda t: "".join(c for c in t if c not in " \t\n\x0b\x0c\r")
+    everything = {bare(r["text"]) for r in docs.collect()}
+    assert len(distinct) == len(everything) == len({bare(r["text"]) for r in distinct})
