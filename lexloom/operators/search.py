@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,7 +58,40 @@ class Matcher:
 
     def starts(self, masks: list[int], values: dict[str, list], partners: list[int | None]) -> list[int]:
         known: dict = {}  # states that were tried, and whether they led to the end
-        return [p for p in range(len(masks)) if self._match(p, masks, values, partners, known)]
+        return [p for p in self.possible(masks) if self._match(p, masks, values, partners, known)]
+
+    def possible(self, masks: list[int]) -> list[int]:
+        """Positions that the first step may take, if it must take one."""
+        if not self.steps:
+            return []
+        first = self.steps[0]
+        if first.quant != "one" or first.negate:
+            return list(range(len(masks)))
+        bits = self._bits(0)
+        return [p for p, m in enumerate(masks) if m & bits]
+
+    def _bits(self, s: int) -> int:
+        return sum(1 << b for b in self.bits[s])
+
+    def search(self, masks: np.ndarray, starts: np.ndarray, column, known: list[str]) -> list[int]:
+        """Rows at which a match starts, over many regions at once.
+
+        Regions without any lexeme for a step that needs one are passed over.
+        ``column`` gives the values of a column between two rows.
+        """
+        some = np.bitwise_or.reduceat(masks, starts)
+        useful = np.ones(len(starts), bool)
+        for s, step in enumerate(self.steps):
+            if step.quant == "one" and not step.negate:
+                useful &= (some & self._bits(s)) != 0
+        ends, out = np.append(starts[1:], len(masks)), []
+        for a, b in zip(starts[useful].tolist(), ends[useful].tolist()):
+            pos = column("pos", a, b)
+            index_of = {p: i for i, p in enumerate(pos)}
+            partners = [index_of.get(j) if j is not None else None for j in column("jmp", a, b)]
+            values = {f: column(f"_v_{f}", a, b) if f in known else [None] * len(pos) for f in self.fields}
+            out += [a + i for i in self.starts(masks[a:b].tolist(), values, partners)]
+        return out
 
     def _match(self, start: int, masks, values, partners, known: dict) -> bool:
         steps, n = self.steps, len(masks)
@@ -114,16 +149,37 @@ def searched_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     columns = [*PAYLOAD, "jmp", mask.alias("_mask"), *(token_field(f).cast("string").alias(f"_v_{f}") for f in known)]
     df = regions(tokens, rule, columns)
 
-    def search(region: pa.Table) -> pa.Table:
-        region = region.sort_by("pos")
-        index_of = {p: i for i, p in enumerate(region.column("pos").to_pylist())}
-        partners = [index_of.get(j) if j is not None else None for j in region.column("jmp").to_pylist()]
-        values = {f: region.column(f"_v_{f}").to_pylist() if f in known else [None] * len(index_of) for f in fields}
-        found = matcher.starts(region.column("_mask").to_pylist(), values, partners)
-        return region.select(["open", *PAYLOAD]).take(pa.array(found, pa.int64()))
-
-    found = df.groupBy("file", "open").applyInArrow(search, df.select("open", *PAYLOAD).schema)
-    return _finding(first_region(found, rule), index, F.col("open"))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the region that a batch breaks off
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            starts = _region_starts(rows)
+            held = rows.slice(starts[-1])
+            yield from found(rows.slice(0, starts[-1]), starts[:-1])
+        if held is not None:
+            yield from found(held, np.zeros(1, np.int64))
+
+    def found(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows == 0:
+            return
+        hits = matcher.search(rows.column("_mask").to_numpy(), starts, lambda name, a, b: rows.column(name).slice(a, b - a).to_pylist(), known)
+        if hits:
+            yield from rows.select(["open", *PAYLOAD]).take(pa.array(hits, pa.int64())).combine_chunks().to_batches()
+
+    ordered = df.repartition("file", "open").sortWithinPartitions("file", "open", "pos")
+    hits = ordered.mapInArrow(search, df.select("open", *PAYLOAD).schema)
+    return _finding(first_region(hits, rule), index, F.col("open"))
+
+
+def _region_starts(rows: pa.Table) -> np.ndarray:
+    """Where a region begins in rows sorted by file and opener."""
+    new = np.ones(rows.num_rows, bool)
+    for name in ("file", "open"):
+        column = rows.column(name).combine_chunks()
+        differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        new[1:] = differs if name == "file" else new[1:] | differs
+    return np.flatnonzero(new)
 
 
 def sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
