@@ -258,3 +258,17 @@ def test_passages(spark):
     cut = {r["doc_id"]: r["text"] for r in substring.without_passages(frame(spark, rows), substring.passages(frame(spark, rows))).collect()}
     assert len(cut[9].split()) == 30 and len(cut[3].split()) == 120 and cut[50] is None
     assert substring.passages(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("parts", [[(0, 45)], [(8, 53)], [(0, 30), (30, 60)], [(0, 48), (12, 60)]])
+def test_passage_with_partial_first_holders(spark, parts):
+    rng = random.Random(str(parts))
+    trials, rows = 30, []
+    for t in range(trials):
+        passage = text(rng, 60).split()
+        for n, (a, b) in enumerate(parts):
+            rows.append((10 * t + n, f"{text(rng, 80)} {' '.join(passage[a:b])} {text(rng, 80)}"))
+        for n in (8, 9):
+            rows.append((10 * t + n, f"{text(rng, 80)} {' '.join(passage)} {text(rng, 80)}"))
+    found = substring.passages(frame(spark, rows)).filter("doc_id % 10 = 9 and source_doc_id % 10 = 8 and end_word - start_word >= 58")
+    assert found.select("doc_id").distinct().count() == trials
