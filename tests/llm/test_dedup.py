@@ -272,3 +272,17 @@ def test_passage_with_partial_first_holders(spark, parts):
             rows.append((10 * t + n, f"{text(rng, 80)} {' '.join(passage)} {text(rng, 80)}"))
     found = substring.passages(frame(spark, rows)).filter("doc_id % 10 = 9 and source_doc_id % 10 = 8 and end_word - start_word >= 58")
     assert found.select("doc_id").distinct().count() == trials
+
+
+@pytest.mark.parametrize("words, edits, least", [(60, 6, 0.95), (80, 8, 0.95), (80, 12, 0.9)])
+def test_fuzzy_passages_recall(spark, words, edits, least):
+    rng = random.Random(words + edits)
+    trials, rows = 60, []
+    for t in range(trials):
+        passage = text(rng, words).split()
+        rows.append((2 * t, f"{text(rng, 80)} {' '.join(passage)} {text(rng, 80)}"))
+        for at in rng.sample(range(words), edits):
+            passage[at] = f"changed{at}"
+        rows.append((2 * t + 1, f"{text(rng, 80)} {' '.join(passage)} {text(rng, 80)}"))
+    found = substring.passages(frame(spark, rows)).filter("doc_id = source_doc_id + 1 and identity >= 0.8")
+    assert found.select("doc_id").distinct().count() >= least * trials
