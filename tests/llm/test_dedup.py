@@ -286,3 +286,26 @@ def test_fuzzy_passages_recall(spark, words, edits, least):
         rows.append((2 * t + 1, f"{text(rng, 80)} {' '.join(passage)} {text(rng, 80)}"))
     found = substring.passages(frame(spark, rows)).filter("doc_id = source_doc_id + 1 and identity >= 0.8")
     assert found.select("doc_id").distinct().count() >= least * trials
+
+
+def test_copies_of_texts_that_repeat_themselves(spark):
+    rng = random.Random(8)
+    line = text(rng, 7)
+    rows = [(1, "same " * 90), (2, "same " * 90), (3, f"{text(rng, 30)} {' '.join([line] * 20)} end"), (4, text(rng, 90))]
+    rows += [(5, rows[2][1]), (6, f"{text(rng, 60)} {' '.join([line] * 40)}")]
+    found = [tuple(r)[:6] for r in substring.passages(frame(spark, rows)).collect()]
+    by = {(doc, other): [] for doc, *_, other, _, _ in found}
+    for doc, start, end, other, _, _ in found:
+        by[doc, other].append((start, end))
+    assert set(by) == {(2, 1), (5, 3), (6, 3)}
+    assert by[2, 1] == [(0, 90)] and by[5, 3] == [(0, 171)]
+    assert {w for start, end in by[6, 3] for w in range(start, end)} >= set(range(60, 340)) and len(by[6, 3]) < 8
+
+
+def test_covering_keeps_all_words():
+    rng = random.Random(3)
+    for _ in range(50):
+        spans = sorted({(a := rng.randrange(200), a + rng.randrange(1, 60)) for _ in range(rng.randrange(1, 40))}, key=lambda s: (s[0], -s[1]))
+        kept = [spans[i] for i in substring.covering(spans)]
+        assert {w for s in kept for w in range(*s)} == {w for s in spans for w in range(*s)}
+        assert all(a[1] < c[0] for a, c in zip(kept, kept[2:]))
