@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -108,7 +109,7 @@ DIFFERENT, SHORT = 0.1, 20
 
 
 def blocks(text: bytes) -> list[tuple[int, int]]:
-    """Byte ranges of whole lines around each trigger, joined where they touch."""
+    """Byte ranges of whole lines around each trigger, joined where they touch or only blank lines part them."""
     out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
         low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -116,7 +117,7 @@ def blocks(text: bytes) -> list[tuple[int, int]]:
         start = start + 2 if start >= 0 else text.find(b"\n", low, m.start()) + 1 if low and b"\n" in text[low : m.start()] else low
         end = text.find(b"\n\n", m.end(), high)
         end = end if end >= 0 else high
-        if out and start <= out[-1][1]:
+        if out and (start <= out[-1][1] or not text[out[-1][1] : start].strip()):
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
             out.append((start, end))
@@ -176,22 +177,41 @@ class Scanner:
         starts = [i for i in range(len(words) - anchor + 1) if words[i : i + anchor] == wanted[:anchor]] if allowed == 0 else None
         if starts is not None:
             return [(i, i + len(wanted), 0, []) for i in starts if words[i : i + len(wanted)] == wanted]
-        while at < len(words):
-            matcher = difflib.SequenceMatcher(None, words[at:], wanted, autojunk=False)
+        # Each differing word breaks three triples at most; the others stand at nearly one distance.
+        triples: dict[tuple, list[int]] = {}
+        for j in range(len(wanted) - 2):
+            triples.setdefault(tuple(wanted[j : j + 3]), []).append(j)
+        votes = Counter(i - j for i in range(len(words) - 2) for j in triples.get(tuple(words[i : i + 3]), ()))
+        least = max(1, len(wanted) - 2 - 3 * allowed)
+        shifts = sorted(votes)
+        for x, shift in enumerate(shifts):
+            if shift + allowed < at or sum(votes[y] for y in shifts[x : x + 2 * allowed + 1] if y <= shift + 2 * allowed) < least:
+                continue
+            low = max(at, shift, 0)
+            matcher = difflib.SequenceMatcher(None, words[low : shift + 3 * allowed + len(wanted)], wanted, autojunk=False)
             runs = [m for m in matcher.get_matching_blocks() if m.size]
-            if sum(m.size for m in runs) < len(wanted) - allowed:
-                break
-            first, last = at + runs[0].a, at + runs[-1].a + runs[-1].size
-            own = difflib.SequenceMatcher(None, words[first:last], wanted, autojunk=False)
-            changes, n = [], 0
-            for tag, a, b, c, d in own.get_opcodes():
-                if tag != "equal":
-                    n += max(b - a, d - c)
-                    changes.append(f"{b' '.join(wanted[c:d]).decode()} -> {b' '.join(words[first + a : first + b]).decode()}")
-            if n > allowed:
-                break
-            out.append((first, last, n, changes))
-            at = last
+            best = None
+            for f in range(len(runs)):  # stray words before and behind may be left out
+                if runs[f].b > allowed:
+                    break
+                n = runs[f].b
+                for g in range(f, len(runs)):
+                    if g > f:
+                        before = runs[g - 1]
+                        n += max(runs[g].a - before.a - before.size, runs[g].b - before.b - before.size)
+                    whole = n + len(wanted) - runs[g].b - runs[g].size
+                    if whole <= allowed and (best is None or whole < best[0]):
+                        best = (whole, f, g)
+            if best is None:
+                continue
+            n, f, g = best
+            changes, a, c = [], runs[f].a, 0
+            for m in [*runs[f : g + 1], difflib.Match(runs[g].a + runs[g].size, len(wanted), 0)]:
+                if m.a > a or m.b > c:
+                    changes.append(f"{b' '.join(wanted[c : m.b]).decode()} -> {b' '.join(words[low + a : low + m.a]).decode()}")
+                a, c = m.a + m.size, m.b + m.size
+            at = low + runs[g].a + runs[g].size
+            out.append((low + runs[f].a, at, n, changes))
         return out
 
 

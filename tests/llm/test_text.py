@@ -201,3 +201,14 @@ def test_clashing_columns(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.good_documents(docs, labels).columns == docs.columns
     assert packing.pack(docs).count() == 2 and licenses.scan_licenses(docs).count() == 0
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0"])
+def test_licenses_with_paragraphs(name):
+    whole = max(licenses.TEMPLATES[name], key=len)
+    for cut in ("The above copyright", "Redistributions of source", "Redistributions in binary", "Neither the name", "http://", "Unless required"):
+        whole = whole.replace(" " + cut, "\n\n" + cut)
+    published = f"Copyright (c) 2020 Some Body\n\n{whole}\n\nTHE SOFTWARE IS PROVIDED WITHOUT WARRANTY."
+    assert "\n\n" in whole
+    for around in (published, f"{text(random.Random(1), 400)}\n\n{published}\n\n{text(random.Random(2), 400)}"):
+        assert [(h[0], h[4]) for h in licenses.Scanner(licenses.TEMPLATES).scan(around.encode())] == [(name, 0)]
