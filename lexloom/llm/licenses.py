@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
-A text's candidate blocks surround words that licenses use.  Each block is
-compressed by itself and with every template as a raw zstandard dictionary; the
-share by which a template shrinks it ranks the templates.  The best are
-confirmed by the exact differences in wording between block and template, and
-what they cover is reported with those differences.
+A text's candidate blocks surround words that licenses use.  Every template
+whose wording stands in a block, but for few words, is compressed there: what it
+covers, by itself and with the template as a raw zstandard dictionary.  The
+share by which the template shrinks it does not depend on the text around; it
+ranks the templates, and what they cover is reported with the differences.
 """
 
 from __future__ import annotations
@@ -102,8 +102,8 @@ _TRIGGER = re.compile(
 _WORD = re.compile(rb"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 #: Bytes of a block around each trigger at most, either way.
 REACH = 1500
-#: A template must shrink a block by this share of its size to be looked at, and so many are.
-LEAST_GAIN, LOOKED_AT = 0.15, 6
+#: A template must shrink what it covers by this share of its size.
+LEAST_GAIN = 0.15
 #: Words that may differ, as a share of the template's; none in notices shorter than SHORT words.
 DIFFERENT, SHORT = 0.1, 20
 
@@ -148,18 +148,20 @@ class Scanner:
         found = []
         places = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
         words = [w for w, _, _ in places]
-        # Sizes are compared on lines as well, so that a notice counts in a long block.
-        lines = [block] + [x for x in block.split(b"\n") if _TRIGGER.search(x) and len(x) < len(block)]
-        sizes = [len(self.plain.compress(x)) for x in lines]
-        ranked = []
-        for k, (_, wanted, compressor) in enumerate(self.templates):
-            gain = max((size - len(compressor.compress(x))) / size for x, size in zip(lines, sizes))
-            if gain >= LEAST_GAIN:
-                ranked.append((gain, k))
-        for gain, k in sorted(ranked, reverse=True)[: LOOKED_AT * len(lines)]:
-            name, wanted, _ = self.templates[k]
+        present, pairs = set(words), set(zip(words, words[1:]))
+        for name, wanted, compressor in self.templates:
+            # A notice must stand there whole; of a long wording most words must.
+            if len(wanted) < SHORT:
+                if not all(pair in pairs for pair in zip(wanted, wanted[1:])):
+                    continue
+            elif sum(w in present for w in wanted) < len(wanted) - int(DIFFERENT * len(wanted)):
+                continue
             for first, last, n, changes in self.wordings(words, wanted):
-                found.append((name, offset + places[first][1], offset + places[last - 1][2], float(gain), len(changes), "; ".join(changes), len(wanted), 2 * n))
+                start, end = places[first][1], places[last - 1][2]
+                size = len(self.plain.compress(block[start:end]))
+                gain = (size - len(compressor.compress(block[start:end]))) / size
+                if gain >= LEAST_GAIN:
+                    found.append((name, offset + start, offset + end, float(gain), len(changes), "; ".join(changes), len(wanted), 2 * n))
         # The wording that explains most words wins where several cover the same.
         found.sort(key=lambda f: (f[7] - f[6], -f[3], f[0]))
         kept: list[tuple] = []

@@ -212,3 +212,14 @@ def test_licenses_with_paragraphs(name):
     assert "\n\n" in whole
     for around in (published, f"{text(random.Random(1), 400)}\n\n{published}\n\n{text(random.Random(2), 400)}"):
         assert [(h[0], h[4]) for h in licenses.Scanner(licenses.TEMPLATES).scan(around.encode())] == [(name, 0)]
+
+
+def test_notices_inside_long_lines():
+    rng, scanner = random.Random(4), licenses.Scanner(licenses.TEMPLATES)
+    notices = [(name, w) for name, wordings in licenses.TEMPLATES.items() for w in wordings]
+    for name, wording in notices:
+        line = f"{text(rng, 200)}. {wording} {text(rng, 200)}"
+        assert [h[0] for h in scanner.scan(line.encode())] == [name], wording
+    short = [(name, w) for name, w in notices if len(w) < 100]
+    together = f" {text(rng, 12)}. ".join(w for _, w in short)
+    assert [h[0] for h in scanner.scan(together.encode())] == [name for name, _ in short]
