@@ -20,6 +20,7 @@ distances to find candidates, and links those whose word shingles agree.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -294,6 +295,45 @@ WIDE, WIDE_PARTS, SIGNATURES = 7, 4, 3
 SENT_IDS = 500_000
 
 
+#: Distinct shingles of texts whose candidates are found exactly.
+FEW = 14
+
+
+def _shortener(words_in_shingle: int, least: float):
+    """Keys of short texts: a hash for every part of the shingle set that a similar set may share with it.
+
+    Similar sets share a part that lacks at most 1 - least of either.  Of all
+    sets with a key the smallest is similar to each one that is similar to any
+    other by that part, so pairs with it suffice.
+    """
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            out = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                own = np.unique(shingle_hashes(text or b"", words_in_shingle))
+                if len(own) > FEW:
+                    continue
+                for gone in range(int((1 - least) * len(own) + 1e-9) + 1):
+                    for left in itertools.combinations(range(len(own)), len(own) - gone):
+                        out.append((xxhash.xxh3_64_intdigest(own[list(left)].tobytes()), doc_id, len(own)))
+            if not out:
+                return None
+            key, doc, n = zip(*out)
+            return pa.record_batch([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(n, pa.int64())], names=["key", "doc_id", "n"])
+
+        return each
+
+    return make
+
+
+def short_candidates(light: DataFrame, words_in_shingle: int, least: float, scratch: Scratch) -> DataFrame:
+    """(u, v): each short text with the smallest of those that share a key."""
+    keyed = scratch.write(arrow_map(light, _shortener(words_in_shingle, least), "key long, doc_id long, n long", "text"), "short")
+    heads = keyed.groupBy("key").agg(F.min(F.struct("n", "doc_id")).alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    return keyed.join(heads, "key").select(F.col("doc_id").alias("u"), F.col("head.doc_id").alias("v"))
+
+
 def _shingler(words_in_shingle: int):
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -330,7 +370,7 @@ def similar_documents(docs: DataFrame, words_in_shingle: int = 5, least: float =
 
     Candidates are the spanning links of fingerprints over three words within
     WIDE bits, for SIGNATURES fingerprints each, and documents with equal
-    prints.  Every one is verified: links have a Jaccard similarity of
+    prints; of texts with FEW shingles all similar ones are connected.  Every one is verified: links have a Jaccard similarity of
     ``words_in_shingle``-word shingles of at least ``least``.  Documents without
     links are not returned.  Null texts count as empty, texts without words are
     similar to each other; rows with a null doc_id link with nothing; rows that
@@ -350,7 +390,7 @@ def _similar(docs: DataFrame, words_in_shingle: int, least: float) -> tuple[Data
     distinct = scratch.write(distinct, "distinct", n)
     wide = print_links(distinct.drop("n"), WIDE, WIDE_PARTS, scratch)
     equal = rows.join(distinct.filter("n > 1"), ["signature", "print"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    candidates = scratch.write(wide.unionAll(equal).filter("u != v").distinct(), "candidates", n)
+    candidates = scratch.write(wide.unionAll(equal).unionAll(short_candidates(light, words_in_shingle, least, scratch)).filter("u != v").distinct(), "candidates", n)
     named = scratch.write(candidates.select("u").unionAll(candidates.select("v")).distinct().withColumnRenamed("u", "doc_id"), "named", n)
     sets = arrow_map(light.join(small(named, limit=SENT_IDS), "doc_id", "left_semi"), _shingler(words_in_shingle), "doc_id long, shingles array<long>", "text")
     sets = scratch.write(sets.dropDuplicates(["doc_id"]), "sets", 20 * n)  # rows hold whole texts' shingles

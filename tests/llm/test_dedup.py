@@ -309,3 +309,17 @@ def test_covering_keeps_all_words():
         kept = [spans[i] for i in substring.covering(spans)]
         assert {w for s in kept for w in range(*s)} == {w for s in spans for w in range(*s)}
         assert all(a[1] < c[0] for a, c in zip(kept, kept[2:]))
+
+
+def test_similar_short_documents(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in (8, 9, 10, 12, 15):
+        for _ in range(20):
+            t = text(rng, n)
+            rows += [(len(rows), t), (len(rows) + 1, f"{t} {text(rng, 1)}")]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i: c for i, c in enumerate(brute_components(len(rows), linked)) if any(i in pair for pair in linked)}
+    assert len(linked) >= 100
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, rows)).collect()} == want
