@@ -37,6 +37,8 @@ END_ID = 1
 #: Texts within these characters are cut into words alike by both libraries
 #: below, whichever Unicode version each was built with.
 _RARE = re.compile("[^\x00-ɏ‐-‧]")
+#: The ranks' pattern needs stack for each blank of a run; longer runs go the other way.
+_BLANKS = re.compile(r"\s{256}")
 
 
 def token_ids(json_path: str, ranks_path: str | None = None) -> Callable[[list[str]], list[list[int]]]:
@@ -44,8 +46,8 @@ def token_ids(json_path: str, ranks_path: str | None = None) -> Callable[[list[s
 
     ``ranks_path`` may name the same vocabulary as byte-pair ranks.  Texts of
     common characters without any of the special strings are then encoded from
-    the ranks, which gives the same ids in a third of the time; every other text
-    goes through ``tokenizers``.
+    the ranks, which gives the same ids in a third of the time; every other text,
+    those with long runs of blanks among them, goes through ``tokenizers``.
     """
     from tokenizers import Tokenizer
 
@@ -62,11 +64,11 @@ def token_ids(json_path: str, ranks_path: str | None = None) -> Callable[[list[s
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
+    def plain(text: str) -> bool:
+        return not (_RARE.search(text) or _BLANKS.search(text) or any(s in text for s in special))
+
     def encode(texts: list[str]) -> list[list[int]]:
-        return [
-            encode_slow([t])[0] if _RARE.search(t) or any(s in t for s in special) else fast.encode_ordinary(t)
-            for t in texts
-        ]
+        return [fast.encode_ordinary(t) if plain(t) else encode_slow([t])[0] for t in texts]
 
     return encode
 
@@ -215,7 +217,11 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = Non
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """``pack_documents`` with the byte-level vocabulary of the public tokenizers."""
+    """``pack_documents`` with the byte-level vocabulary of the public tokenizers.
+
+    Null and empty texts are a piece of their end id alone, repeated rows are
+    packed each, tables without rows give none.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

@@ -169,6 +169,14 @@ def test_plan_uses_everything():
     assert filled / (2048 * sum(t for t, _ in bins)) > 0.98
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 1_000_000, " \n" * 500_000, "\u00a0" * 300_000, "\t \x85" * 100_000])
+def test_ids_of_long_blank_runs(run):
+    both = packing.token_ids(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = packing.token_ids(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [run + "a", "a" + run, run, f"words before {run[:255]}and behind", f"x{run[:256]}", f"x{run[:257]}y"]
+    assert both(texts) == library(texts)
+
+
 def test_packing_round_trip(spark):
     encode = packing.token_ids(public_tokenizers.path("byte_bpe_50k.json"))
     rows = odd_rows()
