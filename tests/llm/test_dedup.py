@@ -234,8 +234,100 @@ def test_chain_scores_match_quadratic():
 def test_align_over_edits():
     a = np.arange(100)
     b = np.concatenate([np.arange(500, 510), np.arange(20), [999], np.arange(21, 60), np.arange(63, 100), np.arange(700, 720)])
-    start, end, o_start, o_end, agreed, n = substring.align(a, b, 30, 40)
+    whole = lambda words: substring.Slice(words, 0, len(words))
+    start, end, o_start, o_end, agreed, n = substring.align(whole(a), whole(b), 30, 40)
     assert (start, end, o_start, o_end) == (0, 100, 10, 107) and agreed == 96 and n == 100
+    assert substring.align(substring.Slice(a[:60], 0, 100), whole(b), 30, 40) is None
+    assert substring.align(whole(a), substring.Slice(b[20:], 20, len(b)), 30, 20) is None
+
+
+def test_packed_columns_round_trip():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 1000):
+        columns = [np.sort(rng.integers(0, 2**64, n, np.uint64)), rng.integers(-(2**63), 2**63, n, np.int64), rng.integers(0, 50, n)]
+        assert all((a.view(np.int64) == b).all() for a, b in zip(columns, substring.unpack(substring.pack(columns))))
+
+
+def held_passages(rows):
+    """The places of every MIN_WORDS words that several documents hold."""
+    places = {}
+    for doc, t in rows:
+        words = (t or "").lower().split()
+        for at in range(len(words) - substring.MIN_WORDS + 1):
+            places.setdefault(tuple(words[at : at + substring.MIN_WORDS]), []).append((doc, at))
+    return [p for p in places.values() if len({d for d, _ in p}) > 1]
+
+
+def family(rng):
+    """Texts that share passages whole, in fragments, several times over, and long ones."""
+    rows = []
+    put = lambda *parts: rows.append((len(rows), " ".join(parts)))
+    own = lambda a=5, b=60: text(rng, rng.randrange(a, b))
+    for _ in range(6):  # fragments come before, between and after whole passages
+        passage = text(rng, rng.choice([50, 51, 60, 75, 120])).split()
+        for _ in range(8):
+            a = rng.randrange(0, len(passage) - 20)
+            put(own(), *passage[a : a + rng.randrange(20, 50)], own())
+            if rng.random() < 0.5:
+                put(own(), *passage, own())
+    common = text(rng, 45)
+    for _ in range(12):  # one fragment in many texts, some of which share more around it
+        put(own(), common, own())
+    tail, lead = text(rng, 9), text(rng, 7)
+    for _ in range(4):
+        put(own(), common, tail, own())
+        put(own(), lead, common, own())
+        put(own(), common, own(), common, tail, own())  # twice in one text
+    line = text(rng, 6)
+    for n in (12, 20, 33):  # texts that repeat themselves, at other lengths
+        put(own(), *[line] * n, tail, own())
+        put(*[line] * n)
+    long = text(rng, 900)
+    put(own(), long), put(own(), long, own()), put(*long.split()[300:700])
+    put(*[w if i % 30 else "changed" for i, w in enumerate(long.split())])
+    for _ in range(30):
+        put(own(40, 90))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("partitions, task_keys", [(1, 10**6), (2, 10**6), (3, 300), (6, 10**6)])
+def test_passages_match_brute_force(spark, monkeypatch, partitions, task_keys):
+    monkeypatch.setattr(substring, "TASK_KEYS", task_keys)
+    monkeypatch.setattr(substring, "REACH", 66)
+    monkeypatch.setattr(substring, "MORE", 2)
+    rows = family(random.Random(77))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    found = substring.passages(docs).collect()
+    words = {doc: t.lower().split() for doc, t in rows}
+    for r in found:
+        assert r["doc_id"] != r["source_doc_id"] and r["end_word"] - r["start_word"] >= 50 and r["identity"] >= 0.8
+        assert words[r["doc_id"]][r["start_word"]] == words[r["source_doc_id"]][r["source_start"]]
+    held = held_passages(rows)
+    assert len(held) > 1000
+    for places in held:  # through passages that hold these words on both sides all their holders are connected
+        holders = sorted({d for d, _ in places})
+        inside = lambda d, a, z: any(doc == d and a <= at and at + 50 <= z for doc, at in places)  # noqa: B023, E731
+        links = [
+            (holders.index(r["doc_id"]), holders.index(r["source_doc_id"]))
+            for r in found
+            if r["doc_id"] in holders and r["source_doc_id"] in holders
+            and inside(r["doc_id"], r["start_word"], r["end_word"]) and inside(r["source_doc_id"], r["source_start"], r["source_end"])
+        ]
+        assert set(brute_components(len(holders), links)) == {0}, (holders, places)
+
+
+def test_passages_of_odd_rows(spark):
+    rng = random.Random(5)
+    shared, other = text(rng, 60), text(rng, 30_000)
+    rows = [(1, f"{shared} {text(rng, 10)}"), (1, f"{shared} {text(rng, 10)}"), (2, shared), (2, shared), (2, text(rng, 80)), (3, other), (4, f"{other} end"), (None, shared), (5, None), (6, "  ")]
+    clash = frame(spark, rows, SCHEMA + ", node long, pos long, words string, key long, a string, first long, bucket long, data binary, again long")
+    found = substring.passages(clash).collect()
+    pairs = {(r["doc_id"], r["source_doc_id"]) for r in found}
+    assert {d for p in pairs for d in p} == {1, 2, 3, 4} and {(3, 4), (4, 3)} & pairs
+    assert max(r["end_word"] - r["start_word"] for r in found) == 30_000
+    left = substring.without_passages(clash, substring.passages(clash))
+    assert left.columns == clash.columns and left.count() == len(rows)
 
 
 def test_passages(spark):
