@@ -8,7 +8,8 @@ level, which a sort by cap / weight finds without iterating.
 Selection: a source first gives as many whole epochs as fit its target.  For
 the rest each document draws an exponential key -ln(u) / quality, and documents
 are taken in key order while they fit; one later document, of the size nearest
-to what is then missing, fills the gap.
+to what is then missing, fills the gap.  Rows that repeat entirely have one key:
+they are one entry, of which so many are taken as fit.
 Only the cut key of each source is looked for: bucket totals locate the bucket
 in which the budget runs out, and only that bucket's rows are sorted.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import bucket_count
+from .ranking import bucket_count, rank_in_buckets
 from .scratch import Scratch, packed, shuffle_partitions, small, table
 from .sharding import source_key
 
@@ -38,14 +39,16 @@ def quality_weight(n_chars: Column, words: Column) -> Column:
     return F.lit(LEAST_QUALITY) + (MOST_QUALITY - LEAST_QUALITY) / (1 + F.abs(mean - 5))
 
 
-def keyed(docs: DataFrame, seed: int) -> DataFrame:
+def keyed(docs: DataFrame, seed: int, quality: Column | None = None) -> DataFrame:
     """doc_id, src, size (words), draw (a hash of the row), key (smaller: taken earlier) and the whole row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_count(text, F.lit(WORD)).cast("long")
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text.cast("binary")))
-    light = packed(docs, doc_id=F.col("doc_id"), src=source_key("source"), size=words, draw=draw, n_chars=F.length(text))
+    light = packed(docs, doc_id=F.col("doc_id"), src=source_key("source"), size=words, draw=draw, n_chars=F.length(text), quality=F.lit(None) if quality is None else quality)
     uniform = (F.shiftrightunsigned("draw", 11) + 0.5) * 2.0**-53
-    key = -F.log(uniform) / quality_weight(F.col("n_chars"), F.col("size"))
+    # Bounded, so that keys fill their buckets evenly.
+    weight = quality_weight(F.col("n_chars"), F.col("size")) if quality is None else F.greatest(F.least("quality", F.lit(MOST_QUALITY)), F.lit(LEAST_QUALITY))
+    key = -F.log(uniform) / weight
     return light.select("doc_id", "src", "size", "draw", key.alias("key"), "row")
 
 
@@ -73,30 +76,35 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mixture(docs: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, src, size, draw, key) and each source's plan.
+def mixture(docs: DataFrame, seed: int = 5, quality: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, src, size, draw, key, ord) and each source's plan.
 
-    A plan has src, source_size, target, epochs, buckets, cut and filler: rows
-    whose (bucket, key, draw) is at most the cut, and the filler, are taken once
-    more than ``epochs``.  Reruns agree.
+    A plan has src, source_size, target, epochs, buckets, cut and some: rows
+    whose (bucket, key, draw) is at most the cut are taken once more than
+    ``epochs``, and of the rows with a (key, draw) of ``some`` so many.  Reruns agree.
+    ``quality`` weighs documents instead of ``quality_weight``.
     Null texts have no words, null sources are one source that comes last, rows
-    that repeat entirely share one decision, empty tables give no rows, and
+    that repeat entirely are taken one by one, empty tables give no rows, and
     further columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    rows = scratch.write(keyed(docs.select("doc_id", "text", "source"), seed).drop("row"), "rows")
+    rows = keyed(docs, seed, quality).drop("row").withColumn("ord", F.monotonically_increasing_id())
+    rows = scratch.write(rows, "rows")
     n = rows.count()
     buckets = bucket_count(n, 4 * shuffle_partitions(spark))
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
-    sums = scratch.write(rows.groupBy("src", "bucket").agg(F.sum("size").alias("size")), "sums", n)
-    plan = targets(sums.groupBy("src").agg(F.sum("size").alias("source_size")))
+    # Rows that repeat entirely share their key: they are one entry, however many.
+    entries = rows.groupBy("src", "key", "draw", "size").agg(F.count(F.lit(1)).alias("n"))
+    entries = entries.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets)).withColumn("all", F.col("size") * F.col("n"))
+    entries = scratch.write(entries, "entries", n)
+    sums = scratch.write(entries.groupBy("src", "bucket").agg(F.sum("all").alias("all")), "sums", n)
+    plan = targets(sums.groupBy("src").agg(F.sum("all").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST)))
     plan = plan.withColumn("epochs", F.coalesce(epochs, F.lit(0)).cast("long"))
     plan = scratch.write(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "plan")
     # The buckets into which a source's remaining budget reaches last.
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    running = sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    running = sums.withColumn("before", F.coalesce(F.sum("all").over(before), F.lit(0)))
     last = (
         running.join(plan.select("src", "rest"), "src")
         .filter(F.col("before") < F.col("rest"))
@@ -104,11 +112,10 @@ def mixture(docs: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
         .agg(F.max_by(F.struct("bucket", "before", "rest"), "bucket").alias("at"))
         .select("src", "at.bucket", "at.before", "at.rest")
     )
-    inside = Window.partitionBy("src", "bucket").orderBy("key", "draw").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("src", "bucket").orderBy("key", "draw", "size").rowsBetween(Window.unboundedPreceding, 0)
+    reached = entries.join(last, ["src", "bucket"]).withColumn("through", F.col("before") + F.sum("all").over(inside))
     taken = (
-        rows.join(last, ["src", "bucket"])
-        .withColumn("through", F.col("before") + F.sum("size").over(inside))
-        .filter(F.col("through") <= F.col("rest"))
+        reached.filter(F.col("through") <= F.col("rest"))
         .groupBy("src")
         .agg(F.max(F.struct("bucket", "key", "draw")).alias("cut"), F.max("through").alias("through"))
     )
@@ -120,26 +127,21 @@ def mixture(docs: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
         (F.col("rest") - F.coalesce("through", "before")).alias("gap"),
     )
     cuts = scratch.write(cuts, "cuts")
-    # One later document whose size comes nearest to what is still missing.
-    nearness = F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "key", "draw")
-    filler = (
-        with_plan(rows, cuts)
-        .filter((F.struct("bucket", "key", "draw") > F.col("cut")) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
-        .groupBy("src")
-        .agg(F.min(nearness).alias("filler"))
-    )
-    plan = plan.drop("rest").join(cuts.drop("gap"), "src", "left").join(filler, "src", "left")
-    plan = plan.withColumn("filler", F.struct("filler.key", "filler.draw")).withColumn("buckets", F.lit(buckets))
-    return rows.drop("bucket"), scratch.write(plan, "final")
-
-
-def times(key: str, draw: str) -> Column:
-    """How often a row is taken, once its source's plan is joined to it."""
-    key, draw = F.col(key).alias("key"), F.col(draw).alias("draw")
-    bucket = F.floor((1 - F.exp(-key)) * F.col("buckets")).alias("bucket")
-    early = F.coalesce(F.struct(bucket, key, draw) <= F.col("cut"), F.lit(False))
-    filling = F.struct(key, draw).eqNullSafe(F.col("filler"))
-    return F.least(F.col("epochs") + (early | filling).cast("long"), F.lit(MOST))
+    # Of the entry behind the cut so many rows as fit; then one later row whose size comes nearest to what is still missing.
+    later = with_plan(entries, cuts).filter((F.struct("bucket", "key", "draw") > F.col("cut")) & (F.col("size") > 0))
+    next_ = later.groupBy("src").agg(F.min(F.struct("key", "draw", "size", "n", "gap")).alias("e")).select("src", "e.*")
+    fits = F.floor(F.col("gap") / F.col("size"))
+    part = scratch.write(next_.select("src", "key", "draw", F.least("n", fits).alias("times"), (F.col("gap") - F.least("n", fits) * F.col("size")).alias("left")), "part")
+    gap = F.col("left")
+    nearness = F.struct(F.abs(gap - F.col("size")).alias("off"), "key", "draw")
+    own = (F.col("key") == F.col("part_key")) & (F.col("draw") == F.col("part_draw"))
+    rest = part.select("src", F.col("key").alias("part_key"), F.col("draw").alias("part_draw"), F.col("times").alias("part_times"), "left")
+    free = later.drop("gap", "cut").join(small(rest), "src").filter((F.col("n") > F.when(own, F.col("part_times")).otherwise(0)) & (F.abs(gap - F.col("size")) < gap))
+    filler = free.groupBy("src").agg(F.min(nearness).alias("e")).select("src", "e.key", "e.draw", F.lit(1).cast("long").alias("times"))
+    some = part.filter("times > 0").select("src", "key", "draw", "times").unionAll(filler).groupBy("src", "key", "draw").agg(F.sum("times").alias("times"))
+    some = some.groupBy("src").agg(F.collect_list(F.struct("key", "draw", "times")).alias("some"))  # two at most
+    plan = plan.drop("rest").join(cuts.drop("gap"), "src", "left").join(some, "src", "left").withColumn("buckets", F.lit(buckets))
+    return rows, scratch.write(plan, "final")
 
 
 def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -147,19 +149,44 @@ def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(small(plan), "src")
 
 
-def mix_documents(docs: DataFrame, seed: int = 5) -> DataFrame:
+def taken_times(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (src, key, draw, ord and more) beside their plan, with ``times`` they are taken.
+
+    Of the rows of an entry that is taken in part, the first by ``ord`` are.
+    Only those entries' rows are ranked, by tasks that counted them.
+    """
+    at = with_plan(rows, plan).withColumn("_some", F.filter("some", lambda e: (e["key"] == F.col("key")) & (e["draw"] == F.col("draw"))))
+    at = at.withColumn("_part", F.coalesce(F.get("_some", F.lit(0))["times"], F.lit(0))).drop("_some")
+    bucket = F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")).alias("bucket")
+    early = F.coalesce(F.struct(bucket, "key", "draw") <= F.col("cut"), F.lit(False)).cast("long")
+    whole = at.filter("_part = 0").withColumn("times", F.least(F.col("epochs") + early, F.lit(MOST)))
+    parts = at.filter("_part > 0").withColumn("_task", F.shiftright("ord", 33))
+    ranked = rank_in_buckets(parts, ["src", "key", "draw"], "_task", [F.col("ord")], "_rank")
+    some = ranked.withColumn("times", F.least(F.col("epochs") + (F.col("_rank") < F.col("_part")).cast("long"), F.lit(MOST)))
+    return whole.drop("_part").unionByName(some.drop("_part", "_task", "_rank"))
+
+
+def mix_documents(docs: DataFrame, seed: int = 5, quality: Column | None = None) -> DataFrame:
     """The mixture itself: rows of ``docs``, each as often as it is taken.
 
-    Whole rows never shuffle: each meets only its source's plan.
+    Whole rows meet only their source's plan; just those of an entry that is
+    taken in part (one or two a source, unless rows repeat) are written aside and
+    counted.  Nulls, repeated rows and empty tables are as in ``mixture``.
     """
-    _, plan = mixture(docs, seed)
-    chosen = with_plan(keyed(docs, seed), plan).select("row", times("key", "draw").cast("int").alias("times"))
-    copies = chosen.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    scratch = Scratch(docs.sparkSession, "mixed")
+    _, plan = mixture(docs, seed, quality)
+    rows = with_plan(keyed(docs, seed, quality), plan)
+    in_part = F.exists("some", lambda e: (e["key"] == F.col("key")) & (e["draw"] == F.col("draw")))
+    in_part = F.coalesce(in_part, F.lit(False))
+    parts = rows.filter(in_part).select("src", "key", "draw", "row").withColumn("ord", F.monotonically_increasing_id())
+    parts = scratch.write(parts, "parts")
+    chosen = [taken_times(df, plan).select("row", F.col("times").cast("int").alias("times")) for df in (rows.filter(~in_part).select("src", "key", "draw", "row", F.lit(0).cast("long").alias("ord")), parts)]
+    copies = chosen[0].unionAll(chosen[1]).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return copies.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: what the mix takes of every document."""
     rows, plan = mixture(table(spark, sf_dir, "documents"))
-    taken = (F.col("size") * times("key", "draw")).alias("taken")
-    return with_plan(rows, plan).select("doc_id", "size", "source_size", "target", taken)
+    taken = (F.col("size") * F.col("times")).alias("taken")
+    return taken_times(rows, plan).select("doc_id", "size", "source_size", "target", taken)

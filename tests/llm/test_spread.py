@@ -125,6 +125,34 @@ def brute_targets(sizes):
         capped |= above
 
 
+def taken_words(docs):
+    return mixing.taken_times(*mixing.mixture(docs)).withColumn("taken", mixing.F.col("size") * mixing.F.col("times")).collect()
+
+
+@pytest.mark.parametrize("n", [3000, 5900])
+def test_mixture_of_repeated_rows(spark, monkeypatch, n):
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 500)
+    rng = random.Random(n)
+    rows = [(7, "one two three four five", "en", "a", 0)] * n + [(100 + i, text(rng, rng.randrange(1, 40)), "en", rng.choice("abc"), 0) for i in range(6000 - n)]
+    rows += [(8, None, "en", "c", 0), (8, "", "en", None, 0)]
+    docs = frame(spark, rows)
+    got, mixed = taken_words(docs), mixing.mix_documents(docs)
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    for source in {r["src"] for r in got}:
+        own = [r for r in got if r["src"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 20
+    words = Counter(r["doc_id"] for r in mixed.collect())
+    assert words[7] * 5 == sum(r["taken"] for r in got if r["doc_id"] == 7)
+
+
+def test_mixture_by_given_quality(spark):
+    rows = [(i, "one two", "en", "ab"[i % 2], i % 4) for i in range(2000)]
+    docs = frame(spark, rows)
+    best = mixing.F.when(mixing.F.col("n_chars") < 2, 4.0).otherwise(1.0)
+    mixed = Counter(r["doc_id"] % 4 for r in mixing.mix_documents(docs, quality=best).collect())
+    assert mixed[1] > 1.5 * mixed[3] > 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_mixture(spark, monkeypatch, seed):
     monkeypatch.setattr(ranking, "BUCKET_ROWS", 40)
@@ -133,8 +161,7 @@ def test_mixture(spark, monkeypatch, seed):
     share = [rng.choice([1, 3, 30, 200]) for _ in names]
     rows = [(i, text(rng, rng.randrange(0, 30)) if i % 19 else None, "en", rng.choices(names, share)[0], 0) for i in range(900)]
     docs = frame(spark, rows)
-    all_rows, plan = mixing.mixture(docs)
-    got = mixing.with_plan(all_rows, plan).withColumn("taken", mixing.F.col("size") * mixing.times("key", "draw")).collect()
+    got = taken_words(docs)
     sizes = Counter()
     for r in rows:
         sizes[r[3]] += len((r[1] or "").split())
@@ -146,7 +173,7 @@ def test_mixture(spark, monkeypatch, seed):
         assert all(abs(r["target"] - target) < 1e-6 * max(1, target) and r["source_size"] == sizes[s] for r in own)
         assert abs(sum(r["taken"] for r in own) - target) <= 15
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
-    again = mixing.with_plan(*mixing.mixture(docs)).withColumn("taken", mixing.F.col("size") * mixing.times("key", "draw")).collect()
+    again = taken_words(docs)
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
     mixed = Counter(r["doc_id"] for r in mixing.mix_documents(docs).collect())
     assert all(mixed[r["doc_id"]] * r["size"] == r["taken"] for r in got if r["size"])
@@ -155,8 +182,7 @@ def test_mixture(spark, monkeypatch, seed):
 def test_mixture_edges(spark):
     assert mixing.mix_documents(frame(spark, [])).count() == 0
     rows = frame(spark, [(1, None, "en", None, 0), (2, "", "en", "a", 0)])
-    all_rows, plan = mixing.mixture(rows)
-    assert [r["taken"] for r in mixing.with_plan(all_rows, plan).withColumn("taken", mixing.F.col("size") * mixing.times("key", "draw")).collect()] == [0, 0]
+    assert [r["taken"] for r in taken_words(rows)] == [0, 0]
     clash = frame(spark, [(1, "a b", "en", "s", 0)], SCHEMA + ", src string, size long, key double, draw long, target double, cut string")
     assert mixing.mix_documents(clash).columns == clash.columns
 
