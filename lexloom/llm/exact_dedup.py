@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import quotient
 from .arrow import arrow_map
-from .scratch import Scratch, shuffle_partitions, small, table, without
+from .scratch import Scratch, packed, shuffle_partitions, small, table, without
 
 #: The bytes that normalisation deletes.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -76,12 +76,15 @@ def repeated_prints(prints: DataFrame, bits: int) -> DataFrame:
     """(print, n) of fingerprints that occur more than once; ``bits`` name the shards."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A partition of distinct fingerprints and counts; they take 16 bytes each.
-        held = [quotient.merge([(np.zeros(0, np.uint64), np.zeros(0, np.int64))])]
+        # Distinct fingerprints and counts of a partition, 16 bytes each: runs of like size merge, so each is merged few times.
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            found, n = np.unique(batch.column(0).to_numpy().view(np.uint64), return_counts=True)
-            held = [quotient.merge([*held, (found, n)])]
-        found, n = held[0]
+            held.append(np.unique(batch.column(0).to_numpy().view(np.uint64), return_counts=True))
+            while len(held) > 1 and len(held[-2][0]) <= 2 * len(held[-1][0]):
+                held[-2:] = [quotient.merge(held[-2:])]
+        if not held:
+            return
+        found, n = quotient.merge(held)
         shards = found >> np.uint64(64 - bits)
         for shard in np.unique(shards).tolist():
             a, b = np.searchsorted(shards, [shard, shard + 1], side="left")
@@ -117,7 +120,7 @@ def _bodies():
 def verified_groups(docs: DataFrame, often: DataFrame) -> DataFrame:
     """Groups of equal bytes among texts with a repeated fingerprint.
 
-    Returns print, sha, keep_id and group_size.  The row that stays has the most
+    Returns print, sha, keep_id, group_size and most (code points of what stays).  The row that stays has the most
     code points, then the smallest doc_id (nulls last): one decimal orders both,
     which keeps the aggregation in place in Spark's hash map.
     """
@@ -135,6 +138,7 @@ def verified_groups(docs: DataFrame, often: DataFrame) -> DataFrame:
         F.unhex(F.sha2("body", 256)).alias("sha"),
         F.when(keep < 2**63 - 1, keep).alias("keep_id"),
         "group_size",
+        F.try_divide(F.col("best") - F.col("best") % step, step).cast("long").alias("most"),
     )
 
 
@@ -144,9 +148,10 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
     Texts are equal when they are identical without white space.  Returns, for
     every row: doc_id, keep_id, group_size, kept, text_sha256 and raw (a hash of
     the text as it is).  Null texts count as empty, and empty texts equal each
-    other.  Rows that repeat both doc_id and text share one decision.  A null
-    doc_id is kept only where nothing else can be.  Empty tables give no rows;
-    further columns are ignored.
+    other.  Of rows with one doc_id and as many code points the text with the
+    smallest ``raw`` is kept; rows that repeat both doc_id and text share one
+    decision.  A null doc_id is kept only where nothing else can be.  Empty
+    tables give no rows; further columns are ignored.
     """
     return _decided(docs)[0]
 
@@ -161,12 +166,21 @@ def _decided(docs: DataFrame) -> tuple[DataFrame, int]:
     often = scratch.write(repeated_prints(rows.select("print"), bits), "often", n)
     groups = scratch.write(verified_groups(docs, often), "groups", n)
     joined = rows.join(small(groups), ["print", "sha"], "left")
+    # Where rows repeat a doc_id, several texts may be the one that stays: that with the least hash does.
+    may_stay = F.col("group_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("most"))
+    tied = joined.filter(may_stay).groupBy("print", "sha").agg(F.min("raw").alias("only"), F.max("raw").alias("_most"))
+    tied = scratch.write(tied.filter("only != _most").drop("_most"), "tied", n)
+    if tied.isEmpty():
+        stays = may_stay
+    else:
+        joined = joined.join(small(tied), ["print", "sha"], "left")
+        stays = may_stay & F.coalesce(F.col("raw") == F.col("only"), F.lit(True))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     decided = joined.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        (F.col("group_size").isNull() | stays).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         "raw",
     )
@@ -174,15 +188,24 @@ def _decided(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``dedup_exact`` drops, in their own columns."""
+    """``docs`` without the rows that ``dedup_exact`` drops, in their own columns.
+
+    Of rows that repeat both doc_id and text one is kept, whatever their further
+    columns hold.  Nulls, empty texts and empty tables are as in ``dedup_exact``.
+    """
     decided, n = _decided(docs)
     scratch = Scratch(docs.sparkSession, "dropped")
-    dropped = scratch.write(decided.filter(~F.col("kept")).select("doc_id", "raw").distinct(), "rows", n)
-    out = without(docs, dropped, doc_id=F.col("doc_id").cast("long"), raw=F.xxhash64("text"))
-    again = decided.filter("kept and group_size > 1").groupBy("doc_id", "raw").count().filter("count > 1")
-    if not again.isEmpty():  # rows that repeat doc_id and text: one of each stays
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    repeated = decided.filter("group_size > 1")
+    known = repeated.groupBy("doc_id", "raw").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    known = scratch.write(known, "known", n)
+    dropped, again = known.filter("not kept").select("doc_id", "raw"), known.filter("kept and n > 1").select("doc_id", "raw")
+    keys = {"doc_id": F.col("doc_id").cast("long"), "raw": F.xxhash64("text")}
+    if again.isEmpty():
+        return without(docs, dropped, **keys)
+    rows, marks = packed(docs, **keys), small(again)
+    same = [rows[k].eqNullSafe(marks[k]) for k in keys]
+    one = rows.join(marks, same, "left_semi").groupBy("doc_id", "raw").agg(F.first("row").alias("row")).select("row.*")
+    return without(docs, dropped.unionAll(again), **keys).unionAll(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,18 @@ def test_simhash_empty_and_null_ids(spark):
     assert [r["component_id"] for r in rows] == [7, 7, 7]
 
 
+def test_exact_dedup_of_repeated_ids(spark):
+    rows = [(7, "a b"), (7, "ab"), (8, "a b"), (9, "x y", "en"), (9, "x y", "de"), (9, "xy "), (9, " xy"), (10, None), (10, ""), (None, "q"), (None, "q"), (11, "alone"), (11, "other")]
+    docs = frame(spark, rows)
+    kept = exact_dedup.keep_first_copies(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept if r["doc_id"] != 9) == [(0, "q"), (7, "a b"), (10, ""), (11, "alone"), (11, "other")]
+    assert [r["doc_id"] for r in kept].count(9) == 1
+    decided = exact_dedup.dedup_exact(docs).collect()
+    assert len(decided) == len(rows) and len({(r["doc_id"], r["raw"]) for r in decided if r["kept"]}) == 6
+    alike = frame(spark, [(1, "same text", "en", "s", n % 7) for n in range(500)])
+    assert exact_dedup.keep_first_copies(alike).count() == 1
+
+
 # -- substring --------------------------------------------------------------
 
 
