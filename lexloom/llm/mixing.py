@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .ranking import bucket_count, rank_in_buckets
 from .scratch import Scratch, packed, shuffle_partitions, small, table
-from .sharding import source_key
+from .sharding import HASH_BITS, seeded, source_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Times its size that a source, and so a document, is taken at most.
@@ -43,9 +43,9 @@ def keyed(docs: DataFrame, seed: int, quality: Column | None = None) -> DataFram
     """doc_id, src, size (words), draw (a hash of the row), key (smaller: taken earlier) and the whole row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_count(text, F.lit(WORD)).cast("long")
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text.cast("binary")))
+    draw = seeded(seed, "doc_id", F.md5(text.cast("binary")))
     light = packed(docs, doc_id=F.col("doc_id"), src=source_key("source"), size=words, draw=draw, n_chars=F.length(text), quality=F.lit(None) if quality is None else quality)
-    uniform = (F.shiftrightunsigned("draw", 11) + 0.5) * 2.0**-53
+    uniform = (F.col("draw") + 0.5) * 2.0**-HASH_BITS
     # Bounded, so that keys fill their buckets evenly.
     weight = quality_weight(F.col("n_chars"), F.col("size")) if quality is None else F.greatest(F.least("quality", F.lit(MOST_QUALITY)), F.lit(LEAST_QUALITY))
     key = -F.log(uniform) / weight
@@ -190,3 +190,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, plan = mixture(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("times")).alias("taken")
     return taken_times(rows, plan).select("doc_id", "size", "source_size", "target", taken)
+
+
+#: For tables without rows that repeat entirely.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, src, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS size, length(t) AS n_chars,
+    CAST('0x' || substr(md5('5|' || doc_id || '|' || md5(t)), 1, 13) AS BIGINT) AS draw FROM d),
+k AS (SELECT *, -ln((draw + 0.5::DOUBLE) * power(2::DOUBLE, -52))
+    / (1::DOUBLE + 3::DOUBLE / (1 + abs(n_chars::DOUBLE / greatest(size, 1) - 1 - 5))) AS key FROM w),
+s AS (SELECT src, sum(size)::BIGINT AS source_size FROM w GROUP BY src),
+t AS (SELECT *, 3::DOUBLE * source_size AS cap,
+    [5::DOUBLE, 2, 1][1 + (row_number() OVER (ORDER BY CASE WHEN src = 'n' THEN 1 ELSE 0 END, src) - 1) % 3] AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, src) AS place FROM t),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM o),
+g AS (SELECT src, source_size, least(cap, (SELECT arg_min(level, place) FROM v WHERE level * weight <= cap) * weight) AS target FROM v),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS epochs FROM g),
+r AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+    sum(size) OVER (PARTITION BY src ORDER BY key, draw, size ROWS UNBOUNDED PRECEDING) AS through FROM k JOIN e USING (src)),
+c AS (SELECT src, max(CASE WHEN through <= rest THEN through ELSE 0 END) AS reached FROM r GROUP BY src),
+l AS (SELECT r.*, rest - reached AS gap FROM r JOIN c USING (src)),
+f AS (SELECT src, arg_min(doc_id, (abs(gap - size), key, draw)) AS filler FROM l WHERE through > rest AND size > 0 AND abs(gap - size) < gap GROUP BY src)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * least(epochs + CASE WHEN through <= rest OR doc_id = filler THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
+FROM l LEFT JOIN f USING (src)
+"""

@@ -17,4 +17,9 @@ QUERIES = {
     "op10_mixing": mixing.query,
 }
 
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op7_embeddings": embeddings.ORACLE}
+ORACLES = {
+    "op3_exact_dedup": exact_dedup.ORACLE,
+    "op7_embeddings": embeddings.ORACLE,
+    "op9_sharding": sharding.ORACLE,
+    "op10_mixing": mixing.ORACLE,
+}

@@ -19,18 +19,23 @@ def bucket_count(rows: int, least: int) -> int:
     return max(1, least, -(-rows // BUCKET_ROWS))
 
 
-def rank_in_buckets(df: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
+def rank_in_buckets(df: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str, nulls: bool = False) -> DataFrame:
     """Add ``out``, the 0-based rank of each row among the rows with its ``keys``.
 
     ``bucket`` must not fall as ``order`` rises.  Without keys the rank is over
-    all rows; the window over bucket totals then has one row per bucket.
+    all rows; the window over bucket totals then has one row per bucket.  With
+    ``nulls`` keys may be null, which equal each other.
     """
     totals = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
+    if nulls:
+        own = offsets.select(*(F.col(c).alias(f"_{c}") for c in (*keys, bucket)), "_before")
+        joined = df.join(own, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, bucket)]).drop(*(f"_{c}" for c in (*keys, bucket)))
+    else:
+        joined = df.join(offsets, [*keys, bucket])
     return (
-        df.join(offsets, [*keys, bucket])
-        .withColumn(out, F.col("_before") + F.row_number().over(inside) - 1)
+        joined.withColumn(out, F.col("_before") + F.row_number().over(inside) - 1)
         .drop("_before")
     )

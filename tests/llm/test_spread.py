@@ -108,6 +108,30 @@ def test_written_shards(spark, tmp_path):
     assert back.count() == 100 and back.select("shard").distinct().count() == 4
 
 
+def test_written_shards_of_repeated_rows(spark, tmp_path):
+    rows = [(1, "a b", "en", "s", n) for n in range(3)] + [(1, "a b", "en", "s", 0)] * 40 + [(2, "c", "en", None, 0), (None, None, None, None, None), (None, None, None, None, 7), (3, "long " * 30_000, "en", "s", 0)]
+    docs = frame(spark, rows, SCHEMA + ", shard string, slot string, row string, nth long, size string, _shard long")
+    sharding.write_shards(docs, f"file://{tmp_path}/out", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.columns[-1] == "__shard" and back.columns[:-1] == docs.columns
+    assert Counter(map(tuple, back.drop("__shard").collect())) == Counter(map(tuple, docs.collect()))
+    counts = Counter(r["__shard"] for r in back.collect())
+    assert len(counts) == 4 and max(counts.values()) - min(counts.values()) <= 1
+    sharding.write_shards(docs.limit(0), f"file://{tmp_path}/none", 4)
+
+
+def test_order_of_shards_equals_a_plain_window(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 50)
+    rows, docs = sourced(spark, 500)
+    light = sharding.light_rows(docs, 11).collect()
+    places = []
+    for src in {r["src"] for r in light}:
+        own = sorted((r for r in light if r["src"] == src), key=lambda r: (r["key"], r["doc_id"]))
+        places += [((i + 0.5) / len(own), src, r["key"], r["doc_id"]) for i, r in enumerate(own)]
+    want = {doc: (p * 24 // 500, p - -(-(p * 24 // 500) * 500 // 24)) for p, (*_, doc) in enumerate(sorted(places))}
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_documents(docs).collect()} == want
+
+
 # -- mixing -----------------------------------------------------------------
 
 
