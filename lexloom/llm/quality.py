@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import arrow_map
-from .scratch import Scratch, table, without
+from .scratch import Scratch, sampled, table, without
 
 #: Labelled rows that are learned from at most, by a hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -172,8 +172,10 @@ def _scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     described = Scratch(docs.sparkSession, "quality").write(describe(docs), "described")
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.filter(~held_out())
-    # Bounded by train_rows: a top-n by hash, of which the driver gets some 200 bytes a row.
-    rows = described.join(known, "doc_id").select("x", "quality", "doc_id", "raw").orderBy(F.xxhash64("doc_id"), "doc_id", "raw").limit(train_rows).collect()
+    # Bounded by train_rows, of some 200 bytes each: rows that repeat count once.
+    rows = described.join(known, "doc_id").select("x", "quality", "doc_id", "raw").dropDuplicates(["doc_id", "raw"])
+    rows = Scratch(docs.sparkSession, "labelled").write(rows, "rows")
+    rows = sampled(rows, F.xxhash64("doc_id", "raw"), train_rows, rows.count()).collect()
     x = np.array([r["x"] for r in rows], np.float64).reshape(-1, len(FEATURES))
     forest = train(x, np.array([float(r["quality"] > 0) for r in rows]))
 
@@ -190,7 +192,11 @@ def _scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that score below GOOD, in their own columns."""
+    """``docs`` without the rows that score below GOOD, in their own columns.
+
+    Null and empty texts are scored like others; rows that repeat stay or go
+    together; without labels every row stays; empty tables give no rows.
+    """
     scratch = Scratch(docs.sparkSession, "rejected")
     scored, n = _scored(docs, labels)
     bad = scored.filter(F.col("score") < GOOD)

@@ -8,6 +8,7 @@ re-read instead of a recomputation.
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return _local_dir()
 
@@ -85,6 +86,18 @@ def without(docs: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
     return rows.join(gone, same, "left_anti").select("row.*")
 
 
+def sampled(rows: DataFrame, key: Column, limit: int, total: int) -> DataFrame:
+    """Of ``total`` rows at most ``limit``, those whose ``key``, a hash, is least.
+
+    A bound on the hash leaves few more than ``limit`` rows, so that tasks do not
+    each send as many; where it leaves fewer, the sample is the smaller.
+    """
+    if total > limit:
+        bound = -(2**63) + min(2**64 - 1, int(2**64 * (limit + 6 * limit**0.5 + 10) / total))
+        rows = rows.filter(key <= F.lit(bound))
+    return rows.orderBy(key).limit(limit)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .arrow import arrow_map
 from .components import Union, components
-from .scratch import Scratch, small, table, without
+from .scratch import Scratch, sampled, small, table, without
 
 SEED = 42
 #: Bits in which linked fingerprints differ at most.
@@ -235,11 +235,11 @@ def print_links(distinct: DataFrame, near: int, parts: int, scratch: Scratch) ->
     n = distinct.filter("signature = 0").count()
     shards = int(min(MAX_SHARDS, max(1, n // SHARD_ROWS)))
     # A bounded sample of fingerprints grows the shard trees; all rows are routed by them.
-    sampled = np.zeros(0, np.int64)
+    drawn = np.zeros(0, np.int64)
     if shards > 1:
-        sample = distinct.filter("signature = 0").select("print").orderBy(F.xxhash64("print")).limit(min(SAMPLE, 64 * shards))
-        sampled = sample.toArrow().column(0).to_numpy()
-    trees = [grow(part_of(sampled, p, parts), shards, reach) if shards > 1 else [] for p in range(parts)]
+        sample = sampled(distinct.filter("signature = 0").select("print"), F.xxhash64("print"), min(SAMPLE, 64 * shards), n)
+        drawn = sample.toArrow().column(0).to_numpy()
+    trees = [grow(part_of(drawn, p, parts), shards, reach) if shards > 1 else [] for p in range(parts)]
     trees = spark.sparkContext.broadcast(trees)
 
     def router():
