@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .arrow import arrow_map
 from .components import Union, components
+from .identity import documents
 from .scratch import Scratch, sampled, small, table, without
 
 SEED = 42
@@ -42,6 +44,8 @@ SAMPLE = 500_000
 #: Fingerprints of a shard, while there are no more than MAX_SHARDS of them.
 SHARD_ROWS = 4096
 MAX_SHARDS = 32_768
+#: Times that size from which a shard is cut by other bits as well.
+CROWDED = 4
 #: Fingerprints that are compared without further splits.
 LEAF = 384
 
@@ -191,10 +195,20 @@ def spanning(u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
-def shard_links(prints: np.ndarray, part: int, parts: int, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, by least distances, of the links among one shard's prints."""
+def shard_links(prints: np.ndarray, part: int, parts: int, near: int, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """``forests`` spanning forests without common links, by least distances, of the links among one shard's prints."""
     values, wide, reach = part_of(prints, part, parts), prints.view(np.uint64), near // parts
     n, held, size = len(prints), [np.zeros((3, 0), np.int64)], 0
+
+    def reduced(links: np.ndarray) -> np.ndarray:
+        links = np.unique(links, axis=1)  # trees meet a pair in several leaves
+        kept = []
+        for _ in range(forests):
+            own = spanning(*links)
+            kept.append(links[:, own])
+            links = np.delete(links, own, axis=1)
+        return np.concatenate(kept, 1)
+
     todo = [np.arange(n)]
     while todo:
         own = todo.pop()
@@ -213,22 +227,40 @@ def shard_links(prints: np.ndarray, part: int, parts: int, near: int) -> tuple[n
                 links = links[:, links[0] != links[1]]
                 links[:2].sort(axis=0)
                 if links.shape[1]:
-                    held.append(links[:, spanning(*links)] if links.shape[1] > LEAF else links)
+                    held.append(reduced(links) if links.shape[1] > LEAF else links)
                     size += held[-1].shape[1]
-                if size > 4 * n + 10_000:
-                    held = [np.concatenate(held, 1)]
-                    held = [held[0][:, spanning(*held[0])]]
+                if size > 4 * forests * n + 10_000:
+                    held = [reduced(np.concatenate(held, 1))]
                     size = held[0].shape[1]
-    links = np.concatenate(held, 1)
-    u, v, _ = links[:, spanning(*links)]
+    u, v, _ = reduced(np.concatenate(held, 1))
     return u, v
 
 
-def print_links(distinct: DataFrame, near: int, parts: int, scratch: Scratch) -> DataFrame:
+#: Bits that number the parts of a crowded shard.
+_PIECE_BITS = 20
+
+
+def pieces(prints: np.ndarray, part: int, parts: int, near: int) -> np.ndarray:
+    """(near + 1) x rows: parts of a crowded shard.
+
+    The bits outside ``part`` are cut into near + 1 pieces, of which prints within
+    ``near`` bits have one in common: it and its value name a part.
+    """
+    wide, width = prints.view(np.uint64), 64 // parts
+    out, bits = [], [b for b in range(64) if b // width != part]
+    for piece, own in enumerate(np.array_split(bits, near + 1)):
+        value = np.zeros(len(wide), np.uint64)
+        for k, bit in enumerate(own.tolist()):
+            value |= (wide >> np.uint64(bit) & np.uint64(1)) << np.uint64(k)
+        out.append(value.astype(np.int64) * (near + 1) + piece + 1)
+    return np.stack(out)
+
+
+def print_links(distinct: DataFrame, near: int, parts: int, scratch: Scratch, forests: int = 1) -> DataFrame:
     """(u, v): links among the distinct prints (signature, print, rep), by their reps.
 
     Prints of one signature within ``near`` bits are connected by these links,
-    along paths of the least distances.
+    along paths of the least distances, and ``forests`` times over where they can be.
     """
     spark = distinct.sparkSession
     reach = near // parts
@@ -239,31 +271,43 @@ def print_links(distinct: DataFrame, near: int, parts: int, scratch: Scratch) ->
     if shards > 1:
         sample = sampled(distinct.filter("signature = 0").select("print"), F.xxhash64("print"), min(SAMPLE, 64 * shards), n)
         drawn = sample.toArrow().column(0).to_numpy()
-    trees = [grow(part_of(drawn, p, parts), shards, reach) if shards > 1 else [] for p in range(parts)]
-    trees = spark.sparkContext.broadcast(trees)
+    trees, crowded = [], []
+    for p in range(parts):
+        tree = grow(part_of(drawn, p, parts), shards, reach) if shards > 1 else []
+        # Where no radius parts a sixteenth of all, or shards have grown too few, they are cut by other bits too.
+        filled = np.bincount(route(part_of(drawn, p, parts), tree, reach)[1], minlength=1) * (n / max(1, len(drawn)))
+        trees.append(tree)
+        crowded.append(filled > CROWDED * SHARD_ROWS)
+    sent = spark.sparkContext.broadcast((trees, crowded))
 
     def router():
+        trees, crowded = sent.value
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
+            prints, signature = batch.column("print").to_numpy(), batch.column("signature").to_numpy()
             for part in range(parts):
-                row, shard = route(part_of(batch.column("print").to_numpy(), part, parts), trees.value[part], reach)
+                row, shard = route(part_of(prints, part, parts), trees[part], reach)
+                full = crowded[part][np.minimum(shard, len(crowded[part]) - 1)] if len(crowded[part]) else np.zeros(len(row), bool)
+                named = ((shard * parts + part) * 16 + signature[row]) << _PIECE_BITS
+                cut = (named[full] + pieces(prints[row[full]], part, parts, near)).ravel()
+                row, named = np.concatenate([row[~full], np.tile(row[full], near + 1)]), np.concatenate([named[~full], cut])
                 own = batch.take(pa.array(row))
-                named = (shard * parts + part) * 16 + own.column("signature").to_numpy()
                 out.append(pa.record_batch([pa.array(named), own.column("print"), own.column("rep")], names=["shard", "print", "rep"]))
             return pa.concat_batches(out)
 
         return each
 
     def linked(shard: pa.Table) -> pa.Table:
-        part = shard.column("shard")[0].as_py() // 16 % parts
+        part = (shard.column("shard")[0].as_py() >> _PIECE_BITS) // 16 % parts
         reps = shard.column("rep").to_numpy()
         order = np.argsort(reps, kind="stable")
-        u, v = shard_links(shard.column("print").to_numpy()[order], part, parts, near)
+        u, v = shard_links(shard.column("print").to_numpy()[order], part, parts, near, forests)
         return pa.table({"u": reps[order][v], "v": reps[order][u]})
 
     routed = arrow_map(distinct, router, "shard long, print long, rep long")
     links = routed.groupBy("shard").applyInArrow(linked, "u long, v long").filter("u != v")
-    return scratch.write(links, "links", 8 * distinct.count())
+    return scratch.write(links, "links", 8 * forests * distinct.count())
 
 
 def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
@@ -288,9 +332,9 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     return rows.join(classes, "print", "left").select("doc_id", hexed, "component_id")
 
 
-#: Bits, parts and signatures of the candidate search for similar documents.
-#: Three signatures within 7 bits hold most pairs with similarity 0.8 and nearly all from 0.85.
-WIDE, WIDE_PARTS, SIGNATURES = 7, 4, 3
+#: Bits, parts and signatures of the candidate search for similar documents, and spanning forests of each.
+#: A pair of similarity 0.8 is within 7 bits of one signature in two; six signatures miss one in forty.
+WIDE, WIDE_PARTS, SIGNATURES, FORESTS = 7, 4, 6, 2
 #: Documents with candidates that are named in a broadcast; more are joined by a shuffle.
 SENT_IDS = 500_000
 
@@ -365,47 +409,78 @@ def _verifier(least: float):
     return make
 
 
+#: Candidates of one document that meet its shingles in one task.
+SALT_ROWS = 2_000
+
+
+def verified(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of ``candidates`` (u, v) those whose shingle sets are similar.
+
+    A document that many others have as their candidate meets them in several
+    tasks, each with its shingles.
+    """
+    hot = candidates.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")).filter("salts > 1")
+    hot = small(hot)
+    salts = F.coalesce("salts", F.lit(1))
+    left = candidates.join(hot, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), salts).cast("int").alias("salt"))
+    left = left.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
+    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")).join(hot, "v", "left")
+    right = right.select("v", "b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return arrow_map(left.join(right, ["v", "salt"]).select("u", "v", "a", "b"), _verifier(least), "u long, v long")
+
+
 def similar_documents(docs: DataFrame, words_in_shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of documents whose shingle sets are similar.
 
-    Candidates are the spanning links of fingerprints over three words within
-    WIDE bits, for SIGNATURES fingerprints each, and documents with equal
-    prints; of texts with FEW shingles all similar ones are connected.  Every one is verified: links have a Jaccard similarity of
-    ``words_in_shingle``-word shingles of at least ``least``.  Documents without
-    links are not returned.  Null texts count as empty, texts without words are
-    similar to each other; rows with a null doc_id link with nothing; rows that
-    repeat a doc_id are one document, of which one text is compared; empty
-    tables give no rows; further columns are ignored.
+    Candidates are the spanning links, FORESTS times over, of fingerprints over
+    three words within WIDE bits, for SIGNATURES fingerprints each; documents
+    with equal prints and the first and the one before of them; of texts with FEW
+    shingles all similar ones are connected.  Every one is verified: links have a
+    Jaccard similarity of ``words_in_shingle``-word shingles of at least
+    ``least``.  Documents without links are not returned.  Null texts count as
+    empty, texts without words are similar to each other; rows with a null doc_id
+    link with nothing; rows that repeat doc_id and text are one document, with
+    another text one of their own; empty tables give no rows; further columns are
+    ignored.
     """
-    return _similar(docs, words_in_shingle, least)[0]
+    found, _, named = _similar(docs, words_in_shingle, least)
+    return named(found, "doc_id", "component_id")
 
 
-def _similar(docs: DataFrame, words_in_shingle: int, least: float) -> tuple[DataFrame, int]:
-    """The result of ``similar_documents``, and a bound on its rows."""
+def _similar(docs: DataFrame, words_in_shingle: int, least: float) -> tuple[DataFrame, int, Callable[..., DataFrame]]:
+    """The result of ``similar_documents`` by nodes, a bound on its rows, and the function that names nodes."""
     scratch = Scratch(docs.sparkSession, "similar")
-    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    light, repeated, named = documents(docs, scratch)
+    light = light.withColumnRenamed("node", "doc_id")
     rows = scratch.write(sign(light, 3, SIGNATURES), "rows")
     n = rows.count()
     distinct = rows.groupBy("signature", "print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     distinct = scratch.write(distinct, "distinct", n)
-    wide = print_links(distinct.drop("n"), WIDE, WIDE_PARTS, scratch)
+    wide = print_links(distinct.drop("n"), WIDE, WIDE_PARTS, scratch, FORESTS)
     equal = rows.join(distinct.filter("n > 1"), ["signature", "print"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    candidates = scratch.write(wide.unionAll(equal).unionAll(short_candidates(light, words_in_shingle, least, scratch)).filter("u != v").distinct(), "candidates", n)
-    named = scratch.write(candidates.select("u").unionAll(candidates.select("v")).distinct().withColumnRenamed("u", "doc_id"), "named", n)
-    sets = arrow_map(light.join(small(named, limit=SENT_IDS), "doc_id", "left_semi"), _shingler(words_in_shingle), "doc_id long, shingles array<long>", "text")
-    sets = scratch.write(sets.dropDuplicates(["doc_id"]), "sets", 20 * n)  # rows hold whole texts' shingles
-    first = candidates.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
-    both = first.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
-    links = scratch.write(arrow_map(both, _verifier(least), "u long, v long"), "verified", 8 * n)
-    return components(links, scratch).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id"), n
+    candidates = wide.unionAll(equal).unionAll(short_candidates(light, words_in_shingle, least, scratch)).filter("u != v")
+    candidates = scratch.write(candidates.distinct(), "candidates", n)
+    nodes = scratch.write(candidates.select("u").unionAll(candidates.select("v")).distinct().withColumnRenamed("u", "doc_id"), "named", n)
+    sets = arrow_map(light.join(small(nodes, limit=SENT_IDS), "doc_id", "left_semi"), _shingler(words_in_shingle), "doc_id long, shingles array<long>", "text")
+    sets = scratch.write(sets.dropDuplicates(["doc_id"]) if repeated else sets, "sets")
+    links = scratch.write(verified(candidates, sets, least), "verified", 8 * n)
+    found = components(links, scratch).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")
+    return found, n, named
 
 
 def keep_representatives(docs: DataFrame, words_in_shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one document, the smallest doc_id, of each similar group, in their own columns."""
-    found, n = _similar(docs, words_in_shingle, least)
+    """``docs`` with one document, the smallest doc_id, of each similar group, in their own columns.
+
+    Rows that repeat doc_id and text stay or go together; of those with another
+    text each is a document, and which of a group stays is settled by a hash.
+    Nulls, empty texts and empty tables are as in ``similar_documents``.
+    """
+    found, n, named = _similar(docs, words_in_shingle, least)
     scratch = Scratch(docs.sparkSession, "near")
-    gone = scratch.write(found.filter("doc_id != component_id").select("doc_id"), "gone", n)
-    return without(docs, gone, doc_id=F.col("doc_id").cast("long"))
+    gone = scratch.write(named(found.filter("doc_id != component_id").select("doc_id", F.col("doc_id").alias("node")), "doc_id"), "gone", n)
+    kept = without(docs, gone.filter("doc_id = node").select("doc_id"), doc_id=F.col("doc_id").cast("long"))
+    hashed = gone.filter("doc_id != node").select("node")
+    return kept if hashed.isEmpty() else without(kept, hashed, node=F.xxhash64(F.col("doc_id").cast("long"), "text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

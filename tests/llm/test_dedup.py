@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -427,3 +428,54 @@ def test_similar_short_documents(spark):
     want = {i: c for i, c in enumerate(brute_components(len(rows), linked)) if any(i in pair for pair in linked)}
     assert len(linked) >= 100
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, rows)).collect()} == want
+
+
+def test_similar_documents_of_a_family(spark):
+    rng = random.Random(31)
+    rows = []
+    for size, variants in ((60, 60), (200, 30)):
+        base = text(rng, size).split()
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(variants):
+            own = list(base)
+            for at in rng.sample(range(size), size // 60):
+                own[at] = text(rng, 1)
+            rows.append((len(rows), " ".join(own)))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = brute_components(len(rows), linked)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    same = [got.get(i, i) == want[i] for i in range(len(rows))]
+    assert sum(same) >= 0.95 * len(rows)
+
+
+def test_similar_documents_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SALT_ROWS", 3)
+    rng = random.Random(9)
+    one, two = text(rng, 80), text(rng, 80)
+    near = f"{one} more"
+    rows = [(7, one), (7, two), (7, two), (8, near), (9, f"{two} more"), (10, text(rng, 80)), (None, one), *((20 + i, f"{one} {text(rng, 1)}") for i in range(12))]
+    docs = frame(spark, rows, SCHEMA + ", node long, again long, salt long, salts long")
+    kept = simhash.keep_representatives(docs).collect()
+    texts = Counter(r["text"] for r in kept)
+    assert texts[None] == 0 and sum(near in t or one in t for t in texts) <= 2  # with the row without an id
+    assert sum(two in t for t in texts) == 1 and rows[5][1] in texts
+
+
+@pytest.mark.parametrize("near, parts", [(3, 2), (7, 4)])
+def test_crowded_shards_lose_no_link(spark, monkeypatch, near, parts):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 40)
+    rng = np.random.default_rng(near)
+    # Half of the prints share their lower half within a bit; some of them differ in few upper bits.
+    low = np.uint64(0x1234567) ^ (np.uint64(1) << rng.integers(0, 32, 700).astype(np.uint64))
+    high = rng.integers(0, 2**32, 700).astype(np.uint64)
+    for i in range(0, 200, 2):
+        high[i + 1] = high[i] ^ (np.uint64(1) << np.uint64(rng.integers(0, 32)))
+    prints = np.unique(np.concatenate([low | high << np.uint64(32), rng.integers(0, 2**63, 700).astype(np.uint64)]))
+    distance = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    want = brute_components(len(prints), [tuple(x) for x in np.argwhere(distance <= near)])
+    rows = [(0, int(p), i) for i, p in enumerate(prints.view(np.int64))]
+    distinct = spark.createDataFrame(rows, "signature long, print long, rep long")
+    links = [tuple(r) for r in simhash.print_links(distinct, near, parts, Scratch(spark, "t")).collect()]
+    assert all(distance[u, v] <= near for u, v in links)
+    assert brute_components(len(prints), links) == want
