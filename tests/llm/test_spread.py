@@ -37,26 +37,61 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
 
 
-def test_routing_meets_each_close_pair_once():
-    rng = np.random.default_rng(9)
-    values = rng.normal(size=(500, embeddings.LEVELS))
-    values = np.concatenate([values, values[:200] + rng.normal(size=(200, embeddings.LEVELS)) * 0.1])
-    tree = embeddings.grow(values, 16, 0.8)
-    row, shard, home = embeddings.route(values, tree, 0.8)
-    assert sorted(row[home].tolist()) == list(range(700))
-    at = {(r, s): h for r, s, h in zip(row.tolist(), shard.tolist(), home.tolist())}
-    for i in range(200):
-        met = [s for (r, s), h in at.items() if r == i and (500 + i, s) in at and (h or at[500 + i, s])]
-        assert len(met) == 1
-
-
-def test_odd_vectors(spark):
-    nan, inf = float("nan"), float("inf")
-    one = [1.0, 0.0]
-    rows = [(1, one, 0), (2, one, 1), (3, None, 0), (4, [0.0, 0.0], 0), (5, [nan, 1.0], 0), (6, [inf, 1.0], 0), (7, [None, 1.0], 0), (8, [1.0, 0.0, 0.0], 0), (9, [], 0), (None, one, 0), (2, one, 0)]
-    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(vectors(spark, rows)).collect())
-    assert got == [(0, 3, 1), (1, 3, 1), (2, 3, 1), (2, 3, 1)] + [(i, 0, i) for i in range(3, 10)]
-    assert embeddings.near_duplicates(vectors(spark, [])).count() == 0
+@pytest.mark.parametrize("dimension, shards, copies", [(64, 256, 10), (64, 4096, 15), (768, 4096, 15)])
+def test_shards_hold_close_pairs_with_few_copies(monkeypatch, dimension, shards, copies):
+    rng = np.random.default_rng(dimension + shards)
+    n, pairs = 30_000, 3_000
+    one = embeddings.unit(rng.standard_normal((n, dimension)))
+    beside = rng.standard_normal((pairs, dimension))
+    beside = embeddings.unit(beside - (beside * one[:pairs]).sum(1, keepdims=True) * one[:pairs])
+    other = 0.95 * one[:pairs] + np.sqrt(1 - 0.95**2) * beside  # at the threshold itself
+    dealer = embeddings.Dealer(one, shards * embeddings.SHARD_ROWS, 0.95, 7)
+    assert len(dealer.trees) <= copies
+    met = (dealer.leaves(one[:pairs]) == dealer.leaves(other)).any(1).mean()
+    assert met >= 0.95
+    largest = max(np.bincount(leaves).max() for leaves in dealer.leaves(one).T)
+    assert largest < 6 * n / shards + 20
+
+
+def brute_links(vectors, cosine=0.95):
+    out = []
+    for i, a in enumerate(vectors):
+        for j, b in enumerate(vectors[:i]):
+            if len(a) == len(b) and float(np.dot(a, b)) >= cosine * float(np.linalg.norm(a)) * float(np.linalg.norm(b)):
+                out.append((i, j))
+    return out
+
+
+def test_vectors_of_all_lengths_and_sizes(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SHARD_ROWS", 30)
+    rng = np.random.default_rng(2)
+    base = [list(rng.normal(size=d)) for d in (2, 3, 3, 5, 16, 16, 16) for _ in range(15)]
+    rows = base + [[x * 1e39 for x in v] for v in base] + [[x * 1e200 for x in v] for v in base[:20]] + [[x * 1e-200 for x in v] for v in base[:20]]
+    scaled = [np.array(v) / np.abs(v).max() for v in rows]
+    want = np.zeros(len(rows), int)
+    pairs = brute_links(scaled)
+    for i, j in pairs:
+        want[i] += 1
+        want[j] += 1
+    docs = spark.createDataFrame([(i, [float(x) for x in v], "x", 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, h string, rep long").repartition(3)
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(docs).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(rows))])
+    assert (links <= want).all() and links.sum() >= 0.95 * want.sum()
+    root = brute_components(len(rows), pairs)
+    assert np.mean([got[i]["component_id"] == root[i] for i in range(len(rows))]) >= 0.95
+    long = spark.createDataFrame([(i, [float(i % 3 == 0), *[1.0] * 20_000]) for i in range(4)], "vec_id long, embedding array<float>")
+    assert [r["n_links"] for r in embeddings.near_duplicates(long).collect()] == [3] * 4
+
+
+def test_dense_groups_are_counted_in_full(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SHARD_ROWS", 100)
+    monkeypatch.setattr(embeddings, "VERIFIED", 500)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=32)
+    rows = [*(centre + 0.02 * rng.normal(size=(600, 32))), *rng.normal(size=(600, 32))]
+    got = embeddings.near_duplicates(vectors(spark, [(i, [float(x) for x in v], 0) for i, v in enumerate(rows)])).collect()
+    links = {r["vec_id"]: r["n_links"] for r in got}
+    assert all(links[i] == 599 for i in range(600)) and sum(links[i] for i in range(600, 1200)) == 0
 
 
 # -- sharding ---------------------------------------------------------------
