@@ -130,6 +130,45 @@ def test_token_counts_repeated_rows(spark, tmp_path):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_equal_normalised_content_has_equal_counts(spark, tmp_path, name):
+    path = public_tokenizers.path(name)
+    rng = random.Random(6)
+    texts = [*(t or "" for t in ODD), "A b", "a B", "a\u2581b", "a b", "e\u0301", "\u00e9", "a  b", *("".join(rng.choices(" ab\u2581\u00a0\u0301Ae\n<|>", k=20)) for _ in range(300))]
+    normal, counts = tokens.normaliser(path)(texts), tokens.encoder(path)(texts)
+    by = {}
+    for n, c in zip(normal, counts):
+        assert by.setdefault(n, c) == c
+    got = tokens.count_tokens(frame(spark, list(enumerate(texts))), path, f"file://{tmp_path}/c")
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == dict(enumerate(counts))
+    assert spark.read.parquet(f"file://{tmp_path}/c").count() == len(by)
+
+
+@pytest.mark.parametrize("sent, hot", [(0, 1000), (3, 1000), (500_000, 2)])
+def test_token_counts_by_every_way(spark, tmp_path, monkeypatch, sent, hot):
+    monkeypatch.setattr(tokens, "SENT_IDS", sent)
+    monkeypatch.setattr(tokens, "HOT_ROWS", hot)
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(3)
+    rows = [*((i, text(rng, 30)) for i in range(40)), *((100 + i, "copied text") for i in range(30)), (1, "copied text"), (1, "other"), (None, "x"), (None, None), (5, "copied text")]
+    count = tokens.encoder(path)
+    for _ in range(2):
+        got = tokens.count_tokens(frame(spark, rows, SCHEMA + ", digest string, n_bytes long, first_id long, id long, wanted boolean"), path, f"file://{tmp_path}/c").collect()
+        assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in got) == sorted((d or -1, count([t or ""])[0]) for d, t in rows)
+        assert spark.read.parquet(f"file://{tmp_path}/c").count() == len({t or "" for _, t in rows})
+
+
+def test_token_query_reads_its_cache_again(spark, tables, tmp_path, monkeypatch):
+    spark.conf.set(tokens.CACHE_SETTING, f"file://{tmp_path}/kept")
+    try:
+        once = sorted(map(tuple, tokens.query(spark, tables).collect()))
+        size = spark.read.parquet(f"file://{tmp_path}/kept").count()
+        monkeypatch.setattr(tokens, "_counter", lambda *_: pytest.fail("nothing is left to encode"))
+        assert sorted(map(tuple, tokens.query(spark, tables).collect())) == once
+        assert spark.read.parquet(f"file://{tmp_path}/kept").count() == size
+    finally:
+        spark.conf.unset(tokens.CACHE_SETTING)
+
+
 # -- packing ----------------------------------------------------------------
 
 
