@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import quotient
 from .arrow import arrow_map
-from .scratch import Scratch, packed, shuffle_partitions, small, table, without
+from .scratch import Scratch, packed, shuffle_partitions, small, table, temporary, without
 
 #: The bytes that normalisation deletes.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -175,6 +175,7 @@ def _decided(docs: DataFrame) -> tuple[DataFrame, int]:
     else:
         joined = joined.join(small(tied), ["print", "sha"], "left")
         stays = may_stay & F.coalesce(F.col("raw") == F.col("only"), F.lit(True))
+    scratch.drop("often")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     decided = joined.select(
         "doc_id",
@@ -195,9 +196,11 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     """
     decided, n = _decided(docs)
     scratch = Scratch(docs.sparkSession, "dropped")
-    repeated = decided.filter("group_size > 1")
-    known = repeated.groupBy("doc_id", "raw").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    known = scratch.write(known, "known", n)
+    with temporary():
+        decided, n = _decided(docs)
+        repeated = decided.filter("group_size > 1")
+        known = repeated.groupBy("doc_id", "raw").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+        known = scratch.write(known, "known", n)
     dropped, again = known.filter("not kept").select("doc_id", "raw"), known.filter("kept and n > 1").select("doc_id", "raw")
     keys = {"doc_id": F.col("doc_id").cast("long"), "raw": F.xxhash64("text")}
     if again.isEmpty():

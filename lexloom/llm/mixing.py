@@ -141,7 +141,9 @@ def mixture(docs: DataFrame, seed: int = 5, quality: Column | None = None) -> tu
     some = part.filter("times > 0").select("src", "key", "draw", "times").unionAll(filler).groupBy("src", "key", "draw").agg(F.sum("times").alias("times"))
     some = some.groupBy("src").agg(F.collect_list(F.struct("key", "draw", "times")).alias("some"))  # two at most
     plan = plan.drop("rest").join(cuts.drop("gap"), "src", "left").join(some, "src", "left").withColumn("buckets", F.lit(buckets))
-    return rows, scratch.write(plan, "final")
+    plan = scratch.write(plan, "final")
+    scratch.keep("rows", "final")
+    return rows, plan
 
 
 def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import arrow_map
-from .scratch import Scratch, sampled, table, without
+from .scratch import Scratch, sampled, table, temporary, without
 
 #: Labelled rows that are learned from at most, by a hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -198,9 +198,10 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     together; without labels every row stays; empty tables give no rows.
     """
     scratch = Scratch(docs.sparkSession, "rejected")
-    scored, n = _scored(docs, labels)
-    bad = scored.filter(F.col("score") < GOOD)
-    bad = scratch.write(bad.select("doc_id", "raw").distinct(), "rows", n)
+    with temporary():
+        scored, n = _scored(docs, labels)
+        bad = scored.filter(F.col("score") < GOOD)
+        bad = scratch.write(bad.select("doc_id", "raw").distinct(), "rows", n)
     return without(docs, bad, doc_id=F.col("doc_id").cast("long"), raw=F.xxhash64("text"))
 
 

@@ -7,10 +7,13 @@ re-read instead of a recomputation.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +43,31 @@ def _local_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="lexloom-")
 
 
+#: Runs that begin inside ``temporary``.
+_made: contextvars.ContextVar[list[Scratch] | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Delete, at the end, the tables of all runs that began inside: what is needed of them must be written elsewhere by then."""
+    mark = _made.set([])
+    try:
+        yield
+    finally:
+        runs = _made.get()
+        _made.reset(mark)
+        for run in runs:
+            run.keep()
+
+
 class Scratch:
     """Tables of one run of an operator, each written once and then reread."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if _made.get() is not None:
+            _made.get().append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -60,9 +82,20 @@ class Scratch:
 
     def drop(self, table: str) -> None:
         """Delete a table that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = self._at(self.path(table))
+        files.delete(where, True)
+
+    def keep(self, *tables: str) -> None:
+        """Delete all tables but these."""
+        where, files = self._at(self.root)
+        if files.exists(where):
+            for found in files.listStatus(where):
+                if found.getPath().getName() not in tables:
+                    files.delete(found.getPath(), True)
+
+    def _at(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

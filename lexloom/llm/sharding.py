@@ -74,6 +74,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 11) -> Data
         .drop("rank", "of"),
         "ranked",
     )
+    scratch.keep("ranked")
     order = [F.col("fraction"), F.col("src"), *order]
     placed = rank_in_buckets(ranked, [], "bucket", order, "place")
     # Shard s starts at the first place p with p * n_shards // total == s.

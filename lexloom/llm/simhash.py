@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .arrow import arrow_map
 from .components import Union, components
 from .identity import documents
-from .scratch import Scratch, sampled, small, table, without
+from .scratch import Scratch, sampled, small, table, temporary, without
 
 SEED = 42
 #: Bits in which linked fingerprints differ at most.
@@ -328,6 +328,7 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     found = components(print_links(distinct, NEAR, 2, scratch), scratch).withColumnRenamed("node", "rep")
     classes = distinct.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     classes = scratch.write(classes, "classes", rows.count())
+    scratch.keep("rows", "classes")
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
     return rows.join(classes, "print", "left").select("doc_id", hexed, "component_id")
 
@@ -475,9 +476,11 @@ def keep_representatives(docs: DataFrame, words_in_shingle: int = 5, least: floa
     text each is a document, and which of a group stays is settled by a hash.
     Nulls, empty texts and empty tables are as in ``similar_documents``.
     """
-    found, n, named = _similar(docs, words_in_shingle, least)
     scratch = Scratch(docs.sparkSession, "near")
-    gone = scratch.write(named(found.filter("doc_id != component_id").select("doc_id", F.col("doc_id").alias("node")), "doc_id"), "gone", n)
+    with temporary():
+        found, n, named = _similar(docs, words_in_shingle, least)
+        gone = found.filter("doc_id != component_id").select("doc_id", F.col("doc_id").alias("node"))
+        gone = scratch.write(named(gone, "doc_id"), "gone", n)
     kept = without(docs, gone.filter("doc_id = node").select("doc_id"), doc_id=F.col("doc_id").cast("long"))
     hashed = gone.filter("doc_id != node").select("node")
     return kept if hashed.isEmpty() else without(kept, hashed, node=F.xxhash64(F.col("doc_id").cast("long"), "text"))
