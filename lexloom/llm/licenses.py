@@ -92,29 +92,71 @@ TEMPLATES = {
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
     "CC0-1.0": ("Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
 }
+#: What follows a wording, given by its first word and its license, in the license's whole body.
+DISCLAIMERS = {
+    ("Permission", "MIT"): (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    ("Redistribution", "BSD-3-Clause"): (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+        "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+        "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    ("Permission", "ISC"): (
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+        "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE.",
+    ),
+}
+DISCLAIMERS["Redistribution", "BSD-2-Clause"] = DISCLAIMERS["Redistribution", "BSD-3-Clause"]
+#: Further identifiers of which only the tag is known.
+IDENTIFIERS = (
+    "AGPL-3.0-only AGPL-3.0-or-later Artistic-2.0 BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 GPL-2.0-only "
+    "GPL-3.0-only LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later OFL-1.1 PostgreSQL Unlicense WTFPL Zlib"
+)
 # End of the fixed values.
 
+
+def _whole() -> dict[str, tuple[str, ...]]:
+    """TEMPLATES with whole bodies and with the tags of all identifiers."""
+    out = dict(TEMPLATES)
+    for (first, name), (rest,) in DISCLAIMERS.items():
+        out[name] += tuple(f"{w} {rest}" for w in TEMPLATES[name] if w.startswith(first + " "))
+    for name in IDENTIFIERS.split():
+        out[name] = (*out.get(name, ()), f"SPDX-License-Identifier: {name}")
+    return out
+
+
 _TRIGGER = re.compile(
     rb"licen[sc]|copyright|public domain|permission|redistribut|free software|creative commons|spdx|warrant|unencumbered|"
     rb"released under|\bcc[ -]by|\bcc0|\bgpl|\bmozilla",
     re.I,
 )
 _WORD = re.compile(rb"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
-#: Bytes of a block around each trigger at most, either way.
-REACH = 1500
+#: Bytes of a block around each trigger, either way, as a multiple of the longest template's.
+REACH = 1.5
 #: A template must shrink what it covers by this share of its size.
 LEAST_GAIN = 0.15
 #: Words that may differ, as a share of the template's; none in notices shorter than SHORT words.
 DIFFERENT, SHORT = 0.1, 20
 
 
-def blocks(text: bytes) -> list[tuple[int, int]]:
-    """Byte ranges of whole lines around each trigger, joined where they touch or only blank lines part them."""
+def blocks(text: bytes, trigger: re.Pattern = _TRIGGER, reach: int = 1500) -> list[tuple[int, int]]:
+    """Byte ranges around each trigger, to the next blank line or for ``reach`` bytes, joined where they touch or only blank lines part them."""
     out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for m in trigger.finditer(text):
+        low, high = max(0, m.start() - reach), min(len(text), m.end() + reach)
         start = text.rfind(b"\n\n", low, m.start())
-        start = start + 2 if start >= 0 else text.find(b"\n", low, m.start()) + 1 if low and b"\n" in text[low : m.start()] else low
+        start = start + 2 if start >= 0 else low
         end = text.find(b"\n\n", m.end(), high)
         end = end if end >= 0 else high
         if out and (start <= out[-1][1] or not text[out[-1][1] : start].strip()):
@@ -130,6 +172,11 @@ class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.templates = []
+        known = [w.encode() for wordings in templates.values() for w in wordings]
+        self.reach = int(REACH * max(map(len, known), default=0))
+        # A wording without any of the usual words is looked for by its longest one.
+        own = {max(_WORD.findall(w), key=len, default=b"") for w in known if not _TRIGGER.search(w)} - {b""}
+        self.trigger = re.compile(b"|".join([_TRIGGER.pattern, *(rb"\b%s\b" % re.escape(w) for w in sorted(own))]), re.I)
         for name, wordings in templates.items():
             for text in wordings:
                 data = text.encode()
@@ -137,14 +184,14 @@ class Scanner:
                 words = [w.lower() for w in _WORD.findall(data)]
                 self.templates.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False)))
 
-    def scan(self, text: bytes) -> list[tuple[str, int, int, float, int, str]]:
-        """(license, start byte, end byte, gain, differing words, the differences)."""
+    def scan(self, text: bytes) -> list[tuple[str, int, int, float, int, str, int]]:
+        """(license, start byte, end byte, gain, differing places, the differences, differing words)."""
         out = []
-        for start, end in blocks(text):
+        for start, end in blocks(text, self.trigger, self.reach):
             out += self.block(text[start:end], start)
         return out
 
-    def block(self, block: bytes, offset: int) -> list[tuple[str, int, int, float, int, str]]:
+    def block(self, block: bytes, offset: int) -> list[tuple[str, int, int, float, int, str, int]]:
         found = []
         places = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
         words = [w for w, _, _ in places]
@@ -161,14 +208,14 @@ class Scanner:
                 size = len(self.plain.compress(block[start:end]))
                 gain = (size - len(compressor.compress(block[start:end]))) / size
                 if gain >= LEAST_GAIN:
-                    found.append((name, offset + start, offset + end, float(gain), len(changes), "; ".join(changes), len(wanted), 2 * n))
+                    found.append((name, offset + start, offset + end, float(gain), len(changes), "; ".join(changes), n, len(wanted)))
         # The wording that explains most words wins where several cover the same.
-        found.sort(key=lambda f: (f[7] - f[6], -f[3], f[0]))
+        found.sort(key=lambda f: (2 * f[6] - f[7], -f[3], f[0]))
         kept: list[tuple] = []
         for f in found:
             if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
                 kept.append(f)
-        return [k[:6] for k in sorted(kept, key=lambda k: k[1])]
+        return [k[:7] for k in sorted(kept, key=lambda k: k[1])]
 
     @staticmethod
     def wordings(words: list[bytes], wanted: list[bytes]) -> list[tuple[int, int, int, list[str]]]:
@@ -230,7 +277,7 @@ def _scanner(templates):
             ]
             if not rows:
                 return None
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.int64()]
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_COLUMNS)
 
         return each
@@ -238,21 +285,22 @@ def _scanner(templates):
     return make
 
 
-_COLUMNS = ["doc_id", "license", "start_byte", "end_byte", "gain", "n_differences", "differences"]
+_COLUMNS = ["doc_id", "license", "start_byte", "end_byte", "gain", "n_differences", "differences", "n_words_different"]
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """License wordings in the whole texts of ``docs`` (doc_id, text), one row each.
 
     doc_id, license, start_byte, end_byte, gain (the share of its size that the
     template saves), n_differences and differences (changed places of the
-    wording).  Null and empty texts hold none; rows that repeat are scanned
+    wording), and n_words_different there.  Where wordings overlap, the one that
+    explains most words is named, of equal ones that saved most, then by name.  Null and empty texts hold none; rows that repeat are scanned
     each; a null doc_id stays null; empty tables give no rows; further columns
     are ignored.
     """
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, license string, start_byte long, end_byte long, gain double, n_differences long, differences string"
-    return arrow_map(light, _scanner(templates), schema, "text")
+    schema = "doc_id long, license string, start_byte long, end_byte long, gain double, n_differences long, differences string, n_words_different long"
+    return arrow_map(light, _scanner(_whole() if templates is None else templates), schema, "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,48 @@ def test_every_template_finds_itself(name):
         assert [f[0] for f in found] == [name], wording
 
 
+def brute_wordings(text):
+    """Every place where a whole wording stands, word by word."""
+    words = [(m[0].lower(), m.start(), m.end()) for m in licenses._WORD.finditer(text)]
+    only, out = [w for w, _, _ in words], []
+    for name, wordings in licenses._whole().items():
+        for wording in wordings:
+            wanted = [w.lower() for w in licenses._WORD.findall(wording.encode())]
+            for i in range(len(only) - len(wanted) + 1):
+                if only[i] == wanted[0] and only[i : i + len(wanted)] == wanted:
+                    out.append((len(wanted), name, words[i][1], words[i + len(wanted) - 1][2]))
+    kept = []
+    for _, name, start, end in sorted(out, key=lambda f: -f[0]):
+        if all(end <= k[1] or start >= k[2] for k in kept):
+            kept.append((name, start, end))
+    return {(start, end) for _, start, end in kept}
+
+
+@pytest.mark.parametrize("around", [0, 1, 5, 60, 1_000, 20_000])
+def test_wordings_match_brute_force(around):
+    rng, scanner = random.Random(around), licenses.Scanner(licenses._whole())
+    notices = [w for wordings in licenses._whole().values() for w in wordings]
+    for part in range(3 if around < 20_000 else 1):
+        chosen = rng.sample(notices, 12) + rng.choices(notices, k=2) if around < 20_000 else rng.sample(notices, 4)
+        gap = lambda: text(rng, around) + rng.choice([" ", "\n", "\n\n", ". "])
+        whole = (gap() + "".join(f"{w}{rng.choice([' ', chr(10)])}{gap()}" for w in chosen)).encode()
+        found = scanner.scan(whole)
+        assert {(f[1], f[2]) for f in found if f[4] == 0} == brute_wordings(whole)
+        assert len(found) >= len(brute_wordings(whole))
+
+
+def test_copies_and_changes_in_one_block(spark):
+    mit = licenses._whole()["MIT"][-1]
+    changed = mit.replace("sublicense", "resell").replace("substantial portions", "big parts")
+    for whole in (f"{changed} {mit}", f"{mit} {mit}", f"{mit} {changed} {mit}", f"words {changed}\n\n{changed}"):
+        assert [f[0] for f in licenses.Scanner(licenses._whole()).scan(whole.encode())] == ["MIT"] * (whole.count("Permission is"))
+    own = {"Own": ("Zanzibar quokka marmalade.",)}
+    assert [f[0] for f in licenses.Scanner(own).scan(b"before zanzibar quokka marmalade behind")] == ["Own"]
+    rows = [(1, changed), (1, changed), (2, mit), (3, "x " * 200_000 + mit), (4, None)]
+    got = licenses.scan_licenses(frame(spark, rows, SCHEMA + ", license string, gain double")).collect()
+    assert sorted((r["doc_id"], r["n_differences"], r["n_words_different"]) for r in got) == [(1, 2, 3), (1, 2, 3), (2, 0, 0), (3, 0, 0)]
+
+
 # -- quality ----------------------------------------------------------------
 
 
