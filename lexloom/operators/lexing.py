@@ -20,7 +20,9 @@ EXTENSIONS = {
     "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
 }
 OTHER_EXTENSIONS = {"go": "go", "py": "python", "rs": "rust"}
-_LEXERS: dict[str, Lexer] = {ext: tsjs.scan for ext in EXTENSIONS}
+#: Extensions whose files hold no elements, where "<" may begin a type.
+_PLAIN = ("ts", "mts", "cts")
+_LEXERS: dict[str, Lexer] = {ext: tsjs.scan if ext in _PLAIN else tsjs.scan_jsx for ext in EXTENSIONS}
 #: Characters of a batch of token rows.
 _BATCH_ROWS = 20_000
 
@@ -60,7 +62,7 @@ def lex_text(path: str, text: str) -> list[tuple]:
     """Token rows of one file; ValueError if no lexer takes its extension."""
     ext = extension_of(path)
     if ext not in _LEXERS:
-        raise ValueError(f"no frontend supports {path}")
+        raise ValueError(f"{path}: there is no frontend for files like it")
     return token_rows(path, EXTENSIONS[ext], text, _LEXERS[ext](text, EXTENSIONS[ext]))
 
 

@@ -1,8 +1,8 @@
 """A scanner for TypeScript and JavaScript.
 
 It yields the leaves that a full parser would, without parsing: lexing is
-exact up to the choice between division and regular expression, and a stack of
-bracket roles tells blocks from objects, members from expressions and types
+exact up to the choice between division and regular expression and between
+comparison and element, and a stack of bracket roles tells blocks from objects, members from expressions and types
 from values.  It never fails: whatever it cannot place is a symbol.
 """
 
@@ -46,6 +46,8 @@ _LEX = re.compile(
     re.X | re.S,
 )
 _REGEX = re.compile(r"/((?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+)/([A-Za-z]*)")
+#: Kinds of pieces that brackets come as.
+_BRACKETS = ("punct", "jsx_brace")
 #: Behind these a value ends, so a slash divides and a bracket indexes or calls.
 _VALUE_END = frozenset((")", "]", "}", "++", "--"))
 _BEFORE_EXPRESSION = frozenset("= ( , [ ? => && || ?? ! : + - * / % & | ^ ~ < > == === != !== <= >= += -= *= /= %= **= ... ** << >> >>>".split())
@@ -86,45 +88,151 @@ def _template_end(text: str, at: int) -> int:
     return n
 
 
-def _split(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, lexical kind, text), blanks left out, regexes in their parts."""
-    out: list[tuple[int, int, str, str]] = []
-    at, n = 0, len(text)
-    before: tuple[str, str] | None = None  # kind and text of the last lexeme that is no comment
-    parens: list[bool] = []  # whether each open ( heads a statement
-    after_head = False
-    while at < n:
-        if at == 0 and text.startswith("#!"):
-            end = text.find("\n")
-            end = n if end < 0 else end
-            out.append((0, end, "hashbang", text[:end]))
-            at = end
-            continue
+_JSX = re.compile(
+    r"""(?P<blank>\s+)
+    |(?P<comment>//[^\n\r]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z))
+    |(?P<string>"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))
+    |(?P<name>[^\W\d][\w$-]*|\$[\w$-]*)
+    |(?P<jsx>/>|</|[<>=.:])
+    |(?P<brace>\{)
+    |(?P<odd>.)""",
+    re.X | re.S,
+)
+_JSX_TEXT = re.compile(r"[^<>{}&]+")
+_ENTITY = re.compile(r"&(?:\#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7})|[A-Za-z]{1,29});")
+_TAG = re.compile(r"<\s*(?:(?P<name>[^\W\d][\w$.:-]*|\$[\w$.:-]*)|(?P<fragment>>))")
+#: Type parameters of an arrow function, which look like a tag.
+_GENERIC = re.compile(r"<\s*(?:const\s+)?[\w$]+\s*(?:,|=(?![\s]*[\"'{<])|extends\b(?!\s*[=/>]))")
+
+
+class _Splitter:
+    """First pass: (start, end, lexical kind, text), blanks left out, regexes in their parts.
+
+    Code may hold elements where ``jsx`` says so, and elements hold code in
+    braces: a stack tells which is read.  Kinds of what an element is made of
+    begin with "jsx".
+    """
+
+    def __init__(self, text: str, jsx: bool):
+        self.text, self.jsx = text, jsx
+        self.out: list[tuple[int, int, str, str]] = []
+        self.before: tuple[str, str] | None = None  # kind and text of the last lexeme that is no comment
+        self.parens: list[bool] = []  # whether each open ( heads a statement
+        self.after_head = False
+        #: What encloses the place: ["code", braces open in it], "tag", "closing" or "children".
+        self.inside: list = [["code", 0]]
+        self.closings: dict[str, int] = {}  # where the last closing tag of a name stands
+
+    def put(self, start: int, end: int, kind: str) -> int:
+        self.out.append((start, end, kind, self.text[start:end]))
+        if kind != "comment":
+            self.before = (kind, self.text[start:end])
+        return end
+
+    def pieces(self) -> list[tuple[int, int, str, str]]:
+        at, n = 0, len(self.text)
+        if self.text.startswith("#!"):
+            end = self.text.find("\n")
+            at = n if end < 0 else end
+            self.out.append((0, at, "hashbang", self.text[:at]))
+        while at < n:
+            mode = self.inside[-1]
+            at = self.children(at) if mode == "children" else self.code(at) if isinstance(mode, list) else self.tag(at)
+        return self.out
+
+    def code(self, at: int) -> int:
+        text = self.text
         m = _LEX.match(text, at)
         kind, value, end = m.lastgroup, m[0], m.end()
         if kind == "blank":
-            at = end
-            continue
+            return end
         if kind == "template":
             end = _template_end(text, at)
-            value = text[at:end]
-        elif kind == "punct" and value[0] == "/" and _regex_may_start(before, after_head) and (r := _REGEX.match(text, at)):
-            out += [(at, at + 1, "slash", "/"), (at + 1, r.end(1), "pattern", r[1]), (r.end(1), r.end(1) + 1, "slash", "/")]
+        elif kind == "punct" and value[0] == "/" and _regex_may_start(self.before, self.after_head) and (r := _REGEX.match(text, at)):
+            self.out += [(at, at + 1, "slash", "/"), (at + 1, r.end(1), "pattern", r[1]), (r.end(1), r.end(1) + 1, "slash", "/")]
             if r[2]:
-                out.append((r.start(2), r.end(), "flags", r[2]))
-            at, before = r.end(), ("regex", "/")
-            continue
-        out.append((at, end, kind, value))
-        at = end
+                self.out.append((r.start(2), r.end(), "flags", r[2]))
+            self.before = ("regex", "/")
+            return r.end()
+        elif kind == "punct" and value[0] == "<" and self.element_starts(at):
+            self.after_head = False
+            self.inside.append("tag")
+            return self.put(at, at + 1, "jsx")
+        elif kind == "punct" and value == "}" and len(self.inside) > 1 and self.inside[-1][1] == 0:
+            self.inside.pop()  # the code that an element holds ends
+            return self.put(at, at + 1, "jsx_brace")
+        opens = kind == "punct" and value in "{}"
+        if opens:
+            self.inside[-1][1] = max(0, self.inside[-1][1] + (1 if value == "{" else -1))
+        head = self.before
+        self.put(at, end, kind)
         if kind == "comment":
-            continue
-        after_head = False
+            return end
+        self.after_head = False
         if value == "(":
-            parens.append(before is not None and before[1] in ("if", "while", "for", "with"))
-        elif value == ")" and parens:
-            after_head = parens.pop()
-        before = (kind, value)
-    return out
+            self.parens.append(head is not None and head[1] in ("if", "while", "for", "with"))
+        elif value == ")" and self.parens:
+            self.after_head = self.parens.pop()
+        return end
+
+    def element_starts(self, at: int) -> bool:
+        """Whether an element opens at the "<" here: where a value is expected, and closed somewhere."""
+        if not self.jsx or self.before is not None and self.before[1] == "}" or not _regex_may_start(self.before, self.after_head):
+            return False
+        m = _TAG.match(self.text, at)
+        if not m or _GENERIC.match(self.text, at):
+            return False
+        name = m["name"] or ""
+        if name not in self.closings:
+            self.closings[name] = max((c.start() for c in re.finditer(r"</\s*" + re.escape(name), self.text)), default=-1)
+            self.closings.setdefault("/>", self.text.rfind("/>"))
+        bare = self.text[m.end() : m.end() + 1] == ">" or not name
+        return self.closings[name] > at or not bare and self.closings["/>"] > at
+
+    def tag(self, at: int) -> int:
+        """A piece of an opening or closing tag."""
+        m = _JSX.match(self.text, at)
+        kind, value, end = m.lastgroup, m[0], m.end()
+        if kind == "blank":
+            return end
+        if kind == "brace":
+            self.inside.append(["code", 0])
+            self.after_head = False
+            return self.put(at, end, "jsx_brace")
+        if kind == "name":
+            last = self.before[1]
+            return self.put(at, end, "jsx_name" if last in ("<", "</") else "jsx_property" if last == "." else "jsx_name" if last == ":" else "jsx_attribute")
+        if kind == "jsx" and value == "<" and self.before[1] != "=":
+            return self.put(at, end, "punct")  # a type argument
+        if kind == "jsx" and value == "<":
+            self.inside.append("tag")
+        if kind == "jsx" and value in (">", "/>"):
+            mode = self.inside.pop()
+            if mode == "tag" and value == ">":
+                self.inside.append("children")
+            elif mode == "closing":
+                self.inside.pop()  # the children that it closes
+        return self.put(at, end, {"odd": "odd", "string": "string", "comment": "comment"}.get(kind, "jsx"))
+
+    def children(self, at: int) -> int:
+        """A piece between tags."""
+        text = self.text
+        if text.startswith("</", at):
+            self.inside.append("closing")
+            return self.put(at, at + 2, "jsx")
+        if text[at] == "<":
+            self.inside.append("tag")
+            return self.put(at, at + 1, "jsx")
+        if text[at] == "{":
+            self.inside.append(["code", 0])
+            self.after_head = False
+            return self.put(at, at + 1, "jsx_brace")
+        if m := _ENTITY.match(text, at):
+            return self.put(at, m.end(), "jsx_entity")
+        if m := _JSX_TEXT.match(text, at):
+            # Blanks that a line break begins are no text.
+            return self.put(at, m.end(), "jsx_text") if re.sub(r"\n\s*", "", m[0]) else m.end()
+        return self.put(at, at + 1, "odd")
 
 
 def _regex_may_start(before: tuple[str, str] | None, after_head: bool) -> bool:
@@ -139,8 +247,9 @@ def _regex_may_start(before: tuple[str, str] | None, after_head: bool) -> bool:
 class _Scanner:
     """Second pass: roles of brackets, names, functions and depths."""
 
-    def __init__(self, text: str, language: str):
-        self.source, self.pieces = text, _split(text)
+    def __init__(self, text: str, language: str, jsx: bool = False):
+        self.source, self.pieces = text, _Splitter(text, jsx).pieces()
+        self.behind: dict[int, int] = {}  # ends of type parameters that were looked for
         self.typed = language == "typescript"
         #: Indexes of pieces that are no comments, and back.
         self.real = [i for i, p in enumerate(self.pieces) if p[2] not in ("comment", "hashbang")]
@@ -150,7 +259,7 @@ class _Scanner:
         self.out: list[Lexeme] = []
 
     def _partners(self) -> list[int | None]:
-        return links([w if k == "punct" else "" for w, k in zip(self.words, self.kinds)])
+        return links([w if k in _BRACKETS else "" for w, k in zip(self.words, self.kinds)])
 
     def word(self, k: int) -> str:
         return self.words[k] if 0 <= k < len(self.words) else ""
@@ -169,13 +278,22 @@ class _Scanner:
         """Behind the type parameters at ``k``, or ``k`` itself."""
         if self.word(k) != "<":
             return k
-        depth = 0
-        for j in range(k, min(len(self.words), k + 200)):
-            depth += {"<": 1, ">": -1, ">>": -2, ">>>": -3}.get(self.words[j], 0)
+        if k not in self.behind:
+            self.behind[k] = self._angles_end(k)
+        return self.behind[k]
+
+    def _angles_end(self, k: int) -> int:
+        depth, j = 0, k
+        while j < len(self.words):
+            w = self.words[j]
+            depth += {"<": 1, ">": -1, ">>": -2, ">>>": -3}.get(w, 0)
             if depth <= 0:
                 return j + 1
-            if self.words[j] in (";", "{"):
+            if w in ("(", "[", "{") and self.kinds[j] == "punct" and self.partner[j] is not None:
+                j = self.partner[j]
+            elif w in (";", "{", ")", "]", "}", "&&", "||"):
                 break
+            j += 1
         return k
 
     def scan(self) -> list[Lexeme]:
@@ -204,13 +322,13 @@ class _Scanner:
                 self.out.append(Lexeme(start, end, text, kind, cls, True, inside, frame["curly"], frame["round"], frame["bracket"]))
                 continue
             opened = None
-            if lexical == "punct" and text in "({[":
+            if lexical in _BRACKETS and text in "({[":
                 opened = self._open(k, frame, pending)
                 frames.append(opened)
                 frame = opened
             kind, cls, named = self._classify(k, lexical, text, frames[-2] if opened else frame)
             self.out.append(Lexeme(start, end, text, kind, cls, named, names[k], frame["curly"], frame["round"], frame["bracket"]))
-            if lexical == "punct" and text in ")}]" and len(frames) > 1 and self.partner[k] is not None:
+            if lexical in _BRACKETS and text in ")}]" and len(frames) > 1 and self.partner[k] is not None:
                 while len(frames) > 1 and frames[-1]["at"] != self.partner[k]:
                     frames.pop()
                 if len(frames) > 1:
@@ -356,6 +474,9 @@ class _Scanner:
         value_ended = before_kind in ("word", "private", "string", "template", "number") and before not in KEYWORDS - {"async"} or before_kind == "punct" and before in (")", "]")
         new = {**frame, "at": k, "type": False, "decl": False, "ternary": 0, "angles": 0}
         role = pending.get(k, ("", ""))[0]
+        if self.kinds[k] == "jsx_brace":
+            new["role"] = "jsx"
+            return new
         if w == "(":
             if not role:
                 if before in ("for", "catch") or before == "await" and self.word(k - 2) == "for":
@@ -388,11 +509,21 @@ class _Scanner:
         if self.word(close + 1) == "=>":
             return True
         if self.word(close + 1) == ":" and self.typed and self.kinds[k - 1 : k] != ["word"]:
-            for j in range(close + 2, min(close + 12, len(self.words))):
-                if self.words[j] == "=>":
+            j = close + 2
+            while j < len(self.words):  # over a return type
+                w = self.words[j]
+                if w == "=>":
                     return True
-                if self.words[j] in (";", "{", ","):
+                if w == "<" and self.generic_end(j) > j:
+                    j = self.generic_end(j)
+                    continue
+                if w in ("(", "[", "{") and self.partner[j] is not None:
+                    if w == "{" and self.word(j - 1) not in (":", "|", "&", "is", "extends"):
+                        return False
+                    j = self.partner[j]
+                elif w in (";", "{", ",", ")", "]", "}") or w == "?" or w == "=":
                     return False
+                j += 1
         return False
 
     def _brace_role(self, k: int, before: str, frame: dict) -> str:
@@ -482,6 +613,11 @@ class _Scanner:
             "private": ("private_property_identifier", "other", True),
             "pattern": ("regex_pattern", "other", True),
             "flags": ("regex_flags", "other", True),
+            "jsx_text": ("jsx_text", "other", True),
+            "jsx_entity": ("html_character_reference", "other", True),
+            "jsx_name": ("identifier", "ident", True),
+            "jsx_property": ("property_identifier", "prop", True),
+            "jsx_attribute": ("property_identifier", "prop", True),
         }
         if lexical in simple:
             return simple[lexical]
@@ -575,3 +711,8 @@ class _Scanner:
 def scan(text: str, language: str) -> list[Lexeme]:
     """Lexemes of a source text; an empty text is one empty leaf, its root."""
     return _Scanner(text, language).scan() or [Lexeme(0, 0, "", "program", "other", True)]
+
+
+def scan_jsx(text: str, language: str) -> list[Lexeme]:
+    """The same for files whose expressions may be elements."""
+    return _Scanner(text, language, True).scan() or [Lexeme(0, 0, "", "program", "other", True)]

@@ -150,3 +150,52 @@ def test_prose_lexers_agree(spark):
     by_spark = sorted(map(tuple, built_in_tokens(files).select(columns).collect()))
     by_python = sorted(map(tuple, lex_prose(files).select(columns).collect()))
     assert by_spark == by_python and len(by_spark) > 20
+
+
+def pieces(text, file="a.tsx"):
+    return [(t["node_kind"], t["class"], t["text"]) for t in rows(text, file)]
+
+
+def rows(text, file):
+    from lexloom.schema import TOKENS
+
+    return [dict(zip(TOKENS.fieldNames(), r)) for r in lex_text(file, text)]
+
+
+@pytest.mark.parametrize("file", ["a.tsx", "a.jsx", "a.js"])
+def test_elements(file):
+    got = pieces("const el = <div>it's {x} ok</div>; debugger", file)
+    assert [t for _, _, t in got] == ["const", "el", "=", "<", "div", ">", "it's ", "{", "x", "}", " ok", "</", "div", ">", ";", "debugger"]
+    assert ("jsx_text", "other", "it's ") in got and got[-1] == ("debugger", "symbol", "debugger") and got[4] == ("identifier", "ident", "div")
+    got = pieces('x = <Foo.Bar data-a="it\'s" on={() => f(`a`)} {...p} svg:b/>;\nfoo()', file)
+    assert [t for _, _, t in got] == ["x", "=", "<", "Foo", ".", "Bar", "data-a", "=", '"it\'s"', "on", "=", "{", "(", ")", "=>", "f", "(", "`a`", ")", "}", "{", "...", "p", "}", "svg", ":", "b", "/>", ";", "foo", "(", ")"]
+    assert [c for _, c, t in got if t in ("Bar", "data-a", "on")] == ["prop", "prop", "prop"]
+
+
+def test_element_text_holds_quotes_backticks_and_slashes():
+    text = "function A() {\n  return (\n    <>\n      don't `stop` // now /* or */ &amp; {/* a note */}\n      <b>1</b> {list.map(i => <li key={i}>{i < 2 ? <i/> : 'it'}</li>)}\n    </>\n  )\n}\ncall()"
+    got = rows(text, "a.tsx")
+    texts = [t["text"] for t in got]
+    assert "don't `stop` // now /* or */ " in [t.lstrip() for t in texts] and "&amp;" in texts and "/* a note */" in texts
+    assert [t["function"] for t in got if t["text"] in ("li", "call")] == ["A", "A", ""]
+    last = got[-3]
+    assert (last["text"], last["curly_depth"], last["start_line"]) == ("call", 0, 9)
+    links = {t["pos"]: t["jmp"] for t in got if t["jmp"] is not None}
+    assert all(links[j] == i for i, j in links.items()) and len(links) == sum(t["text"] in "(){}[]" for t in got)
+
+
+def test_what_is_no_element():
+    for text in ("if (a < b && c > d) { e() }", "const f = <T,>(x: T) => x; g()", "const f = <T extends U>(x: T) => x; g()", "x = a <b> (c)", "for (i = 0; i <n; i++) {}", "x = <"):
+        assert not any(t[0].startswith("jsx") for t in pieces(text)), text
+    assert [t for _, _, t in pieces("let x = <Foo>y; z()", "a.ts")] == ["let", "x", "=", "<", "Foo", ">", "y", ";", "z", "(", ")"]
+    for text in ("<a", "x = <a b={", "x = <a>{", "x = <a></b></a>}", "x = <a>&</a", "x = <a b='", "return <a><b></a>"):
+        pieces(text)  # malformed input never fails
+
+
+def test_long_type_parameters_keep_the_name():
+    many = ", ".join(f"T{i} extends {{ a: Map<string, U{i}> }}" for i in range(120))
+    got = rows(f"function long<{many}>(x: T0): T1 {{ inside() }}\nclass C {{ m<{many}>(x) {{ within() }} }}", "a.ts")
+    assert {t["text"]: t["function"] for t in got if t["text"] in ("inside", "within", "T119")} == {"inside": "long", "within": "m", "T119": "m"}
+    returns = " | ".join(f"Map<string, T{i}[]>" for i in range(20))
+    got = rows(f"const f = (a: A): {returns} => {{ return 1 }}", "a.ts")
+    assert {t["node_kind"] for t in got if t["text"] == "a"} == {"identifier"} and [t["round_depth"] for t in got if t["text"] == "A"] == [1]
