@@ -20,10 +20,30 @@ RULE_FILES = ("lexloom.yaml", "lexloom.rules")
 
 
 class Project:
-    """A source tree."""
+    """A source tree.
+
+    What it lexes stays persisted until ``close``, or until a ``with`` block that
+    holds the project ends; results are to be read before.
+    """
 
     def __init__(self, spark: SparkSession, root: str | Path):
         self.spark, self.root = spark, Path(root)
+        self._held: list[DataFrame] = []
+
+    def __enter__(self) -> Project:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Give up what is persisted."""
+        while self._held:
+            self._held.pop().unpersist()
+
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
 
     def discover(self) -> list[Path]:
         return repository.discover(self.root)
@@ -35,7 +55,7 @@ class Project:
 
     def lex_all(self) -> DataFrame:
         """Tokens of every file that can be read; others are warned of and skipped."""
-        files = repository.read_files(self.spark, self.root).persist(StorageLevel.MEMORY_AND_DISK)
+        files = self._hold(repository.read_files(self.spark, self.root))
         for row in files.filter("error is not null").select("file", "error").toLocalIterator():
             print(f"warning: {row['file']}: {row['error']}", file=sys.stderr)
         return lex_files(files.filter("error is null"))
@@ -45,7 +65,7 @@ class Project:
 
     def check(self, rules: list[Rule], context: Context | None = None) -> DataFrame:
         """Violations in report order.  Tokens are lexed once and shared by all rules."""
-        tokens = self.lex_all().persist(StorageLevel.MEMORY_AND_DISK)
+        tokens = self._hold(self.lex_all())
         return check_tokens(tokens, rules, self.load_context() if context is None else context)
 
 
@@ -56,14 +76,17 @@ def find_rules(root: str | Path, given: str | None = None) -> str:
     named = [Path(root) / name for name in RULE_FILES]
     found = next((p for p in named if p.exists()), None)
     if found is None:
-        raise RuleError(f"no rules file at {named[0]}. Run `init` or pass --rules <file>.")
+        raise RuleError(f"{root} holds none of {', '.join(RULE_FILES)}: write one with `init`, or name a file by --rules")
     return str(found)
 
 
-def check(spark: SparkSession, root: str | Path, rules: str | None = None) -> DataFrame:
-    """Violations of the rules of a source tree."""
+def check(spark: SparkSession, root: str | Path, rules: str | None = None, project: Project | None = None) -> DataFrame:
+    """Violations of the rules of a source tree.
+
+    Without ``project`` the tokens stay persisted as long as the session.
+    """
     compiled, file = load_path(find_rules(root, rules))
-    project = Project(spark, root)
+    project = project or Project(spark, root)
     return project.check(compiled, project.load_context(file.waivers_dir, file.adr_dir))
 
 

@@ -27,9 +27,19 @@ def _evidence(matched: Any) -> str:
     return " ".join(parts)
 
 
-def _totals(severities: list[str]) -> tuple[int, int]:
-    errors = severities.count("error")
-    return errors, len(severities) - errors
+class _Totals:
+    """Counts rows that pass through: errors, and everything else."""
+
+    def __init__(self, rows: Iterable[Any]):
+        self.rows, self.errors, self.others = rows, 0, 0
+
+    def __iter__(self) -> Iterator[Any]:
+        for row in self.rows:
+            if row["severity"] == "error":
+                self.errors += 1
+            else:
+                self.others += 1
+            yield row
 
 
 def _place(row: Any) -> str:
@@ -37,9 +47,8 @@ def _place(row: Any) -> str:
 
 
 def _human(rows: Iterable[Any]) -> Iterator[str]:
-    severities = []
-    for row in rows:
-        severities.append(row["severity"])
+    totals = _Totals(rows)
+    for row in totals:
         yield f"{row['severity'].upper()} {row['rule_id']}\n{_place(row)}\n"
         if row["description"] is not None:
             yield f"\n{row['description']}\n"
@@ -47,21 +56,20 @@ def _human(rows: Iterable[Any]) -> Iterator[str]:
         if row["message"] is not None:
             yield f"\nRemediation:\n  {row['message']}\n"
         yield "\n"
-    errors, others = _totals(severities)
-    yield f"{len(severities)} violation(s): {errors} error(s), {others} warning(s)\n"
+    errors, others = totals.errors, totals.others
+    yield f"{errors + others} violation(s): {errors} error(s), {others} warning(s)\n"
 
 
 def _agent(rows: Iterable[Any], tool: str) -> Iterator[str]:
-    severities = []
-    for row in rows:
-        severities.append(row["severity"])
+    totals = _Totals(rows)
+    for row in totals:
         yield f"{row['severity'].upper()} {row['rule_id']} at {_place(row)}\n  matched: {_evidence(row['matched'])}\n"
         for name, column in (("why", "description"), ("fix", "message")):
             if row[column] is not None:
                 yield f"  {name}: {row[column]}\n"
         yield "\n"
-    errors, others = _totals(severities)
-    if not severities:
+    errors, others = totals.errors, totals.others
+    if not errors + others:
         yield f"{tool}: no violations.\n"
     else:
         yield f"{tool}: {errors} error(s), {others} warning(s). Fix the errors above before committing.\n"
@@ -81,10 +89,19 @@ def render(rows: Iterable[Any], style: str = "human", tool: str = "lexloom") ->
         return _human(rows)
     if style == "agent":
         return _agent(rows, tool)
-    records = [as_record(r) for r in rows]
-    errors, others = _totals([r["severity"] for r in records])
-    summary = {"errors": errors, "warnings": others, "total": len(records)}
-    return iter([json.dumps({"violations": records, "summary": summary}, indent=2, ensure_ascii=False) + "\n"])
+    return _json(rows)
+
+
+def _json(rows: Iterable[Any]) -> Iterator[str]:
+    """One document, a violation at a time."""
+    totals, opened = _Totals(rows), False
+    for row in totals:
+        record = json.dumps(as_record(row), indent=2, ensure_ascii=False).replace("\n", "\n    ")
+        yield ("," if opened else '{\n  "violations": [') + "\n    " + record
+        opened = True
+    yield "\n  ]" if opened else '{\n  "violations": []'
+    summary = {"errors": totals.errors, "warnings": totals.others, "total": totals.errors + totals.others}
+    yield ',\n  "summary": ' + json.dumps(summary, indent=2).replace("\n", "\n  ") + "\n}\n"
 
 
 def report(violations: DataFrame, style: str = "human") -> Iterator[str]:

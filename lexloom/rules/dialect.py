@@ -18,7 +18,7 @@ _FLAGS = "(?Ud)"
 def java_regex(pattern: str) -> str:
     """The Java pattern that finds what ``pattern`` finds; RuleError if none does."""
     out, i, in_class, depth, multiline = [], 0, 0, 0, False
-    n = len(pattern)
+    n, names = len(pattern), set()
     while i < n:
         c, rest = pattern[i], pattern[i:]
         if c == "\\":
@@ -27,6 +27,10 @@ def java_regex(pattern: str) -> str:
             nxt = pattern[i + 1]
             if nxt.isdigit() or nxt in "kGZQEXRhHV":
                 raise RuleError(f"invalid regex /{pattern}/: \\{nxt} is not supported")
+            if m := re.match(r"\\[pP]\{([^{}]*)\}", rest):
+                out.append(_property(pattern, m[0][:2], m[1]))
+                i += len(m[0])
+                continue
             if nxt == "z" and not in_class:
                 out.append(r"\z")
             elif m := re.match(r"\\([xu])\{([0-9A-Fa-f]+)\}", rest):
@@ -66,7 +70,10 @@ def java_regex(pattern: str) -> str:
             continue
         if rest.startswith("(?"):
             if m := re.match(r"\(\?P?<([A-Za-z_]\w*)>", rest):
-                out.append(f"(?<{m[1].replace('_', '')}>")
+                if m[1] in names:
+                    raise RuleError(f"invalid regex /{pattern}/: two groups are named {m[1]}")
+                names.add(m[1])
+                out.append("(")  # nothing reads groups by name
                 depth += 1
             elif m := re.match(r"\(\?([imsxUu-]*)(\)|:)", rest):
                 flags = m[1]
@@ -85,8 +92,17 @@ def java_regex(pattern: str) -> str:
             depth -= 1
             if depth < 0:
                 raise RuleError(f"invalid regex /{pattern}/: unopened group")
-        elif c in "*+?" and i and pattern[i + 1 : i + 2] == "+":
-            raise RuleError(f"invalid regex /{pattern}/: possessive quantifiers are not supported")
+        elif c in "*+?{" and (m := _REPEAT.match(pattern, i)):
+            more = _REPEAT.match(pattern, m.end())
+            if more and pattern[m.end()] == "+":
+                raise RuleError(f"invalid regex /{pattern}/: possessive quantifiers are not supported")
+            if more:
+                raise RuleError(f"invalid regex /{pattern}/: a repetition is repeated; put it in a group")
+            out.append(m[0])
+            i = m.end()
+            continue
+        elif c == "{":
+            raise RuleError(f"invalid regex /{pattern}/: a brace that is no repetition needs a backslash")
         elif c == "$" and not multiline:
             out.append(r"\z")
             i += 1
@@ -107,8 +123,37 @@ _POSIX = {
 }
 
 
+#: One repetition, lazy or not.
+_REPEAT = re.compile(r"(?:[*+?]|\{\d+(?:,\d*)?\})\??")
+
+
+def _property(pattern: str, escape: str, name: str) -> str:
+    """A Unicode property as Java names it: categories alike, scripts and binary ones behind "Is"."""
+    if name.startswith("^"):
+        escape, name = escape[0] + ("p" if escape[1] == "P" else "P"), name[1:]
+    if not re.fullmatch(r"\w+(?:[=:]\w+)?", name):
+        raise RuleError(f"invalid regex /{pattern}/: unknown property {name!r}")
+    plain = len(name) <= 2 or "=" in name or name in _POSIX.values() or name.startswith(("Is", "In"))
+    return f"{escape}{{{name.replace(':', '=') if plain or ':' in name else 'Is' + name}}}"
+
+
 def _check_with_jvm_rules(pattern: str, translated: str) -> None:
-    """Catch malformed repetition before a job would fail on it."""
+    """Catch what a job would fail on: by Java itself where a session runs, else the commonest errors."""
+    from pyspark import SparkContext
+
+    context = SparkContext._active_spark_context
+    if context is not None and context._jvm is not None:
+        from py4j.protocol import Py4JJavaError
+        from pyspark.errors import IllegalArgumentException
+
+        try:
+            context._jvm.java.util.regex.Pattern.compile(_FLAGS + translated)
+        except (Py4JJavaError, IllegalArgumentException) as e:
+            why = str(getattr(e, "java_exception", e)).split("\n")[0]
+            raise RuleError(f"invalid regex /{pattern}/: {why}") from None
+    for low, high in re.findall(r"(?<!\\)\[\^?(?:[^\]\\]*?)(\w)-(\w)", translated):
+        if low > high:
+            raise RuleError(f"invalid regex /{pattern}/: range {low}-{high} runs backwards")
     if re.match(r"(?:\(\?[imsx]*\))*[*+?]", translated) or re.search(r"(?<!\\)[(|][*+?](?!.*\])", translated.replace("(?", "")):
         raise RuleError(f"invalid regex /{pattern}/: nothing to repeat")
     for low, high in re.findall(r"(?<!\\)\{(\d+),(\d+)\}", translated):

@@ -223,3 +223,17 @@ def test_globs(glob, yes, no):
 def test_line_numbers_skip_strings():
     with pytest.raises(RuleError, match="line 2"):
         dsl.parse('rule R { desc "a\nb\nc"\n % }')
+
+
+@pytest.mark.parametrize("pattern", ["[z-a]", "a**", "a*{2}", "x{2", "x{", "(?P<a>x)(?P<a>y)", r"\p{^}", r"\p{L", "x{3,2}"])
+def test_more_refused_regexes(pattern):
+    with pytest.raises(RuleError):
+        java_regex(pattern)
+
+
+def test_unknown_property_is_refused_where_java_runs(spark):
+    with pytest.raises(RuleError):
+        java_regex(r"\p{Nope}")
+    for pattern, yes, no in ((r"^\p{Greek}+$", "αβ", "ab"), (r"^\p{^L}$", "1", "a"), (r"^\pL$", "a", "1"), (r"^(?P<a_b>x)(?P<ab>y)$", "xy", "x"), (r"^[\p{Lu}\d]{2,}?$", "A1", "a1")):
+        got = spark.createDataFrame([(yes,), (no,)], "t string").selectExpr(f"t rlike r'{java_regex(pattern)}' as r").collect()
+        assert [r["r"] for r in got] == [True, False], pattern
