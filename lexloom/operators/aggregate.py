@@ -10,53 +10,88 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..rules.ast import Rule
 
 _CARRIED = ("file", "span", "matched")
 
 
-def _keys(parts) -> list:
-    return [F.col("file").alias("_file") if k == "file" else F.col("matched.function").alias("_function") for k in dict.fromkeys(parts)]
+def _key_columns(parts) -> list[Column]:
+    return [F.col("file") if k == "file" else F.col("matched.function") for k in dict.fromkeys(parts)]
+
+
+def _keys(parts) -> list[Column]:
+    return [c.alias(f"_{k}") for c, k in zip(_key_columns(parts), dict.fromkeys(parts))]
 
 
 def _carried():
     return F.struct("emitted", *_CARRIED)
 
 
+def _size_test(n: Column, op: str, than: int) -> Column:
+    return {"gt": n > than, "lt": n < than, "ge": n >= than, "le": n <= than, "eq": n == than}[op]
+
+
+def _chosen(operation: str, of: tuple[str, ...], has: list[Column]) -> tuple[Column, Column]:
+    """Whether a key stays, and the operand whose first finding represents it."""
+    if operation == "union":
+        return reduce(or_, has), F.coalesce(*(F.when(h, F.lit(r)) for h, r in zip(has, of)))
+    if operation == "intersection":
+        return reduce(and_, has), F.lit(of[0])
+    return reduce(and_, [has[0], *(~h for h in has[1:])]), F.lit(of[0])
+
+
+def within_files(rule: Rule) -> bool:
+    """Whether the rule's keys lie within a file each."""
+    return rule.count is not None or "file" in rule.compose[2]
+
+
+def with_derived(primary: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """``primary`` and the findings that ``rules``, whose keys lie within files, derive from it.
+
+    A derived finding is a primary one by another name: the first of its key.
+    So one pass marks each row with the rules that it stands for, by windows
+    over its key, and no row is read twice.  All windows lie within a file.
+    """
+    df, names = primary, [F.col("rule")]
+    for i, rule in rules:
+        keys = _key_columns(rule.compose[2] if rule.compose else ("file", "function") if rule.count[1] == "function" else ("file",))
+        block, firsts = Window.partitionBy(*keys), Window.partitionBy(*keys, "rule_id").orderBy("emitted")
+        if rule.compose:
+            operation, of, _ = rule.compose
+            has = []
+            for j, r in enumerate(of):
+                df = df.withColumn(f"_has{i}_{j}", F.max(F.col("rule_id") == r).over(block))
+                has.append(F.col(f"_has{i}_{j}"))
+            kept, operand = _chosen(operation, of, has)
+        else:
+            other, _, op, n = rule.count
+            df = df.withColumn(f"_n{i}", F.count_if(F.col("rule_id") == other).over(block))
+            kept, operand = _size_test(F.col(f"_n{i}"), op, n), F.lit(other)
+        df = df.withColumn(f"_first{i}", F.row_number().over(firsts))
+        names.append(F.when(kept & (F.col("rule_id") == operand) & (F.col(f"_first{i}") == 1), F.lit(i)))
+    return df.select(F.explode(F.array_compact(F.array(*names))).alias("rule"), *_CARRIED)
+
+
 def composed(primary: DataFrame, rule: Rule) -> DataFrame:
     """(file, span, matched) for each key that the set operation leaves.
 
-    One aggregation finds every operand's first finding per key; which operands
-    have one decides the key, and the first that does represents it.  Operands
-    that no rule has are empty sets.
+    For keys across files: one aggregation finds every operand's first finding
+    per key, combined on the map side; which operands have one decides the key.
+    Operands that no rule has are empty sets.
     """
     operation, of, key = rule.compose
     own = primary.filter(F.col("rule_id").isin(*of))
     firsts = [F.min(F.when(F.col("rule_id") == r, _carried())).alias(f"_r{i}") for i, r in enumerate(of)]
     grouped = own.groupBy(*_keys(key)).agg(*firsts)
-    has = [F.col(f"_r{i}").isNotNull() for i in range(len(of))]
-    if operation == "union":
-        kept, chosen = reduce(or_, has), F.coalesce(*(F.col(f"_r{i}") for i in range(len(of))))
-    elif operation == "intersection":
-        kept, chosen = reduce(and_, has), F.col("_r0")
-    else:
-        kept, chosen = reduce(and_, [has[0], *(~h for h in has[1:])]), F.col("_r0")
+    kept, operand = _chosen(operation, of, [F.col(f"_r{i}").isNotNull() for i in range(len(of))])
+    chosen = F.coalesce(*(F.when(operand == r, F.col(f"_r{i}")) for i, r in enumerate(of)))
     return grouped.filter(kept).select(chosen.alias("_first")).select(*(F.col(f"_first.{c}").alias(c) for c in _CARRIED))
 
 
-def counted(primary: DataFrame, rule: Rule) -> DataFrame:
-    """(file, span, matched) for each file or function with enough findings."""
-    other, scope, op, n = rule.count
-    keys = _keys(("file", "function") if scope == "function" else ("file",))
-    grouped = primary.filter(F.col("rule_id") == other).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(_carried()).alias("_first"))
-    size = F.col("_n")
-    kept = {"gt": size > n, "lt": size < n, "ge": size >= n, "le": size <= n, "eq": size == n}[op]
-    return grouped.filter(kept).select(*(F.col(f"_first.{c}").alias(c) for c in _CARRIED))
-
-
 def summary(violations: DataFrame) -> DataFrame:
     """errors, warnings (everything else) and total, as one row."""
     errors = F.count_if(F.col("severity") == "error")

@@ -8,6 +8,7 @@ tried (step, position, bindings, open delimiters), so no state is tried twice.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,32 @@ from ..rules.ast import Rule, Step
 from .primary import PAYLOAD, _finding, first_region, regions, window_sequences
 
 
+#: States that a region's search remembers from one start to the next.
+STATES = 500_000
+
+
+class _Places:
+    """Where the tokens of a region accept an alternative, or have a value."""
+
+    def __init__(self, masks: list[int], values: dict[str, list]):
+        self.masks, self.values = masks, values
+        self.bits: dict[int, list[int]] = {}
+        self.same: dict[str, dict] = {}
+
+    def of_bit(self, bit: int) -> list[int]:
+        if bit not in self.bits:
+            self.bits[bit] = [p for p, m in enumerate(self.masks) if m >> bit & 1]
+        return self.bits[bit]
+
+    def of_value(self, field: str, value: str | None) -> list[int]:
+        if field not in self.same:
+            where: dict = {}
+            for p, v in enumerate(self.values[field]):
+                where.setdefault(v, []).append(p)
+            self.same[field] = where
+        return self.same[field].get(value, []) if value is not None else []
+
+
 class Matcher:
     """Starts at which ``steps`` consume the rest of a region of tokens."""
 
@@ -33,6 +60,8 @@ class Matcher:
         for s in steps:
             self.bits.append(list(range(n, n + len(s.alternatives))))
             n += len(s.alternatives)
+        #: Steps that take any number of any tokens: the next step's candidates are looked up, not walked to.
+        self.free = [s.quant == "zero_or_more" and not s.negate and not s.bind and not s.delimiter and s.alternatives == ((),) for s in steps]
         self.refs = [[[p for p in a if p.op in ("eq_ref", "ne_ref")] for a in s.alternatives] for s in steps]
 
     @property
@@ -58,7 +87,26 @@ class Matcher:
 
     def starts(self, masks: list[int], values: dict[str, list], partners: list[int | None]) -> list[int]:
         known: dict = {}  # states that were tried, and whether they led to the end
-        return [p for p in self.possible(masks) if self._match(p, masks, values, partners, known)]
+        places = _Places(masks, values)
+        out = []
+        for p in self.possible(masks):
+            if self._match(p, masks, values, partners, known, places):
+                out.append(p)
+            if len(known) > STATES:  # states with bindings are of use to starts that bind alike only
+                known = {state: led for state, led in known.items() if not state[2]}
+        return out
+
+    def _next(self, s: int, at: int, limit: int, binds: dict[str, str], places: _Places) -> list[int]:
+        """Positions from ``at`` to ``limit`` that step ``s``, which takes one token, may accept."""
+        found: set[int] = set()
+        for bit, refs in zip(self.bits[s], self.refs[s]):
+            own = places.of_bit(bit)
+            for ref in refs:
+                if ref.op == "eq_ref":
+                    same = places.of_value(ref.field, binds.get(ref.value))
+                    own = same if len(same) < len(own) else own
+            found.update(own[bisect_left(own, at) : bisect_right(own, limit)])
+        return sorted(found)
 
     def possible(self, masks: list[int]) -> list[int]:
         """Positions that the first step may take, if it must take one."""
@@ -93,7 +141,7 @@ class Matcher:
             out += [a + i for i in self.starts(masks[a:b].tolist(), values, partners)]
         return out
 
-    def _match(self, start: int, masks, values, partners, known: dict) -> bool:
+    def _match(self, start: int, masks, values, partners, known: dict, places: _Places) -> bool:
         steps, n = self.steps, len(masks)
         todo = [((0, start, (), ()), None)]
         came: dict = {}  # the state from which each was first reached
@@ -110,6 +158,14 @@ class Matcher:
             known[state] = False
             came[state] = parent
             step, bound = steps[s], dict(binds)
+            if self.free[s]:
+                limit = min(n, stack[-1]) if stack else n
+                if s + 1 == len(steps):
+                    todo += [((s + 1, n, binds, stack), state)] if limit == n else []
+                    continue
+                if steps[s + 1].quant == "one" and not steps[s + 1].negate:
+                    todo += [((s + 1, q, binds, stack), state) for q in reversed(self._next(s + 1, at, limit, bound, places))]
+                    continue
             taken = at < n and self.accepts(s, masks[at], values, at, bound)
             if step.quant != "one":
                 todo.append(((s + 1, at, binds, stack), state))  # take no (more) token

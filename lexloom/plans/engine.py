@@ -28,9 +28,9 @@ class Context:
         return any(t == topic and ok for t, ok in self.adrs)
 
 
-def path_parts(column: str = "file") -> Column:
-    """Paths order by their components."""
-    return F.split(F.col(column), "/")
+def path_order(column: str = "file") -> Column:
+    """Paths order by their components, as strings do in which nothing comes before a slash."""
+    return F.replace(F.col(column), F.lit("/"), F.lit("\0"))
 
 
 def _lookup(index: Column, values: list) -> Column:
@@ -74,10 +74,19 @@ def primary_findings(tokens: DataFrame, rules: list[Rule], context: Context) ->
         "file",
         F.struct(*SPAN_FIELDS).alias("span"),
         F.struct(*MATCHED_FIELDS).alias("matched"),
-        F.struct("rule", path_parts().alias("parts"), "open", "pos").alias("emitted"),
+        F.struct("rule", path_order().alias("path"), "open", "pos").alias("emitted"),
     )
 
 
+def _guarded(derived: DataFrame, rules: list[Rule], aggregates: list[tuple[int, Rule]], context: Context) -> DataFrame:
+    """Without what the guards and waivers of ``aggregates`` suppress; primary findings have passed theirs."""
+    for i, rule in aggregates:
+        guard = Rule(rule.id, rule.severity, None, None, None, (), (), unless_path=rule.unless_path)
+        if rule.unless_path is not None:
+            derived = derived.filter((F.col("rule") != i) | applies(guard))
+    return _unwaived(derived, rules, context) if aggregates else derived
+
+
 def check_tokens(tokens: DataFrame, rules: list[Rule], context: Context | None = None, ordered: bool = True) -> DataFrame:
     """The violations of ``rules`` in ``tokens``, in report order unless told otherwise.
 
@@ -88,12 +97,15 @@ def check_tokens(tokens: DataFrame, rules: list[Rule], context: Context | None =
     spark = tokens.sparkSession
     found = primary_findings(tokens, rules, context)
     aggregates = [(i, r) for i, r in enumerate(rules) if r.aggregate and _alive(r, context)]
-    parts = [] if found is None else [found.select("rule", "file", "span", "matched")]
-    for i, rule in aggregates if found is not None else []:
-        make = aggregate.composed if rule.compose else aggregate.counted
-        derived = make(found, rule).select(F.lit(i).alias("rule"), "file", "span", "matched")
-        guard = Rule(rule.id, rule.severity, None, None, None, (), (), unless_path=rule.unless_path)
-        parts.append(_unwaived(derived.filter(applies(guard)), rules, context))
+    parts = []
+    if found is not None:
+        inside = [(i, r) for i, r in aggregates if aggregate.within_files(r)]
+        across = [(i, r) for i, r in aggregates if not aggregate.within_files(r)]
+        whole = aggregate.with_derived(found, inside) if inside else found.select("rule", "file", "span", "matched")
+        parts = [_guarded(whole, rules, inside, context)]
+        for i, rule in across:
+            derived = aggregate.composed(found, rule).select(F.lit(i).alias("rule"), "file", "span", "matched")
+            parts.append(_guarded(derived, rules, [(i, rule)], context))
     if not parts:
         schema = "rule_id string, severity string, description string, message string, file string"
         empty = spark.createDataFrame([], schema + ", span struct<" + ", ".join(f"{f}: bigint" for f in SPAN_FIELDS) + ">")
@@ -103,5 +115,7 @@ def check_tokens(tokens: DataFrame, rules: list[Rule], context: Context | None =
     columns = {"rule_id": "id", "severity": "severity", "description": "description", "message": "message"}
     out = out.select(*(_lookup(F.col("rule"), [getattr(r, a) for r in rules]).alias(c) for c, a in columns.items()), "file", "span", "matched")
     if ordered:
-        out = out.orderBy(path_parts(), "span.start_line", "span.start_col", "rule_id")
+        if not aggregates:  # sorting samples its input: what was dealt by file is not computed twice
+            out = out.repartition("file")
+        out = out.orderBy(path_order(), "span.start_line", "span.start_col", "rule_id")
     return out.select(*VIOLATIONS)
