@@ -176,6 +176,7 @@ def _scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     rows = described.join(known, "doc_id").select("x", "quality", "doc_id", "raw").dropDuplicates(["doc_id", "raw"])
     rows = Scratch(docs.sparkSession, "labelled").write(rows, "rows")
     rows = sampled(rows, F.xxhash64("doc_id", "raw"), train_rows, rows.count()).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["raw"]))
     x = np.array([r["x"] for r in rows], np.float64).reshape(-1, len(FEATURES))
     forest = train(x, np.array([float(r["quality"] > 0) for r in rows]))
 

@@ -152,7 +152,8 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str) -> DataFrame
         # An id that repeats may be both: then all its texts are encoded.
         spared = scratch.write(spared.join(wanted.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left_anti"), "spared")
         same = F.col("doc_id").eqNullSafe(F.col("id"))
-        if n_wanted > SENT_IDS >= spared.count():
+        n_spared = spared.count()
+        if n_spared <= min(n_wanted, SENT_IDS):
             misses = light.join(F.broadcast(spared), same, "left_anti")
         else:
             misses = light.join(F.broadcast(wanted) if n_wanted <= SENT_IDS else wanted, same, "left_semi")

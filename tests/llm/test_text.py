@@ -146,6 +146,36 @@ def test_quality_edges(spark):
     assert quality.good_documents(frame(spark, odd_rows()), none).count() == len(odd_rows())
 
 
+def test_whole_query_matches_a_plain_walk(spark, tables):
+    got = {r["doc_id"]: r for r in quality.query(spark, tables).collect()}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{tables}/labels.parquet").collect() if r["quality"] is not None}
+    aside = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d in docs}
+    assert {d: r["held_out"] for d, r in got.items()} == aside
+    learned = sorted(d for d in docs if d in labels and not aside[d])
+    forest = quality.train(np.array([quality.statistics(docs[d]) for d in learned]), np.array([float(labels[d] > 0) for d in learned]))
+    off = []
+    for d, t in docs.items():
+        row, margin = quality.statistics(t), float(np.log(forest.prior / (1 - forest.prior)))
+        for f, b, v in zip(forest.feature, forest.bound, forest.value):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(row[f[node]] > b[node])
+            margin += v[node - len(f)]
+        off.append(abs(1 / (1 + np.exp(-margin)) - got[d]["score"]))
+        assert got[d]["predicted"] == int(got[d]["score"] >= quality.GOOD)
+    assert np.quantile(off, 0.95) < 1e-6 and max(off) < 0.2  # sums in another order may part a tie elsewhere
+
+
+def test_sampled_labels_are_bounded_and_fixed(spark):
+    from lexloom.llm.scratch import sampled
+
+    rows = spark.range(20_000).withColumn("h", quality.F.xxhash64("id"))
+    one, two = ({r["id"] for r in sampled(rows.repartition(n), quality.F.col("h"), 500, 20_000).collect()} for n in (2, 7))
+    assert one == two and len(one) == 500
+    assert sampled(rows, quality.F.col("h"), 50_000, 20_000).count() == 20_000 and sampled(rows.limit(0), quality.F.col("h"), 5, 0).count() == 0
+
+
 # -- token counts -----------------------------------------------------------
 
 
