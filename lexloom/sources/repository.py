@@ -15,8 +15,9 @@ from pathlib import Path
 import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.lexing import supports
+from ..operators.lexing import EXTENSIONS, supports
 from ..plans.engine import Context
 
 WAIVERS_DIR = ".lexloom/waivers"
@@ -93,6 +94,21 @@ def _read_ignores(folder: Path, in_git: bool) -> list[_Ignore]:
     return out
 
 
+def global_excludes() -> Path:
+    """The user's own ignore file, which applies to every git tree: the one that git's settings name, or its usual place."""
+    home = Path(os.environ.get("HOME") or Path.home())
+    settings = Path(os.environ.get("XDG_CONFIG_HOME") or home / ".config") / "git"
+    for config in (home / ".gitconfig", settings / "config"):
+        try:
+            text = config.read_text(encoding="utf-8", errors="replace")
+        except OSError:
+            continue
+        for section in re.findall(r"(?ims)^\s*\[core\]([^\[]*)", text):
+            if m := re.search(r'(?im)^\s*excludesfile\s*=\s*"?([^"\n]+?)"?\s*$', section):
+                return Path(re.sub(r"^~(?=/|$)", str(home), m[1]))
+    return settings / "ignore"
+
+
 def discover(root: str | Path) -> list[Path]:
     """Supported files below ``root``, ordered by path components.
 
@@ -103,6 +119,11 @@ def discover(root: str | Path) -> list[Path]:
     above = [p for p in (root.resolve(), *root.resolve().parents)]
     git_root = next((p for p in above if (p / ".git").exists()), None)
     outer: list[_Ignore] = []
+    if git_root:  # every other ignore file has the last word over the user's own
+        try:
+            outer.append(_Ignore(git_root, global_excludes().read_text(encoding="utf-8", errors="replace")))
+        except OSError:
+            pass
     for folder in reversed(above[1:]):
         if git_root and (folder == git_root or git_root in folder.parents):
             outer += _read_ignores(folder, True)
@@ -169,6 +190,26 @@ def read_files(spark: SparkSession, root: str | Path, paths: list[Path] | None =
     return listed.repartition(wanted).mapInArrow(read, "file string, text string, error string")
 
 
+def read_store(spark: SparkSession, *uris: str) -> DataFrame:
+    """(file, text, error) of the supported files below folders that only Spark's readers reach, named relative to them.
+
+    Spark lists and reads them, so nothing is opened locally.  It passes over
+    names that begin with a dot or an underscore, and ignore files are not asked.
+    A file that is no UTF-8 has no text and says so in ``error``.
+    """
+    found = None
+    for uri in uris:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
+        base = uri.rstrip("/").split(":", 1)[-1]
+        file = F.regexp_replace(F.col("path"), F.lit(r"^(?:\w+:)?(?://[^/]*)?(?=/)"), F.lit(""))
+        base = re.sub(r"^//[^/]*(?=/)", "", base)
+        file = F.when(file.startswith(base + "/"), F.substring(file, len(base) + 2, 2**31 - 1)).otherwise(file)
+        text = F.try_validate_utf8(F.col("content").cast("string"))
+        rows = read.select(file.alias("file"), text.alias("text"), F.when(text.isNull(), "no UTF-8").alias("error"))
+        found = rows if found is None else found.unionAll(rows)
+    return found.filter(F.regexp_extract("file", r"[^/]\.([^./]+)$", 1).isin(list(EXTENSIONS)))
+
+
 def _yaml_files(folder: Path) -> Iterator[tuple[Path, dict]]:
     if not folder.is_dir():
         return

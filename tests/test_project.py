@@ -174,3 +174,30 @@ def test_stream(spark, tree):
         check_stream(stream_files(spark, f"{root}/in"), rules, f"{root}/out", f"{root}/state").awaitTermination()
         rows = spark.read.parquet(f"{root}/out").collect()
         assert sorted((r["rule_id"], r["file"]) for r in rows) == [("C", "a.ts"), ("R", "a.ts")]
+
+
+def test_global_excludes(tmp_path, monkeypatch):
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    tree = tmp_path / "tree"
+    (tree / ".git").mkdir(parents=True)
+    for name in ("a.ts", "b.gen.ts", "c.gen.ts"):
+        (tree / name).write_text("x")
+    usual = tmp_path / "home/.config/git"
+    usual.mkdir(parents=True)
+    (usual / "ignore").write_text("*.gen.ts\n")
+    assert [p.name for p in repository.discover(tree)] == ["a.ts"]
+    (tree / ".gitignore").write_text("!b.gen.ts\n")
+    assert [p.name for p in repository.discover(tree)] == ["a.ts", "b.gen.ts"]
+    (tmp_path / "home/.gitconfig").write_text("[user]\n name = x\n[core]\n\texcludesFile = ~/own\n")
+    (tmp_path / "home/own").write_text("a.ts\n")
+    assert [p.name for p in repository.discover(tree)] == ["b.gen.ts", "c.gen.ts"]
+
+
+def test_files_of_a_store(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.ts").write_text("debugger")
+    (tmp_path / "src/b.js").write_bytes(b"\xff\xfe")
+    (tmp_path / "c.txt").write_text("no code")
+    got = {r["file"]: (r["text"], r["error"]) for r in repository.read_store(spark, f"file://{tmp_path}").collect()}
+    assert got == {"src/a.ts": ("debugger", None), "src/b.js": (None, "no UTF-8")}
