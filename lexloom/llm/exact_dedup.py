@@ -92,8 +92,9 @@ def repeated_prints(prints: DataFrame, bits: int) -> DataFrame:
             yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=["shard", "filter"])
 
     def merged(filters: pa.Table) -> pa.Table:
-        decoded = [quotient.read(f, s, bits) for s, f in zip(*(filters.column(c).to_pylist() for c in ("shard", "filter")))]
-        found, n = quotient.merge(decoded)
+        shard = filters.column("shard")[0].as_py()
+        whole = quotient.merge_filters(filters.column("filter").to_pylist(), shard, bits)
+        found, n = quotient.read(whole, shard, bits)
         often = n > 1
         return pa.table({"print": found[often].view(np.int64), "n": n[often]})
 
@@ -160,8 +161,8 @@ def _decided(docs: DataFrame) -> tuple[DataFrame, int]:
     """The result of ``dedup_exact``, and the number of rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    rows = scratch.write(digests(docs), "digests")
-    n = rows.count()
+    n = docs.count()
+    rows = scratch.write(digests(docs), "digests", n)
     bits = shard_bits(n, shuffle_partitions(spark))
     often = scratch.write(repeated_prints(rows.select("print"), bits), "often", n)
     groups = scratch.write(verified_groups(docs, often), "groups", n)

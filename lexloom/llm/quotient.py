@@ -85,10 +85,23 @@ def read(data: bytes, shard: int, shard_bits: int) -> tuple[np.ndarray, np.ndarr
 
 
 def merge(filters: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Merge decoded filters of one shard: equal fingerprints add their counts."""
-    prints = np.concatenate([p for p, _ in filters])
-    counts = np.concatenate([c for _, c in filters])
-    order = np.argsort(prints, kind="stable")  # a merge of sorted runs
-    prints, counts = prints[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.array([], int)
-    return prints[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+    """Merge sorted fingerprints of one shard, two runs at a time: equal ones add their counts."""
+    runs = [f for f in filters if len(f[0])] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    while len(runs) > 1:
+        runs.sort(key=lambda f: -len(f[0]))
+        runs.append(_merge_two(runs.pop(), runs.pop()))
+    return runs[0]
+
+
+def _merge_two(small: tuple[np.ndarray, np.ndarray], large: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    prints, counts = large[0], large[1].copy()
+    at = np.searchsorted(prints, small[0])
+    known = prints[np.minimum(at, len(prints) - 1)] == small[0]
+    counts[at[known]] += small[1][known]
+    new = ~known
+    return np.insert(prints, at[new], small[0][new]), np.insert(counts, at[new], small[1][new])
+
+
+def merge_filters(filters: list[bytes], shard: int, shard_bits: int) -> bytes:
+    """One filter that holds what ``filters`` of the same shard hold, by merging their sorted remainders."""
+    return build(*merge([read(f, shard, shard_bits) for f in filters]), shard_bits)

@@ -66,6 +66,31 @@ def test_filters_merge_losslessly():
 # -- exact dedup ------------------------------------------------------------
 
 
+def test_merged_filters_lose_nothing():
+    rng = np.random.default_rng(12)
+    bits, shard = 3, 5
+    rows = [rng.integers(0, 400, 300).astype(np.uint64) * np.uint64(2**52 + 12345) % np.uint64(2**61) | np.uint64(shard) << np.uint64(61) for _ in range(6)]
+    filters = [quotient.build(*np.unique(r, return_counts=True), bits) for r in [*rows, rows[0][:0]]]
+    prints, counts = quotient.read(quotient.merge_filters(filters, shard, bits), shard, bits)
+    want = np.unique(np.concatenate(rows), return_counts=True)
+    assert (prints == want[0]).all() and (counts == want[1]).all()
+    assert len(quotient.read(quotient.merge_filters([filters[-1]], shard, bits), shard, bits)[0]) == 0
+
+
+def test_tables_of_a_stage_are_deleted(spark, tmp_path, monkeypatch):
+    from lexloom.llm import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
+
+    rng = random.Random(2)
+    docs = frame(spark, [(i, text(rng, 30)) for i in range(30)] + [(50, "same"), (51, "same")])
+    kept = scratch.Scratch(spark, "kept")
+    with scratch.temporary():
+        out = kept.write(simhash.keep_representatives(exact_dedup.keep_first_copies(docs)), "out")
+    left = list(tmp_path.rglob("*.parquet"))
+    assert left and all("/kept-" in str(p) for p in left) and out.count() == 31
+
+
 def test_exact_dedup(spark):
     rng = random.Random(3)
     rows = [(i, text(rng, 5)) for i in range(60)]
