@@ -33,23 +33,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 LEAST_QUALITY, MOST_QUALITY = 1.0, 4.0
 
 
-def quality_weight(n_chars: Column, words: Column) -> Column:
-    """A weight from the mean word length: near five letters weighs most."""
-    mean = n_chars / F.greatest(words, F.lit(1)) - 1
+def quality_weight(n_chars: Column, n_blanks: Column) -> Column:
+    """A weight from the mean length of what blanks part: near five letters weighs most."""
+    mean = (n_chars - n_blanks) / (n_blanks + 1)
     return F.lit(LEAST_QUALITY) + (MOST_QUALITY - LEAST_QUALITY) / (1 + F.abs(mean - 5))
 
 
 def keyed(docs: DataFrame, seed: int, quality: Column | None = None) -> DataFrame:
-    """doc_id, src, size (words), draw (a hash of the row), key (smaller: taken earlier) and the whole row."""
+    """doc_id, src, draw (a hash of the row), key (smaller: taken earlier), text and the whole row.
+
+    Nothing here takes a text apart, as the key is made again for whole rows.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.regexp_count(text, F.lit(WORD)).cast("long")
-    draw = seeded(seed, "doc_id", F.md5(text.cast("binary")))
-    light = packed(docs, doc_id=F.col("doc_id"), src=source_key("source"), size=words, draw=draw, n_chars=F.length(text), quality=F.lit(None) if quality is None else quality)
+    n_chars = F.length(text).cast("long")
+    n_blanks = n_chars - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    draw = seeded(seed, "doc_id", n_chars)
+    light = packed(
+        docs, doc_id=F.col("doc_id"), src=source_key("source"), text=text, draw=draw, n_chars=n_chars, n_blanks=n_blanks,
+        quality=F.lit(None) if quality is None else quality,
+    )
     uniform = (F.col("draw") + 0.5) * 2.0**-HASH_BITS
     # Bounded, so that keys fill their buckets evenly.
-    weight = quality_weight(F.col("n_chars"), F.col("size")) if quality is None else F.greatest(F.least("quality", F.lit(MOST_QUALITY)), F.lit(LEAST_QUALITY))
+    weight = quality_weight(F.col("n_chars"), F.col("n_blanks")) if quality is None else F.greatest(F.least("quality", F.lit(MOST_QUALITY)), F.lit(LEAST_QUALITY))
     key = -F.log(uniform) / weight
-    return light.select("doc_id", "src", "size", "draw", key.alias("key"), "row")
+    return light.select("doc_id", "src", "text", "draw", key.alias("key"), "row")
+
+
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -89,11 +100,11 @@ def mixture(docs: DataFrame, seed: int = 5, quality: Column | None = None) -> tu
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    rows = keyed(docs, seed, quality).drop("row").withColumn("ord", F.monotonically_increasing_id())
-    rows = scratch.write(rows, "rows")
-    n = rows.count()
+    n = docs.count()
+    rows = keyed(docs, seed, quality).select("doc_id", "src", n_words(F.col("text")).alias("size"), "draw", "key")
+    rows = scratch.write(rows.withColumn("ord", F.monotonically_increasing_id()), "rows", n)
     buckets = bucket_count(n, 4 * shuffle_partitions(spark))
-    # Rows that repeat entirely share their key: they are one entry, however many.
+    # Rows that repeat entirely share their key: they are one entry, however many, and so are any of one key and size.
     entries = rows.groupBy("src", "key", "draw", "size").agg(F.count(F.lit(1)).alias("n"))
     entries = entries.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets)).withColumn("all", F.col("size") * F.col("n"))
     entries = scratch.write(entries, "entries", n)
@@ -197,10 +208,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For tables without rows that repeat entirely.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, src, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS size, length(t) AS n_chars,
-    CAST('0x' || substr(md5('5|' || doc_id || '|' || md5(t)), 1, 13) AS BIGINT) AS draw FROM d),
+w AS (SELECT doc_id, src, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS size, length(t) AS n_chars, length(t) - length(replace(t, ' ', '')) AS n_blanks,
+    CAST('0x' || substr(md5('5|' || doc_id || '|' || length(t)), 1, 13) AS BIGINT) AS draw FROM d),
 k AS (SELECT *, -ln((draw + 0.5::DOUBLE) * power(2::DOUBLE, -52))
-    / (1::DOUBLE + 3::DOUBLE / (1 + abs(n_chars::DOUBLE / greatest(size, 1) - 1 - 5))) AS key FROM w),
+    / (1::DOUBLE + 3::DOUBLE / (1 + abs((n_chars - n_blanks)::DOUBLE / (n_blanks + 1) - 5))) AS key FROM w),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM w GROUP BY src),
 t AS (SELECT *, 3::DOUBLE * source_size AS cap,
     [5::DOUBLE, 2, 1][1 + (row_number() OVER (ORDER BY CASE WHEN src = 'n' THEN 1 ELSE 0 END, src) - 1) % 3] AS weight FROM s),
