@@ -169,7 +169,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 
 def _scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, int]:
     """The result of ``score_quality``, and the number of rows."""
-    described = Scratch(docs.sparkSession, "quality").write(describe(docs), "described")
+    n = docs.count()
+    described = Scratch(docs.sparkSession, "quality").write(describe(docs), "described", n)
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.filter(~held_out())
     # Bounded by train_rows, of some 200 bytes each: rows that repeat count once.
@@ -189,7 +190,7 @@ def _scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
         return each
 
     marked = described.select("doc_id", "raw", held_out().alias("held_out"), "x")
-    return arrow_map(marked, scorer, "doc_id long, raw long, held_out boolean, score double"), described.count()
+    return arrow_map(marked, scorer, "doc_id long, raw long, held_out boolean, score double"), n
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -322,12 +322,13 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    rows = scratch.write(sign(docs, words_in_shingle), "rows")
+    n = docs.count()
+    rows = scratch.write(sign(docs, words_in_shingle), "rows", n)
     distinct = rows.groupBy("signature", "print").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    distinct = scratch.write(distinct, "distinct", rows.count())
+    distinct = scratch.write(distinct, "distinct", n)
     found = components(print_links(distinct, NEAR, 2, scratch), scratch).withColumnRenamed("node", "rep")
     classes = distinct.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    classes = scratch.write(classes, "classes", rows.count())
+    classes = scratch.write(classes, "classes", n)
     scratch.keep("rows", "classes")
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
     return rows.join(classes, "print", "left").select("doc_id", hexed, "component_id")
@@ -372,9 +373,9 @@ def _shortener(words_in_shingle: int, least: float):
     return make
 
 
-def short_candidates(light: DataFrame, words_in_shingle: int, least: float, scratch: Scratch) -> DataFrame:
-    """(u, v): each short text with the smallest of those that share a key."""
-    keyed = scratch.write(arrow_map(light, _shortener(words_in_shingle, least), "key long, doc_id long, n long", "text"), "short")
+def short_candidates(light: DataFrame, words_in_shingle: int, least: float, scratch: Scratch, n: int) -> DataFrame:
+    """(u, v): each short text with the smallest of those that share a key; ``n`` rows."""
+    keyed = scratch.write(arrow_map(light, _shortener(words_in_shingle, least), "key long, doc_id long, n long", "text"), "short", n)
     heads = keyed.groupBy("key").agg(F.min(F.struct("n", "doc_id")).alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     return keyed.join(heads, "key").select(F.col("doc_id").alias("u"), F.col("head.doc_id").alias("v"))
 
@@ -453,13 +454,13 @@ def _similar(docs: DataFrame, words_in_shingle: int, least: float) -> tuple[Data
     scratch = Scratch(docs.sparkSession, "similar")
     light, repeated, named = documents(docs, scratch)
     light = light.withColumnRenamed("node", "doc_id")
-    rows = scratch.write(sign(light, 3, SIGNATURES), "rows")
-    n = rows.count()
+    n = SIGNATURES * docs.count()
+    rows = scratch.write(sign(light, 3, SIGNATURES), "rows", n // SIGNATURES)
     distinct = rows.groupBy("signature", "print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     distinct = scratch.write(distinct, "distinct", n)
     wide = print_links(distinct.drop("n"), WIDE, WIDE_PARTS, scratch, FORESTS)
     equal = rows.join(distinct.filter("n > 1"), ["signature", "print"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    candidates = wide.unionAll(equal).unionAll(short_candidates(light, words_in_shingle, least, scratch)).filter("u != v")
+    candidates = wide.unionAll(equal).unionAll(short_candidates(light, words_in_shingle, least, scratch, n // SIGNATURES)).filter("u != v")
     candidates = scratch.write(candidates.distinct(), "candidates", n)
     nodes = scratch.write(candidates.select("u").unionAll(candidates.select("v")).distinct().withColumnRenamed("u", "doc_id"), "named", n)
     sets = arrow_map(light.join(small(nodes, limit=SENT_IDS), "doc_id", "left_semi"), _shingler(words_in_shingle), "doc_id long, shingles array<long>", "text")

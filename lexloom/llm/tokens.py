@@ -126,8 +126,8 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str) -> DataFrame
     light = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     id_type = light.schema["doc_id"].dataType.simpleString()
     rows = arrow_map(light.select("doc_id", "n_bytes", "text"), _digests(model_path), f"doc_id {id_type}, n_bytes long, digest binary", "text")
-    rows = scratch.write(rows, "rows")
-    n_rows = rows.count()
+    n_rows = docs.count()
+    rows = scratch.write(rows, "rows", n_rows)
 
     def stored() -> DataFrame:
         own = read_cache(spark, cache_path).filter(F.col("tokenizer") == version)
@@ -158,7 +158,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str) -> DataFrame
         else:
             misses = light.join(F.broadcast(wanted) if n_wanted <= SENT_IDS else wanted, same, "left_semi")
         counted = arrow_map(misses.select("text"), _counter(model_path, version), CACHE_SCHEMA, "text")
-        counted = scratch.write(counted, "counted")
+        counted = scratch.write(counted, "counted", n_rows)
         if counted.count() != n_missing:  # ids repeat
             lacking = first.filter("n_tokens is null").select("digest")
             counted = counted.dropDuplicates(["digest"]).join(lacking, "digest", "left_semi")
