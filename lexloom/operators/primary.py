@@ -85,6 +85,47 @@ def tail_matches(steps) -> bool:
     return all(s.quant != "one" for s in steps)
 
 
+def carried(start: Column | None) -> list[Column]:
+    """The payload, of tokens that may start a match only: others need no more than their place."""
+    if start is None:
+        return [F.col(c) for c in PAYLOAD]
+    return [F.col(c) if c in ("file", "pos") else F.when(start, F.col(c)).alias(c) for c in PAYLOAD]
+
+
+def must_start(step) -> bool:
+    """Whether a match starts at a token that this first step accepts."""
+    return step.quant == "one"
+
+
+def is_gap(step) -> bool:
+    return step.quant == "zero_or_more" and not step.negate and step.alternatives == ((),)
+
+
+def gapped(steps) -> bool:
+    """Whether single tokens alternate with any tokens, to the region's end."""
+    return len(steps) % 2 == 0 and all(is_gap(s) if i % 2 else s.quant == "one" for i, s in enumerate(steps))
+
+
+def gapped_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
+    """Tokens that others follow somewhere in the region, in order.
+
+    From the last token to the second, the last place where each may stand is
+    the last one before that of the next; a start lies before all of them.  Only
+    tokens that some step accepts take part, and their order does not matter.
+    """
+    wanted = [accepts(s) for s in rule.steps[::2]]
+    flags = [f"a{i}" for i in range(len(wanted))]
+    own = tokens.filter(reduce(or_, wanted))
+    df = regions(own, rule, [*carried(wanted[0]), *(w.alias(a) for w, a in zip(wanted, flags))])
+    block, last = Window.partitionBy("file", "open"), None
+    for a in reversed(flags[1:]):
+        holds = F.col(a) if last is None else F.col(a) & (F.col("pos") < F.col(last))
+        df = df.withColumn(f"last_{a}", F.max(F.when(holds, F.col("pos"))).over(block))
+        last = f"last_{a}"
+    holds = F.col("a0") if last is None else F.col("a0") & (F.col("pos") < F.col(last))
+    return _finding(first_region(df.filter(holds), rule), index, F.col("open"))
+
+
 def window_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     """A sequence without captures and delimiters, by windows over its regions.
 
@@ -96,7 +137,10 @@ def window_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     steps = rule.steps
     if not steps:
         return _finding(tokens.filter(F.lit(False)), index)
-    df = regions(tokens, rule, [*PAYLOAD, *(accepts(s).alias(f"a{i}") for i, s in enumerate(steps))])
+    if gapped(steps):
+        return gapped_sequences(tokens, index, rule)
+    start = accepts(steps[0]) if must_start(steps[0]) else None
+    df = regions(tokens, rule, [*carried(start), *(accepts(s).alias(f"a{i}") for i, s in enumerate(steps))])
     if rule.in_scope:
         df = _useful_blocks(df, steps)
     order = Window.partitionBy("file", "open").orderBy("pos")

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.predicates import conjunction, token_field
 from ..rules.ast import Rule, Step
-from .primary import PAYLOAD, _finding, first_region, regions, window_sequences
+from .primary import PAYLOAD, _finding, carried, first_region, must_start, regions, window_sequences
 
 
 #: States that a region's search remembers from one start to the next.
@@ -202,7 +202,10 @@ def searched_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
         mask = mask.bitwiseOR(p.cast("long"))
     fields = matcher.fields
     known = [f for f in fields if token_field(f) is not None]
-    columns = [*PAYLOAD, "jmp", mask.alias("_mask"), *(token_field(f).cast("string").alias(f"_v_{f}") for f in known)]
+    start = None
+    if rule.steps and must_start(rule.steps[0]) and not rule.steps[0].negate:
+        start = mask.bitwiseAND(matcher._bits(0)) != 0
+    columns = [*carried(start), "jmp", mask.alias("_mask"), *(token_field(f).cast("string").alias(f"_v_{f}") for f in known)]
     df = regions(tokens, rule, columns)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +270,8 @@ def repeated_later(rule: Rule):
 
 def _repeats(tokens: DataFrame, index: int, rule: Rule, preds) -> DataFrame:
     """A bound text that occurs again: the last position of each text in its region."""
-    df = regions(tokens, rule, [*PAYLOAD, conjunction(preds).alias("_first")])
-    last = F.max("pos").over(Window.partitionBy("file", "open", "text"))
+    first = conjunction(preds)
+    df = regions(tokens, rule, [*carried(first), F.col("text").alias("_text"), first.alias("_first")])
+    last = F.max("pos").over(Window.partitionBy("file", "open", "_text"))
     found = df.withColumn("_last", last).filter(F.col("_first") & (F.col("_last") > F.col("pos")))
     return _finding(first_region(found, rule), index, F.col("open"))
