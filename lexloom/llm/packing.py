@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .arrow import arrow_map
-from .scratch import Scratch, table
+from .scratch import TEXT, Scratch, table
 
 WINDOW = 2048
 #: The id that ends every document.
@@ -202,7 +202,7 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = Non
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = scratch.write(arrow_map(light, _cutter(json_path, ranks_path, window), PIECES, "text"), "pieces", docs.count())
+    pieces = scratch.write(arrow_map(light, _cutter(json_path, ranks_path, window), PIECES, "text"), "pieces", TEXT * docs.count())
     counts = scratch.write(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "counts", pieces.count())
     # At most ``window`` rows reach the driver.
     histogram = dict(counts.groupBy("length").agg(F.sum("n")).collect())

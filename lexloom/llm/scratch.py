@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a file, and files of a table, that are worth a task, where the number of rows is bounded.
 FILE_ROWS, LEAST_FILES = 50_000, 12
+#: So many rows counts one that is made from a whole text.
+TEXT = 4
 #: Rows that may be broadcast; callers keep them to about a hundred bytes each.
 BROADCAST_ROWS = 200_000
 

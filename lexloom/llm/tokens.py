@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import arrow_map
-from .scratch import Scratch, table
+from .scratch import TEXT, Scratch, table
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Documents to encode, or to pass over: the fewer of them are sent to the
@@ -127,7 +127,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str) -> DataFrame
     id_type = light.schema["doc_id"].dataType.simpleString()
     rows = arrow_map(light.select("doc_id", "n_bytes", "text"), _digests(model_path), f"doc_id {id_type}, n_bytes long, digest binary", "text")
     n_rows = docs.count()
-    rows = scratch.write(rows, "rows", n_rows)
+    rows = scratch.write(rows, "rows", TEXT * n_rows)
 
     def stored() -> DataFrame:
         own = read_cache(spark, cache_path).filter(F.col("tokenizer") == version)
@@ -158,7 +158,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str) -> DataFrame
         else:
             misses = light.join(F.broadcast(wanted) if n_wanted <= SENT_IDS else wanted, same, "left_semi")
         counted = arrow_map(misses.select("text"), _counter(model_path, version), CACHE_SCHEMA, "text")
-        counted = scratch.write(counted, "counted", n_rows)
+        counted = scratch.write(counted, "counted", TEXT * n_rows)
         if counted.count() != n_missing:  # ids repeat
             lacking = first.filter("n_tokens is null").select("digest")
             counted = counted.dropDuplicates(["digest"]).join(lacking, "digest", "left_semi")
