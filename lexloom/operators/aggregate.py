@@ -44,6 +44,13 @@ def _chosen(operation: str, of: tuple[str, ...], has: list[Column]) -> tuple[Col
     return reduce(and_, [has[0], *(~h for h in has[1:])]), F.lit(of[0])
 
 
+def _parts(rule: Rule) -> tuple[str, ...]:
+    """What a rule's keys are made of."""
+    if rule.compose:
+        return tuple(dict.fromkeys(rule.compose[2]))
+    return ("file", "function") if rule.count[1] == "function" else ("file",)
+
+
 def within_files(rule: Rule) -> bool:
     """Whether the rule's keys lie within a file each."""
     return rule.count is not None or "file" in rule.compose[2]
@@ -56,23 +63,25 @@ def with_derived(primary: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame
     So one pass marks each row with the rules that it stands for, by windows
     over its key, and no row is read twice.  All windows lie within a file.
     """
-    df, names = primary, [F.col("rule")]
+    names, tests = [F.col("rule")], {}
     for i, rule in rules:
-        keys = _key_columns(rule.compose[2] if rule.compose else ("file", "function") if rule.count[1] == "function" else ("file",))
-        block, firsts = Window.partitionBy(*keys), Window.partitionBy(*keys, "rule_id").orderBy("emitted")
+        of_key = tests.setdefault(_parts(rule), [])
         if rule.compose:
             operation, of, _ = rule.compose
-            has = []
-            for j, r in enumerate(of):
-                df = df.withColumn(f"_has{i}_{j}", F.max(F.col("rule_id") == r).over(block))
-                has.append(F.col(f"_has{i}_{j}"))
-            kept, operand = _chosen(operation, of, has)
+            of_key += [(F.max(F.col("rule_id") == r), f"_has{i}_{j}") for j, r in enumerate(of)]
+            kept, operand = _chosen(operation, of, [F.col(f"_has{i}_{j}") for j in range(len(of))])
         else:
             other, _, op, n = rule.count
-            df = df.withColumn(f"_n{i}", F.count_if(F.col("rule_id") == other).over(block))
+            of_key.append((F.count_if(F.col("rule_id") == other), f"_n{i}"))
             kept, operand = _size_test(F.col(f"_n{i}"), op, n), F.lit(other)
-        df = df.withColumn(f"_first{i}", F.row_number().over(firsts))
-        names.append(F.when(kept & (F.col("rule_id") == operand) & (F.col(f"_first{i}") == 1), F.lit(i)))
+        first = F.col("_first_" + "_".join(_parts(rule))) == 1
+        names.append(F.when(kept & (F.col("rule_id") == operand) & first, F.lit(i)))
+    df = primary
+    for parts, counted in tests.items():  # two windows for each kind of key
+        keys = _key_columns(parts)
+        df = df.select("*", *(c.over(Window.partitionBy(*keys)).alias(n) for c, n in counted))
+        order = Window.partitionBy(*keys, "rule_id").orderBy("emitted")
+        df = df.withColumn("_first_" + "_".join(parts), F.row_number().over(order))
     return df.select(F.explode(F.array_compact(F.array(*names))).alias("rule"), *_CARRIED)
 
 
