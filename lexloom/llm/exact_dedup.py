@@ -195,7 +195,6 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     Of rows that repeat both doc_id and text one is kept, whatever their further
     columns hold.  Nulls, empty texts and empty tables are as in ``dedup_exact``.
     """
-    decided, n = _decided(docs)
     scratch = Scratch(docs.sparkSession, "dropped")
     with temporary():
         decided, n = _decided(docs)
