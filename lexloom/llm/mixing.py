@@ -162,21 +162,35 @@ def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(small(plan), "src")
 
 
-def taken_times(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (src, key, draw, ord and more) beside their plan, with ``times`` they are taken.
+def in_part(key: str = "key", draw: str = "draw") -> Column:
+    """How many rows of a row's entry are taken once more, where not all or none of them are; else null."""
+    own = F.filter("some", lambda e: (e["key"] == F.col(key)) & (e["draw"] == F.col(draw)))
+    return F.get(own, F.lit(0))["times"]
 
-    Of the rows of an entry that is taken in part, the first by ``ord`` are.
-    Only those entries' rows are ranked, by tasks that counted them.
-    """
-    at = with_plan(rows, plan).withColumn("_some", F.filter("some", lambda e: (e["key"] == F.col("key")) & (e["draw"] == F.col("draw"))))
-    at = at.withColumn("_part", F.coalesce(F.get("_some", F.lit(0))["times"], F.lit(0))).drop("_some")
+
+def _whole_times() -> Column:
+    """How often a row is taken, beside its plan, unless its entry is taken in part."""
     bucket = F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")).alias("bucket")
     early = F.coalesce(F.struct(bucket, "key", "draw") <= F.col("cut"), F.lit(False)).cast("long")
-    whole = at.filter("_part = 0").withColumn("times", F.least(F.col("epochs") + early, F.lit(MOST)))
-    parts = at.filter("_part > 0").withColumn("_task", F.shiftright("ord", 33))
-    ranked = rank_in_buckets(parts, ["src", "key", "draw"], "_task", [F.col("ord")], "_rank")
-    some = ranked.withColumn("times", F.least(F.col("epochs") + (F.col("_rank") < F.col("_part")).cast("long"), F.lit(MOST)))
-    return whole.drop("_part").unionByName(some.drop("_part", "_task", "_rank"))
+    return F.least(F.col("epochs") + early, F.lit(MOST))
+
+
+def _part_times(parts: DataFrame) -> DataFrame:
+    """``times`` of rows whose entry is taken in part: the first by ``ord`` are taken once more.
+
+    Tasks that numbered the rows count them, so that rows of an entry need not meet.
+    """
+    tasks = parts.withColumn("_part", in_part()).withColumn("_task", F.shiftright("ord", 33))
+    ranked = rank_in_buckets(tasks, ["src", "key", "draw"], "_task", [F.col("ord")], "_rank")
+    more = (F.col("_rank") < F.col("_part")).cast("long")
+    return ranked.withColumn("times", F.least(F.col("epochs") + more, F.lit(MOST))).drop("_part", "_task", "_rank")
+
+
+def taken_times(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (src, key, draw, ord and more) beside their plan, with ``times`` they are taken."""
+    at = with_plan(rows, plan)
+    whole = at.filter(in_part().isNull()).withColumn("times", _whole_times())
+    return whole.unionByName(_part_times(at.filter(in_part().isNotNull())))
 
 
 def mix_documents(docs: DataFrame, seed: int = 5, quality: Column | None = None) -> DataFrame:
@@ -189,12 +203,11 @@ def mix_documents(docs: DataFrame, seed: int = 5, quality: Column | None = None)
     scratch = Scratch(docs.sparkSession, "mixed")
     _, plan = mixture(docs, seed, quality)
     rows = with_plan(keyed(docs, seed, quality), plan)
-    in_part = F.exists("some", lambda e: (e["key"] == F.col("key")) & (e["draw"] == F.col("draw")))
-    in_part = F.coalesce(in_part, F.lit(False))
-    parts = rows.filter(in_part).select("src", "key", "draw", "row").withColumn("ord", F.monotonically_increasing_id())
-    parts = scratch.write(parts, "parts")
-    chosen = [taken_times(df, plan).select("row", F.col("times").cast("int").alias("times")) for df in (rows.filter(~in_part).select("src", "key", "draw", "row", F.lit(0).cast("long").alias("ord")), parts)]
-    copies = chosen[0].unionAll(chosen[1]).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    parts = rows.filter(in_part().isNotNull()).select("src", "key", "draw", "row").withColumn("ord", F.monotonically_increasing_id())
+    parts = _part_times(with_plan(scratch.write(parts, "parts"), plan)).select("row", "times")
+    whole = rows.filter(in_part().isNull()).select("row", _whole_times().alias("times"))
+    times = F.col("times").cast("int")
+    copies = whole.unionAll(parts).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), times)))
     return copies.select("row.*")
 
 
