@@ -435,9 +435,9 @@ def similar_documents(docs: DataFrame, words_in_shingle: int = 5, least: float =
     """(doc_id, component_id) of documents whose shingle sets are similar.
 
     Candidates are the spanning links, FORESTS times over, of fingerprints over
-    three words within WIDE bits, for SIGNATURES fingerprints each; documents
-    with equal prints and the first and the one before of them; of texts with FEW
-    shingles all similar ones are connected.  Every one is verified: links have a
+    three words within WIDE bits, for SIGNATURES fingerprints each, and documents
+    with equal prints and the first of them; of texts with FEW shingles all
+    similar ones are connected.  Every one is verified: links have a
     Jaccard similarity of ``words_in_shingle``-word shingles of at least
     ``least``.  Documents without links are not returned.  Null texts count as
     empty, texts without words are similar to each other; rows with a null doc_id
