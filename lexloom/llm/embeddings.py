@@ -26,11 +26,12 @@ themselves.
 
 from __future__ import annotations
 
-import functools
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
@@ -57,7 +58,6 @@ MAX_SHARDS = 65_536
 BLOCK, CHUNK, VERIFIED = 128, 4_096, 8_192
 
 
-@functools.lru_cache(maxsize=64)
 def counting_lines(dimension: int, seed: int) -> np.ndarray:
     """Random directions that count collisions."""
     return np.random.default_rng([seed, dimension]).standard_normal((LINES, dimension))
@@ -233,10 +233,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 29) ->
         drawn = sampled(own, F.xxhash64("h", F.lit(seed)), min(SAMPLE, SAMPLE_VALUES // dimension, 64 * -(-n // SHARD_ROWS)), n).select("e").toArrow()
         drawn = drawn.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dimension)
         dealers[dimension] = Dealer(unit(drawn), n, cosine, seed)
-    sent = spark.sparkContext.broadcast(dealers)
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(dealers))  # by value: executors have no copy of this package
 
     def router():
-        dealers = sent.value
+        dealers = pickle.loads(sent.value)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             dimensions = batch.column("dimension").to_numpy()
