@@ -1,8 +1,12 @@
 """op7, op9, op10 and the pipeline."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -83,6 +87,26 @@ def test_vectors_of_all_lengths_and_sizes(spark, monkeypatch):
     assert [r["n_links"] for r in embeddings.near_duplicates(long).collect()] == [3] * 4
 
 
+AWAY = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from lexloom.llm import embeddings
+embeddings.SHARD_ROWS = 30
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+rows = [(i, [float((i * k) % 17 - 8) for k in range(1, 9)]) for i in range(200)]
+docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+print("rows", embeddings.near_duplicates(docs).count())
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    root = Path(__file__).resolve().parents[2]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", AWAY, str(root)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]
+
+
 def test_dense_groups_are_counted_in_full(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "SHARD_ROWS", 100)
     monkeypatch.setattr(embeddings, "VERIFIED", 500)
