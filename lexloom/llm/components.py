@@ -48,6 +48,8 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[roots[moved]]
 
 
+#: Rounds take the logarithm of the number of nodes; more than these mean an error.
+MOST_ROUNDS = 60
 #: Links that a task reduces at a time.
 TASK_LINKS = 2_000_000
 
@@ -83,7 +85,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.write(contract(links), "links-0")
     size = 2 * now.count()
     mark = None
-    for turn in range(1, 60):
+    for turn in range(1, MOST_ROUNDS + 1):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -98,6 +100,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"links have not settled after {MOST_ROUNDS} rounds")
     # A fixed point is a star around every smallest node.
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     hubs = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import quotient
 from .arrow import arrow_map
-from .scratch import TEXT, Scratch, packed, shuffle_partitions, small, table, temporary, without
+from .scratch import Scratch, packed, shuffle_partitions, small, table, temporary, without
 
 #: The bytes that normalisation deletes.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -162,7 +162,7 @@ def _decided(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     n = docs.count()
-    rows = scratch.write(digests(docs), "digests", TEXT * n)
+    rows = scratch.write(digests(docs), "digests", n, texts=True)
     bits = shard_bits(n, shuffle_partitions(spark))
     often = scratch.write(repeated_prints(rows.select("print"), bits), "often", n)
     groups = scratch.write(verified_groups(docs, often), "groups", n)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ranking import bucket_count, rank_in_buckets
-from .scratch import TEXT, Scratch, packed, shuffle_partitions, small, table
+from .scratch import Scratch, packed, shuffle_partitions, small, table
 from .sharding import HASH_BITS, seeded, source_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -102,7 +102,7 @@ def mixture(docs: DataFrame, seed: int = 5, quality: Column | None = None) -> tu
     scratch = Scratch(spark, "mix")
     n = docs.count()
     rows = keyed(docs, seed, quality).select("doc_id", "src", n_words(F.col("text")).alias("size"), "draw", "key")
-    rows = scratch.write(rows.withColumn("ord", F.monotonically_increasing_id()), "rows", TEXT * n)
+    rows = scratch.write(rows.withColumn("ord", F.monotonically_increasing_id()), "rows", n, texts=True)
     buckets = bucket_count(n, 4 * shuffle_partitions(spark))
     # Rows that repeat entirely share their key: they are one entry, however many, and so are any of one key and size.
     entries = rows.groupBy("src", "key", "draw", "size").agg(F.count(F.lit(1)).alias("n"))

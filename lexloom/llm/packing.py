@@ -9,7 +9,7 @@ and their counts, the multiset that leaves least slack; the multiset then fills
 as many sequences as its counts allow, so every step uses up some length.
 
 Documents find their place from their rank among the tails of their length.
-Ranks come from per-task counters written with the pieces, so a length that a
+Ranks come from counters per partition, written with the pieces, so a length that a
 third of all rows share is ranked without meeting in one task.
 """
 
@@ -23,13 +23,12 @@ from collections.abc import Callable
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .arrow import arrow_map
-from .scratch import TEXT, Scratch, table
+from .scratch import Scratch, table
 
 WINDOW = 2048
 #: The id that ends every document.
@@ -76,7 +75,6 @@ def token_ids(json_path: str, ranks_path: str | None = None) -> Callable[[list[s
 def _cutter(json_path: str, ranks_path: str | None, window: int):
     def make():
         encode = token_ids(json_path, ranks_path)
-        task = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)  # pieces so far, by length
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -92,6 +90,8 @@ def _cutter(json_path: str, ranks_path: str | None, window: int):
                             out[column].append(value)
                         seen[n] += 1
             arrays = [pa.array(v, pa.int64()) for v in out.values()]
+            # The partition that these rows were read in: counters start anew in each, whatever task runs it.
+            task = batch.column("task")[0].as_py()
             return pa.record_batch([*arrays, pa.array([task] * len(arrays[0]), pa.int64())], names=[*out, "task"])
 
         return each
@@ -201,8 +201,8 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = Non
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = scratch.write(arrow_map(light, _cutter(json_path, ranks_path, window), PIECES, "text"), "pieces", TEXT * docs.count())
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().cast("long").alias("task"))
+    pieces = scratch.write(arrow_map(light, _cutter(json_path, ranks_path, window), PIECES, "text"), "pieces", docs.count(), texts=True)
     counts = scratch.write(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "counts", pieces.count())
     # At most ``window`` rows reach the driver.
     histogram = dict(counts.groupBy("length").agg(F.sum("n")).collect())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import arrow_map
-from .scratch import TEXT, Scratch, sampled, table, temporary, without
+from .scratch import Scratch, sampled, table, temporary, without
 
 #: Labelled rows that are learned from at most, by a hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -170,7 +170,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 def _scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, int]:
     """The result of ``score_quality``, and the number of rows."""
     n = docs.count()
-    described = Scratch(docs.sparkSession, "quality").write(describe(docs), "described", TEXT * n)
+    described = Scratch(docs.sparkSession, "quality").write(describe(docs), "described", n, texts=True)
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.filter(~held_out())
     # Bounded by train_rows, of some 200 bytes each: rows that repeat count once.

@@ -18,10 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a file, and files of a table, that are worth a task, where the number of rows is bounded.
+#: Rows of a file, and files of a table, where the number of rows is bounded.
 FILE_ROWS, LEAST_FILES = 50_000, 12
-#: So many rows counts one that is made from a whole text.
-TEXT = 4
 #: Rows that may be broadcast; callers keep them to about a hundred bytes each.
 BROADCAST_ROWS = 200_000
 
@@ -74,11 +72,16 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, df: DataFrame, table: str, rows: int | None = None) -> DataFrame:
-        """Write and reread ``df``; where a bound on its rows is known, not in more files than they fill."""
+    def write(self, df: DataFrame, table: str, rows: int | None = None, texts: bool = False) -> DataFrame:
+        """Write and reread ``df``; where a bound on its rows is known, not in more files than they fill.
+
+        With ``texts`` the light rows are made from whole texts: they are dealt
+        anew, so that the work on the texts keeps the tasks of their scan.
+        """
         path = self.path(table)
         if rows is not None:
-            df = df.coalesce(max(LEAST_FILES, rows // FILE_ROWS))
+            files = max(LEAST_FILES, rows // FILE_ROWS)
+            df = df.repartition(files) if texts else df.coalesce(files)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .arrow import arrow_map
 from .components import Union, components
 from .identity import documents
-from .scratch import TEXT, Scratch, sampled, small, table, temporary, without
+from .scratch import Scratch, sampled, small, table, temporary, without
 
 SEED = 42
 #: Bits in which linked fingerprints differ at most.
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     n = docs.count()
-    rows = scratch.write(sign(docs, words_in_shingle), "rows", TEXT * n)
+    rows = scratch.write(sign(docs, words_in_shingle), "rows", n, texts=True)
     distinct = rows.groupBy("signature", "print").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
     distinct = scratch.write(distinct, "distinct", n)
     found = components(print_links(distinct, NEAR, 2, scratch), scratch).withColumnRenamed("node", "rep")
@@ -375,7 +375,7 @@ def _shortener(words_in_shingle: int, least: float):
 
 def short_candidates(light: DataFrame, words_in_shingle: int, least: float, scratch: Scratch, n: int) -> DataFrame:
     """(u, v): each short text with the smallest of those that share a key; ``n`` rows."""
-    keyed = scratch.write(arrow_map(light, _shortener(words_in_shingle, least), "key long, doc_id long, n long", "text"), "short", TEXT * n)
+    keyed = scratch.write(arrow_map(light, _shortener(words_in_shingle, least), "key long, doc_id long, n long", "text"), "short", n, texts=True)
     heads = keyed.groupBy("key").agg(F.min(F.struct("n", "doc_id")).alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     return keyed.join(heads, "key").select(F.col("doc_id").alias("u"), F.col("head.doc_id").alias("v"))
 
@@ -455,7 +455,7 @@ def _similar(docs: DataFrame, words_in_shingle: int, least: float) -> tuple[Data
     light, repeated, named = documents(docs, scratch)
     light = light.withColumnRenamed("node", "doc_id")
     n = SIGNATURES * docs.count()
-    rows = scratch.write(sign(light, 3, SIGNATURES), "rows", TEXT * n // SIGNATURES)
+    rows = scratch.write(sign(light, 3, SIGNATURES), "rows", n, texts=True)
     distinct = rows.groupBy("signature", "print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     distinct = scratch.write(distinct, "distinct", n)
     wide = print_links(distinct.drop("n"), WIDE, WIDE_PARTS, scratch, FORESTS)
