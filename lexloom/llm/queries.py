@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, licenses, mixing, packing, quality, sharding, simhash, substring, tokens
+from . import bpe, embeddings, exact_dedup, licenses, mixing, packing, quality, sharding, simhash, substring, tokens, variants
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_sharding": sharding.query,
     "op10_mixing": mixing.query,
+    "op11_bpe": bpe.query,
+    "op12_variants": variants.query,
 }
 
 ORACLES = {
