@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, exact_dedup, licenses, mixing, packing, quality, sharding, simhash, substring, tokens, variants
+from . import bpe, embeddings, exact_dedup, licenses, mixing, packing, quality, sharding, simhash, substring, tokens, trie, variants
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.query,
     "op11_bpe": bpe.query,
     "op12_variants": variants.query,
+    "op13_trie": trie.query,
 }
 
 ORACLES = {
