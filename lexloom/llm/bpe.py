@@ -114,14 +114,16 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, added = spec["model"], spec["added_tokens"]
-        splitter = spec["pre_tokenizer"]["pretokenizers"]
+        model, added, splitters = spec["model"], spec["added_tokens"], spec["pre_tokenizer"].get("pretokenizers", [])
+        wanted = {"type": "BPE", "end_of_word_suffix": "</w>", "dropout": None, "continuing_subword_prefix": None}
+        split = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
         known = (
-            (model["type"], model["end_of_word_suffix"], model["dropout"], model["continuing_subword_prefix"], model.get("ignore_merges", False), spec["decoder"])
-            == ("BPE", "</w>", None, None, False, None)
+            len(splitters) == 2
+            and all(all(own.get(k) == v for k, v in want.items()) for want, own in ((wanted, model), (split, splitters[0]), (level, splitters[1])))
+            and not model.get("ignore_merges")
+            and spec["decoder"] is None
             and spec["normalizer"] == {"type": "Sequence", "normalizers": NORMALISER}
-            and (splitter[0]["pattern"], splitter[0]["behavior"], splitter[0]["invert"]) == ({"Regex": PATTERN}, "Removed", True)
-            and (splitter[1]["type"], splitter[1]["add_prefix_space"], splitter[1]["use_regex"]) == ("ByteLevel", False, False)
             and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
         )
         if not known:

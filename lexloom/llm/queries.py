@@ -25,4 +25,6 @@ ORACLES = {
     "op7_embeddings": embeddings.ORACLE,
     "op9_sharding": sharding.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_variants": variants.ORACLE,
+    "op13_trie": trie.ORACLE,
 }

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import Scratch, shuffle_partitions, small, table
+from .sql import CRC_TABLE, crc32
 
 #: Turns of one conversation that meet in a task, and conversations or turns that a range holds on average.
 BLOCK, RANGE_ROWS = 4_096, 20_000
@@ -282,3 +283,24 @@ def conversation_trie(conversations: DataFrame, share: bool = False) -> DataFram
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op13: the trie of all conversations, rebuilt to share turns."""
     return conversation_trie(table(spark, sf_dir, "conversations"), share=True)
+
+
+#: A node is the string of its turns' digests; its subtree are the nodes whose strings begin with it.
+ORACLE = f"""
+WITH {CRC_TABLE},
+o AS (SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS sha, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, sha, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha) - 1 AS pos FROM o),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+u AS (SELECT c.conv_id, 0 AS own, t.pos, t.sha, t.bytes FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h UNION ALL
+  SELECT c.conv_id, 1, t.pos, t.sha, t.bytes FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+p AS (SELECT conv_id, string_agg(sha, '') OVER (PARTITION BY conv_id ORDER BY own, pos) AS path, bytes FROM u UNION ALL SELECT conv_id, '', 0 FROM c),
+n AS (SELECT path, length(path) // 64 AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY path),
+k AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM n WHERE path <> '' GROUP BY 1),
+e AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(path, length(path)) AS path FROM p GROUP BY 1) GROUP BY 1),
+s AS (SELECT n.path, sum((b.n_convs - 1) * b.bytes) AS saved, count(*) FILTER (k.path IS NULL) AS leaves
+  FROM n JOIN n b ON starts_with(b.path, n.path) LEFT JOIN k ON k.path = b.path GROUP BY 1)
+SELECT n.conv_id, n.depth, CASE WHEN n.depth > 0 THEN a.conv_id END AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.leaves AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n JOIN s ON s.path = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN e ON e.path = n.path LEFT JOIN n a ON n.path <> '' AND a.path = left(n.path, greatest(length(n.path) - 64, 0))
+"""

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrow import arrow_map, slices
 from .scratch import Scratch, small, table
+from .sql import CRC_TABLE, crc32
 
 #: Shortest words, and fewest occurrences, that count as a word.
 LEAST_LENGTH, LEAST_COUNT = 6, 5
@@ -168,3 +169,22 @@ def spelling_variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_c
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op12: all words of all documents."""
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: Words are near if one is the other without a character, or both are equal without that at one place.
+ORACLE = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, k, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM d, crc_table),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+x AS (SELECT word, n, word AS variant, -1 AS i FROM v UNION ALL
+  SELECT word, n, substr(word, 1, i) || substr(word, i + 2), i FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.variant = b.variant AND a.word <> b.word AND (a.i = b.i OR a.i = -1 OR b.i = -1)),
+b AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS best, max(m) AS most FROM p GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * v.n THEN best END AS form, CASE WHEN most >= 5 * v.n THEN most END AS form_n FROM v LEFT JOIN b USING (word)),
+s AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM f JOIN s ON s.word = f.word JOIN f l ON l.word = s.root AND l.form IS NULL
+"""
