@@ -256,6 +256,12 @@ class _Scanner:
         self.words = [self.pieces[i][3] for i in self.real]
         self.kinds = [self.pieces[i][2] for i in self.real]
         self.partner = self._partners()
+        #: Arrows that return types lead to, looked for by opening parenthesis; parentheses of conditionals, which lead to none.
+        self.ahead: dict[int, int | None] = {}
+        self.values: set[int] = set()
+        #: Colons of return types with their arrows, and those arrows.
+        self.returns: dict[int, int] = {}
+        self.arrows: set[int] = set()
         self.out: list[Lexeme] = []
 
     def _partners(self) -> list[int | None]:
@@ -481,7 +487,7 @@ class _Scanner:
             if not role:
                 if before in ("for", "catch") or before == "await" and self.word(k - 2) == "for":
                     role = "head"
-                elif self._arrow_params(k) or frame["role"] == "interface" and not frame["type"]:
+                elif self._heads_arrow(k, frame, pending) or frame["role"] == "interface" and not frame["type"]:
                     role = "params"
                 elif before in ("import", "super") or value_ended or before == ">":
                     role = "arguments"
@@ -502,28 +508,86 @@ class _Scanner:
         new["role"] = role
         return new
 
+    def _heads_arrow(self, k: int, frame: dict, pending) -> bool:
+        """Whether an arrow function begins at ``k``; marks its return type and body."""
+        arrow = self._arrow_at(k)
+        if arrow is None:
+            return False
+        colon = self.partner[k] + 1
+        if arrow == colon or frame["type"]:
+            return True
+        if frame.get("ternary") and not self._else_follows(arrow):
+            self.values.add(k)  # the colon is that of the conditional
+            return False
+        self.returns[colon] = arrow
+        self.arrows.add(arrow)
+        if self.word(arrow + 1) == "{":
+            pending[arrow + 1] = ("block", "")
+        return True
+
     def _arrow_params(self, k: int) -> bool:
+        return self._arrow_at(k) is not None
+
+    def _arrow_at(self, k: int) -> int | None:
+        """The "=>" of which the parenthesis at ``k`` holds the parameters, directly before it or with a return type between."""
         close = self.partner[k]
-        if close is None:
-            return False
+        if close is None or k in self.values:
+            return None
         if self.word(close + 1) == "=>":
+            return None if close + 1 in self.arrows else close + 1
+        if self.word(close + 1) != ":" or not self.typed or not self._may_head(k):
+            return None
+        if k not in self.ahead:
+            self.ahead[k] = self._behind_return_type(close + 2)
+        return self.ahead[k]
+
+    def _may_head(self, k: int) -> bool:
+        """Whether parameters may begin at ``k``, and not a call's arguments."""
+        if self.kinds[k - 1 : k] != ["word"]:
             return True
-        if self.word(close + 1) == ":" and self.typed and self.kinds[k - 1 : k] != ["word"]:
-            j = close + 2
-            while j < len(self.words):  # over a return type
-                w = self.words[j]
-                if w == "=>":
+        before = self.word(k - 1)
+        return before == "default" or before in _EXPRESSION_WORDS - {"case"} or before == "async" and self.word(k - 2) not in (".", "?.")
+
+    def _behind_return_type(self, j: int) -> int | None:
+        while j < len(self.words):
+            w = self.words[j]
+            if w == "=>":
+                if not self._ends_function_type(j):
+                    return j
+            elif w == "<" and self.generic_end(j) > j:
+                j = self.generic_end(j)
+                continue
+            elif w in ("(", "[", "{") and self.kinds[j] == "punct" and self.partner[j] is not None:
+                if w == "{" and self.word(j - 1) not in (":", "|", "&", "is", "extends", "=>"):
+                    return None
+                j = self.partner[j]
+            elif w in (";", ":", ",", ")", "]", "}", "?", "=", "(", "[", "{"):
+                return None
+            j += 1
+        return None
+
+    def _ends_function_type(self, arrow: int) -> bool:
+        """Whether the parentheses before an "=>" in a return type are parameters of a function type."""
+        begins = self.partner[arrow - 1] if self.word(arrow - 1) == ")" else None
+        if begins is None or self.word(begins - 1) not in (":", "|", "&", "=>", "new", ">"):
+            return False
+        return self.word(begins + 1) in (")", "...") or self.is_name(begins + 1) and self.word(begins + 2) in (":", ",", "?", "=", ")")
+
+    def _else_follows(self, arrow: int) -> bool:
+        """Whether the body of an arrow function is followed by the other branch of a conditional."""
+        j, open_ = arrow + 1, 0
+        while j < len(self.words):
+            w = self.words[j]
+            if w in ("(", "[", "{") and self.kinds[j] == "punct" and self.partner[j] is not None:
+                j = self.partner[j]
+            elif w == ":":
+                if not open_:
                     return True
-                if w == "<" and self.generic_end(j) > j:
-                    j = self.generic_end(j)
-                    continue
-                if w in ("(", "[", "{") and self.partner[j] is not None:
-                    if w == "{" and self.word(j - 1) not in (":", "|", "&", "is", "extends"):
-                        return False
-                    j = self.partner[j]
-                elif w in (";", "{", ",", ")", "]", "}") or w == "?" or w == "=":
-                    return False
-                j += 1
+                open_ -= 1
+            elif w in (";", ",", ")", "]", "}"):
+                return False
+            open_ += w == "?"
+            j += 1
         return False
 
     def _brace_role(self, k: int, before: str, frame: dict) -> str:
@@ -540,7 +604,7 @@ class _Scanner:
             return "object" if inside_object else "block"
         if before == ":" and frame["role"] in ("block", "switch"):
             # a label or case body, unless a conditional or an annotation led here
-            return "interface" if frame["decl"] and self.typed else "object" if frame.get("ternary") else "block"
+            return "object" if frame.get("else") == k - 1 else "interface" if frame["decl"] and self.typed else "block"
         if before == "=" and self.typed and self.word(k - 3) == "type":
             return "interface"
         if self.kinds[k - 1] == "word" and before not in KEYWORDS and self._line_breaks(k - 1):
@@ -562,6 +626,9 @@ class _Scanner:
         """Keep track of declarations, conditionals and type positions."""
         if opened or lexical not in ("punct", "word"):
             return
+        if k in self.returns or k in self.arrows:
+            frame["type"], frame["angles"] = k in self.returns, 0
+            return
         if frame["type"] and w in ("<", ">", ">>", ">>>"):
             frame["angles"] = max(0, frame.get("angles", 0) + (1 if w == "<" else -len(w)))
             return
@@ -573,7 +640,7 @@ class _Scanner:
             frame["ternary"] = frame.get("ternary", 0) + 1
         elif w == ":":
             if frame.get("ternary"):
-                frame["ternary"] -= 1
+                frame["ternary"], frame["else"] = frame["ternary"] - 1, k
             elif self.typed:
                 annotates = frame["role"] in ("params", "class", "interface") or frame["decl"] or frame["role"] == "head"
                 returns = self.word(k - 1) == ")" and frame["role"] in ("block", "class", "interface", "object", "arguments", "paren")
@@ -585,6 +652,8 @@ class _Scanner:
         elif w == "=":
             frame["type"] = bool(frame.pop("alias", False))
             frame["decl"] = False
+        elif frame["role"] == "type":  # brackets of a type hold nothing else
+            return
         elif w in (";", ",", "=>", "}") and not (w == "=>" and frame["type"]):
             frame["type"] = False
             if w == ";":

@@ -199,3 +199,50 @@ def test_long_type_parameters_keep_the_name():
     returns = " | ".join(f"Map<string, T{i}[]>" for i in range(20))
     got = rows(f"const f = (a: A): {returns} => {{ return 1 }}", "a.ts")
     assert {t["node_kind"] for t in got if t["text"] == "a"} == {"identifier"} and [t["round_depth"] for t in got if t["text"] == "A"] == [1]
+
+
+BODY = "{ const x = 1; if (x) foo(y); return a }"
+
+
+@pytest.mark.parametrize(
+    ("before", "behind", "path", "depth"),
+    [
+        ("const g = (a: number): number => ", "", "a.ts", 1),
+        ("xs.map((a): number => ", ")", "a.ts", 1),
+        ("const h = async (a: A): Promise<void> => ", "", "a.ts", 1),
+        ("const h = async <T,>(a: T): Promise<T> => ", "", "a.tsx", 1),
+        ("export default (a: A): JSX.Element => ", "", "a.tsx", 1),
+        ("const o = { k: (a): { b: number } => ", " }", "a.ts", 1),
+        ("const t = [ (a): a is string => ", " ]", "a.ts", 1),
+        ("f(1, (a, { b }: P = {}): [A, B] => ", ")", "a.ts", 1),
+        ("const q = (a): ((z: number) => void) => ", "", "a.ts", 1),
+        ("const q = (a): (z: number) => void => ", "", "a.ts", 1),
+        ("const q = (a): (A | B) => ", "", "a.ts", 1),
+        ("function k() { return (a): void => ", " }", "a.ts", 2),
+        ("const e = <button onClick={(a): void => ", "}>go</button>", "a.tsx", 1),
+        ("const u = p ? (a): T => ", " : null", "a.ts", 1),
+        ("class C { m = (a: A): void => ", " }", "a.ts", 2),
+        ("const n = (a: () => void): Map<string, () => number> => ", "", "a.ts", 1),
+        ("const y = (a): typeof z.q | 'x' | 3 => ", "", "a.ts", 1),
+        ("const g = (a: number) => ", "", "a.ts", 1),
+    ],
+)
+def test_bodies_of_arrow_functions(before, behind, path, depth):
+    got = lex(before + BODY + behind, path)
+    at = next(t["pos"] for t in got if t["text"] == "if")
+    inside = {t["text"]: (t["node_kind"], t["class"], t["curly_depth"]) for t in got[at - 5 : at + 12]}
+    assert inside["if"] == ("if", "symbol", depth) and inside["return"] == ("return", "symbol", depth)
+    assert all(inside[name] == ("identifier", "ident", depth) for name in ("x", "foo", "y", "a"))
+    first = next(t for t in got if t["text"] == "a")
+    assert (first["node_kind"], first["class"]) == ("identifier", "ident") and first["round_depth"] >= 1
+    assert not any(t["class"] == "ident" for t in got if t["text"] in ("A", "B", "T", "P", "Promise", "Map", "JSX"))
+    assert {t["function"] for t in got if t["text"] in ("if", "foo")} == {"k" if "function k" in before else ""}
+
+
+def test_colons_of_conditionals_head_no_arrow():
+    got = lex("x ? (a) : b => c; y = c ? (a) : { k: 1 }; const r = c ? (a) : (b): T => { if (1) e() }")
+    of = {t["text"]: (t["class"], t["curly_depth"], t["round_depth"]) for t in got}
+    assert of["k"] == ("prop", 0, 0) and of["T"] == ("other", 0, 0) and of["if"] == ("symbol", 1, 0) and of["e"] == ("ident", 1, 0)
+    assert [t["class"] for t in got if t["text"] == "b"] == ["ident", "ident"]
+    members = lex("interface I {\n (a: number): T\n m: (b: B) => c\n}\nlet z = { k: 1 }")
+    assert {t["text"]: t["class"] for t in members if t["text"] in ("T", "m", "B", "c", "k")} == {"T": "other", "m": "other", "B": "other", "c": "other", "k": "prop"}
