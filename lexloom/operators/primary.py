@@ -144,23 +144,27 @@ def window_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     if rule.in_scope:
         df = _useful_blocks(df, steps)
     order = Window.partitionBy("file", "open").orderBy("pos")
-    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     df = df.withColumn(f"f{len(steps)}", F.lit(False))
     for i in reversed(range(len(steps))):
-        acc, then = F.col(f"a{i}"), F.col(f"f{i + 1}")
-        at_end = tail_matches(steps[i + 1 :])
-        if steps[i].quant == "zero_or_more":
-            goal = F.coalesce(F.min(F.when(then, F.col("pos").cast("long"))).over(ahead), F.lit(_END if at_end else _END + 1))
-            stop = F.coalesce(F.min(F.when(~acc, F.col("pos").cast("long"))).over(ahead), F.lit(_END))
-            holds = goal <= stop
-        else:
-            holds = acc & F.lead(then, 1, at_end).over(order)
-            if steps[i].quant == "optional":
-                holds = then | holds
+        holds = step_holds(steps[i], F.col(f"a{i}"), F.col(f"f{i + 1}"), tail_matches(steps[i + 1 :]), order)
         df = df.withColumn(f"f{i}", holds).drop(f"f{i + 1}", f"a{i}")
     return _finding(first_region(df.filter("f0"), rule), index, F.col("open"))
 
 
+def step_holds(step, accepted: Column, then: Column, at_end: bool, order) -> Column:
+    """Whether ``step`` and what follows it consume the rest of the region from here on.
+
+    ``then`` is the same for what follows, at each token; ``at_end`` at the region's end.
+    """
+    if step.quant == "zero_or_more":
+        ahead, place = order.rowsBetween(Window.currentRow, Window.unboundedFollowing), F.col("pos").cast("long")
+        goal = F.coalesce(F.min(F.when(then, place)).over(ahead), F.lit(_END if at_end else _END + 1))
+        stop = F.coalesce(F.min(F.when(~accepted, place)).over(ahead), F.lit(_END))
+        return goal <= stop
+    holds = accepted & F.lead(then, 1, at_end).over(order)
+    return then | holds if step.quant == "optional" else holds
+
+
 def _useful_blocks(df: DataFrame, steps) -> DataFrame:
     """Only blocks in which every needed, positive step is accepted by some token."""
     needed = [i for i, s in enumerate(steps) if s.quant == "one" and not s.negate and any(s.alternatives)]

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.predicates import conjunction, token_field
 from ..rules.ast import Rule, Step
+from .paired import paired_sequences, plannable
 from .primary import PAYLOAD, _finding, carried, first_region, must_start, regions, window_sequences
 
 
@@ -247,7 +248,7 @@ def sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     if repeat is not None:
         return _repeats(tokens, index, rule, repeat)
     if any(s.bind or s.has_refs or s.delimiter for s in rule.steps):
-        return searched_sequences(tokens, index, rule)
+        return (paired_sequences if plannable(rule) else searched_sequences)(tokens, index, rule)
     return window_sequences(tokens, index, rule)
 
 
