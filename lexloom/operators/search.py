@@ -24,6 +24,8 @@ from .paired import paired_sequences, plannable
 from .primary import PAYLOAD, _finding, carried, first_region, must_start, regions, window_sequences
 
 
+#: The bit of tokens at which all steps of a fixed beginning are accepted.
+_START = 62
 #: States that a region's search remembers from one start to the next.
 STATES = 500_000
 
@@ -55,6 +57,7 @@ class Matcher:
 
     def __init__(self, steps: tuple[Step, ...]):
         self.steps = steps
+        self.flagged = False  # whether masks tell where a match may start
         #: Alternatives get one bit each, in step order.
         self.bits: list[list[int]] = []
         n = 0
@@ -63,6 +66,8 @@ class Matcher:
             n += len(s.alternatives)
         #: Steps that take any number of any tokens: the next step's candidates are looked up, not walked to.
         self.free = [s.quant == "zero_or_more" and not s.negate and not s.bind and not s.delimiter and s.alternatives == ((),) for s in steps]
+        #: Steps at the beginning that take one token each, without references: Spark finds where they all hold.
+        self.fixed = next((i for i, s in enumerate(steps) if s.quant != "one" or s.has_refs), len(steps))
         self.refs = [[[p for p in a if p.op in ("eq_ref", "ne_ref")] for a in s.alternatives] for s in steps]
 
     @property
@@ -113,6 +118,8 @@ class Matcher:
         """Positions that the first step may take, if it must take one."""
         if not self.steps:
             return []
+        if self.flagged:
+            return [p for p, m in enumerate(masks) if m >> _START & 1]
         first = self.steps[0]
         if first.quant != "one" or first.negate:
             return list(range(len(masks)))
@@ -208,6 +215,10 @@ def searched_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
         start = mask.bitwiseAND(matcher._bits(0)) != 0
     columns = [*carried(start), "jmp", mask.alias("_mask"), *(token_field(f).cast("string").alias(f"_v_{f}") for f in known)]
     df = regions(tokens, rule, columns)
+    if matcher.fixed > 1:
+        df = _with_starts(df, matcher)
+    else:
+        df = df.repartition("file", "open")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the region that a batch breaks off
@@ -227,11 +238,26 @@ def searched_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
         if hits:
             yield from rows.select(["open", *PAYLOAD]).take(pa.array(hits, pa.int64())).combine_chunks().to_batches()
 
-    ordered = df.repartition("file", "open").sortWithinPartitions("file", "open", "pos")
+    ordered = df.sortWithinPartitions("file", "open", "pos")
     hits = ordered.mapInArrow(search, df.select("open", *PAYLOAD).schema)
     return _finding(first_region(hits, rule), index, F.col("open"))
 
 
+def _with_starts(df: DataFrame, matcher: Matcher) -> DataFrame:
+    """Regions in which the fixed beginning holds somewhere, with a bit where it does: by windows whose exchange the search shares."""
+    matcher.flagged = True
+    order = Window.partitionBy("file", "open").orderBy("pos")
+    holds = None
+    for i in range(matcher.fixed):
+        taken = F.col("_mask").bitwiseAND(F.lit(matcher._bits(i))) != 0
+        here = F.lead(~taken if matcher.steps[i].negate else taken, i, False).over(order)
+        holds = here if holds is None else holds & here
+    df = df.withColumn("_starts", holds)
+    df = df.withColumn("_some", F.max("_starts").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    mask = F.when(F.col("_starts"), F.col("_mask").bitwiseOR(F.lit(1 << _START))).otherwise(F.col("_mask")).alias("_mask")
+    return df.filter("_some").select(*(mask if c == "_mask" else c for c in df.columns if c not in ("_starts", "_some")))
+
+
 def _region_starts(rows: pa.Table) -> np.ndarray:
     """Where a region begins in rows sorted by file and opener."""
     new = np.ones(rows.num_rows, bool)
