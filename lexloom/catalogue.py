@@ -41,17 +41,21 @@ u AS (SELECT file, function, turn, unnest(a) AS raw, CAST(generate_subscripts(a,
 """
 
 
-_CODE = r"""WITH calls AS (SELECT l_orderkey, string_agg(call, ' ' ORDER BY l_linenumber, call) AS calls
+_CODE_PIECES = r"""WITH calls AS (SELECT l_orderkey, string_agg(call, ' ' ORDER BY l_linenumber, call) AS calls
   FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN '{ release(' || l_partkey || '); }' ELSE 'acquire(' || l_suppkey || ');' END AS call FROM lineitem) GROUP BY 1),
 f AS (SELECT 'c/' || o_custkey || '.ts' AS file, string_agg('function o' || o_orderkey || '() { ' || CASE WHEN o_orderstatus = 'F' THEN 'debugger; ' ELSE '' END || calls || ' }', chr(10) ORDER BY o_orderkey) AS text
   FROM orders JOIN calls ON l_orderkey = o_orderkey GROUP BY o_custkey),
-u AS (SELECT file, unnest(a) AS text, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos FROM (SELECT file, regexp_extract_all(text, '[a-z][a-z0-9]*|[0-9]+|[^\s]') AS a FROM f)),
-d AS (SELECT *, CAST(coalesce(sum(CASE text WHEN '{' THEN 1 ELSE 0 END) OVER before, 0) - sum(CASE text WHEN '}' THEN 1 ELSE 0 END) OVER through AS INTEGER) AS level
+u AS (SELECT file, unnest(a) AS text, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos FROM (SELECT file, regexp_extract_all(text, '[a-z][a-z0-9]*|[0-9]+|[^\s]') AS a FROM f))
+"""
+_CODE = (
+    _CODE_PIECES
+    + """, d AS (SELECT *, CAST(coalesce(sum(CASE text WHEN '{' THEN 1 ELSE 0 END) OVER before, 0) - sum(CASE text WHEN '}' THEN 1 ELSE 0 END) OVER through AS INTEGER) AS level
   FROM u WINDOW before AS (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), through AS (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 o AS (SELECT file, pos AS open, level + 1 AS level FROM d WHERE text = '{'),
 t AS (SELECT d.file, d.pos, d.text, d.level, coalesce(o.open, -1) AS open, max(CASE WHEN regexp_matches(d.text, '^o[0-9]+$') THEN d.text END) OVER (PARTITION BY d.file ORDER BY d.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS most
   FROM d ASOF LEFT JOIN o ON d.file = o.file AND d.level = o.level AND d.pos > o.open)
 """
+)
 
 
 def _register(name: str, query: Query, sql: str | None = None) -> None:
@@ -94,10 +98,25 @@ _register(
     f"""SELECT file, CAST(0 AS INTEGER) AS pos, 'str' AS class, CASE WHEN length(q) > 120 THEN substr(q, 1, 120) || '…' ELSE q END AS text,
 CAST(strlen(q) AS BIGINT) AS text_len FROM (SELECT file, '"' || replace(text, '"', '_') || '"' AS q FROM ({_FILES["docs"]}))""",
 )
+_SUFFIX = {"en": "ts", "fr": "test.jsx", "de": "py", "es": "d.rs"}
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files whose extension follows from their language, and the language that the extension tells."""
+    d = corpora.docs(spark, sf_dir).select(F.regexp_replace("file", "txt$", "").alias("stem"), F.substring_index("file", "/", 1).alias("lang"))
+    suffix = F.lit("txt")
+    for lang, ext in _SUFFIX.items():
+        suffix = F.when(F.col("lang") == lang, ext).otherwise(suffix)
+    files = d.select(F.concat("stem", suffix).alias("file"))
+    return files.select("file", language_column(F.col("file")).alias("language"))
+
+
 _register(
     "tok_language",
-    lambda s, d: corpora.code(s, d).select("file", language_column(F.col("file")).alias("language")),
-    "SELECT DISTINCT 'c/' || o_custkey || '.ts' AS file, 'typescript' AS language FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
+    _languages,
+    f"""WITH f AS ({_FILES["docs"]}), g AS (SELECT split_part(file, '/', 1) AS lang, regexp_replace(file, 'txt$', '') AS stem FROM f)
+SELECT stem || CASE lang {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SUFFIX.items())} ELSE 'txt' END AS file,
+CASE lang WHEN 'en' THEN 'typescript' WHEN 'fr' THEN 'javascript' WHEN 'de' THEN 'python' WHEN 'es' THEN 'rust' END AS language FROM g""",
 )
 _register(
     "tok_depths",
@@ -109,9 +128,13 @@ FROM t WINDOW w AS (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECED
 _register(
     "tok_links",
     lambda s, d: corpora.code_tokens(s, d).filter("text in ('{', '}')").select("file", "pos", "text", "jmp", F.element_at("block_path", -1).alias("open")),
-    _CODE
-    + """, c AS (SELECT o.file, o.open, min(t.pos) AS close FROM o JOIN t ON t.file = o.file AND t.text = '}' AND t.pos > o.open AND t.level = o.level - 1 GROUP BY 1, 2)
-SELECT t.file, t.pos, t.text, CAST(coalesce(a.close, b.open) AS INTEGER) AS jmp, CAST(t.open AS INTEGER) AS open FROM t LEFT JOIN c a ON a.file = t.file AND a.open = t.pos LEFT JOIN c b ON b.file = t.file AND b.close = t.pos WHERE t.text IN ('{', '}')""",
+    # Braces of one outer level alternate; a brace lies behind the last opener of the level around it.
+    _CODE_PIECES
+    + """, b AS (SELECT file, pos, text, sum(CASE text WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY file ORDER BY pos) + CASE text WHEN '{' THEN -1 ELSE 0 END AS level FROM u WHERE text IN ('{', '}')),
+p AS (SELECT *, CASE text WHEN '{' THEN lead(pos) OVER w ELSE lag(pos) OVER w END AS jmp FROM b WINDOW w AS (PARTITION BY file, level ORDER BY pos)),
+k AS (SELECT file, level, pos, text, jmp, true AS asks, CAST(NULL AS INTEGER) AS place FROM p UNION ALL SELECT file, level + 1, pos, text, jmp, false, pos FROM p WHERE text = '{'),
+l AS (SELECT *, last_value(place IGNORE NULLS) OVER (PARTITION BY file, level ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM k)
+SELECT file, pos, text, CAST(jmp AS INTEGER) AS jmp, CAST(coalesce(open, -1) AS INTEGER) AS open FROM l WHERE asks""",
 )
 _register(
     "tok_spans",
@@ -125,6 +148,39 @@ FROM (SELECT *, CASE WHEN text = 'function' THEN lead(text) OVER (PARTITION BY f
   CASE WHEN pos = 0 OR text IN ('(', ')', ';') THEN 0 WHEN lag(text) OVER (PARTITION BY file ORDER BY pos) = '(' THEN 0 ELSE 1 END AS gap FROM t)""",
 )
 
+# Brackets one after another through one stack, for all files at once; then pairs, and the braces around each token.
+_STACK = r"""
+, b AS MATERIALIZED (SELECT file, pos, raw, row_number() OVER (PARTITION BY file ORDER BY pos) AS nth FROM t WHERE raw IN ('(', ')', '[', ']', '{', '}')),
+st AS (SELECT file, 0::BIGINT AS nth, []::INTEGER[] AS stack, '' AS kinds, CAST(NULL AS INTEGER) AS opener, CAST(NULL AS INTEGER) AS closer FROM (SELECT DISTINCT file FROM b)
+  UNION ALL SELECT b.file, b.nth, CASE WHEN b.raw IN ('(', '[', '{') THEN list_append(stack, b.pos) WHEN right(kinds, 1) = translate(b.raw, ')]}', '([{') THEN stack[1:len(stack) - 1] ELSE stack END,
+  CASE WHEN b.raw IN ('(', '[', '{') THEN kinds || b.raw WHEN right(kinds, 1) = translate(b.raw, ')]}', '([{') THEN left(kinds, length(kinds) - 1) ELSE kinds END,
+  CASE WHEN b.raw NOT IN ('(', '[', '{') AND right(kinds, 1) = translate(b.raw, ')]}', '([{') THEN stack[len(stack)] END, b.pos
+  FROM st JOIN b ON b.file = st.file AND b.nth = st.nth + 1),
+pairs AS MATERIALIZED (SELECT st.file, opener, closer, b.raw FROM st JOIN b ON b.file = st.file AND b.pos = st.closer WHERE opener IS NOT NULL)
+"""
+
+
+def _height(opener: str, closer: str, name: str) -> str:
+    """SQL for a depth that a closer too many leaves at zero: behind a token, and before it where it closes."""
+    return f"""(SELECT file, pos, CASE WHEN raw = '{closer}' THEN coalesce(lag(behind) OVER (PARTITION BY file ORDER BY pos), 0) ELSE behind END AS {name} FROM (
+  SELECT *, height - least(0, min(height) OVER (PARTITION BY file ORDER BY pos)) AS behind FROM (
+  SELECT file, pos, raw, sum(CASE raw WHEN '{opener}' THEN 1 WHEN '{closer}' THEN -1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) AS height FROM t)))"""
+
+
+for _name in ("docs", "pages", "props"):
+    _register(
+        f"tok_blocks_{_name}",
+        lambda s, d, c=_name: corpora.linked_tokens(_CORPORA[c](s, d)).select(
+            "file", "pos", "text", "jmp", "curly_depth", "round_depth", "bracket_depth", F.array_join(F.transform("block_path", lambda b: b.cast("string")), ",").alias("blocks")
+        ),
+        _tokens_sql(_name).replace("WITH", "WITH RECURSIVE", 1)
+        + _STACK
+        + f""", e AS (SELECT t.file, t.pos, string_agg(CAST(p.opener AS VARCHAR), ',' ORDER BY p.opener) AS inside FROM t JOIN pairs p ON p.file = t.file AND p.raw = '}}' AND p.opener < t.pos AND t.pos < p.closer GROUP BY 1, 2)
+SELECT t.file, t.pos, t.text, CAST(coalesce(o.closer, c.opener) AS INTEGER) AS jmp, CAST(curly AS INTEGER) AS curly_depth, CAST(round_ AS INTEGER) AS round_depth, CAST(bracket AS INTEGER) AS bracket_depth,
+'-1' || coalesce(',' || e.inside, '') AS blocks FROM t LEFT JOIN pairs o ON o.file = t.file AND o.opener = t.pos LEFT JOIN pairs c ON c.file = t.file AND c.closer = t.pos LEFT JOIN e ON e.file = t.file AND e.pos = t.pos
+JOIN {_height("{", "}", "curly")} h1 ON h1.file = t.file AND h1.pos = t.pos JOIN {_height("(", ")", "round_")} h2 ON h2.file = t.file AND h2.pos = t.pos JOIN {_height("[", "]", "bracket")} h3 ON h3.file = t.file AND h3.pos = t.pos""",
+    )
+
 # -- rules ------------------------------------------------------------------
 
 _TOKENS: dict[str, Query] = {
@@ -133,6 +189,7 @@ _TOKENS: dict[str, Query] = {
     "pages": lambda s, d: corpora.built_in_tokens(corpora.pages(s, d)),
     "json": corpora.json_tokens,
     "code": corpora.code_tokens,
+    "linked": lambda s, d: corpora.linked_tokens(corpora.pages(s, d)),
     "conv": lambda s, d: corpora.built_in_tokens(corpora.conversations(s, d), F.col("function")),
 }
 #: Every rule by itself: name -> (corpus, rule, SQL for its findings).
@@ -158,6 +215,13 @@ def _rule(name: str, corpus: str, body: str, where: str, sql: str | None = None,
     _register(name, _findings(corpus, text, context), base + sql)
 
 
+def _beside(name: str, corpus: str, text: str, where: str) -> None:
+    """Rules R and S, of which S alone finds something."""
+    RULES[name] = (corpus, text)
+    base = _CODE if corpus == "code" else _tokens_sql(corpus)
+    _register(name, _findings(corpus, text), base + f"SELECT 'S' AS rule_id, file, pos, text FROM t WHERE {where}")
+
+
 _rule("m_literal", "docs", "match the", "text = 'the'")
 _rule("m_class", "docs", "match @num", "class = 'num'")
 _rule("m_regex", "docs", "match @ident & /^th/", "class = 'ident' AND starts_with(text, 'th')")
@@ -170,9 +234,10 @@ _rule("m_lt", "props", "match Token[text_len < 2]", "strlen(raw) < 2")
 _rule("m_ge", "props", 'match Token[class = "num", text >= 50]', "class = 'num' AND try_cast(text AS DOUBLE) >= 50")
 _rule("m_le", "props", 'match Token[class = "num", text <= 50]', "class = 'num' AND try_cast(text AS DOUBLE) <= 50")
 _rule("m_unknown_field", "props", "match Token[colour !~ /x/, named = \"true\"]", "class <> 'symbol'")
-_rule("m_ref_is_false", "props", "match :x", "false")
+# Rules that never match stand beside one that does, over the same tokens.
+_beside("m_ref_is_false", "props", "rule R { match :x } rule S { match @num }", "class = 'num'")
 _rule("f_lang", "docs", "lang javascript match @num", "class = 'num'")
-_rule("f_lang_none", "docs", "lang rust, python match @num", "false")
+_beside("f_lang_none", "docs", "rule R { lang rust, python match @num } rule S { lang typescript, javascript match @num }", "class = 'num'")
 _rule("f_in", "docs", 'in "en/**" in "de/*" match @num', "class = 'num' AND (starts_with(file, 'en/') OR starts_with(file, 'de/'))")
 _rule("f_not_in", "docs", 'not in "en/**", "**/src1/*.txt" match @num', "class = 'num' AND NOT starts_with(file, 'en/') AND NOT contains(file, '/src1/')")
 _rule("f_alternates", "docs", 'in "{en,fr}/src[1-3]/?*.txt" match @num', "class = 'num' AND regexp_matches(file, '^(en|fr)/src[1-3]/.+[.]txt$')")
@@ -189,6 +254,18 @@ _rule("s_followed_by", "code", "match acquire where scope followed by release",
 _rule("s_self", "code", "match acquire where scope not contains acquire", "", _BLOCKS + _TARGETS + "t.text = 'acquire' AND NOT " + _OTHER.format("acquire", " AND x.pos <> t.pos"))
 _rule("s_root", "code", "match function where scope contains debugger where scope not contains release", "", _BLOCKS + _TARGETS + "t.text = 'function' AND " + _OTHER.format("debugger", "") + " AND NOT " + _OTHER.format("release", ""))
 
+_INSIDE = """, i AS (SELECT t.file, t.pos, t.text, t.class, coalesce(max(p.opener), -1) AS open FROM t LEFT JOIN pairs p ON p.file = t.file AND p.raw = '}' AND p.opener < t.pos AND t.pos < p.closer GROUP BY ALL),
+w AS (SELECT file, opener AS open, closer AS close FROM pairs WHERE raw = '}' UNION ALL SELECT DISTINCT file, -1, 1000000000 FROM t)
+SELECT 'R' AS rule_id, i.file, i.pos, i.text FROM i JOIN w ON w.file = i.file AND w.open = i.open WHERE """
+_LINKED = _tokens_sql("pages").replace("WITH", "WITH RECURSIVE", 1) + _STACK + _INSIDE
+_register(
+    "s_linked",
+    _findings("linked", "rule R { match @ident & /^[a-m]/ where scope contains @num where scope not contains script }"),
+    _LINKED
+    + """i.class = 'ident' AND regexp_matches(i.text, '^[a-m]') AND EXISTS (SELECT 1 FROM t x WHERE x.file = i.file AND x.pos > w.open AND x.pos < w.close AND x.class = 'num' AND x.pos <> i.pos)
+AND NOT EXISTS (SELECT 1 FROM t x WHERE x.file = i.file AND x.pos > w.open AND x.pos < w.close AND x.text = 'script' AND x.pos <> i.pos)""",
+)
+
 _NEXT = """, n AS (SELECT *, lead(text) OVER w AS n1, lead(text, 2) OVER w AS n2, lead(text, 3) OVER w AS n3, max(pos) OVER (PARTITION BY file) AS final FROM t WINDOW w AS (PARTITION BY file ORDER BY pos))
 SELECT 'R' AS rule_id, file, pos, text FROM n WHERE """
 _LAST = """, m AS (SELECT file, max(pos) AS final, max(CASE WHEN text = 'debugger' THEN pos END) AS last_debugger, max(CASE WHEN text = 'release' THEN pos END) AS last_release FROM t GROUP BY 1)
@@ -203,7 +280,7 @@ _rule("q_plus", "code", 'sequence { ";" "}" + }', "", _LAST.replace("SELECT 'R'"
 _rule("q_negate", "code", 'sequence { debugger ";" not acquire any * }', "", _NEXT + "text = 'debugger' AND n1 = ';' AND n2 <> 'acquire'")
 _rule("q_alt", "code", "sequence { function any any any any (debugger | acquire) any * }", "", _NEXT.replace("lead(text, 3) OVER w AS n3", "lead(text, 5) OVER w AS n5") + "text = 'function' AND n5 IN ('debugger', 'acquire')")
 _rule("q_set", "code", 'sequence { debugger ";" [acquire release] any * }', "", _NEXT + "text = 'debugger' AND n1 = ';' AND n2 IN ('acquire', 'release')")
-_rule("q_empty_set", "code", "sequence { debugger [] any * }", "", "SELECT 'R' AS rule_id, file, pos, text FROM t WHERE false")
+_beside("q_empty_set", "code", "rule R { sequence { debugger [] any * } } rule S { sequence { debugger any any * } }", "text = 'debugger'")
 _rule("q_tail_absent", "code", "sequence { debugger not release * }", "", _LAST + "text = 'debugger' AND coalesce(last_release, -1) < pos")
 _rule("q_file", "code", "sequence { function not debugger * }", "", _LAST + "text = 'function' AND coalesce(last_debugger, -1) < pos")
 _rule("q_in_scope", "code", "sequence in scope { acquire not release * }", "", _BLOCKS + _AROUND + "SELECT DISTINCT 'R' AS rule_id, file, pos, text FROM i WHERE text = 'acquire' AND NOT EXISTS (SELECT 1 FROM i x WHERE x.file = i.file AND x.open = i.open AND x.pos > i.pos AND x.text = 'release')")
@@ -267,6 +344,14 @@ def _aggregate(name: str, body: str, key: str, select: str, corpus: str = "code"
 _HAS = "EXISTS (SELECT 1 FROM h x WHERE x.rule = '{0}' AND x.file = h.file)"
 _HAS_F = "EXISTS (SELECT 1 FROM h x WHERE x.rule = '{0}' AND x.file = h.file AND x.function = h.function)"
 _aggregate("a_inter", "compose intersection of STOP, FREE, TAKE", "file", "rule = 'STOP' AND " + _HAS.format("FREE") + " AND " + _HAS.format("TAKE"))
+# One aggregation per file says the same.
+ORACLES["a_inter"] = (
+    _CODE_PIECES
+    + """, n AS (SELECT *, CASE WHEN text = 'function' THEN lead(text) OVER (PARTITION BY file ORDER BY pos) END AS name FROM u),
+g AS (SELECT file, pos, text, last_value(name IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS function FROM n)
+SELECT 'A' AS rule_id, 'warning' AS severity, file, 'debugger' AS text, arg_min(function, pos) FILTER (text = 'debugger') AS function FROM g WHERE text IN ('debugger', 'release', 'acquire')
+GROUP BY file HAVING count(DISTINCT text) = 3"""
+)
 _aggregate("a_union", "compose union of FREE, STOP by file", "file", "(rule = 'FREE' OR rule = 'STOP' AND NOT " + _HAS.format("FREE") + ")")
 _aggregate("a_diff", "compose difference of TAKE, FREE by file, function", "file, function", "rule = 'TAKE' AND NOT " + _HAS_F.format("FREE"))
 _aggregate("a_by_function", "compose intersection of STOP, FREE by function", "function", "rule = 'STOP' AND EXISTS (SELECT 1 FROM h x WHERE x.rule = 'FREE' AND x.function = h.function)")

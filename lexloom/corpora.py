@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import text_lexer
+from .operators.delimiters import with_blocks
 from .operators.lexing import lex_files
 
 
@@ -59,7 +60,8 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def built_in_tokens(files: DataFrame, function: Column | None = None, language: str = "javascript") -> DataFrame:
     """Tokens by built-in functions alone, with the columns that matches need.
 
-    Spans hold the position in the stream; there are no depths and no links.
+    Spans hold the position in the stream; there are no depths and no links,
+    which ``linked_tokens`` adds.
     """
     function = F.lit("") if function is None else function
     t = text_lexer.light_tokens(files.select("file", function.alias("function"), "text"))
@@ -86,6 +88,11 @@ def built_in_tokens(files: DataFrame, function: Column | None = None, language:
     )
 
 
+def linked_tokens(files: DataFrame, function: Column | None = None, language: str = "javascript") -> DataFrame:
+    """``built_in_tokens`` with depths, links and blocks, by built-in functions alone, too."""
+    return with_blocks(built_in_tokens(files, function, language))
+
+
 def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lex_files(code(spark, sf_dir))
 

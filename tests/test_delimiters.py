@@ -1,0 +1,65 @@
+"""Links, depths and blocks by windows, against a stack."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from lexloom import corpora
+from lexloom.operators import delimiters, text_lexer
+from lexloom.operators.lexemes import block_paths, links
+from lexloom.operators.lexing import lex_files
+
+from .helpers import tuple_tokens
+
+
+def streams(seed, n):
+    rng = random.Random(seed)
+    out = {}
+    for i in range(n):
+        letters = rng.choice(["(){}[]", "{}", "({})a", "a{b}", ")}]{", "{{{}a"])
+        out[f"f{i:03}"] = [rng.choice(letters) for _ in range(rng.randrange(1, 30))]
+    out |= {"deep": ["{"] * 60 + ["a"] + ["}"] * 60, "open": ["{"] * 40, "shut": ["}"] * 40, "none": ["a"], "crossed": ["(", "{", ")", "}", ")", "a", "}"]}
+    return out
+
+
+def depths(kinds, opener, closer):
+    out, depth = [], 0
+    for k in kinds:
+        depth += k == opener
+        out.append(depth)
+        depth -= k == closer and depth > 0
+    return out
+
+
+def test_blocks_equal_a_stack(spark):
+    want = streams(3, 150)
+    got = delimiters.with_blocks(tuple_tokens(spark, want).drop("jmp", "block_path").withColumn("extra", F.lit(1)))
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r["file"], {})[r["pos"]] = r
+    assert rows.keys() == want.keys()
+    for file, kinds in want.items():
+        own = [rows[file][i] for i in range(len(kinds))]
+        partner = links(kinds)
+        assert [r["jmp"] for r in own] == partner, kinds
+        assert [list(r["block_path"]) for r in own] == block_paths(kinds, partner), kinds
+        for name, pair in {"curly": "{}", "round": "()", "bracket": "[]"}.items():
+            assert [r[f"{name}_depth"] for r in own] == depths(kinds, *pair), kinds
+
+
+def test_corpora_equal_the_scanner(spark, tables):
+    for name in ("docs", "pages", "props"):
+        files = getattr(corpora, name)(spark, tables)
+        columns = ["file", "pos", "jmp", "block_path", "curly_depth", "round_depth", "bracket_depth"]
+        got = delimiters.with_blocks(corpora.built_in_tokens(files)).select(columns)
+        want = lex_files(files, text_lexer.scan, "javascript").select(columns)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 0
+
+
+def test_no_python_and_one_schema(spark, tables):
+    tokens = corpora.built_in_tokens(corpora.pages(spark, tables))
+    linked = delimiters.with_blocks(tokens)
+    assert [(f.name, f.dataType.simpleString()) for f in linked.schema] == [(f.name, f.dataType.simpleString()) for f in tokens.schema]
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+    assert delimiters.with_blocks(tokens.limit(0)).count() == 0
