@@ -19,12 +19,8 @@ _OPENERS, _CLOSERS = ("(", "{", "["), (")", "}", "]")
 _KINDS = {"curly": ("{", "}"), "round": ("(", ")"), "bracket": ("[", "]")}
 
 
-def _file():
-    return Window.partitionBy("file").orderBy("pos")
-
-
 def _up_to():
-    return _file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _opener_of(kind: Column) -> Column:
@@ -73,47 +69,52 @@ def links(tokens: DataFrame) -> DataFrame:
     return clean.unionAll(mended).filter("partner is not null")
 
 
+def _events(tokens: DataFrame) -> DataFrame:
+    """(file, pos, jmp, path) of brackets with partners; ``path`` of a block's opener is that of the tokens around it."""
+    found = links(tokens)
+    step = F.when(F.col("kind") == "{", 1).otherwise(-1)
+    braces = found.filter("kind in ('{', '}')").withColumn("level", F.sum(step).over(_up_to()) - 1).filter("kind = '{'")
+    # An opener answers those behind it at its own level, and asks at the levels above it.
+    asked = braces.select("file", "pos", F.col("level").alias("own"), F.explode(F.sequence(F.lit(0), F.col("level"))).alias("level"))
+    asks = F.col("level") < F.col("own")
+    before = Window.partitionBy("file", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(~asks, F.col("pos")), ignorenulls=True).over(before)
+    around = asked.withColumn("around", F.when(asks, F.struct("level", last.alias("at")))).groupBy("file", "pos")
+    paths = around.agg(F.array_sort(F.collect_list("around")).alias("all"))
+    path = F.concat(F.array(F.lit(-1)), F.transform("all", lambda x: x["at"].cast("int")))
+    paths = paths.select("file", "pos", path.alias("path"))
+    return found.join(paths, ["file", "pos"], "left").select("file", "pos", F.col("partner").cast("int").alias("jmp"), "path")
+
+
 def with_blocks(tokens: DataFrame) -> DataFrame:
     """``tokens`` with their three depths, ``jmp`` and ``block_path``, in place of those that they have.
 
     Needs file, pos and node_kind.  Depths count brackets of one kind, whichever
     others stand between; partners and blocks are those of one stack for all.
+    Brackets are linked by themselves and come back as rows before their tokens,
+    so that all tokens move once.
     """
-    found = links(tokens)
     kept = [c for c in tokens.columns if c not in ("jmp", "block_path", *(f"{k}_depth" for k in _KINDS))]
-    partners = found.select("file", "pos", F.col("partner").cast("int").alias("jmp"))
-    rows = tokens.select(*kept).join(partners, ["file", "pos"], "left")
-    for name, (opener, closer) in _KINDS.items():
-        step = F.when(F.col("node_kind") == opener, 1).when(F.col("node_kind") == closer, -1).otherwise(0)
-        rows = rows.withColumn("_height", F.sum(step).over(_up_to())).withColumn("_least", F.min("_height").over(_up_to()))
-        # Behind a token: its height over the lowest so far, if that is below zero.  A closer stands on the depth before it.
-        behind = F.col("_height") - F.least("_least", F.lit(0))
-        rows = rows.withColumn("_behind", behind).withColumn("_front", F.coalesce(F.lag("_behind").over(_file()), F.lit(0)))
-        depth = F.when(F.col("node_kind") == closer, F.col("_front")).otherwise(F.col("_behind"))
-        rows = rows.withColumn(f"{name}_depth", F.least(depth, F.lit(MOST_DEPTH)).cast("int")).drop("_height", "_least", "_behind", "_front")
-    # Blocks are matched braces, which nest: around a token stand the last opener of each level up to its own.
-    opens, closes = ((F.col("node_kind") == b) & F.col("jmp").isNotNull() for b in "{}")
-    rows = rows.withColumn("_opens", opens).withColumn("_block", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(_up_to()))
-    rows = rows.withColumn("_block", F.when(opens, F.col("_block") - 1).otherwise(F.col("_block")))
-    rows = rows.join(_paths(rows), ["file", "pos"], "left")
-    inside = F.when(F.col("_opens"), F.concat("_path", F.array(F.col("pos").cast("int"))))
-    level = F.when(F.col("_opens"), F.col("_block") + 1).otherwise(F.col("_block"))
-    # A block's opener is the first of its level from there on; it lies in the block around it.
-    same = Window.partitionBy("file", "_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    root = F.array(F.lit(-1))
-    rows = rows.withColumn("_level", level).withColumn("_inside", F.last(inside, ignorenulls=True).over(same))
-    path = F.when(F.col("_opens"), F.col("_path")).when(F.col("_block") > 0, F.col("_inside")).otherwise(root)
-    return rows.withColumn("block_path", path).select(*(f.name for f in TOKENS if f.name in (*kept, "jmp", "block_path", *(f"{k}_depth" for k in _KINDS))), *(c for c in kept if c not in TOKENS.fieldNames()))
-
-
-def _paths(rows: DataFrame) -> DataFrame:
-    """(file, pos, _path) of every block's opener: those of the blocks around it, below the root."""
-    own = rows.filter("_opens").select("file", "pos", F.col("_block").alias("level"))
-    asked = own.select("file", "pos", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("level"), F.col("level").alias("_own"))
-    # At its own level an opener answers those behind it; at the levels above, it asks.
-    ask = F.col("level") < F.col("_own")
-    asked = asked.withColumn("_at", F.when(~ask, F.col("pos")))
-    last = F.last("_at", ignorenulls=True).over(Window.partitionBy("file", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    around = asked.withColumn("around", F.when(ask, last)).groupBy("file", "pos")
-    found = around.agg(F.array_sort(F.collect_list(F.when(F.col("around").isNotNull(), F.struct("level", "around")))).alias("all"))
-    return found.select("file", "pos", F.concat(F.array(F.lit(-1)), F.transform("all", lambda x: x["around"].cast("int"))).alias("_path"))
+    rows = tokens.select(*kept, F.lit(1).alias("_real")).unionByName(_events(tokens).withColumn("_real", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy("file").orderBy("pos", "_real")
+    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    event = F.lag(F.struct("pos", "_real", "jmp", "path")).over(order)
+    rows = rows.withColumn("_event", event)
+    own = (F.col("_real") == 1) & (F.col("_event._real") == 0) & (F.col("_event.pos") == F.col("pos"))
+    rows = rows.withColumns({"jmp": F.when(own, F.col("_event.jmp")), "path": F.when(own, F.col("_event.path"))}).drop("_event")
+    kind = F.col("node_kind")
+    steps = {name: F.when(kind == opener, 1).when(kind == closer, -1).otherwise(0) for name, (opener, closer) in _KINDS.items()}
+    rows = rows.withColumns({f"_{name}": F.sum(step).over(up_to) for name, step in steps.items()})
+    # Behind a token: the height over the lowest so far, if that is below zero.  A closer stands on the depth before it.
+    rows = rows.withColumns({f"_{name}": F.col(f"_{name}") - F.least(F.min(f"_{name}").over(up_to), F.lit(0)) for name in _KINDS})
+    before = {name: F.coalesce(F.lag(f"_{name}").over(order), F.lit(0)) for name in _KINDS}
+    depths = {f"{name}_depth": F.when(kind == closer, before[name]).otherwise(F.col(f"_{name}")) for name, (_, closer) in _KINDS.items()}
+    rows = rows.withColumns({name: F.least(depth, F.lit(MOST_DEPTH)).cast("int") for name, depth in depths.items()})
+    # Blocks are matched braces, which nest: around a token stands the last opener of its level.
+    opens, closes = ((kind == b) & F.col("jmp").isNotNull() for b in "{}")
+    rows = rows.withColumn("_level", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(up_to))
+    same = Window.partitionBy("file", "_level").orderBy("pos", "_real").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.last(F.when(opens, F.concat("path", F.array(F.col("pos").cast("int")))), ignorenulls=True).over(same)
+    path = F.when(opens, F.col("path")).when(F.col("_level") > 0, inside).otherwise(F.array(F.lit(-1)))
+    named = [f.name for f in TOKENS if f.name in (*kept, "jmp", "block_path", *depths)]
+    return rows.withColumn("block_path", path).filter("_real = 1").select(*named, *(c for c in kept if c not in named))
