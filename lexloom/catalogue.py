@@ -11,7 +11,7 @@ from . import corpora
 from .operators import text_lexer
 from .operators.aggregate import summary
 from .operators.lexing import language_column
-from .plans.engine import Context, check_tokens, primary_findings
+from .plans.engine import Context, check_tokens, lexed_for, primary_findings
 from .rules.compile import load_dsl, load_yaml
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,6 +242,50 @@ _rule("f_in", "docs", 'in "en/**" in "de/*" match @num', "class = 'num' AND (sta
 _rule("f_not_in", "docs", 'not in "en/**", "**/src1/*.txt" match @num', "class = 'num' AND NOT starts_with(file, 'en/') AND NOT contains(file, '/src1/')")
 _rule("f_alternates", "docs", 'in "{en,fr}/src[1-3]/?*.txt" match @num', "class = 'num' AND regexp_matches(file, '^(en|fr)/src[1-3]/.+[.]txt$')")
 
+# Globs, languages and waivers decided per file: documents that no rule applies to are not split into tokens.
+_DECIDED = '''rule A { in "en/**" not in "**/src1/*.txt" match @num } rule B { in "de/**", "fr/src2/*" unless path "**/src7/*" match @num }
+rule C { lang rust match the } rule D { in "es/**" sequence { @num any * } }'''
+RULES["f_decided"] = ("docs", _DECIDED)
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, _ = load_dsl(_DECIDED)
+    texts = corpora.docs(spark, sf_dir).withColumn("language", F.lit("javascript"))
+    found = primary_findings(lexed_for(texts, rules, _SOME_WAIVED, corpora.built_in_tokens), rules, _SOME_WAIVED)
+    return found.select("rule_id", "file", F.col("emitted.pos").alias("pos"), F.col("matched.text").alias("text"))
+
+
+_SOME_WAIVED = Context(waivers=[*(("A", f"en/src{i % 20}/{i}.txt") for i in range(0, 1000, 9)), ("D", "es/src0/0.txt")])
+_register(
+    "f_decided",
+    _decided,
+    _tokens_sql("docs")
+    + f"""SELECT 'A' AS rule_id, file, pos, text FROM t WHERE class = 'num' AND starts_with(file, 'en/') AND NOT contains(file, '/src1/') AND file NOT IN ({", ".join(f"'{f}'" for r, f in _SOME_WAIVED.waivers if r == "A")})
+UNION ALL SELECT 'B', file, pos, text FROM t WHERE class = 'num' AND (starts_with(file, 'de/') OR starts_with(file, 'fr/src2/')) AND NOT contains(file, '/src7/')
+UNION ALL SELECT 'D', file, pos, text FROM t WHERE class = 'num' AND starts_with(file, 'es/') AND file <> 'es/src0/0.txt'""",
+)
+
+#: A rule for every number below this, which tokens look up in a dictionary.
+_NUMBERED = 2_000
+
+
+def _numbered(n: int) -> str:
+    body = f'Token[class = "num", text = "{n}"]' if n % 2 else f'"{n}"'
+    return f"rule N{n} {{ match {body} }}"
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, _ = load_dsl("\n".join(map(_numbered, range(_NUMBERED))))
+    found = primary_findings(_TOKENS["docs"](spark, sf_dir), rules, Context())
+    return found.select("rule_id", "file", F.col("emitted.pos").alias("pos"), F.col("matched.text").alias("text"))
+
+
+_register(
+    "m_dictionary",
+    _dictionary,
+    _tokens_sql("docs") + f"SELECT 'N' || text AS rule_id, file, pos, text FROM t WHERE class = 'num' AND try_cast(text AS INTEGER) < {_NUMBERED} AND CAST(try_cast(text AS INTEGER) AS VARCHAR) = text",
+)
+
 # A block's tokens, by its opener: those up to the closing brace on its level.
 _BLOCKS = """, c AS (SELECT o.file, o.open, min(t.pos) AS close FROM o JOIN t ON t.file = o.file AND t.text = '}' AND t.pos > o.open AND t.level = o.level - 1 GROUP BY 1, 2),
 b AS (SELECT file, open, close FROM c UNION ALL SELECT DISTINCT file, -1, 1000000000 FROM t)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import text_lexer
 from .operators.delimiters import with_blocks
+from .operators.files import BITS
 from .operators.lexing import lex_files
 
 
@@ -64,7 +65,8 @@ def built_in_tokens(files: DataFrame, function: Column | None = None, language:
     which ``linked_tokens`` adds.
     """
     function = F.lit("") if function is None else function
-    t = text_lexer.light_tokens(files.select("file", function.alias("function"), "text"))
+    bits = [c for c in files.columns if c == BITS]
+    t = text_lexer.light_tokens(files.select("file", function.alias("function"), "text", *bits))
     kind = F.when(F.col("class") == "ident", "identifier").when(F.col("class") == "num", "number").when(F.col("class") == "str", "string")
     place = F.col("pos").cast("long")
     return t.select(
@@ -85,6 +87,7 @@ def built_in_tokens(files: DataFrame, function: Column | None = None, language:
         *(F.lit(0).alias(f"{d}_depth") for d in ("curly", "round", "bracket")),
         F.lit(None).cast("int").alias("jmp"),
         F.array(F.lit(-1)).alias("block_path"),
+        *bits,
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import LANGUAGES, TOKENS
@@ -66,31 +67,35 @@ def lex_text(path: str, text: str) -> list[tuple]:
     return token_rows(path, EXTENSIONS[ext], text, _LEXERS[ext](text, EXTENSIONS[ext]))
 
 
-def lex_files(files: DataFrame, lexer: Lexer | None = None, language: str | None = None) -> DataFrame:
+def lex_files(files: DataFrame, lexer: Lexer | None = None, language: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """Tokens of ``files`` (file, text), each file whole in one task.
 
     Without ``lexer`` the extension chooses one and other files give no tokens.
+    Columns that are ``carried`` are the same for all tokens of a file.
     """
     lexers, languages = dict(_LEXERS), dict(EXTENSIONS)
-    schema = to_arrow_schema(TOKENS)
+    fields = T.StructType([*TOKENS, *(files.schema[c] for c in carried)])
+    schema = to_arrow_schema(fields)
 
     def lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist()):
+            more = zip(*(batch.column(c).to_pylist() for c in carried)) if carried else [()] * batch.num_rows
+            for file, text, own_columns in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), more):
                 ext = extension_of(file or "")
                 own = lexer or lexers.get(ext)
                 if own is None or text is None:
                     continue
                 name = language or languages.get(ext) or "javascript"
-                rows += token_rows(file, name, text, own(text, name))
+                found = token_rows(file, name, text, own(text, name))
+                rows += [(*row, *own_columns) for row in found] if carried else found
                 if len(rows) >= _BATCH_ROWS:
                     yield _batch(rows, schema)
                     rows = []
         if rows:
             yield _batch(rows, schema)
 
-    return files.select("file", "text").mapInArrow(lex, TOKENS)
+    return files.select("file", "text", *carried).mapInArrow(lex, fields)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

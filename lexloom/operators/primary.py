@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions.predicates import accepts, applies, conjunction
 from ..rules.ast import Rule
 from ..schema import MATCHED_FIELDS, SPAN_FIELDS
+from . import files, literals
 
 PAYLOAD = ("file", "pos", *SPAN_FIELDS, *MATCHED_FIELDS)
 #: The root block, which encloses the whole file.
@@ -29,12 +30,24 @@ def _finding(df: DataFrame, index: int, opener: Column | None = None) -> DataFra
 
 
 def plain_matches(tokens: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """All plain ``match`` rules in one pass over the tokens, without a shuffle."""
-    hits = [F.when(applies(r) & conjunction(r.match), F.lit(i)) for i, r in rules]
-    any_hit = reduce(or_, (h.isNotNull() for h in hits))
-    found = tokens.filter(any_hit)
-    rule = F.explode(F.array_compact(F.array(*hits))) if len(hits) > 1 else F.lit(rules[0][0])
-    return found.select(rule.alias("rule"), F.lit(ROOT).alias("open"), *PAYLOAD)
+    """All plain ``match`` rules in one pass over the tokens, without a shuffle.
+
+    Many rules for single words are looked up; the others are branches of one projection.
+    """
+    known = files.decided(tokens)
+    asked = known or (lambda i, r: applies(r))
+    looked_up, rules = literals.split(rules)
+    parts = []
+    if looked_up:
+        found = literals.dictionary_matches(tokens, looked_up, asked, files.decided_for("rule") if known else None)
+        parts.append(found.select("rule", F.lit(ROOT).alias("open"), *PAYLOAD))
+    if rules:
+        hits = [F.when(asked(i, r) & conjunction(r.match), F.lit(i)) for i, r in rules]
+        any_hit = reduce(or_, (h.isNotNull() for h in hits))
+        found = tokens.filter(any_hit)
+        rule = F.explode(F.array_compact(F.array(*hits))) if len(hits) > 1 else F.lit(rules[0][0])
+        parts.append(found.select(rule.alias("rule"), F.lit(ROOT).alias("open"), *PAYLOAD))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def scoped_matches(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import applies
-from ..operators import aggregate, primary, search
+from ..operators import aggregate, files, primary, search
+from ..operators.lexing import language_column, lex_files
 from ..rules.ast import Rule
 from ..schema import MATCHED_FIELDS, SPAN_FIELDS, VIOLATIONS
 
@@ -63,11 +65,15 @@ def primary_findings(tokens: DataFrame, rules: list[Rule], context: Context) ->
     numbered = [(i, r) for i, r in enumerate(rules) if not r.aggregate and _alive(r, context)]
     plain = [(i, r) for i, r in numbered if r.match is not None and not r.where]
     parts = [primary.plain_matches(tokens, plain)] if plain else []
-    parts += [primary.scoped_matches(tokens, i, r) for i, r in numbered if r.where]
-    parts += [search.sequences(tokens, i, r) for i, r in numbered if r.steps is not None]
+    for plan, own in ((primary.scoped_matches, [n for n in numbered if n[1].where]), (search.sequences, [n for n in numbered if n[1].steps is not None])):
+        for i, r in own:
+            of_rule, asked = files.of_rule(tokens, i, r)
+            parts.append(plan(of_rule, i, asked))
     if not parts:
         return None
-    found = _unwaived(reduce(DataFrame.unionAll, parts), rules, context)
+    found = reduce(DataFrame.unionAll, parts)
+    if files.decided(tokens) is None:
+        found = _unwaived(found, rules, context)
     return found.select(
         "rule",
         _lookup(F.col("rule"), [r.id for r in rules]).alias("rule_id"),
@@ -87,6 +93,25 @@ def _guarded(derived: DataFrame, rules: list[Rule], aggregates: list[tuple[int,
     return _unwaived(derived, rules, context) if aggregates else derived
 
 
+def lexed_for(texts: DataFrame, rules: list[Rule], context: Context | None = None, lex: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Tokens of the files of ``texts`` (file, text) to which some rule applies, with their rules as bits.
+
+    A file's language is that of its extension, unless ``texts`` has a column for
+    it.  ``lex`` makes tokens of (file, language, text, bits) and keeps the bits;
+    without it the extension chooses a lexer.
+    """
+    context = context or Context()
+    if "language" not in texts.columns:
+        texts = texts.withColumn("language", language_column(F.col("file")))
+    wanted = files.with_rule_bits(texts.select("file", "language", "text"), rules, context.waivers, lambda r: _alive(r, context))
+    return (lex or (lambda t: lex_files(t, carried=(files.BITS,))))(wanted)
+
+
+def check_files(texts: DataFrame, rules: list[Rule], context: Context | None = None, lex: Callable[[DataFrame], DataFrame] | None = None, ordered: bool = True) -> DataFrame:
+    """The violations of ``rules`` in files (file, text); those that no rule applies to are never lexed."""
+    return check_tokens(lexed_for(texts, rules, context, lex), rules, context, ordered)
+
+
 def check_tokens(tokens: DataFrame, rules: list[Rule], context: Context | None = None, ordered: bool = True) -> DataFrame:
     """The violations of ``rules`` in ``tokens``, in report order unless told otherwise.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
 
 from .operators.lexing import lex_files, lex_text
-from .plans.engine import Context, check_tokens
+from .plans.engine import Context, check_tokens, lexed_for
 from .rules.ast import Rule, RuleError
 from .rules.compile import load_path
 from .schema import SPAN_FIELDS, TOKENS
@@ -53,20 +53,27 @@ class Project:
         path = Path(path)
         return lex_text(repository.relative(path, self.root), path.read_bytes().decode())
 
-    def lex_all(self) -> DataFrame:
-        """Tokens of every file that can be read; others are warned of and skipped."""
+    def texts(self) -> DataFrame:
+        """(file, text) of every file that can be read; others are warned of and skipped."""
         files = self._hold(repository.read_files(self.spark, self.root))
         for row in files.filter("error is not null").select("file", "error").toLocalIterator():
             print(f"warning: {row['file']}: {row['error']}", file=sys.stderr)
-        return lex_files(files.filter("error is null"))
+        return files.filter("error is null").select("file", "text")
+
+    def lex_all(self) -> DataFrame:
+        """Tokens of every file that can be read."""
+        return lex_files(self.texts())
 
     def load_context(self, waivers_dir: str | None = None, adr_dir: str | None = None) -> Context:
         return repository.load_context(self.root, waivers_dir, adr_dir)
 
     def check(self, rules: list[Rule], context: Context | None = None) -> DataFrame:
-        """Violations in report order.  Tokens are lexed once and shared by all rules."""
-        tokens = self._hold(self.lex_all())
-        return check_tokens(tokens, rules, self.load_context() if context is None else context)
+        """Violations in report order.
+
+        Tokens are lexed once and shared by all rules; files that no rule applies to are not lexed.
+        """
+        context = self.load_context() if context is None else context
+        return check_tokens(self._hold(lexed_for(self.texts(), rules, context)), rules, context)
 
 
 def find_rules(root: str | Path, given: str | None = None) -> str:
