@@ -53,36 +53,45 @@ def plain_matches(tokens: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame
 def scoped_matches(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     """A ``match`` whose clauses look at the innermost enclosing block.
 
-    Clause tokens are dealt to every block around them, targets to their
-    innermost one, in one pass and one exchange; windows over a block count its
-    clause tokens, and a target leaves itself out.  Braces belong to the block
-    around them, and a file is its own outermost block.
+    Clause tokens inside a block are a difference of running counts: that before
+    its closer, which the opener sees in a window over the pair, and that at its
+    opener.  A target asks the last opener of its level.  So each token is one row,
+    however deep it lies; braces, clause tokens and targets alone move, once.
+    Braces belong to the block around them, and a file is its own outermost block.
     """
     clauses = [(kind, conjunction(preds)) for kind, preds in rule.where]
     some, target = reduce(or_, (c for _, c in clauses)), conjunction(rule.match)
-    own = [c.alias(f"c{i}") for i, (_, c) in enumerate(clauses)]
-    df = tokens.filter(applies(rule) & (some | target)).select(*PAYLOAD, "block_path", some.alias("_some"), target.alias("_target"), *own)
-    entry = lambda open_, is_target: F.struct(open_.alias("open"), F.lit(is_target).alias("target"))
-    around = F.transform("block_path", lambda b: entry(b, False))
-    inner = F.array(entry(F.element_at("block_path", -1), True))
-    none = F.slice(around, 1, 0)
-    entries = F.concat(F.when(F.col("_some"), around).otherwise(none), F.when(F.col("_target"), inner).otherwise(none))
-    flags = [f"c{i}" for i in range(len(clauses))]
-    rows = df.select(*PAYLOAD, *flags, F.explode(entries).alias("_at"))
-    is_target = F.col("_at.target")
+    n = range(len(clauses))
+    opens, closes = ((F.col("node_kind") == b) & F.col("jmp").isNotNull() for b in "{}")
+    df = tokens.filter(applies(rule) & (some | target | opens | closes))
     # Only targets need more than their place.
-    carried = [F.when(is_target, F.col(c)).alias(c) for c in PAYLOAD if c not in ("file", "pos")]
-    rows = rows.select("file", "pos", F.col("_at.open").alias("open"), is_target.alias("target"), *flags, *carried)
-    block = Window.partitionBy("file", "open")
-    for i in range(len(clauses)):
-        inside = F.when(F.col(f"c{i}") & ~F.col("target"), F.col("pos"))
-        rows = rows.withColumn(f"n{i}", F.count(inside).over(block)).withColumn(f"last{i}", F.max(inside).over(block))
+    payload = [F.when(target, F.col(c)).alias(c) for c in PAYLOAD if c not in ("file", "pos")]
+    own = [c.cast("int").alias(f"c{i}") for i, (_, c) in enumerate(clauses)]
+    df = df.select("file", "pos", *payload, target.alias("_target"), opens.alias("_opens"), closes.alias("_closes"), F.least("pos", "jmp").alias("_pair"), *own)
+    order = Window.partitionBy("file").orderBy("pos")
+    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.col("_opens").cast("int") - F.col("_closes").cast("int")
+    df = df.withColumns({"_level": F.sum(step).over(up_to)} | {f"n{i}": F.sum(f"c{i}").over(up_to) for i in n})
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumns({f"all{i}": F.last(f"n{i}").over(whole) for i in n})
+    pair = Window.partitionBy("file", "_pair")
+    df = df.withColumns({f"to{i}": F.max(F.when(F.col("_closes"), F.col(f"n{i}") - F.col(f"c{i}"))).over(pair) for i in n})
+    # An opener answers on the level inside, and may be a target on the one outside.
+    entry = lambda level, answers: F.struct(level.alias("level"), F.lit(answers).alias("answers"))
+    none = F.array().cast("array<struct<level: bigint, answers: boolean>>")
+    answer = F.when(F.col("_opens"), F.array(entry(F.col("_level"), True))).otherwise(none)
+    ask = F.when(F.col("_target"), F.array(entry(F.col("_level") - F.col("_opens").cast("int"), False))).otherwise(none)
+    df = df.withColumn("_at", F.explode(F.concat(answer, ask))).withColumn("_level", F.col("_at.level"))
+    block = F.struct(*(F.col(f"n{i}").alias(f"from{i}") for i in n), *(F.col(f"to{i}").alias(f"to{i}") for i in n))
+    same = Window.partitionBy("file", "_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_block", F.last(F.when(F.col("_at.answers"), block), ignorenulls=True).over(same)).filter("not _at.answers")
     tests = []
     for i, (kind, _) in enumerate(clauses):
-        others = F.col(f"n{i}") - F.col(f"c{i}").cast("int") > 0
-        after = F.coalesce(F.col(f"last{i}") > F.col("pos"), F.lit(False))
-        tests.append({"contains": others, "not_contains": ~others, "followed_by": after}[kind])
-    return _finding(rows.filter(F.col("target") & reduce(lambda a, b: a & b, tests)), index)
+        low = F.coalesce(F.col(f"_block.from{i}"), F.lit(0))
+        high = F.coalesce(F.col(f"_block.to{i}"), F.col(f"all{i}"))
+        others = high - low - F.col(f"c{i}") > 0
+        tests.append({"contains": others, "not_contains": ~others, "followed_by": high > F.col(f"n{i}")}[kind])
+    return _finding(df.filter(reduce(lambda a, b: a & b, tests)), index)
 
 
 def regions(tokens: DataFrame, rule: Rule, columns: list) -> DataFrame:

@@ -9,7 +9,7 @@ from lexloom.operators import delimiters, text_lexer
 from lexloom.operators.lexemes import block_paths, links
 from lexloom.operators.lexing import lex_files
 
-from .helpers import tuple_tokens
+from .helpers import found, tuple_tokens
 
 
 def streams(seed, n):
@@ -63,3 +63,18 @@ def test_no_python_and_one_schema(spark, tables):
     plan = linked._jdf.queryExecution().executedPlan().toString()
     assert "InArrow" not in plan and "Python" not in plan
     assert delimiters.with_blocks(tokens.limit(0)).count() == 0
+
+
+def test_scopes_need_no_paths_and_no_room_for_depth(spark):
+    deep = 3_000
+    kinds = ["c", *["{"] * deep, "a", *["}"] * deep, "a", "c"]
+    tokens = tuple_tokens(spark, {"f": ["{", "a", "c", "}"]}).drop("block_path", "jmp")
+    rows = [("g", i, k) for i, k in enumerate(kinds)]
+    last = tokens.filter("pos = 0").drop("file", "pos", "node_kind", "text")
+    tokens = tokens.unionByName(spark.createDataFrame(rows, "file string, pos int, node_kind string").withColumn("text", F.col("node_kind")).crossJoin(F.broadcast(last)))
+    linked = delimiters.links(tokens).select("file", "pos", F.col("partner").alias("jmp"))
+    tokens = tokens.join(linked, ["file", "pos"], "left")
+    assert found(tokens, "match a where scope contains c") == [("f", 1), ("g", 2 * deep + 2)]
+    assert found(tokens, "match a where scope not contains c") == [("g", deep + 1)]
+    assert found(tokens, 'match a where scope followed by "}"') == []
+    assert found(tokens, 'match c where scope contains "{"') == [("g", 0), ("g", 2 * deep + 3)]
