@@ -322,6 +322,51 @@ def test_clashing_columns(spark):
     assert packing.pack(docs).count() == 2 and licenses.scan_licenses(docs).count() == 0
 
 
+class _Constant:
+    """A compressor that tells nothing."""
+
+    def compress(self, data):
+        return b"x" * 10
+
+
+def test_compression_decides():
+    scanner, whole = licenses.Scanner(licenses._whole()), licenses._whole()["MIT"][-1].encode()
+    gpl = licenses.TEMPLATES["GPL-2.0"][1].encode() + b" " + licenses.TEMPLATES["GPL-3.0"][1].encode()
+    assert [h[0] for h in scanner.scan(whole)] == ["MIT"] and [h[0] for h in scanner.scan(gpl)] == ["GPL-2.0", "GPL-3.0"]
+    blind = licenses.Scanner(licenses._whole())
+    blind.plain = _Constant()
+    blind.templates = [(n, w, _Constant(), own, length) for n, w, _, own, length in blind.templates]
+    assert blind.scan(whole) == [] and blind.scan(gpl) == []
+    # Ranked the wrong way round, another wording takes the place.
+    wrong = licenses.Scanner(licenses._whole())
+    own = wrong.saved
+    wrong.winners = lambda words: list(range(len(wrong.templates)))
+    wrong.saved = lambda c, data, size: -own(c, data, size)
+    assert [h[1:3] for h in wrong.scan(whole)] != [h[1:3] for h in scanner.scan(whole)] and [h[0] for h in wrong.scan(gpl)] != ["GPL-2.0", "GPL-3.0"]
+
+
+def test_case_and_line_breaks_do_not_matter():
+    scanner = licenses.Scanner(licenses._whole())
+    for name, wordings in licenses.TEMPLATES.items():
+        for wording in wordings:
+            lines = "\n".join(f" * {part}" for part in wording.upper().split())
+            assert [h[0] for h in scanner.scan(f"/*\n{lines}\n */".encode())] == [name], wording
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_present_wordings_pass_the_first_ranking(seed):
+    rng, scanner = random.Random(seed), licenses.Scanner(licenses._whole())
+    for name, words, _, _, length in scanner.templates:
+        if len(words) < licenses.SHORT:
+            changed = words
+        else:  # as many words replaced as may differ
+            gone = set(rng.sample(range(len(words)), int(licenses.DIFFERENT * len(words))))
+            changed = [b"other" if i in gone else w for i, w in enumerate(words)]
+        around = [[w.lower() for w in licenses._WORD.findall(text(rng, 40).encode())] for _ in range(2)]
+        names = {scanner.templates[i][0] for i in scanner.winners(around[0] + changed + around[1])}
+        assert name in names, (name, length)
+
+
 @pytest.mark.parametrize("name", ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0"])
 def test_licenses_with_paragraphs(name):
     whole = max(licenses.TEMPLATES[name], key=len)
