@@ -51,7 +51,7 @@ SAMPLE, SAMPLE_VALUES = 100_000, 16_000_000
 #: The share of a node's vectors that may lie near its cut.
 MOST_NEAR = 0.25
 MOST_TREES = 64
-#: Vectors of a shard; crowded ones are compared in several tasks.
+#: Vectors of a shard, and of a block of a crowded one, of which two meet in a task.
 SHARD_ROWS = 2_000
 MAX_SHARDS = 65_536
 #: Pairs of a block that are looked at together, and vectors that are verified at a time.
@@ -135,32 +135,31 @@ def quiet_cut(values: np.ndarray, reach: float) -> float | None:
     return None
 
 
-def shard_pairs(units: np.ndarray, queries: np.ndarray, directions: np.ndarray, window: float, cosine: float):
-    """Yield (query row, member row) of pairs with at least ``cosine``; rows index ``units``."""
+def shard_pairs(units: np.ndarray, queries: np.ndarray, members: np.ndarray, directions: np.ndarray, window: float, cosine: float):
+    """Yield (query row, member row) of pairs with at least ``cosine``; all rows index ``units``."""
     allowed = most_misses()
-    placed = (units @ directions.T).astype(np.float32)
-    order = np.argsort(placed[:, 0], kind="stable")
-    placed = np.ascontiguousarray(placed[order].T)  # lines x members, along the first line
-    at = np.empty(len(order), np.int64)
-    at[order] = np.arange(len(order))
-    asked = np.sort(at[queries])
+    values = (units @ directions.T).astype(np.float32)
+    order = members[np.argsort(values[members, 0], kind="stable")]
+    placed = np.ascontiguousarray(values[order].T)  # lines x members, along the first line
+    asked = queries[np.argsort(values[queries, 0], kind="stable")]
+    own = np.ascontiguousarray(values[asked].T)
     width = np.float32(window)
     for first in range(0, len(asked), BLOCK):
-        block = asked[first : first + BLOCK]
-        low = np.searchsorted(placed[0], placed[0, block[0]] - width, side="left")
-        high = np.searchsorted(placed[0], placed[0, block[-1]] + width, side="right")
+        block = np.arange(first, min(first + BLOCK, len(asked)))
+        low = np.searchsorted(placed[0], own[0, block[0]] - width, side="left")
+        high = np.searchsorted(placed[0], own[0, block[-1]] + width, side="right")
         for start in range(low, high, CHUNK):
             stop = min(high, start + CHUNK)
             misses = np.zeros((len(block), stop - start), np.uint8)
             for line in range(5):
-                misses += np.abs(placed[line, block][:, None] - placed[line, start:stop][None, :]) > width
+                misses += np.abs(own[line, block][:, None] - placed[line, start:stop][None, :]) > width
             q, m = np.nonzero(misses <= allowed)
             missed, q, m = misses[q, m], block[q], m + start
             for line in range(5, LINES):
-                missed = missed + (np.abs(placed[line, q] - placed[line, m]) > width)
+                missed = missed + (np.abs(own[line, q] - placed[line, m]) > width)
                 kept = missed <= allowed
                 missed, q, m = missed[kept], q[kept], m[kept]
-            q, m = order[q], order[m]
+            q, m = asked[q], order[m]
             kept = q != m
             q, m = q[kept], m[kept]
             if len(q) > VERIFIED:  # dense: all products of the block at once
@@ -178,6 +177,7 @@ class Dealer:
     def __init__(self, sample: np.ndarray, rows: int, cosine: float, seed: int):
         shards = min(MAX_SHARDS, -(-rows // SHARD_ROWS))
         self.trees: list[Tree] = []
+        self.blocks = [_blocks(np.ones(1), rows)]
         if shards < 2:
             return
         draw = np.random.default_rng([seed + 1, sample.shape[1]])
@@ -193,17 +193,25 @@ class Dealer:
             tree = Tree(sample, draw.standard_normal((levels, sample.shape[1])), max(1, len(sample) // shards), reach)
             met |= tree.leaves(one) == tree.leaves(other)
             self.trees.append(tree)
-        # Shards that are crowded, as the sample has it, are compared in several tasks.
-        self.blocks = [np.maximum(1, np.ceil(t.share * rows / (2 * SHARD_ROWS))).astype(np.int64) for t in self.trees]
+        if met.mean() < RECALL:  # no trees hold enough: all are one shard, of which every block meets every other
+            self.trees = []
+        else:
+            self.blocks = [_blocks(t.share, rows) for t in self.trees]
 
     def leaves(self, units: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree: rows x trees."""
         return np.stack([t.leaves(units) for t in self.trees], 1)
 
 
-#: Numbers a block within its shard, and a shard within its tree.
-_BLOCK_BITS, _LEAF_BITS = 20, 24
-_ROUTED = "dimension long, shard long, own boolean, leaves array<int>, e array<{0}>, rep long, n long"
+def _blocks(share: np.ndarray, rows: int) -> np.ndarray:
+    """Blocks of shards that hold so much of all rows, as the sample has it.  Two blocks, or one and itself, meet in a task."""
+    return np.clip(np.ceil(share * rows / SHARD_ROWS), 1, 1 << _PART_BITS - 1).astype(np.int64)
+
+
+#: Numbers a block within its shard, two of which name a task, and a shard within its tree.
+_PART_BITS, _LEAF_BITS = 16, 24
+_BLOCK_BITS = 2 * _PART_BITS
+_ROUTED = "dimension long, shard long, second boolean, leaves array<int>, e array<{0}>, rep long, n long"
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 29) -> DataFrame:
@@ -244,17 +252,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 29) ->
             for dimension in np.unique(dimensions).tolist():
                 own = batch.take(pa.array(np.flatnonzero(dimensions == dimension)))
                 dealer, n = dealers.get(dimension), own.num_rows
-                if dealer is None or not dealer.trees:
-                    out.append(_routed(own, np.arange(n), np.zeros(n, np.int64), np.ones(n, bool), np.zeros((n, 0), np.int64)))
-                    continue
-                leaves = dealer.leaves(unit(own.column("e").flatten().to_numpy().reshape(n, dimension)))
-                for tree in range(len(dealer.trees)):
-                    blocks = dealer.blocks[tree][leaves[:, tree]]
-                    row = np.repeat(np.arange(n), blocks)  # once per block of its shard
-                    block = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    mine = own.column("h").to_numpy()[row] % blocks[row] == block
-                    shard = (((tree + 1) << _LEAF_BITS) + leaves[row, tree] << _BLOCK_BITS) + block
-                    out.append(_routed(own, row, shard, mine, leaves[row]))
+                trees = dealer.trees if dealer else []
+                leaves = dealer.leaves(unit(own.column("e").flatten().to_numpy().reshape(n, dimension))) if trees else np.zeros((n, 0), np.int64)
+                hashes = own.column("h").to_numpy()
+                for tree in range(max(1, len(trees))):
+                    leaf = leaves[:, tree] if trees else np.zeros(n, np.int64)
+                    blocks = dealer.blocks[tree][leaf] if dealer else np.ones(n, np.int64)
+                    row = np.repeat(np.arange(n), blocks)  # once with each block of its shard
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    block = hashes[row] % blocks[row]
+                    task = (np.minimum(block, other) << _PART_BITS) + np.maximum(block, other)
+                    shard = ((tree + bool(trees) << _LEAF_BITS) + leaf[row] << _BLOCK_BITS) + task
+                    out.append(_routed(own, row, shard, block > other, leaves[row]))
             return pa.concat_batches(out)
 
         return each
@@ -265,14 +274,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 29) ->
         reps = shard.column("rep").to_numpy()
         order = np.argsort(reps, kind="stable")
         shard = shard.take(pa.array(order))
-        reps, n, own = reps[order], shard.column("n").to_numpy(), shard.column("own").to_numpy(zero_copy_only=False)
+        reps, n, second = reps[order], shard.column("n").to_numpy(), shard.column("second").to_numpy(zero_copy_only=False)
         units = unit(shard.column("e").combine_chunks().flatten().to_numpy().reshape(-1, dimension))
         leaves = shard.column("leaves").combine_chunks().flatten().to_numpy().reshape(len(reps), -1)[:, :tree]
         links, sets = np.zeros(len(reps), np.int64), Union(len(reps))
-        for q, m in shard_pairs(units, np.flatnonzero(own), counting_lines(dimension, seed), window, cosine):
+        one = number >> _PART_BITS & (1 << _PART_BITS) - 1 == number & (1 << _PART_BITS) - 1
+        queries = np.flatnonzero(~second)
+        members = queries if one else np.flatnonzero(second)
+        for q, m in shard_pairs(units, queries, members, counting_lines(dimension, seed), window, cosine):
             new = ~(leaves[q] == leaves[m]).any(1)  # earlier trees count the others
             q, m = q[new], m[new]
             np.add.at(links, q, n[m])
+            if not one:  # within a block each is the other's query
+                np.add.at(links, m, n[q])
             sets.unite(q, m)
         roots = sets.roots()
         told = np.flatnonzero((links > 0) | (roots != np.arange(len(roots))))
@@ -300,13 +314,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 29) ->
     )
 
 
-def _routed(own: pa.RecordBatch, row: np.ndarray, shard: np.ndarray, mine: np.ndarray, leaves: np.ndarray) -> pa.RecordBatch:
+def _routed(own: pa.RecordBatch, row: np.ndarray, shard: np.ndarray, second: np.ndarray, leaves: np.ndarray) -> pa.RecordBatch:
     """Rows of ``own``, each for a shard."""
     sent = own.take(pa.array(row))
     ends = np.arange(len(row) + 1, dtype=np.int32) * leaves.shape[1]
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(leaves.ravel().astype(np.int32)))
-    names = ["dimension", "shard", "own", "leaves", "e", "rep", "n"]
-    return pa.record_batch([sent.column("dimension"), pa.array(shard), pa.array(mine), lists, *(sent.column(c) for c in ("e", "rep", "n"))], names=names)
+    names = ["dimension", "shard", "second", "leaves", "e", "rep", "n"]
+    return pa.record_batch([sent.column("dimension"), pa.array(shard), pa.array(second), lists, *(sent.column(c) for c in ("e", "rep", "n"))], names=names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from lexloom.llm import embeddings, mixing, ranking, sharding
 
@@ -57,6 +58,52 @@ def test_shards_hold_close_pairs_with_few_copies(monkeypatch, dimension, shards,
     assert largest < 6 * n / shards + 20
 
 
+def test_crowded_shards_meet_block_by_block(spark, monkeypatch):
+    """20,000 vectors of one dense group: no task holds more than two blocks, and every pair is counted once."""
+    n = 20_000
+    rng = np.random.default_rng(8)
+    x = (np.array([1.0, 0, 0, 0, 0, 0]) + rng.normal(size=(n, 6)) * 0.01).astype(np.float32)
+    apart = rng.normal(size=(50, 6)).astype(np.float32)
+    largest = spark.sparkContext.accumulator(0, _Largest())
+    whole = embeddings.shard_pairs
+
+    def watched(units, queries, members, *more):
+        largest.add(len(units))
+        return whole(units, queries, members, *more)
+
+    monkeypatch.setattr(embeddings, "shard_pairs", watched)
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(np.concatenate([x, apart]))]
+    found = {r["vec_id"]: r for r in embeddings.near_duplicates(vectors(spark, rows)).collect()}
+    assert len(found) == n + 50
+    assert all(found[i]["n_links"] >= n - 1 and found[i]["component_id"] == 0 for i in range(n))
+    units = np.concatenate([x, apart]).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    close = (units[n:] @ units.T >= 0.95).sum(1) - 1
+    assert [found[n + i]["n_links"] for i in range(50)] == close.tolist()
+    assert sum(r["n_links"] for r in found.values()) == n * (n - 1) + 2 * close.sum() - (units[n:] @ units[n:].T >= 0.95).sum() + 50
+    assert 0 < largest.value <= 2 * embeddings.SHARD_ROWS * 1.2
+
+
+class _Largest(AccumulatorParam):
+    def zero(self, value):
+        return value
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
+def test_trees_that_hold_too_little_are_not_used(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SHARD_ROWS", 40)
+    monkeypatch.setattr(embeddings, "MOST_TREES", 0)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(150, 24))
+    x = np.array([*base, *(base[i % 50] + rng.normal(size=24) * 0.05 for i in range(100))], np.float32).astype(float)
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = units @ units.T >= 0.95
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(vectors(spark, [(i, [float(v) for v in r], 0) for i, r in enumerate(x)])).collect()}
+    assert [found[i] for i in range(len(x))] == (close.sum(1) - 1).tolist()
+
+
 def brute_links(vectors, cosine=0.95):
     out = []
     for i, a in enumerate(vectors):
