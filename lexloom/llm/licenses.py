@@ -150,6 +150,8 @@ REACH = 1.5
 LEAST_SHARE = 0.15
 #: Bytes of a block that are compressed at once, besides a template's length; pieces of either size overlap by half and that length.
 PIECES = (512, 1_024)
+#: Lengths are rounded up to a multiple of this, so that templates share their pieces.
+ROUND = 256
 #: With and without dictionary alike: the library's own choice depends on the dictionary's size.
 _PARAMETERS = {"window_log": 15, "hash_log": 13, "chain_log": 14, "search_log": 5, "min_match": 4, "target_length": 64, "strategy": zstandard.STRATEGY_LAZY2}
 #: Words that may differ, as a share of the template's; none in notices shorter than SHORT words, where each may name a license.
@@ -191,7 +193,7 @@ class Scanner:
                 raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 compressor = zstandard.ZstdCompressor(compression_params=parameters, dict_data=raw)
                 own = len(self.plain.compress(data)) - len(compressor.compress(data))
-                self.templates.append((name, words, compressor, own, len(data)))
+                self.templates.append((name, words, compressor, own, -(-len(data) // ROUND) * ROUND))
 
     def scan(self, text: bytes) -> list[tuple[str, int, int, float, int, str, int]]:
         """(license, start byte, end byte, gain, differing places, the differences, differing words)."""
@@ -206,10 +208,12 @@ class Scanner:
 
     def winners(self, words: list[bytes]) -> list[int]:
         """Templates that save enough of a block's words, those first that save the largest share of their own."""
-        shares, block = [], b" ".join(words)
+        shares, block, sizes = [], b" ".join(words), {}
         for _, _, compressor, own, length in self.templates:
             pieces = {block[at : at + size + length] for size in PIECES for at in range(0, max(1, len(block) - length), size // 2)}
-            most = max(self.saved(compressor, piece, len(self.plain.compress(piece))) for piece in pieces)
+            for piece in pieces - sizes.keys():
+                sizes[piece] = len(self.plain.compress(piece))
+            most = max(self.saved(compressor, piece, sizes[piece]) for piece in pieces)
             shares.append(most / max(own, 1))
         return [i for i in sorted(range(len(shares)), key=lambda i: -shares[i]) if shares[i] >= LEAST_SHARE]
 
