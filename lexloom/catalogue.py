@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import corpora
 from .operators import text_lexer
 from .operators.aggregate import summary
-from .operators.lexing import language_column
+from .operators.lexing import language_column, register_table_function
 from .plans.engine import Context, check_tokens, lexed_for, primary_findings
 from .rules.compile import load_dsl, load_yaml
 
@@ -148,6 +148,26 @@ FROM (SELECT *, CASE WHEN text = 'function' THEN lead(text) OVER (PARTITION BY f
   CASE WHEN pos = 0 OR text IN ('(', ')', ';') THEN 0 WHEN lag(text) OVER (PARTITION BY file ORDER BY pos) = '(' THEN 0 ELSE 1 END AS gap FROM t)""",
 )
 
+
+
+def _by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls per file and nesting, counted in SQL over lexed files."""
+    register_table_function(spark)
+    corpora.code(spark, sf_dir).createOrReplaceTempView("lexloom_files")
+    return spark.sql(
+        """SELECT file, text, curly_depth, count(*) AS n, count(DISTINCT function) AS functions FROM lex(TABLE(lexloom_files))
+        WHERE class = 'ident' AND text IN ('acquire', 'release') GROUP BY ALL"""
+    )
+
+
+_register(
+    "tok_table_function",
+    _by_table_function,
+    _CODE_PIECES
+    + """, d AS (SELECT *, CAST(sum(CASE text WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) AS INTEGER) AS curly_depth, sum(CASE text WHEN 'function' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) AS nth FROM u)
+SELECT file, text, curly_depth, count(*) AS n, count(DISTINCT nth) AS functions FROM d WHERE text IN ('acquire', 'release') GROUP BY ALL""",
+)
+
 # Brackets one after another through one stack, for all files at once; then pairs, and the braces around each token.
 _STACK = r"""
 , b AS MATERIALIZED (SELECT file, pos, raw, row_number() OVER (PARTITION BY file ORDER BY pos) AS nth FROM t WHERE raw IN ('(', ')', '[', ']', '{', '}')),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -105,3 +105,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def lex_prose(files: DataFrame, language: str = "javascript") -> DataFrame:
     """Tokens of prose, markup or JSON, whatever the extension."""
     return lex_files(files, text_lexer.scan, language)
+
+
+def register_table_function(spark: SparkSession, name: str = "lex") -> None:
+    """Make ``SELECT * FROM lex(TABLE(files))`` give the tokens of a relation with the columns file and text.
+
+    As in ``lex_files`` the extension chooses the lexer, each file is lexed whole by
+    the task that holds its row, and files without a lexer or a text give no tokens.
+    """
+    lexers, languages = dict(_LEXERS), dict(EXTENSIONS)
+
+    class Lex:
+        def eval(self, row: Row):
+            file, text = row["file"], row["text"]
+            ext = extension_of(file or "")
+            if text is not None and ext in lexers:
+                yield from token_rows(file, languages[ext], text, lexers[ext](text, languages[ext]))
+
+    spark.udtf.register(name, F.udtf(Lex, returnType=TOKENS, useArrow=True))

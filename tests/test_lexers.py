@@ -5,7 +5,7 @@ import pytest
 from lexloom.corpora import built_in_tokens
 from lexloom.operators import text_lexer, tsjs
 from lexloom.operators.lexemes import block_paths, links
-from lexloom.operators.lexing import extension_of, language_of, lex_prose, lex_text, register_lexer, supports
+from lexloom.operators.lexing import extension_of, language_of, lex_files, lex_prose, lex_text, register_lexer, register_table_function, supports
 from lexloom.schema import TOKENS
 
 FIELDS = TOKENS.fieldNames()
@@ -246,3 +246,16 @@ def test_colons_of_conditionals_head_no_arrow():
     assert [t["class"] for t in got if t["text"] == "b"] == ["ident", "ident"]
     members = lex("interface I {\n (a: number): T\n m: (b: B) => c\n}\nlet z = { k: 1 }")
     assert {t["text"]: t["class"] for t in members if t["text"] in ("T", "m", "B", "c", "k")} == {"T": "other", "m": "other", "B": "other", "c": "other", "k": "prop"}
+
+
+def test_lexers_as_a_table_function(spark):
+    register_table_function(spark)
+    files = [("a.ts", "const g = (a: number): number => { return a }"), ("b/c.tsx", "x = <b>{y}</b>"), ("d.txt", "no lexer"), ("e.js", ""), ("f.ts", None), (None, "x")]
+    df = spark.createDataFrame(files, "file string, text string").repartition(3)
+    df.createOrReplaceTempView("some_files")
+    got = spark.sql("SELECT * FROM lex(TABLE(some_files))")
+    want = lex_files(df)
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    by_class = spark.sql("SELECT class, count(*) AS n FROM lex(TABLE(SELECT file, text FROM some_files WHERE file = 'a.ts')) GROUP BY class")
+    assert {r["class"]: r["n"] for r in by_class.collect()}["ident"] == 3

@@ -80,7 +80,7 @@ def test_context(tree, capsys):
 def test_check(tree, run):
     root = tree({"apps/x.ts": STARTER})
     assert run("check", root)[0] == 2
-    assert run("init", root) == (0, f"Wrote {root}/lexloom.yaml with 5 starter rules.\n", "")
+    assert run("init", root) == (0, f"{root}/lexloom.yaml: 5 rules to start with\n", "")
     assert run("init", root)[0] == 2
     code, out, _ = run("check", root)
     assert code == 1 and "4 violation(s): 2 error(s), 2 warning(s)" in out

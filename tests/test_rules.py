@@ -97,11 +97,11 @@ def test_quirks():
         ("rule R { match a != b }", "unexpected statement"),
         ('rule R { match "a }', "unterminated string"),
         ("rule R { match /a }", "unterminated regex"),
-        ("rule R { match a sequence { b } }", "exactly one"),
-        ("rule R { desc \"x\" }", "exactly one"),
-        ("rule R { count X per line > 1 }", "unknown count scope"),
-        ("rule R { compose xor of A }", "unknown compose op"),
-        ("rule R { compose union of A by line }", "unknown compose key"),
+        ("rule R { match a sequence { b } }", "needs one body"),
+        ("rule R { desc \"x\" }", "needs one body"),
+        ("rule R { count X per line > 1 }", "cannot be counted per"),
+        ("rule R { compose xor of A }", "cannot be composed by"),
+        ("rule R { compose union of A by line }", "cannot be grouped by"),
         ("rule R { match /(/ }", "invalid regex"),
         ("rule R { match /(?=a)/ }", "look-around"),
         (r"rule R { match /(a)\1/ }", "invalid regex"),
