@@ -246,6 +246,12 @@ _rule("m_literal", "docs", "match the", "text = 'the'")
 _rule("m_class", "docs", "match @num", "class = 'num'")
 _rule("m_regex", "docs", "match @ident & /^th/", "class = 'ident' AND starts_with(text, 'th')")
 _rule("m_not_regex", "pages", "match @ident & ^/[a-z]/", "class = 'ident' AND NOT regexp_matches(text, '[a-z]')")
+_rule(
+    "m_class_algebra",
+    "docs",
+    r"match @ident & /^(?U)[a-z--[aeiou]][\p{L}&&[^b-y]~~z]/",
+    r"""class = 'ident' AND regexp_matches(text, '^[b-df-hj-np-tv-z]') AND regexp_matches(substr(text, 2, 1), '^\p{L}$') AND NOT regexp_matches(substr(text, 2, 1), '^[b-z]$')""",
+)
 _rule("m_conj", "pages", 'match Token[class = "ident", text ~ /^[a-m]/, text !~ /e/, text_len >= 4]', "class = 'ident' AND regexp_matches(text, '^[a-m]') AND NOT contains(text, 'e') AND strlen(raw) >= 4")
 _rule("m_overwrite", "docs", "match /^a/ & /z$/", "regexp_matches(text, 'z$')")
 _rule("m_in", "pages", 'match Token[text in ["div", "span", "<"]]', "text IN ('div', 'span', '<')")

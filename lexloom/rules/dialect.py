@@ -17,8 +17,9 @@ _FLAGS = "(?Ud)"
 
 def java_regex(pattern: str) -> str:
     """The Java pattern that finds what ``pattern`` finds; RuleError if none does."""
-    out, i, in_class, depth, multiline = [], 0, 0, 0, False
+    out, i, multiline = [], 0, False
     n, names = len(pattern), set()
+    lazy = [False]  # whether greed is swapped, in each open group
     while i < n:
         c, rest = pattern[i], pattern[i:]
         if c == "\\":
@@ -31,42 +32,16 @@ def java_regex(pattern: str) -> str:
                 out.append(_property(pattern, m[0][:2], m[1]))
                 i += len(m[0])
                 continue
-            if nxt == "z" and not in_class:
-                out.append(r"\z")
-            elif m := re.match(r"\\([xu])\{([0-9A-Fa-f]+)\}", rest):
+            if m := re.match(r"\\([xu])\{([0-9A-Fa-f]+)\}", rest):
                 out.append(rf"\x{{{m[2]}}}")
                 i += len(m[0])
                 continue
-            else:
-                out.append(c + nxt)
+            out.append(c + nxt)
             i += 2
             continue
-        if in_class:
-            if rest.startswith(("--", "~~")):
-                raise RuleError(f"invalid regex /{pattern}/: class operator {rest[:2]} is not supported")
-            if c == "[":
-                if m := re.match(r"\[:(\^?)(\w+):\]", rest):
-                    if m[2] not in _POSIX:
-                        raise RuleError(f"invalid regex /{pattern}/: unknown class {m[0]}")
-                    out.append((r"\P" if m[1] else r"\p") + "{" + _POSIX[m[2]] + "}")
-                    i += len(m[0])
-                    continue
-                in_class += 1
-            elif c == "]":
-                in_class -= 1
-            out.append(c)
-            i += 1
-            continue
         if c == "[":
-            in_class = 1
-            out.append(c)
-            i += 1
-            if pattern[i : i + 1] == "^":
-                out.append("^")
-                i += 1
-            if pattern[i : i + 1] == "]":  # a leading bracket is a member
-                out.append(r"\]")
-                i += 1
+            java, i = _class(pattern, i)
+            out.append(java)
             continue
         if rest.startswith("(?"):
             if m := re.match(r"\(\?P?<([A-Za-z_]\w*)>", rest):
@@ -74,23 +49,30 @@ def java_regex(pattern: str) -> str:
                     raise RuleError(f"invalid regex /{pattern}/: two groups are named {m[1]}")
                 names.add(m[1])
                 out.append("(")  # nothing reads groups by name
-                depth += 1
+                lazy.append(lazy[-1])
             elif m := re.match(r"\(\?([imsxUu-]*)(\)|:)", rest):
-                flags = m[1]
-                if re.search("[Uu]", flags):
-                    raise RuleError(f"invalid regex /{pattern}/: flags {flags} are not supported")
-                multiline |= "m" in flags.split("-")[0]
-                out.append(m[0])
-                depth += m[2] == ":"
+                on, _, off = m[1].partition("-")
+                if "u" in off:
+                    raise RuleError(f"invalid regex /{pattern}/: classes are those of Unicode")
+                multiline |= "m" in on
+                swapped = True if "U" in on else False if "U" in off else lazy[-1]
+                on, off = (re.sub("[Uu]", "", flags) for flags in (on, off))
+                kept = on + (f"-{off}" if off else "")
+                if m[2] == ":":
+                    lazy.append(swapped)
+                    out.append(f"(?{kept}:")
+                else:
+                    lazy[-1] = swapped
+                    out.append(f"(?{kept})" if kept else "")
             else:
                 raise RuleError(f"invalid regex /{pattern}/: look-around and atomic groups are not supported")
             i += len(m[0])
             continue
         if c == "(":
-            depth += 1
+            lazy.append(lazy[-1])
         elif c == ")":
-            depth -= 1
-            if depth < 0:
+            lazy.pop()
+            if not lazy:
                 raise RuleError(f"invalid regex /{pattern}/: unopened group")
         elif c in "*+?{" and (m := _REPEAT.match(pattern, i)):
             more = _REPEAT.match(pattern, m.end())
@@ -98,7 +80,8 @@ def java_regex(pattern: str) -> str:
                 raise RuleError(f"invalid regex /{pattern}/: possessive quantifiers are not supported")
             if more:
                 raise RuleError(f"invalid regex /{pattern}/: a repetition is repeated; put it in a group")
-            out.append(m[0])
+            repeat, greedy = m[0].removesuffix("?") if len(m[0]) > 1 else m[0], len(m[0]) == 1 or not m[0].endswith("?")
+            out.append(repeat if greedy != lazy[-1] else repeat + "?")
             i = m.end()
             continue
         elif c == "{":
@@ -109,18 +92,83 @@ def java_regex(pattern: str) -> str:
             continue
         out.append(c)
         i += 1
-    if in_class or depth:
-        raise RuleError(f"invalid regex /{pattern}/: unclosed " + ("class" if in_class else "group"))
+    if len(lazy) > 1:
+        raise RuleError(f"invalid regex /{pattern}/: unclosed group")
     translated = "".join(out)
     _check_with_jvm_rules(pattern, translated)
     return _FLAGS + translated
 
 
-#: Bracketed class names, which are ASCII in the rules' dialect, and Java's names.
+#: A class that nothing is in.
+_NOTHING = r"[^\x{0}-\x{10FFFF}]"
+
+
+def _class(pattern: str, i: int) -> tuple[str, int]:
+    """The Java class for the one that opens at ``i``, and the place behind it.
+
+    Operators between the parts of a class, from the left: && is what both hold,
+    -- what the first holds alone, ~~ what one of them holds.
+    """
+    i += 1
+    negated = pattern[i : i + 1] == "^"
+    i += negated
+    operands: list[list[str]] = [[]]
+    operators: list[str] = []
+    first = True
+    while True:
+        rest, c = pattern[i:], pattern[i : i + 1]
+        if not c:
+            raise RuleError(f"invalid regex /{pattern}/: unclosed class")
+        if c == "]" and not first:
+            i += 1
+            break
+        if rest[:2] in ("--", "~~", "&&") and not first:
+            operators.append(rest[:2])
+            operands.append([])
+            i += 2
+            continue
+        first = False
+        if c == "[":
+            if m := re.match(r"\[:(\^?)(\w+):\]", rest):
+                if m[2] not in _POSIX:
+                    raise RuleError(f"invalid regex /{pattern}/: unknown class {m[0]}")
+                operands[-1].append(f"[{m[1]}{_POSIX[m[2]]}]")
+                i += len(m[0])
+            else:
+                java, i = _class(pattern, i)
+                operands[-1].append(java)
+        elif c == "\\":
+            nxt = pattern[i + 1 : i + 2]
+            if not nxt or nxt.isdigit() or nxt in "kGZQEXRhHVbBAz":
+                raise RuleError(f"invalid regex /{pattern}/: \\{nxt} is not supported in a class")
+            if m := re.match(r"\\[pP]\{([^{}]*)\}", rest):
+                operands[-1].append(_property(pattern, m[0][:2], m[1]))
+            elif m := re.match(r"\\[xu]\{([0-9A-Fa-f]+)\}", rest):
+                operands[-1].append(rf"\x{{{m[1]}}}")
+            else:
+                m = re.match(r"\\.", rest, re.S)
+                operands[-1].append(m[0])
+            i += len(m[0])
+        else:
+            operands[-1].append("\\" + c if c in "]^&~" else c)
+            i += 1
+    parts = ["".join(o) for o in operands]
+    if not operators:
+        return "[" + "^" * negated + parts[0] + "]", i
+    java, *others = (f"[{p}]" if p else _NOTHING for p in parts)
+    for operator, other in zip(operators, others):
+        alone = f"[{java}&&[^{other}]]"
+        java = {"&&": f"[{java}&&{other}]", "--": alone, "~~": f"[{alone}[{other}&&[^{java}]]]"}[operator]
+    return f"[^{java}]" if negated else java, i
+
+
+#: Bracketed class names, which are ASCII whatever the flags.  Fixed values.
 _POSIX = {
-    "alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct",
-    "space": "Space", "xdigit": "XDigit", "cntrl": "Cntrl", "graph": "Graph", "print": "Print", "blank": "Blank",
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~",
+    "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t-\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
 }
+#: Properties that Java knows by these names.
+_NAMED = {"Alpha", "Digit", "Alnum", "Upper", "Lower", "Punct", "Space", "XDigit", "Cntrl", "Graph", "Print", "Blank"}
 
 
 #: One repetition, lazy or not.
@@ -133,7 +181,7 @@ def _property(pattern: str, escape: str, name: str) -> str:
         escape, name = escape[0] + ("p" if escape[1] == "P" else "P"), name[1:]
     if not re.fullmatch(r"\w+(?:[=:]\w+)?", name):
         raise RuleError(f"invalid regex /{pattern}/: unknown property {name!r}")
-    plain = len(name) <= 2 or "=" in name or name in _POSIX.values() or name.startswith(("Is", "In"))
+    plain = len(name) <= 2 or "=" in name or name in _NAMED or name.startswith(("Is", "In"))
     return f"{escape}{{{name.replace(':', '=') if plain or ':' in name else 'Is' + name}}}"
 
 

@@ -196,7 +196,7 @@ def test_regexes(spark, pattern, yes, no):
     assert got == set(yes)
 
 
-@pytest.mark.parametrize("bad", ["(?<=a)b", "a++", "(?>a)", r"\k<n>", "[a--b]", "[a~~b]", "(", ")", "[", "(?U)a", "*a", "a{3,1}", "x\\", "(?x-u)a"])
+@pytest.mark.parametrize("bad", ["(?<=a)b", "a++", "(?>a)", r"\k<n>", "(", ")", "[", "*a", "a{3,1}", "x\\", "(?x-u)a"])
 def test_refused_regexes(bad):
     with pytest.raises(RuleError):
         java_regex(bad)
