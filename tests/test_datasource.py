@@ -1,0 +1,59 @@
+"""The data source for source trees, against the listing on one machine."""
+
+import os
+
+import pytest
+
+from lexloom.sources import datasource, repository
+
+FILES = {
+    "a.ts": "a", "_app.tsx": "b", ".hidden.ts": "no", "x.txt": "no", "deep/one/two/b.js": "c", "deep/_x/c.mjs": "d", "deep/.d/e.ts": "no",
+    "out/gen.ts": "no", "out/keep.ts": "kept", "lib/f.ts": "f", "lib/skip.ts": "no", "lib/sub/skip.ts": "yes", "lib/sub/g.cts": "é",
+    "build/h.ts": "no", "empty.ts": "", "mine.ts": "no",
+}
+IGNORES = {".gitignore": "out/*\n!out/keep.ts\n/build/\n", "lib/.ignore": "skip.ts\n", "lib/sub/.gitignore": "!skip.ts\n", ".git/info/exclude": "mine.ts\n"}
+
+
+@pytest.fixture(params=[True, False], ids=["git", "plain"])
+def tree(request, tmp_path, monkeypatch):
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "home/.config"))
+    root = tmp_path / "work" / "root"
+    for name, text in {**FILES, **IGNORES}.items():
+        if not request.param and name.startswith(".git/"):
+            continue
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / "bad.ts").write_bytes(b"\xff\xfe")
+    os.symlink(root / "a.ts", root / "link.ts")
+    os.symlink(root / "lib", root / "linked")
+    return root
+
+
+def rows(df):
+    return sorted((r["file"], r["text"], r["error"] is not None) for r in df.collect())
+
+
+@pytest.mark.parametrize("splits", [1, 3, 64])
+def test_source_equals_the_listing(spark, tree, splits):
+    datasource.register(spark)
+    for root, uri in ((tree, str(tree)), (tree, f"file://{tree}"), (tree / "lib", str(tree / "lib")), (tree / "a.ts", str(tree / "a.ts"))):
+        got = spark.read.format("sourcetree").option("splits", splits).load(uri)
+        want = rows(repository.read_files(spark, root))
+        if root.name == "a.ts":
+            want = [(str(root), "a", False)]
+        assert rows(got) == want
+    assert spark.read.format("sourcetree").load(str(tree)).columns == ["file", "text", "error"]
+
+
+def test_folders_become_partitions(spark, tree):
+    datasource.register(spark)
+    few, many = (spark.read.format("sourcetree").option("splits", n).load(str(tree)).rdd.getNumPartitions() for n in (1, 64))
+    assert few == 1 and many >= 1
+    split = spark.read.format("sourcetree").option("splits", 2).load(str(tree))
+    assert split.rdd.getNumPartitions() > 1
+
+
+def test_nothing_there(spark, tmp_path):
+    datasource.register(spark)
+    assert spark.read.format("sourcetree").load(str(tmp_path)).count() == 0
