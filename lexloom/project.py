@@ -13,7 +13,7 @@ from .plans.engine import Context, check_tokens, lexed_for
 from .rules.ast import Rule, RuleError
 from .rules.compile import load_path
 from .schema import SPAN_FIELDS, TOKENS
-from .sources import repository
+from .sources import datasource, repository
 
 #: Rule files that are looked for, in this order.
 RULE_FILES = ("lexloom.yaml", "lexloom.rules")
@@ -55,7 +55,11 @@ class Project:
 
     def texts(self) -> DataFrame:
         """(file, text) of every file that can be read; others are warned of and skipped."""
-        files = self._hold(repository.read_files(self.spark, self.root))
+        if self.root.is_dir():
+            datasource.register(self.spark)
+            files = self._hold(self.spark.read.format("sourcetree").load(str(self.root.resolve())))
+        else:
+            files = self._hold(repository.read_files(self.spark, self.root))
         for row in files.filter("error is not null").select("file", "error").toLocalIterator():
             print(f"warning: {row['file']}: {row['error']}", file=sys.stderr)
         return files.filter("error is null").select("file", "text")
