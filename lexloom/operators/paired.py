@@ -4,7 +4,8 @@ A delimiter that opens and the one that closes it are one item of the sequence:
 window over (file, block, pair) lets the opening token see what holds behind its
 partner, so a match jumps over the pair.  What stands between is compared with
 the partner's place.  A capture that is compared a fixed number of tokens later
-is a ``lag``.  All windows share one exchange; other shapes are left to search.
+is an offset.  All windows run from a region's end to its beginning and share one
+exchange; other shapes are left to search.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.predicates import accepts, conjunction, token_field
 from ..rules.ast import Rule, Step
-from .primary import _END, _finding, _useful_blocks, carried, first_region, is_gap, must_start, regions, step_holds, tail_matches
+from .primary import _END, _finding, _useful_blocks, ahead, backward, carried, first_region, is_gap, must_start, regions, step_holds, tail_matches
 
 _OPENERS = ("(", "{", "[")
 
@@ -104,7 +105,7 @@ def _compared(step: Step, i: int, known: dict, order) -> Column:
                 if token_field(p.field) is None or token_field(attr) is None:
                     tests.append(F.lit(False))
                     continue
-                have, bound = F.col(f"_v_{p.field}"), F.lag(f"_v_{attr}", back).over(order)
+                have, bound = F.col(f"_v_{p.field}"), F.lead(f"_v_{attr}", back).over(order)
                 tests.append(F.coalesce(have == bound if p.op == "eq_ref" else have != bound, F.lit(False)))
         found.append(reduce(and_, tests))
     any_found = reduce(or_, found) if found else F.lit(False)
@@ -114,7 +115,7 @@ def _compared(step: Step, i: int, known: dict, order) -> Column:
 def paired_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     """A sequence for which ``plannable`` holds, from its last item to its first."""
     steps = rule.steps
-    known, order = captures(steps), Window.partitionBy("file", "open").orderBy("pos")
+    known, order = captures(steps), backward()
     start = accepts(steps[0]) if must_start(steps[0]) and not steps[0].has_refs else None
     columns, fields = [], set()
     for i, step in enumerate(steps):
@@ -150,32 +151,31 @@ def paired_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
 def _over_pair(df: DataFrame, steps: tuple[Step, ...], pair: Pair, then: str, order) -> DataFrame:
     """``df`` with ``_holds``: the pair begins here and what follows it consumes the rest of the region."""
     place, begins = F.col("pos").cast("long"), F.col(f"a{pair.open}")
-    df = df.withColumn("_close", F.col(f"a{pair.close}") & F.lead(then, 1, tail_matches(steps[pair.close + 1 :])).over(order))
+    df = df.withColumn("_close", F.col(f"a{pair.close}") & F.lag(then, 1, tail_matches(steps[pair.close + 1 :])).over(order))
     # Of a delimiter without a partner nothing is known: its steps are steps like others.
     df = df.withColumn("_loose", F.col("_close"))
     for i in reversed(range(pair.open + 1, pair.close)):
         df = df.withColumn("_loose", step_holds(steps[i], F.col(f"a{i}"), F.col("_loose"), False, order))
     both = Window.partitionBy("file", "open", "_pair")
     tests = [F.max(F.when(place > F.col("_jmp"), F.col("_close"))).over(both)]
-    tests += [F.lead(f"a{i}", nth, False).over(order) for nth, i in enumerate(pair.fixed, 1)]
+    tests += [F.lag(f"a{i}", nth, False).over(order) for nth, i in enumerate(pair.fixed, 1)]
     inside = len(pair.fixed) + 1
     if pair.run is None and not pair.singles:
         tests.append(F.col("_jmp") == place + inside)
     elif pair.run is not None:
         tests.append(F.col("_jmp") >= place + inside)
         if not is_gap(steps[pair.run]):
-            stop = F.min(F.when(~F.col(f"a{pair.run}"), place)).over(order.rowsBetween(inside, Window.unboundedFollowing))
+            stop = F.min(F.when(~F.col(f"a{pair.run}"), place)).over(ahead(order, inside))
             tests.append(F.coalesce(stop, F.lit(_END)) >= F.col("_jmp"))
     else:
         # The first place where each single token may stand, behind that of the one before it.
-        ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         last = None
         for i in reversed(pair.singles):
-            ends = place if last is None else F.lead("_reach", 1).over(order)
-            df = df.withColumn("_end", F.when(F.col(f"a{i}"), ends)).withColumn("_reach", F.min("_end").over(ahead)).drop("_end")
+            ends = place if last is None else F.lag("_reach", 1).over(order)
+            df = df.withColumn("_end", F.when(F.col(f"a{i}"), ends)).withColumn("_reach", F.min("_end").over(ahead(order))).drop("_end")
             last = i
-        tests.append(F.coalesce(F.lead("_reach", 1).over(order) < F.col("_jmp"), F.lit(False)))
+        tests.append(F.coalesce(F.lag("_reach", 1).over(order) < F.col("_jmp"), F.lit(False)))
     matched = reduce(and_, tests)
-    loose = F.lead("_loose", 1, False).over(order)
+    loose = F.lag("_loose", 1, False).over(order)
     df = df.withColumn("_matched", F.coalesce(matched, F.lit(False))).withColumn("_loose", loose)
     return df.withColumn("_holds", begins & F.when(F.col("_jmp").isNull(), F.col("_loose")).otherwise(F.col("_matched"))).drop("_close", "_loose", "_matched", "_reach")

@@ -165,7 +165,7 @@ def window_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     df = regions(tokens, rule, [*carried(start), *(accepts(s).alias(f"a{i}") for i, s in enumerate(steps))])
     if rule.in_scope:
         df = _useful_blocks(df, steps)
-    order = Window.partitionBy("file", "open").orderBy("pos")
+    order = backward()
     df = df.withColumn(f"f{len(steps)}", F.lit(False))
     for i in reversed(range(len(steps))):
         holds = step_holds(steps[i], F.col(f"a{i}"), F.col(f"f{i + 1}"), tail_matches(steps[i + 1 :]), order)
@@ -173,17 +173,32 @@ def window_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     return _finding(first_region(df.filter("f0"), rule), index, F.col("open"))
 
 
+def backward():
+    """Regions from their last token to their first.
+
+    So what lies ahead of a token is a running window.  A frame from each token to
+    the region's end would be computed anew for each.
+    """
+    return Window.partitionBy("file", "open").orderBy(F.desc("pos"))
+
+
+def ahead(order, least: int = 0):
+    """From the region's end to the token ``least`` places ahead of the current one."""
+    return order.rowsBetween(Window.unboundedPreceding, -least)
+
+
 def step_holds(step, accepted: Column, then: Column, at_end: bool, order) -> Column:
     """Whether ``step`` and what follows it consume the rest of the region from here on.
 
     ``then`` is the same for what follows, at each token; ``at_end`` at the region's end.
+    ``order`` is that of ``backward``.
     """
     if step.quant == "zero_or_more":
-        ahead, place = order.rowsBetween(Window.currentRow, Window.unboundedFollowing), F.col("pos").cast("long")
-        goal = F.coalesce(F.min(F.when(then, place)).over(ahead), F.lit(_END if at_end else _END + 1))
-        stop = F.coalesce(F.min(F.when(~accepted, place)).over(ahead), F.lit(_END))
+        rest, place = ahead(order), F.col("pos").cast("long")
+        goal = F.coalesce(F.min(F.when(then, place)).over(rest), F.lit(_END if at_end else _END + 1))
+        stop = F.coalesce(F.min(F.when(~accepted, place)).over(rest), F.lit(_END))
         return goal <= stop
-    holds = accepted & F.lead(then, 1, at_end).over(order)
+    holds = accepted & F.lag(then, 1, at_end).over(order)
     return then | holds if step.quant == "optional" else holds
 
 
@@ -193,7 +208,7 @@ def _useful_blocks(df: DataFrame, steps) -> DataFrame:
     if not needed:
         return df
     # The sequence's own order, so that its sort serves both.
-    block = Window.partitionBy("file", "open").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    block = backward().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for i in needed:
         df = df.withColumn(f"some{i}", F.max(f"a{i}").over(block))
     return df.filter(reduce(lambda a, b: a & b, (F.col(f"some{i}") for i in needed))).drop(*(f"some{i}" for i in needed))

@@ -4,12 +4,14 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.operators import primary, search
 from lexloom.operators.aggregate import summary
 from lexloom.plans.engine import Context, check_tokens
 from lexloom.rules.ast import Rule, Step
 from lexloom.rules.compile import compile_pred, load_dsl
+from lexloom.schema import TOKENS
 
 from .helpers import check, found, source_tokens, tuple_tokens
 
@@ -231,6 +233,24 @@ def test_sequence_plans_have_one_exchange(spark):
     rule = load_dsl("rule R { sequence { a b ? any * c not d * } }")[0][0]
     plan = primary.window_sequences(tokens, 0, rule)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    # A frame from a token to the end is computed anew for each token.
+    assert "unboundedpreceding$(), currentrow$()" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_long_files_take_linear_time(spark):
+    """120,000 tokens of one file: quadratic frames would take minutes."""
+    n = 120_000
+    kind = F.when(F.col("id") % 9 == 3, "(").when(F.col("id") % 9 == 7, ")").when(F.col("id") % 5 == 0, "b").otherwise("a")
+    names = [f.name for f in TOKENS]
+    known = {"file": F.lit("f"), "pos": F.col("id"), "text": kind, "node_kind": kind, "block_path": F.array(F.lit(-1)), "language": F.lit("typescript")}
+    known["jmp"] = F.when(F.col("id") % 9 == 3, F.col("id") + 4).when(F.col("id") % 9 == 7, F.col("id") - 4)
+    tokens = spark.range(0, n, 1, 1).select(*(known.get(f, F.lit(0)).cast(TOKENS[f].dataType).alias(f) for f in names))
+    texts = ["(" if i % 9 == 3 else ")" if i % 9 == 7 else "b" if i % 5 == 0 else "a" for i in range(n)]
+    last_b = max(i for i in range(n) if texts[i] == "b")
+    assert len(found(tokens, "sequence { b not b * }")) == 1
+    assert found(tokens, "sequence { a b not b * }") == ([("f", last_b - 1)] if texts[last_b - 1] == "a" else [])
+    pairs = sum(1 for i in range(n) if texts[i] == "(" and i % 9 == 3 and i + 4 < n and "b" in texts[i + 1 : i + 4])
+    assert len(found(tokens, 'sequence { "(" any * b any * ")" any * }')) == pairs
 
 
 CALLS = {
