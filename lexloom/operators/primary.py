@@ -102,6 +102,12 @@ def regions(tokens: DataFrame, rule: Rule, columns: list) -> DataFrame:
     return own.select(F.explode(F.slice("block_path", F.lit(2), F.greatest(F.size("block_path") - 1, F.lit(0)))).alias("open"), *columns)
 
 
+def outermost(tokens: DataFrame, rule: Rule, columns: list) -> DataFrame:
+    """Tokens in blocks, each once, with the outermost block around them as ``open``."""
+    own = tokens.filter(applies(rule) & (F.size("block_path") > 1))
+    return own.select(F.element_at("block_path", 2).alias("open"), *columns)
+
+
 def tail_matches(steps) -> bool:
     """Whether the steps can match nothing."""
     return all(s.quant != "one" for s in steps)
@@ -138,14 +144,50 @@ def gapped_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     wanted = [accepts(s) for s in rule.steps[::2]]
     flags = [f"a{i}" for i in range(len(wanted))]
     own = tokens.filter(reduce(or_, wanted))
-    df = regions(own, rule, [*carried(wanted[0]), *(w.alias(a) for w, a in zip(wanted, flags))])
+    df = (outermost if rule.in_scope else regions)(own, rule, [*carried(wanted[0]), *(w.alias(a) for w, a in zip(wanted, flags))])
     block, last = Window.partitionBy("file", "open"), None
     for a in reversed(flags[1:]):
         holds = F.col(a) if last is None else F.col(a) & (F.col("pos") < F.col(last))
         df = df.withColumn(f"last_{a}", F.max(F.when(holds, F.col("pos"))).over(block))
         last = f"last_{a}"
     holds = F.col("a0") if last is None else F.col("a0") & (F.col("pos") < F.col(last))
-    return _finding(first_region(df.filter(holds), rule), index, F.col("open"))
+    return _finding(df.filter(holds), index, F.col("open"))
+
+
+def single_run(steps) -> bool:
+    """Whether single tokens begin, and at most one run follows, to the region's end."""
+    return all(s.quant == "one" for s in steps[:-1]) and must_start(steps[0]) and steps[-1].quant != "optional"
+
+
+def runs_in_blocks(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
+    """``single_run`` sequences that end with some block around them.
+
+    How far the run could go is a window over the outermost block: the sequence
+    holds in blocks that close behind its single tokens, and not behind the first
+    token that the run refuses.  So every token is one row; only starts are dealt to
+    the blocks around them, whose closers tell where they end.
+    """
+    steps = rule.steps
+    n = len(steps) - (steps[-1].quant == "zero_or_more")
+    start, closes = accepts(steps[0]), (F.col("node_kind") == "}") & F.col("jmp").isNotNull()
+    around = F.when(start, F.slice("block_path", F.lit(3), F.greatest(F.size("block_path") - 2, F.lit(0))))
+    flags = [accepts(s).alias(f"a{i}") for i, s in enumerate(steps)]
+    df = outermost(tokens, rule, [*carried(start), around.alias("_around"), F.when(closes, F.col("jmp").cast("int")).alias("_opener"), *flags])
+    df, order = _useful_blocks(df, steps), backward()
+    holds = reduce(lambda a, b: a & b, (F.lag(f"a{i}", i, False).over(order) for i in range(n)))
+    refused = F.when(~F.col(f"a{n}"), F.col("pos")) if n < len(steps) else F.col("pos")
+    stop = F.min(refused).over(ahead(order, n))
+    df = df.withColumns({"_holds": holds, "_last": F.lag("pos", n - 1).over(order), "_stop": stop}).filter("_holds or _opener is not null")
+    # Where nothing is refused the outermost block is the one; else it closes too late.
+    entry = lambda block, closes: F.struct(block.alias("open"), F.lit(closes).alias("closes"))
+    none = F.array().cast("array<struct<open: int, closes: boolean>>")
+    blocks = F.when(F.col("_stop").isNull(), F.array("open")).otherwise(F.col("_around"))
+    asks = F.when(F.col("_holds"), F.transform(blocks, lambda b: entry(b, False))).otherwise(none)
+    answers = F.when(F.col("_opener").isNotNull(), F.array(entry(F.col("_opener"), True))).otherwise(none)
+    df = df.withColumn("_at", F.explode(F.concat(asks, answers))).withColumn("open", F.col("_at.open"))
+    close = F.max(F.when(F.col("_at.closes"), F.col("pos"))).over(Window.partitionBy("file", "open"))
+    df = df.withColumn("_close", close).filter("not _at.closes and (_stop is null or _close > _last and _close <= _stop)")
+    return _finding(first_region(df, rule), index, F.col("open"))
 
 
 def window_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
@@ -161,6 +203,8 @@ def window_sequences(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
         return _finding(tokens.filter(F.lit(False)), index)
     if gapped(steps):
         return gapped_sequences(tokens, index, rule)
+    if rule.in_scope and single_run(steps):
+        return runs_in_blocks(tokens, index, rule)
     start = accepts(steps[0]) if must_start(steps[0]) else None
     df = regions(tokens, rule, [*carried(start), *(accepts(s).alias(f"a{i}") for i, s in enumerate(steps))])
     if rule.in_scope:

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ..functions.predicates import conjunction, token_field
 from ..rules.ast import Rule, Step
 from .paired import paired_sequences, plannable
-from .primary import PAYLOAD, _finding, carried, first_region, must_start, regions, window_sequences
+from .primary import PAYLOAD, _finding, carried, first_region, must_start, outermost, regions, window_sequences
 
 
 #: The bit of tokens at which all steps of a fixed beginning are accepted.
@@ -296,9 +296,9 @@ def repeated_later(rule: Rule):
 
 
 def _repeats(tokens: DataFrame, index: int, rule: Rule, preds) -> DataFrame:
-    """A bound text that occurs again: the last position of each text in its region."""
+    """A bound text that occurs again: the last position of each text in its region, of blocks in the outermost."""
     first = conjunction(preds)
-    df = regions(tokens, rule, [*carried(first), F.col("text").alias("_text"), first.alias("_first")])
+    df = (outermost if rule.in_scope else regions)(tokens, rule, [*carried(first), F.col("text").alias("_text"), first.alias("_first")])
     last = F.max("pos").over(Window.partitionBy("file", "open", "_text"))
     found = df.withColumn("_last", last).filter(F.col("_first") & (F.col("_last") > F.col("pos")))
-    return _finding(first_region(found, rule), index, F.col("open"))
+    return _finding(found, index, F.col("open"))

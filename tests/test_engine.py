@@ -224,6 +224,41 @@ def test_repeats_equal_search(spark):
         assert fast == slow
 
 
+IN_BLOCKS = [
+    "a not b *", "a b *", "a", "a b", "a any *", "any b", "not a not b *", 'a "{" not b *', '"}" a *', '"{" any a *', "a any * b any *",
+    "a any any *", "any any any", 'a not "}" *', "any any * any any * b any *", "a not (a | b) *", "a [] *",
+]
+
+
+@pytest.mark.parametrize("body", IN_BLOCKS)
+def test_sequences_in_blocks_equal_search(nested, body):
+    """Also the block that finds a start is the outermost of those that do."""
+    rule = load_dsl(f"rule R {{ sequence in scope {{ {body} }} }}")[0][0]
+    assert primary.gapped(rule.steps) or primary.single_run(rule.steps)
+    fast, slow = (sorted((r["file"], r["pos"], r["open"], r["text"]) for r in how(nested, 0, rule).collect()) for how in (search.sequences, search.searched_sequences))
+    assert fast == slow
+
+
+@pytest.fixture(scope="module")
+def nested(spark):
+    rng = random.Random(12)
+    streams = {f"f{i:02}": [rng.choice("ab{{}}x") for _ in range(rng.randrange(0, 26))] for i in range(60)}
+    return tuple_tokens(spark, streams | {"deep": ["a", "{"] * 12 + ["b"] + ["}", "a"] * 12}).cache()
+
+
+def test_deep_blocks_keep_one_row_per_token(spark):
+    """A token within 1,000 blocks is dealt to none of them."""
+    tokens = tuple_tokens(spark, {"f": ["{"] * 1000 + ["a", "b", "c"] + ["}"] * 1000})
+    for body in ("a any * b any *", "a not c *", "a not d *"):
+        rule = load_dsl(f"rule R {{ sequence in scope {{ {body} }} }}")[0][0]
+        plan = search.sequences(tokens, 0, rule)._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.rindex("Window") :]
+        assert "explode" not in below, plan
+    assert found(tokens, "sequence in scope { a any * b any * }") == [("f", 1000)]
+    assert found(tokens, "sequence in scope { a not d * }") == [("f", 1000)]
+    assert found(tokens, "sequence in scope { a not c * }") == []
+
+
 def test_no_steps_never_fire(spark):
     assert found(tuple_tokens(spark, {"f": ["a"]}), "sequence { }") == []
 
