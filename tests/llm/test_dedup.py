@@ -390,6 +390,24 @@ def test_passages(spark):
     assert substring.passages(frame(spark, [])).count() == 0
 
 
+def test_passages_of_a_hot_holder(spark, monkeypatch):
+    """A document that all others share a passage with meets them in several tasks; the rows are the same."""
+    rng = random.Random(21)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(70)]
+    rows = []
+    for i in range(40):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 60))]
+        words = list(shared)
+        words[rng.randrange(20, 50)] = f"x{i}"
+        rows.append((i, " ".join(own + words if i % 2 else words + own)))
+    docs = frame(spark, rows)
+    sent = sorted(map(tuple, substring.passages(docs).collect()))
+    monkeypatch.setattr(substring, "SENT_IDS", 0)
+    monkeypatch.setattr(substring, "SALT_ROWS", 3)
+    assert sorted(map(tuple, substring.passages(docs).collect())) == sent
+    assert {r[0] for r in sent} == set(range(1, 40))
+
+
 @pytest.mark.parametrize("parts", [[(0, 45)], [(8, 53)], [(0, 30), (30, 60)], [(0, 48), (12, 60)]])
 def test_passage_with_partial_first_holders(spark, parts):
     rng = random.Random(str(parts))
