@@ -172,6 +172,8 @@ def runs_in_blocks(tokens: DataFrame, index: int, rule: Rule) -> DataFrame:
     start, closes = accepts(steps[0]), (F.col("node_kind") == "}") & F.col("jmp").isNotNull()
     around = F.when(start, F.slice("block_path", F.lit(3), F.greatest(F.size("block_path") - 2, F.lit(0))))
     flags = [accepts(s).alias(f"a{i}") for i, s in enumerate(steps)]
+    if n == 1 < len(steps):  # then starts, what the run refuses and closers say all
+        tokens = tokens.filter(start | ~accepts(steps[1]) | closes)
     df = outermost(tokens, rule, [*carried(start), around.alias("_around"), F.when(closes, F.col("jmp").cast("int")).alias("_opener"), *flags])
     df, order = _useful_blocks(df, steps), backward()
     holds = reduce(lambda a, b: a & b, (F.lag(f"a{i}", i, False).over(order) for i in range(n)))
