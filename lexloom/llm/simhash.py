@@ -41,13 +41,14 @@ NEAR = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Fingerprints, of one half, that the shard trees are grown on at most.
 SAMPLE = 500_000
-#: Fingerprints of a shard, while there are no more than MAX_SHARDS of them.
-SHARD_ROWS = 4096
+#: Fingerprints of a shard while there are no more than FEW_SHARDS; beyond, they grow to MOST_ROWS first.
+#: Each level of a shard tree makes copies of boundary points, which are shuffled; those that a task's own trees make are not.
+SHARD_ROWS, FEW_SHARDS, MOST_ROWS = 4096, 64, 65_536
 MAX_SHARDS = 32_768
-#: Times that size from which a shard is cut by other bits as well.
-CROWDED = 4
-#: Fingerprints that are compared without further splits.
-LEAF = 384
+#: Times the mean from which a shard is cut by other bits as well.
+CROWDED = 8
+#: Fingerprints that are compared without further splits, and those that a task cuts by other bits where no radius splits them.
+LEAF, CUT = 384, 4096
 
 
 def shingle_hashes(text: bytes, words_in_shingle: int) -> np.ndarray:
@@ -195,6 +196,16 @@ def spanning(u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
+def shard_count(n: int) -> int:
+    """Shards for ``n`` fingerprints of one signature."""
+    return int(min(MAX_SHARDS, max(1, min(n // SHARD_ROWS, FEW_SHARDS), n // MOST_ROWS)))
+
+
+def is_crowded(filled: np.ndarray, n: int, shards: int) -> np.ndarray:
+    """Which shards hold too many of ``n`` fingerprints, by how many each is filled with."""
+    return filled > CROWDED * max(SHARD_ROWS, n / shards)
+
+
 def shard_links(prints: np.ndarray, part: int, parts: int, near: int, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """``forests`` spanning forests without common links, by least distances, of the links among one shard's prints."""
     values, wide, reach = part_of(prints, part, parts), prints.view(np.uint64), near // parts
@@ -209,13 +220,21 @@ def shard_links(prints: np.ndarray, part: int, parts: int, near: int, forests: i
             links = np.delete(links, own, axis=1)
         return np.concatenate(kept, 1)
 
-    todo = [np.arange(n)]
+    todo, final = [np.arange(n)], [False]
     while todo:
-        own = todo.pop()
-        found = split(values[own], reach) if len(own) > LEAF else None
+        own, cut = todo.pop(), final.pop()
+        found = split(values[own], reach) if len(own) > LEAF and not cut else None
         if found:
             distance = np.bitwise_count(values[own] ^ found[0])
             todo += [own[distance <= found[1] + reach], own[distance > found[1]]]
+            final += [False, False]
+            continue
+        if len(own) > CUT and not cut:
+            for name in pieces(prints[own], part, parts, near):
+                order = np.argsort(name, kind="stable")
+                groups = np.split(own[order], np.flatnonzero(np.diff(name[order])) + 1)
+                todo += [g for g in groups if len(g) > 1]
+            final += [True] * (len(todo) - len(final))
             continue
         for at in range(0, len(own), LEAF):  # the rows of a leaf in blocks, against the later ones
             block = own[at : at + LEAF]
@@ -265,7 +284,7 @@ def print_links(distinct: DataFrame, near: int, parts: int, scratch: Scratch, fo
     spark = distinct.sparkSession
     reach = near // parts
     n = distinct.filter("signature = 0").count()
-    shards = int(min(MAX_SHARDS, max(1, n // SHARD_ROWS)))
+    shards = shard_count(n)
     # A bounded sample of fingerprints grows the shard trees; all rows are routed by them.
     drawn = np.zeros(0, np.int64)
     if shards > 1:
@@ -274,10 +293,10 @@ def print_links(distinct: DataFrame, near: int, parts: int, scratch: Scratch, fo
     trees, crowded = [], []
     for p in range(parts):
         tree = grow(part_of(drawn, p, parts), shards, reach) if shards > 1 else []
-        # Where no radius parts a sixteenth of all, or shards have grown too few, they are cut by other bits too.
+        # Where no radius parts an eighth of all, or shards have grown too few, they are cut by other bits too.
         filled = np.bincount(route(part_of(drawn, p, parts), tree, reach)[1], minlength=1) * (n / max(1, len(drawn)))
         trees.append(tree)
-        crowded.append(filled > CROWDED * SHARD_ROWS)
+        crowded.append(is_crowded(filled, n, shards))
     sent = spark.sparkContext.broadcast((trees, crowded))
 
     def router():

@@ -522,3 +522,35 @@ def test_crowded_shards_lose_no_link(spark, monkeypatch, near, parts):
     links = [tuple(r) for r in simhash.print_links(distinct, near, parts, Scratch(spark, "t")).collect()]
     assert all(distance[u, v] <= near for u, v in links)
     assert brute_components(len(prints), links) == want
+
+
+def test_routed_copies_do_not_grow_with_the_rows():
+    """Near prints around a few hundred centres: copies of each that shards are sent, over all parts."""
+    rng = np.random.default_rng(5)
+    noise = (rng.random((60_000, 64)) < 0.2) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    prints = (rng.integers(0, 2**63, 300).astype(np.uint64)[rng.integers(0, 300, 60_000)] ^ noise).view(np.int64)
+
+    def copies(n):
+        shards = simhash.shard_count(n)
+        drawn, out = prints[: 64 * shards], 0.0
+        for part in range(4):
+            tree = simhash.grow(simhash.part_of(drawn, part, 4), shards, 1)
+            filled = np.bincount(simhash.route(simhash.part_of(drawn, part, 4), tree, 1)[1]) * (n / len(drawn))
+            own = simhash.route(simhash.part_of(prints, part, 4), tree, 1)[1]
+            full = simhash.is_crowded(filled, n, shards)
+            out += (1 + 7 * full[np.minimum(own, len(full) - 1)]).sum() / len(prints)
+        return out
+
+    assert copies(4_000_000) < 1.5 * copies(250_000) < 24
+
+
+def test_a_part_that_many_prints_share_is_cut_within_a_task(monkeypatch):
+    monkeypatch.setattr(simhash, "CUT", 400)
+    rng = np.random.default_rng(6)
+    high = rng.integers(0, 2**40, 150).astype(np.uint64)[rng.integers(0, 150, 1500)] << np.uint64(20)
+    prints = np.unique(high ^ (np.uint64(1) << rng.integers(16, 64, 1500).astype(np.uint64)) ^ np.uint64(9)).view(np.int64)
+    distance = np.bitwise_count(prints.view(np.uint64)[:, None] ^ prints.view(np.uint64)[None, :])
+    u, v = simhash.shard_links(prints, 0, 4, 7)
+    linked = [(i, j) for i, j in np.argwhere(distance <= 7).tolist() if i < j]
+    assert len(set(simhash.part_of(prints, 0, 4).tolist())) == 1 and (distance[u, v] <= 7).all()
+    assert brute_components(len(prints), list(zip(u.tolist(), v.tolist()))) == brute_components(len(prints), linked)
