@@ -1,0 +1,21 @@
+"""How plans are dealt and how many windows they have."""
+
+import pytest
+
+from lexloom import corpora
+from lexloom.operators import search
+from lexloom.rules.compile import load_dsl
+
+
+def test_files_of_code_are_dealt_by_the_number_of_orders(spark, monkeypatch):
+    few = corpora.code(spark, "/root/testdata/sf0.001").rdd.getNumPartitions()
+    monkeypatch.setattr(corpora, "ORDERS_PER_TASK", 25)
+    many = corpora.code(spark, "/root/testdata/sf0.001").rdd.getNumPartitions()
+    assert few < many == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count() // 25
+
+
+@pytest.mark.parametrize("body", ["function any any (debugger | acquire) any *", 'debugger ";" not acquire any *', "debugger not release *", "a b"])
+def test_a_run_to_the_end_of_a_file_is_few_windows(spark, body):
+    (rule,), _ = load_dsl(f"rule R {{ sequence {{ {body} }} }}")
+    found = search.sequences(corpora.code_tokens(spark, "/root/testdata/sf0.001"), 0, rule)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 2
