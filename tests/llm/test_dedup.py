@@ -390,6 +390,18 @@ def test_passages(spark):
     assert substring.passages(frame(spark, [])).count() == 0
 
 
+def test_fuzzy_passage_whose_seeds_others_hold_too(spark):
+    """Each seed has a first holder, and one between the two texts, of its own."""
+    rng = random.Random(3)
+    passage = [f"s{rng.randrange(10**6)}" for _ in range(80)]
+    changed = [f"x{i}" if i % 16 == 10 else w for i, w in enumerate(passage)]
+    rows = [(1000, f"{text(rng, 20)} {' '.join(passage)}"), (3000, f"{' '.join(changed)} {text(rng, 20)}")]
+    for i in range(76):
+        rows += [(n + i, f"{text(rng, 60)} {' '.join(passage[i : i + 5])} {text(rng, 60)}") for n in (1, 2000)]
+    found = substring.passages(frame(spark, rows).repartition(1)).collect()
+    assert [(r["doc_id"], r["source_doc_id"]) for r in found] == [(3000, 1000)]
+
+
 def test_passages_of_a_hot_holder(spark, monkeypatch):
     """A document that all others share a passage with meets them in several tasks; the rows are the same."""
     rng = random.Random(21)
