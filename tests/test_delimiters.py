@@ -78,3 +78,16 @@ def test_scopes_need_no_paths_and_no_room_for_depth(spark):
     assert found(tokens, "match a where scope not contains c") == [("g", deep + 1)]
     assert found(tokens, 'match a where scope followed by "}"') == []
     assert found(tokens, 'match c where scope contains "{"') == [("g", 0), ("g", 2 * deep + 3)]
+
+
+def test_texts_are_linked_where_they_are(spark, tables, monkeypatch):
+    monkeypatch.setattr(delimiters, "_SENT", 300)  # many parts of a batch and of a file
+    want = streams(5, 150) | {"empty": []}
+    files = spark.createDataFrame([(f, " ".join(kinds)) for f, kinds in want.items()] + [("null", None)], "file string, text string")
+    columns = ["file", "language", "pos", "node_kind", "class", "text", "start_byte", "jmp", "block_path", "curly_depth", "round_depth", "bracket_depth"]
+    for own in (files, *(getattr(corpora, name)(spark, tables) for name in ("docs", "pages", "props"))):
+        linked = corpora.linked_tokens(own)
+        got, want = linked.select(columns), delimiters.with_blocks(corpora.built_in_tokens(own)).select(columns)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 0
+        assert "Exchange" not in linked._jdf.queryExecution().executedPlan().toString()  # no token moves
+        assert [(f.name, f.dataType.simpleString()) for f in linked.schema] == [(f.name, f.dataType.simpleString()) for f in corpora.built_in_tokens(own).schema]
