@@ -15,11 +15,13 @@ is left exactly, on all 64 bits.  It returns a spanning forest of its links, so
 a dense group gives one link per member.
 
 ``near_duplicates`` links fingerprints.  ``similar_documents`` uses wider
-distances to find candidates, and links those whose word shingles agree.
+distances to find candidates, and links those whose word shingles agree; what
+fingerprints miss is found by the shingles that texts share.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Callable
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from .arrow import arrow_map
 from .components import Union, components
 from .identity import documents
+from .overlap import overlapping
 from .scratch import Scratch, sampled, small, table, temporary, without
 
 SEED = 42
@@ -453,10 +456,12 @@ def verified(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_documents(docs: DataFrame, words_in_shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of documents whose shingle sets are similar.
 
-    Candidates are the spanning links, FORESTS times over, of fingerprints over
+    First candidates are the spanning links, FORESTS times over, of fingerprints over
     three words within WIDE bits, for SIGNATURES fingerprints each, and documents
     with equal prints and the first of them; of texts with FEW shingles all
-    similar ones are connected.  Every one is verified: links have a
+    similar ones are connected.  Then all pairs of different components that share a
+    shingle of their prefixes (``overlap``) are candidates, so that no similar pair is
+    left unconnected.  Every one is verified: links have a
     Jaccard similarity of ``words_in_shingle``-word shingles of at least
     ``least``.  Documents without links are not returned.  Null texts count as
     empty, texts without words are similar to each other; rows with a null doc_id
@@ -481,12 +486,24 @@ def _similar(docs: DataFrame, words_in_shingle: int, least: float) -> tuple[Data
     equal = rows.join(distinct.filter("n > 1"), ["signature", "print"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     candidates = wide.unionAll(equal).unionAll(short_candidates(light, words_in_shingle, least, scratch, n // SIGNATURES)).filter("u != v")
     candidates = scratch.write(candidates.distinct(), "candidates", n)
-    nodes = scratch.write(candidates.select("u").unionAll(candidates.select("v")).distinct().withColumnRenamed("u", "doc_id"), "named", n)
-    sets = arrow_map(light.join(small(nodes, limit=SENT_IDS), "doc_id", "left_semi"), _shingler(words_in_shingle), "doc_id long, shingles array<long>", "text")
-    sets = scratch.write(sets.dropDuplicates(["doc_id"]) if repeated else sets, "sets")
-    links = scratch.write(verified(candidates, sets, least), "verified", 8 * n)
-    found = components(links, scratch).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")
-    return found, n, named
+
+    def similar(candidates: DataFrame, name: str) -> DataFrame:
+        nodes = candidates.select("u").unionAll(candidates.select("v")).distinct().withColumnRenamed("u", "doc_id")
+        nodes = scratch.write(nodes, f"{name}-named", n)
+        sets = arrow_map(light.join(small(nodes, limit=SENT_IDS), "doc_id", "left_semi"), _shingler(words_in_shingle), "doc_id long, shingles array<long>", "text")
+        sets = scratch.write(sets.dropDuplicates(["doc_id"]) if repeated else sets, f"{name}-sets")
+        links = scratch.write(verified(candidates, sets, least), name, 8 * n)
+        scratch.drop(f"{name}-sets")
+        return links
+
+    first = components(similar(candidates, "verified"), scratch)
+    first = scratch.write(first.withColumnRenamed("node", "doc_id"), "first", n)
+    marked = light.join(small(first, limit=SENT_IDS), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    missed = overlapping(marked, functools.partial(shingle_hashes, words_in_shingle=words_in_shingle), least)
+    more = similar(scratch.write(missed.distinct(), "missed"), "more")
+    stars = first.filter("doc_id != component").toDF("u", "v")
+    found = components(stars.unionAll(more), Scratch(docs.sparkSession, "connected"))
+    return found.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id"), n, named
 
 
 def keep_representatives(docs: DataFrame, words_in_shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -566,3 +566,28 @@ def test_a_part_that_many_prints_share_is_cut_within_a_task(monkeypatch):
     linked = [(i, j) for i, j in np.argwhere(distance <= 7).tolist() if i < j]
     assert len(set(simhash.part_of(prints, 0, 4).tolist())) == 1 and (distance[u, v] <= 7).all()
     assert brute_components(len(prints), list(zip(u.tolist(), v.tolist()))) == brute_components(len(prints), linked)
+
+
+@pytest.mark.parametrize("block", [1000, 8])
+def test_no_similar_pair_is_left_unconnected(spark, monkeypatch, block):
+    from lexloom.llm import overlap
+
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "OFTEN", 2)
+    rng = random.Random(11)
+    line = " ".join(f"line{i}" for i in range(12))
+    rows = []
+    for k in range(60):  # pairs a little above and below the bound, all with one line
+        base = [f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(60, 160))]
+        other = list(base)
+        for i in rng.sample(range(len(base)), len(base) // rng.randrange(36, 60) + 1):
+            other[i] = f"x{rng.randrange(50_000)}"
+        rows += [(2 * k, " ".join(base) + " " + line), (2 * k + 1, " ".join(other) + " " + line)]
+    sets = {d: np.unique(simhash.shingle_hashes(t.encode(), 5)) for d, t in rows}
+    similar = {b for a in sets for b in sets if a < b and simhash.similarity(sets[a], sets[b]) >= 0.8}
+    assert 10 < len(similar) < 60
+    # Fingerprints are not needed to find them.
+    monkeypatch.setattr(simhash, "SIGNATURES", 1)
+    monkeypatch.setattr(simhash, "print_links", lambda distinct, *_: distinct.selectExpr("rep AS u", "rep AS v"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert {d for d, c in got.items() if d != c} == similar and all(c == d - 1 for d, c in got.items() if d != c)
