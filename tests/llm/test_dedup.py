@@ -591,3 +591,17 @@ def test_no_similar_pair_is_left_unconnected(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "print_links", lambda distinct, *_: distinct.selectExpr("rep AS u", "rep AS v"))
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, rows)).collect()}
     assert {d for d, c in got.items() if d != c} == similar and all(c == d - 1 for d, c in got.items() if d != c)
+
+
+@pytest.mark.parametrize("block", [1000, 16])
+def test_fuzzy_passage_whose_seeds_many_hold(spark, monkeypatch, block):
+    """Each seed has more than 32 places, and other first and last holders before the two texts."""
+    monkeypatch.setattr(substring, "BLOCK", block)
+    rng = random.Random(3)
+    passage = [f"s{rng.randrange(10**6)}" for _ in range(80)]
+    changed = [f"x{i}" if i % 16 == 10 else w for i, w in enumerate(passage)]
+    rows = [(1000, f"{text(rng, 20)} {' '.join(passage)}"), (90_000, f"{' '.join(changed)} {text(rng, 20)}")]
+    for i in range(76):
+        rows += [(n + 40 * i + k, f"{text(rng, 60)} {' '.join(passage[i : i + 5])} {text(rng, 60)}") for n in (-9000, 2000) for k in range(20)]
+    found = substring.passages(frame(spark, rows)).collect()
+    assert [(r["doc_id"], r["source_doc_id"]) for r in found] == [(90_000, 1000)]
